@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["vectors", "criteria"]
+MODULES = ["vectors", "criteria", "pages"]
 
 
 def load_all():
