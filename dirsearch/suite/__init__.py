@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["vectors", "criteria", "pages"]
+MODULES = ["vectors", "criteria", "pages", "retrieval"]
 
 
 def load_all():
