@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["vectors", "criteria", "pages", "retrieval", "querylog"]
+MODULES = ["vectors", "criteria", "pages", "retrieval", "querylog", "ingest"]
 
 
 def load_all():
