@@ -19,40 +19,59 @@ from pyspark.sql import functions as F
 from dirsearch.functions import lexicons as L
 from dirsearch.functions.text import col_of, strip
 
-JUDGE_SCHEMA = "query_id long, id long, passes boolean, reasoning string"
 
 
 def cut(text: Column | str, n: int = L.JUDGE_TEXT_CHARS) -> Column:
     return F.substring(col_of(text), 1, n)
 
 
-def default_judge(rows: DataFrame, min_hits: int = 1) -> DataFrame:
+def default_judge(rows: DataFrame, min_hits: int = 1, keep: tuple[str, ...] = ()) -> DataFrame:
     """Pass when the candidate text (first 3,000 chars) contains at least
     ``min_hits`` of the query keywords; no keywords -> pass.  Missing text
-    fails with an error message, like a failed call."""
-    low = F.lower(cut("text"))
-    hits = F.filter("keywords", lambda k: F.instr(low, k) > 0)
-    passes = F.when(F.col("text").isNull(), F.lit(False)).when(F.size("keywords") == 0, F.lit(True)) \
+    fails with an error message, like a failed call.  ``keep`` columns pass
+    through unchanged.
+
+    Rows either carry ``head_hits`` (keywords already found in the first
+    3,000 characters, null when there is no text, see
+    :func:`dirsearch.operators.keywords.keyword_hits`) or the ``text`` itself.
+    """
+    if "head_hits" in rows.columns:
+        no_text = F.col("head_hits").isNull()
+        hits = F.col("head_hits")
+    else:
+        low = F.lower(cut("text"))
+        no_text = F.col("text").isNull()
+        hits = F.filter("keywords", lambda k: F.instr(low, k) > 0)
+    passes = F.when(no_text, F.lit(False)).when(F.size("keywords") == 0, F.lit(True)) \
         .otherwise(F.size(hits) >= min_hits)
-    reasoning = F.when(F.col("text").isNull(), F.lit("Error: no profile text")) \
+    reasoning = F.when(no_text, F.lit("Error: no profile text")) \
         .otherwise(F.concat(F.lit("matched: "), F.array_join(hits, ", ")))
-    return rows.select("query_id", "id", passes.alias("passes"), reasoning.alias("reasoning"))
+    return rows.select("query_id", "id", *keep, passes.alias("passes"), reasoning.alias("reasoning"))
 
 
-def python_judge(rows: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame]) -> DataFrame:
-    """Run a caller-supplied judge over Arrow batches of (query_id, id, query, text)."""
+def python_judge(rows: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], keep: tuple[str, ...] = ()) -> DataFrame:
+    """Run a caller-supplied judge over Arrow batches of (query_id, id, query, text).
+
+    ``fn`` returns one row per input row, in input order, with ``passes`` and
+    ``reasoning``; ``keep`` columns pass through from the input batch.
+    """
+    fields = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    schema = ", ".join(["query_id long", "id long"] + [f"{c} {fields[c]}" for c in keep]
+                       + ["passes boolean", "reasoning string"])
 
     def run(batches):
         for pdf in batches:
             pdf = pdf.assign(text=pdf["text"].str.slice(0, L.JUDGE_TEXT_CHARS))
+            base = pdf[["query_id", "id", *keep]].reset_index(drop=True)
             try:
-                out = fn(pdf)
-                yield out[["query_id", "id", "passes", "reasoning"]]
+                out = fn(pdf[["query_id", "id", "query", "text"]]).reset_index(drop=True)
+                if len(out) != len(pdf):
+                    raise ValueError(f"judge returned {len(out)} rows for {len(pdf)}")
+                yield base.assign(passes=out["passes"].astype(bool), reasoning=out["reasoning"].astype(str))
             except Exception as e:  # noqa: BLE001 - a failed call fails its rows
-                yield pd.DataFrame({"query_id": pdf["query_id"], "id": pdf["id"], "passes": False,
-                                    "reasoning": f"Error: {e}"})
+                yield base.assign(passes=False, reasoning=f"Error: {e}")
 
-    return rows.select("query_id", "id", "query", "text").mapInPandas(run, JUDGE_SCHEMA)
+    return rows.select("query_id", "id", "query", "text", *keep).mapInPandas(run, schema)
 
 
 def parse_response(resp: Column | str, strict: bool = False) -> Column:

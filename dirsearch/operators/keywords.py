@@ -3,9 +3,10 @@
 All per-query decisions of the original (how many keywords, how strict the
 filter, whether to fall back to the first candidates) are columns here, so a
 whole table of queries runs as one plan with no driver-side branching.
-Per-query survivor counts are a grouped aggregate joined back on
-``query_id`` (partial aggregation before the shuffle), not a window, so one
-query with a huge candidate list never lands in a single task.
+Per-query survivor counts are a window over ``query_id`` when candidate
+lists are bounded by a top-k step, else a grouped aggregate joined back
+(partial aggregation before the shuffle), so one query with a huge candidate
+list never lands in a single task.
 """
 
 from __future__ import annotations
@@ -66,34 +67,74 @@ def keyword_filter(candidates: DataFrame, keywords: DataFrame, texts: DataFrame,
     j = _scored(candidates, keywords, texts)
     need = F.lit(1) if min_matches == 0 else F.lit(min_matches)
     keep = (F.size("keywords") == 0) | F.col("missing") | (F.col("matches") >= need)
-    return j.where(keep).drop("text")
+    return j.where(keep)
+
+
+def keyword_hits(pairs: DataFrame, texts: DataFrame, head_chars: int = L.JUDGE_TEXT_CHARS) -> DataFrame:
+    """Keyword hits per candidate document, each (document, keyword) tested once.
+
+    ``pairs`` holds ``(id, keywords)`` for every (query, candidate) pair; the
+    distinct (document, keyword) combinations are matched against the
+    lower-cased text once, however many queries share them.  Returns
+    ``(id, has_text, hits, head_hits)`` for documents that have a text, where
+    ``head_hits`` are the keywords found in the first ``head_chars`` characters.
+    """
+    need = pairs.select("id", F.explode("keywords").alias("kw")).distinct()
+    low = texts.select("id", F.lower("text").alias("_low"))
+    tested = need.join(low, "id").select(
+        "id", "kw", (F.instr("_low", F.col("kw")) > 0).alias("hit"),
+        (F.instr(F.substring("_low", 1, head_chars), F.col("kw")) > 0).alias("head"))
+    per_doc = tested.groupBy("id").agg(F.collect_set(F.when(F.col("hit"), F.col("kw"))).alias("hits"),
+                                       F.collect_set(F.when(F.col("head"), F.col("kw"))).alias("head_hits"))
+    present = texts.select("id", F.lit(True).alias("has_text"))
+    return present.join(per_doc, "id", "left")
 
 
 def _scored(candidates: DataFrame, keywords: DataFrame, texts: DataFrame) -> DataFrame:
     j = (candidates.join(keywords, "query_id", "left")
-         .withColumn("keywords", F.coalesce("keywords", F.array().cast("array<string>")))
-         .join(texts, "id", "left"))
-    return (j.withColumn("missing", F.col("text").isNull())
-            .withColumn("matches", F.coalesce(match_count("text", "keywords"), F.lit(0).cast("long"))))
+         .withColumn("keywords", F.coalesce("keywords", F.array().cast("array<string>"))))
+    docs = keyword_hits(j.select("id", "keywords"), texts)
+    empty = F.array().cast("array<string>")
+    j = j.join(docs, "id", "left")
+    hits = F.array_intersect("keywords", F.coalesce("hits", empty))
+    head = F.array_intersect("keywords", F.coalesce("head_hits", empty))
+    return (j.withColumn("missing", F.col("has_text").isNull())
+            .withColumn("matches", F.size(hits).cast("long"))
+            .withColumn("head_hits", F.when(F.col("has_text"), head))
+            .drop("hits", "has_text"))
 
 
 def smart_filter(candidates: DataFrame, keywords: DataFrame, texts: DataFrame,
                  strict_at: int = L.STRICT_KEYWORDS, strict_hits: int = L.STRICT_HITS,
-                 relax_below: int = L.RELAX_BELOW, fallback_top: int = L.FALLBACK_TOP) -> DataFrame:
+                 relax_below: int = L.RELAX_BELOW, fallback_top: int = L.FALLBACK_TOP,
+                 bounded: bool = False) -> DataFrame:
     """V9 (+W8, T4): adaptive keyword filter for every query at once.
 
     >= ``strict_at`` keywords: keep candidates with >= ``strict_hits`` matches,
     relaxed to 1 match when fewer than ``relax_below`` survive; 1..strict_at-1
     keywords: >= 1 match; no keywords: keep all.  Candidates without stored
     text always pass.  If nothing survives, the first ``fallback_top`` by rank.
+
+    ``bounded=True`` says each query has at most k candidates (they come from
+    a top-k step): survivor counts are then a window over ``query_id``, which
+    follows the top-k window's partitioning and reads the candidates once.
+    Otherwise the counts are a grouped aggregate joined back (safe for one
+    query with an unbounded candidate list).
     """
+    from pyspark.sql import Window
+
     j = _scored(candidates, keywords, texts)
     strict = F.col("missing") | (F.col("matches") >= strict_hits)
     loose = F.col("missing") | (F.col("matches") >= 1)
-    counts = (j.groupBy("query_id")
-              .agg(F.count_if(strict).alias("n_strict"), F.count_if(loose).alias("n_loose"),
-                   F.max(F.size("keywords")).alias("n_kw")))
-    j = j.join(counts, "query_id")
+    if bounded:
+        w = Window.partitionBy("query_id")
+        j = (j.withColumn("n_strict", F.count_if(strict).over(w)).withColumn("n_loose", F.count_if(loose).over(w))
+             .withColumn("n_kw", F.max(F.size("keywords")).over(w)))
+    else:
+        counts = (j.groupBy("query_id")
+                  .agg(F.count_if(strict).alias("n_strict"), F.count_if(loose).alias("n_loose"),
+                       F.max(F.size("keywords")).alias("n_kw")))
+        j = j.join(counts, "query_id")
     nkw = F.col("n_kw")
     rule = (F.when(nkw >= strict_at, F.when(F.col("n_strict") >= relax_below, strict).otherwise(loose))
             .when(nkw >= 1, loose).otherwise(F.lit(True)))
@@ -101,4 +142,4 @@ def smart_filter(candidates: DataFrame, keywords: DataFrame, texts: DataFrame,
                         .otherwise(F.col("n_loose")))
                  .when(nkw >= 1, F.col("n_loose")).otherwise(F.lit(1)))
     keep = F.when(survivors > 0, rule).otherwise(F.col("rank") <= fallback_top)
-    return j.where(keep).drop("text", "n_strict", "n_loose", "n_kw")
+    return j.where(keep).drop("n_strict", "n_loose", "n_kw")

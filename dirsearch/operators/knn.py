@@ -1,14 +1,18 @@
 """Nearest-neighbour search over an embeddings table.
 
-Exact search is a tiled block join: the corpus is hashed into ``corpus_blocks``
-blocks and the query table into ``query_tiles`` tiles; every (block, tile)
-pair meets in one cogroup, where numpy scores the tile against the block and
-keeps only the k best per query.  No pair is ever emitted, nothing is
-collected to the driver, and each group holds at most one block and one tile,
-so memory per task is bounded by the two tiling parameters, not by the data.
-The per-block winners (k per query per block) are then reduced with a
-``row_number`` window, which Spark plans as a partial ``WindowGroupLimit``
-before the shuffle.
+Exact search never forms the query x corpus pairs as rows and uses no cross
+join.  Two physical strategies:
+
+* broadcast — when a count proves the query matrix small, it is broadcast
+  once and every corpus partition keeps a running top-k per query in numpy
+  (chunked matrix products).  The corpus is never shuffled.
+* tiled — for large query tables: the corpus is hashed into blocks and the
+  queries into tiles; every (block, tile) pair meets in one cogroup, so memory
+  per task is bounded by block and tile size, not by the data.
+
+Either way only k rows per query per task leave Python; a ``row_number``
+window (planned as a partial ``WindowGroupLimit`` before its shuffle) makes
+the final cut with ties broken by id.
 
 Approximate search (``knn_lsh``) uses MLlib's random-projection LSH on unit
 vectors (Euclidean distance on the sphere is monotone in cosine) and
@@ -25,6 +29,8 @@ from pyspark.sql import functions as F
 from dirsearch.functions.vector import cosine
 
 _PARTIAL_SCHEMA = "query_id long, id long, score double"
+QUERY_CHUNK = 1024
+CORPUS_CHUNK = 4096
 
 
 def _block_key(c: str, n: int):
@@ -34,7 +40,7 @@ def _block_key(c: str, n: int):
 def _stack(series: pd.Series) -> np.ndarray:
     if len(series) == 0:
         return np.zeros((0, 0))
-    return np.stack([np.asarray(v, dtype=np.float64) if v is not None else np.zeros(0) for v in series])
+    return np.stack([np.asarray(v, dtype=np.float64) for v in series])
 
 
 def _unit(m: np.ndarray) -> np.ndarray:
@@ -44,61 +50,132 @@ def _unit(m: np.ndarray) -> np.ndarray:
     return out
 
 
-def _partial_topk(k: int):
+class _TopK:
+    """Running exact top-k per query (score desc, id asc) over corpus chunks.
+
+    State is two (n_queries x k) arrays; each corpus chunk is scored in
+    query chunks of ``QUERY_CHUNK`` rows so the score matrix stays small.
+    """
+
+    def __init__(self, qids: np.ndarray, q: np.ndarray, k: int):
+        self.qids, self.q, self.k = qids, q, k
+        self.s = np.full((len(qids), k), -np.inf)
+        self.i = np.full((len(qids), k), np.iinfo(np.int64).max, dtype=np.int64)
+
+    def add(self, ids: np.ndarray, c: np.ndarray) -> None:
+        for a in range(0, len(self.qids), QUERY_CHUNK):
+            b = a + QUERY_CHUNK
+            sc = self.q[a:b] @ c.T
+            cat_s = np.concatenate([self.s[a:b], sc], axis=1)
+            cat_i = np.concatenate([self.i[a:b], np.broadcast_to(ids, sc.shape)], axis=1)
+            order = np.lexsort((cat_i, -cat_s), axis=-1)[:, :self.k]
+            self.s[a:b] = np.take_along_axis(cat_s, order, axis=1)
+            self.i[a:b] = np.take_along_axis(cat_i, order, axis=1)
+
+    def frame(self) -> pd.DataFrame:
+        keep = np.isfinite(self.s)
+        rows = np.nonzero(keep)
+        return pd.DataFrame({"query_id": self.qids[rows[0]], "id": self.i[keep], "score": self.s[keep]})
+
+
+def _empty() -> pd.DataFrame:
+    return pd.DataFrame({"query_id": pd.Series([], dtype="int64"), "id": pd.Series([], dtype="int64"),
+                         "score": pd.Series([], dtype="float64")})
+
+
+def _tile_topk(k: int):
+    """cogroup function: one corpus block x one query tile -> k best per query."""
+
     def score(key, corpus: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         if len(corpus) == 0 or len(queries) == 0:
-            return pd.DataFrame({"query_id": [], "id": [], "score": []}).astype(
-                {"query_id": "int64", "id": "int64", "score": "float64"})
-        c = _unit(_stack(corpus["vec"]))
-        q = _unit(_stack(queries["qvec"]))
+            return _empty()
+        acc = _TopK(queries["query_id"].to_numpy(dtype=np.int64), _unit(_stack(queries["qvec"])), k)
         ids = corpus["id"].to_numpy(dtype=np.int64)
-        s = q @ c.T  # (nq, nc) dense scores for one tile x one block
-        kk = min(k, s.shape[1])
-        out_q, out_id, out_s = [], [], []
-        qids = queries["query_id"].to_numpy(dtype=np.int64)
-        for r in range(s.shape[0]):
-            row = s[r]
-            if kk < row.shape[0]:
-                # candidates: everything scoring at least the kk-th best (keeps ties)
-                thr = np.partition(row, row.shape[0] - kk)[row.shape[0] - kk]
-                cand = np.nonzero(row >= thr)[0]
-            else:
-                cand = np.arange(row.shape[0])
-            order = np.lexsort((ids[cand], -row[cand]))[:kk]
-            sel = cand[order]
-            out_q.append(np.full(sel.shape[0], qids[r], dtype=np.int64))
-            out_id.append(ids[sel])
-            out_s.append(row[sel])
-        return pd.DataFrame({"query_id": np.concatenate(out_q), "id": np.concatenate(out_id),
-                             "score": np.concatenate(out_s)})
+        vecs = corpus["vec"]
+        for a in range(0, len(corpus), CORPUS_CHUNK):
+            acc.add(ids[a:a + CORPUS_CHUNK], _unit(_stack(vecs.iloc[a:a + CORPUS_CHUNK])))
+        return acc.frame()
 
     return score
 
 
+def _scan_topk(bq, k: int):
+    """mapInPandas function: a corpus partition against the broadcast queries."""
+
+    def run(batches):
+        qids, q = bq.value
+        acc = _TopK(qids, q, k)
+        seen = False
+        for pdf in batches:
+            if len(pdf) == 0:
+                continue
+            seen = True
+            ids = pdf["id"].to_numpy(dtype=np.int64)
+            for a in range(0, len(pdf), CORPUS_CHUNK):
+                acc.add(ids[a:a + CORPUS_CHUNK], _unit(_stack(pdf["vec"].iloc[a:a + CORPUS_CHUNK])))
+        if seen:
+            yield acc.frame()
+
+    return run
+
+
 def knn_exact(corpus: DataFrame, queries: DataFrame, k: int, *, id_col: str = "id", vec_col: str = "embedding",
-              query_id_col: str = "query_id", query_vec_col: str = "embedding",
-              corpus_blocks: int | None = None, query_tiles: int = 1) -> DataFrame:
+              query_id_col: str = "query_id", query_vec_col: str = "embedding", strategy: str = "auto",
+              broadcast_limit_bytes: int = 64 << 20, corpus_blocks: int | None = None,
+              query_tiles: int | None = None, rows_per_block: int = 50_000,
+              queries_per_tile: int = 20_000) -> DataFrame:
     """Exact cosine top-k for every query row.
 
     Returns ``(query_id, id, score, rank)``; rank is 1-based, ties broken by id.
-    Rows without a vector are skipped.  ``corpus_blocks`` defaults to the
-    session's shuffle partitions; raise ``query_tiles`` for large query tables
-    so that one tile (replicated to every block) stays small.
+    Rows without a vector are skipped.
+
+    ``strategy``:
+      * ``broadcast`` — the query matrix is broadcast once; every corpus
+        partition keeps a running top-k per query (no corpus shuffle).
+      * ``tiled`` — corpus blocks x query tiles meet in a cogroup; for query
+        tables too large to broadcast.
+      * ``auto`` — counts the queries and broadcasts only when
+        ``n_queries * dim * 8`` bytes is within ``broadcast_limit_bytes``.
+    Block and tile counts default to sizes derived from row counts.
     """
     spark = corpus.sparkSession
-    blocks = corpus_blocks or int(spark.conf.get("spark.sql.shuffle.partitions"))
     c = (corpus.where(F.col(vec_col).isNotNull())
          .select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("vec")))
     q = (queries.where(F.col(query_vec_col).isNotNull())
          .select(F.col(query_id_col).cast("long").alias("query_id"), F.col(query_vec_col).alias("qvec")))
-    # Every corpus block must meet every query tile: corpus rows are copied to
-    # each tile, query rows to each block (the tiling of a matrix product).
-    c = (c.withColumn("blk", _block_key("id", blocks))
-         .withColumn("tile", F.explode(F.sequence(F.lit(0), F.lit(query_tiles - 1)))))
-    q = (q.withColumn("tile", _block_key("query_id", query_tiles))
-         .withColumn("blk", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))))
-    partial = (c.groupBy("blk", "tile").cogroup(q.groupBy("blk", "tile"))
-               .applyInPandas(_partial_topk(k), _PARTIAL_SCHEMA))
+    n_q = None
+    if strategy == "auto" or (strategy == "tiled" and query_tiles is None):
+        n_q = q.count()
+    if strategy == "auto":
+        first = q.select(F.size("qvec").alias("d")).first()
+        dim = int(first["d"]) if first is not None else 0
+        strategy = "broadcast" if n_q * max(dim, 1) * 8 <= broadcast_limit_bytes else "tiled"
+    if strategy == "broadcast":
+        # A corpus stored in fewer partitions than the cluster has cores (a
+        # small single file) is spread out first; a large corpus is scanned as is.
+        par = spark.sparkContext.defaultParallelism
+        if c.rdd.getNumPartitions() < par:
+            c = c.repartition(par)
+        # size proven by the count above (or asserted by the caller)
+        rows = q.collect()
+        qids = np.array([r["query_id"] for r in rows], dtype=np.int64)
+        qm = _unit(_stack(pd.Series([r["qvec"] for r in rows]))) if rows else np.zeros((0, 0))
+        bq = spark.sparkContext.broadcast((qids, qm))
+        partial = c.mapInPandas(_scan_topk(bq, k), _PARTIAL_SCHEMA) if len(rows) else \
+            spark.createDataFrame([], _PARTIAL_SCHEMA)
+    elif strategy == "tiled":
+        blocks = corpus_blocks or max(1, -(-c.count() // rows_per_block))
+        tiles = query_tiles or max(1, -(-n_q // queries_per_tile))
+        # every corpus block meets every query tile: corpus rows are copied to
+        # each tile, query rows to each block (the tiling of a matrix product)
+        cb = (c.withColumn("blk", _block_key("id", blocks))
+              .withColumn("tile", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1)))))
+        qb = (q.withColumn("tile", _block_key("query_id", tiles))
+              .withColumn("blk", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))))
+        partial = (cb.groupBy("blk", "tile").cogroup(qb.groupBy("blk", "tile"))
+                   .applyInPandas(_tile_topk(k), _PARTIAL_SCHEMA))
+    else:
+        raise ValueError(f"unknown strategy {strategy!r}")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("id"))
     return (partial.withColumn("rank", F.row_number().over(w))
             .where(F.col("rank") <= k))
@@ -108,7 +185,7 @@ def knn_single(corpus: DataFrame, query_vector: DataFrame, k: int = 50, *, id_co
                vec_col: str = "embedding", query_vec_col: str = "embedding") -> DataFrame:
     """Top-k for one query vector given as a one-row DataFrame (``query_vec_col``)."""
     qv = query_vector.select(F.lit(0).cast("long").alias("query_id"), F.col(query_vec_col).alias("embedding"))
-    return (knn_exact(corpus, qv, k, id_col=id_col, vec_col=vec_col)
+    return (knn_exact(corpus, qv, k, id_col=id_col, vec_col=vec_col, strategy="broadcast")
             .select("id", "score", "rank"))
 
 

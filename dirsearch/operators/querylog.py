@@ -183,33 +183,61 @@ def normalise_query(query: Column | str, mapping: Sequence[tuple[str, str]]) ->
 
 
 # ------------------------------------------------------------ batch search
+def name_matches(word_sets: DataFrame, name_sets: DataFrame) -> DataFrame:
+    """Pairs ``(qkey, nkey)`` where every token of word set ``qkey`` is a token of name set ``nkey``.
+
+    Both sides are distinct token sets.  Each word set is joined only through
+    its rarest token (the shortest posting list, found with a grouped count),
+    and the other words are checked row-locally with ``array_contains``; a hot
+    token shared by a third of all names never drives a join unless it is the
+    rarest word of the query.
+    """
+    postings = name_sets.select("nkey", "ntoks", F.explode("ntoks").alias("token"))
+    freq = postings.groupBy("token").agg(F.count("*").alias("df"))
+    q = word_sets.select("qkey", "qtoks", F.explode("qtoks").alias("token"))
+    rated = q.join(freq, "token", "left")
+    # a word with no posting makes the set unmatchable: drop such sets
+    rare = (rated.groupBy("qkey", "qtoks")
+            .agg(F.min_by("token", F.struct(F.coalesce(F.col("df"), F.lit(0)).alias("df"), "token")).alias("token"),
+                 F.count_if(F.col("df").isNull()).alias("missing"))
+            .where(F.col("missing") == 0).drop("missing"))
+    cand = rare.join(postings, "token")
+    return cand.where(F.forall("qtoks", lambda t: F.array_contains(F.col("ntoks"), t))).select("qkey", "nkey")
+
+
 def batch_search(criteria: DataFrame, profiles: DataFrame, facets: DataFrame | None = None) -> DataFrame:
     """Q14: answer a whole table of AND-ed criteria with equi-joins.
 
     criteria (query_id, clause_no, field, op, value); supported: name contains
     (all words are name tokens), title eq, facet eq (practice, industry,
     region, language).  Returns ``(query_id, id)`` for profiles meeting every
-    supported criterion of the query.
+    supported criterion of the query.  Identical criteria values and
+    identical names are matched once and expanded afterwards.
     """
-    crit = criteria.withColumn("cid", F.monotonically_increasing_id())
-    need = crit.groupBy("query_id").agg(F.countDistinct("cid").alias("n_need"))
+    crit = criteria.select("query_id", "clause_no", "field", "op", "value")
+    ckey = F.struct("query_id", "clause_no")
+    need = crit.groupBy("query_id").agg(F.count_distinct(ckey).alias("n_need"))
     hits = []
-    # name: every value word must be a token of the profile name
-    nm = crit.where((F.col("field") == "name") & (F.col("op") == "contains"))
-    words = nm.select("query_id", "cid", F.explode(F.array_distinct(name_tokens(F.col("value")))).alias("token"))
-    nwords = words.groupBy("cid").agg(F.count("*").alias("n_words"))
-    index = profiles.select("id", F.explode(F.array_distinct(name_tokens(F.col("name")))).alias("token"))
-    wh = words.join(index, "token").groupBy("query_id", "cid", "id").agg(F.count("*").alias("n"))
-    hits.append(wh.join(nwords, "cid").where(F.col("n") == F.col("n_words")).select("query_id", "cid", "id"))
+    # name contains: match distinct word sets against distinct name token sets
+    nm = crit.where((F.col("field") == "name") & (F.col("op") == "contains")) \
+        .withColumn("qtoks", F.array_sort(F.array_distinct(name_tokens(F.col("value"))))) \
+        .where(F.size("qtoks") > 0).withColumn("qkey", F.xxhash64("qtoks"))
+    prof = profiles.withColumn("ntoks", F.array_sort(F.array_distinct(name_tokens(F.col("name"))))) \
+        .withColumn("nkey", F.xxhash64("ntoks"))
+    pairs = name_matches(nm.select("qkey", "qtoks").distinct(), prof.select("nkey", "ntoks").distinct())
+    hits.append(nm.select("query_id", "clause_no", "qkey").join(pairs, "qkey")
+                .join(prof.select("nkey", "id"), "nkey").select("query_id", "clause_no", "id"))
     # title equality
     ti = crit.where((F.col("field") == "title") & (F.col("op") == "eq"))
-    hits.append(ti.join(profiles.select("id", F.col("title").alias("value")), "value").select("query_id", "cid", "id"))
+    hits.append(ti.join(profiles.select("id", F.col("title").alias("value")), "value")
+                .select("query_id", "clause_no", "id"))
     if facets is not None:
         fc = crit.where(F.col("field").isin("practice", "industry", "region", "language") & (F.col("op") == "eq"))
         f = facets.select(F.col("profile_id").alias("id"), F.col("facet").alias("field"), "value").distinct()
-        hits.append(fc.join(f, ["field", "value"]).select("query_id", "cid", "id"))
+        hits.append(fc.join(f, ["field", "value"]).select("query_id", "clause_no", "id"))
     allh = hits[0]
     for h in hits[1:]:
         allh = allh.unionByName(h)
-    got = allh.distinct().groupBy("query_id", "id").agg(F.count("*").alias("n_got"))
+    # hits are unique per (query, clause, profile): every input above is keyed, so no DISTINCT
+    got = allh.groupBy("query_id", "id").agg(F.count("*").alias("n_got"))
     return got.join(need, "query_id").where(F.col("n_got") == F.col("n_need")).select("query_id", "id")

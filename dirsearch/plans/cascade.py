@@ -48,10 +48,13 @@ def cascade(queries: DataFrame, corpus: DataFrame, texts: DataFrame, profiles: D
     """
     kw = queries.select("query_id", K.extract_keywords("query", **(keyword_options or {})).alias("keywords"))
     cand = candidates(queries, corpus, kw, k_max=k_max, corpus_blocks=corpus_blocks, query_tiles=query_tiles)
-    kept = K.smart_filter(cand, kw, texts)
-    rows = kept.join(texts, "id", "left").join(queries.select("query_id", "query"), "query_id")
-    judged = J.default_judge(rows) if judge is None else J.python_judge(rows, judge)
-    out = kept.select("query_id", "id", "rank", "score").join(judged, ["query_id", "id"])
+    kept = K.smart_filter(cand, kw, texts, bounded=True)
+    keep = ("rank", "score")
+    if judge is None:
+        out = J.default_judge(kept, keep=keep)
+    else:
+        rows = kept.join(texts, "id", "left").join(queries.select("query_id", "query"), "query_id")
+        out = J.python_judge(rows, judge, keep=keep)
     if not keep_failed:
         out = out.where("passes")
     out = out.join(profiles.select("id", "name", "url"), "id")

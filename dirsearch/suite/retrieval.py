@@ -146,9 +146,8 @@ def smart_filter(spark, sf):
           f"{SMART_SQL}, {JUDGE_SQL} select query_id, id, passes, reasoning from jd")
 def judge_default(spark, sf):
     """Default judge over the filtered candidates of every query."""
-    kept = K.smart_filter(_cands(spark, sf), keywords(spark, sf), texts(spark, sf))
-    rows = kept.join(texts(spark, sf), "id", "left")
-    return J.default_judge(rows)
+    kept = K.smart_filter(_cands(spark, sf), keywords(spark, sf), texts(spark, sf), bounded=True)
+    return J.default_judge(kept)
 
 
 @register("cascade", sql=CASCADE_SQL + "select * from res")

@@ -54,8 +54,24 @@ where rank <= 10
 def knn_batch(spark, sf):
     """Top-10 neighbours of every vector, all vectors as queries."""
     emb = table(spark, sf, "embeddings").select("vec_id", "embedding")
-    out = knn.knn_exact(emb, emb.withColumnRenamed("vec_id", "query_id"), 10, id_col="vec_id",
-                        corpus_blocks=8, query_tiles=2)
+    out = knn.knn_exact(emb, emb.withColumnRenamed("vec_id", "query_id"), 10, id_col="vec_id")
+    return out.select("query_id", "id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+@register("knn_tiled", sql="""
+select * from (
+  select q.vec_id as query_id, e.vec_id as id,
+         round(list_cosine_similarity(q.embedding::double[], e.embedding::double[]), 6) as score,
+         row_number() over (partition by q.vec_id
+                            order by list_cosine_similarity(q.embedding::double[], e.embedding::double[]) desc, e.vec_id) as rank
+  from embeddings e, embeddings q)
+where rank <= 10
+""")
+def knn_tiled(spark, sf):
+    """V3 with the tiled plan (corpus blocks x query tiles), as used for query tables too big to broadcast."""
+    emb = table(spark, sf, "embeddings").select("vec_id", "embedding")
+    out = knn.knn_exact(emb, emb.withColumnRenamed("vec_id", "query_id"), 10, id_col="vec_id", strategy="tiled",
+                        corpus_blocks=4, query_tiles=3)
     return out.select("query_id", "id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
