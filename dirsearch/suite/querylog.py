@@ -158,22 +158,22 @@ def criteria_rows(spark, sf):
 def _crit_key(key, where_spark, where_sql, doc):
     @register(key, sql=CRIT_SQL + f"select query_id, clause_no, op, value from crit2 where {where_sql}")
     def q(spark, sf):
-        return criteria_rows(spark, sf).where(where_spark).select("query_id", "clause_no", "op", "value")
+        return criteria_rows(spark, sf).where(F.expr(where_spark)).select("query_id", "clause_no", "op", "value")
 
     q.__doc__ = doc
     return q
 
 
-_crit_key("criteria_year", F.col("field") == "law_school_year", "field = 'law_school_year'", "Q5: graduation-year criterion")
-_crit_key("criteria_name", (F.col("field") == "name") & ~F.col("by_fallback"), "field = 'name' and not by_fallback",
-          "Q6: name criterion")
-_crit_key("criteria_school", F.col("field") == "school", "field = 'school'", "Q7: school criterion, articles removed")
-_crit_key("criteria_practice", F.col("field") == "practice", "field = 'practice'",
-          "Q8: practice criterion via the alias map, else title case")
-_crit_key("criteria_title", F.col("field") == "title", "field = 'title'", "Q9: title criterion")
-_crit_key("criteria_region", F.col("field") == "region", "field = 'region'", "Q10: region criterion")
-_crit_key("criteria_language", F.col("field") == "language", "field = 'language'", "Q11: language criterion")
-_crit_key("criteria_fallback", F.col("by_fallback"), "by_fallback", "Q12: remaining words as a name criterion")
+for _key, _where, _doc in [
+        ("criteria_year", "field = 'law_school_year'", "Q5: graduation-year criterion"),
+        ("criteria_name", "field = 'name' and not by_fallback", "Q6: name criterion"),
+        ("criteria_school", "field = 'school'", "Q7: school criterion, articles removed"),
+        ("criteria_practice", "field = 'practice'", "Q8: practice criterion via the alias map, else title case"),
+        ("criteria_title", "field = 'title'", "Q9: title criterion"),
+        ("criteria_region", "field = 'region'", "Q10: region criterion"),
+        ("criteria_language", "field = 'language'", "Q11: language criterion"),
+        ("criteria_fallback", "by_fallback", "Q12: remaining words as a name criterion")]:
+    _crit_key(_key, _where, _where, _doc)
 
 NORM_MAP = [("the", "THE"), ("und", "UND"), ("que", "QUE"), ("tion", "TION")]
 
