@@ -53,7 +53,9 @@ def cascade(queries: DataFrame, corpus: DataFrame, texts: DataFrame, profiles: D
     if judge is None:
         out = J.default_judge(kept, keep=keep)
     else:
-        rows = kept.join(texts, "id", "left").join(queries.select("query_id", "query"), "query_id")
+        # the judge reads at most the first 3,000 characters: cut before the join
+        cut = texts.select("id", J.cut("text").alias("text"))
+        rows = kept.join(cut, "id", "left").join(queries.select("query_id", "query"), "query_id")
         out = J.python_judge(rows, judge, keep=keep)
     if not keep_failed:
         out = out.where("passes")

@@ -48,11 +48,21 @@ class Parsed:
 
 
 def parse_pages(pages: DataFrame, lex: Lexicon | None = None, *, id_col: str = "page_id", url_col: str = "url",
-                html_col: str = "html", keep_raw: bool = False) -> Parsed:
+                html_col: str = "html", keep_raw: bool = False, materialize: bool = True) -> Parsed:
+    """Parse every page.  With ``materialize`` the cleaned page text is
+    written once to the checkpoint folder (``DataFrame.checkpoint``), so the
+    HTML regexes run once although eight extractors read the text; the saved
+    copy also cuts lineage, so a lost executor re-reads it instead of
+    re-parsing HTML."""
     lex = lex or Lexicon()
     text = LN.html_to_text(F.col(html_col))
     base = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), text.alias("text"),
                         *([F.col(html_col).alias("raw_html")] if keep_raw else []))
+    if materialize:
+        from dirsearch.session import ensure_checkpoint_dir
+
+        ensure_checkpoint_dir(pages.sparkSession)
+        base = base.checkpoint(eager=True)
     local = base.select(
         "page_id", "url", *(["raw_html"] if keep_raw else []),
         X.name_from_url("url", lex.url_slug).alias("url_name"),

@@ -96,6 +96,15 @@ def group_concat_distinct(spark, sf):
         F.array_sort(F.collect_set(F.year("o_orderdate").cast("long"))).alias("years"))
 
 
+@register("listagg_distinct", sql="select o_custkey as id, string_agg(distinct o_orderpriority, ',' order by "
+          "o_orderpriority) as priorities from orders group by 1")
+def listagg_distinct(spark, sf):
+    """A3 string form: distinct values joined in sorted order."""
+    o = table(spark, sf, "orders")
+    return o.groupBy(F.col("o_custkey").alias("id")).agg(
+        F.array_join(F.array_sort(F.collect_set("o_orderpriority")), ",").alias("priorities"))
+
+
 def export_nested_df(profiles, facets, educations):
     """Profile + nested children; each child pre-aggregated by profile then left-joined."""
     out = profiles

@@ -242,3 +242,23 @@ def embed_coverage(spark, sf):
     """A2: how many profiles have vectors (the cascade's pre-check)."""
     e = table(spark, sf, "embeddings").where(F.col("embedding").isNotNull())
     return e.agg(F.count("*").alias("n_embeddings")).withColumn("has_embeddings", F.col("n_embeddings") > 0)
+
+
+def word_judge(pdf):
+    """A caller-style Python judge: pass when 'the' occurs in the (already cut) text."""
+    import pandas as pd
+
+    low = pdf["text"].fillna("").str.lower()
+    ok = low.str.contains("the", regex=False) & pdf["text"].notna()
+    return pd.DataFrame({"passes": ok, "reasoning": ok.map({True: "python judge: pass", False: "python judge: fail"})})
+
+
+@register("cascade_python_judge", sql=f"with {Q_SQL}, {KW_SQL}, {hits_sql(50)}, {CAND_SQL}, {TEXTS_SQL}, {SC_SQL}, "
+          f"{SMART_SQL} select kept.query_id, kept.rank, kept.id, 'python judge: pass' as reasoning "
+          "from kept join texts t using (id) join customer c on c.c_custkey = kept.id "
+          "where contains(lower(left(t.text, 3000)), 'the')")
+def cascade_python_judge(spark, sf):
+    """V10 pluggable judge: the cascade with a Python judge run through mapInPandas."""
+    out = C.cascade(queries(spark, sf), corpus(spark, sf), texts(spark, sf), profiles(spark, sf),
+                    keyword_options=KW_OPTS, judge=word_judge)
+    return out.select("query_id", "rank", "id", "reasoning")
