@@ -199,9 +199,8 @@ def education_rows(profiles_school: DataFrame, id_col: str, school_col: str = "s
         "profile_id", "full_text", "t.*")
     if aliases is None:
         return e.withColumn("school_normalized", F.col("school_name"))
-    r = resolve(e.where(F.col("school_name").isNotNull()), "school_name", aliases, "school_normalized")
-    return r.unionByName(e.where(F.col("school_name").isNull())
-                         .withColumn("school_normalized", F.lit(None).cast("string")))
+    # a null school name matches no key and resolves to null
+    return resolve(e, "school_name", aliases, "school_normalized")
 
 
 # ------------------------------------------------------------- name repair

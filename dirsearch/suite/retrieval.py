@@ -137,8 +137,8 @@ def join_keep_missing(spark, sf):
 @register("smart_filter", sql=f"with {Q_SQL}, {KW_SQL}, {hits_sql(50)}, {CAND_SQL}, {TEXTS_SQL}, {SC_SQL}, {SMART_SQL} "
           "select query_id, id, rank from kept")
 def smart_filter(spark, sf):
-    """Adaptive keyword filter for every query."""
-    kept = K.smart_filter(_cands(spark, sf), keywords(spark, sf), texts(spark, sf))
+    """Adaptive keyword filter for every query (candidate lists are top-k, so bounded)."""
+    kept = K.smart_filter(_cands(spark, sf), keywords(spark, sf), texts(spark, sf), bounded=True)
     return kept.select("query_id", "id", F.col("rank").cast("long").alias("rank"))
 
 
