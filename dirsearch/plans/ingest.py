@@ -3,20 +3,21 @@ text and an error (dead-letter) table.
 
 Fields that need only the page text (URL name, e-mail, phone, office,
 dictionary facets) are computed row-locally on the page scan; the HTML column
-is then dropped, and only the line table (page_id, pos, line) is shuffled for
-the window/aggregate extractors, all partitioned by ``page_id`` so their
-results join back without further exchanges.
+is then dropped, and only the line table (page_id, pos, line) is shuffled,
+once, for all line-based fields.  The per-field extractors in
+:mod:`dirsearch.operators.extract` express the same rules one field at a
+time; tests check that both give the same profiles.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from dirsearch.functions import lexicons as L
-from dirsearch.functions.text import any_contains, clean_lines
+from dirsearch.functions.text import any_contains, clean_lines, collapse_spaces, first_in_order
 from dirsearch.operators import extract as X
 from dirsearch.operators import lines as LN
 from dirsearch.operators.criteria import valid_name
@@ -47,21 +48,40 @@ class Parsed:
     errors: DataFrame
 
 
+def _sorted_lines(cond):
+    return F.array_sort(F.collect_list(F.when(cond, F.struct(F.col("pos").alias("p"), F.col("line").alias("l")))))
+
+
+def _nonempty(arr):
+    return F.when(F.size(arr) > 0, arr)
+
+
 def parse_pages(pages: DataFrame, lex: Lexicon | None = None, *, id_col: str = "page_id", url_col: str = "url",
                 html_col: str = "html", keep_raw: bool = False, materialize: bool = True) -> Parsed:
-    """Parse every page.  With ``materialize`` the cleaned page text is
-    written once to the checkpoint folder (``DataFrame.checkpoint``), so the
-    HTML regexes run once although eight extractors read the text; the saved
-    copy also cuts lineage, so a lost executor re-reads it instead of
-    re-parsing HTML."""
+    """Parse every page into profile rows, facets, schools, experience and errors.
+
+    Plan shape: row-local fields on the page scan; the cleaned text is
+    exploded into ``(page_id, pos, line)`` and shuffled once by ``page_id``;
+    three stacked window passes over that one partitioning compute every
+    per-line flag (neighbour lines, section states, first/last markers); one
+    grouped aggregation with filtered ``min_by`` / ``collect_list`` produces
+    all line-based fields; one join brings back the row-local fields.
+
+    With ``materialize`` the cleaned text is written once to the checkpoint
+    folder (``DataFrame.checkpoint``): the HTML regexes run once and the copy
+    cuts lineage, so a lost executor re-reads it instead of re-parsing HTML.
+    """
     lex = lex or Lexicon()
+    spark = pages.sparkSession
+    if pages.rdd.getNumPartitions() < spark.sparkContext.defaultParallelism:
+        pages = pages.repartition(spark.sparkContext.defaultParallelism)
     text = LN.html_to_text(F.col(html_col))
     base = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), text.alias("text"),
                         *([F.col(html_col).alias("raw_html")] if keep_raw else []))
     if materialize:
         from dirsearch.session import ensure_checkpoint_dir
 
-        ensure_checkpoint_dir(pages.sparkSession)
+        ensure_checkpoint_dir(spark)
         base = base.checkpoint(eager=True)
     local = base.select(
         "page_id", "url", *(["raw_html"] if keep_raw else []),
@@ -72,41 +92,105 @@ def parse_pages(pages: DataFrame, lex: Lexicon | None = None, *, id_col: str = "
         X.dictionary_values("text", lex.practices).alias("practice"),
         X.dictionary_values("text", lex.industries).alias("industry"),
         F.size(clean_lines("text")).alias("n_lines"))
-    lines = LN.text_lines(base, "page_id", "text")
-    ok = lambda c: valid_name(c, lex.name_blacklist, L.NAME_SHAPE, L.NAME_BAD_CHARS)
-    mail_re = r"(?i)[a-zA-Z0-9._%+-]+@" + lex.email_domain
-    near = X.near_match(lines, "page_id", F.col("line").rlike(mail_re), ok(F.col("line")), out="near_name")
-    shaped = X.first_line_matching(lines, "page_id", F.col("line").rlike(L.NAME_LINE) & ok(F.col("line")),
-                                   head=lex.head_lines, out="line_name")
-    before = X.line_before(lines, "page_id", any_contains("line", lex.titles), ok, out="title_name")
-    title = X.title_of(lines, "page_id", lex.titles)
-    region = X.capability_values(lines, "page_id", lex.regions)
-    school = X.education_lines(lines, "page_id")
-    clerk = X.clerkship(lines, "page_id")
-    lang = X.languages(lines, "page_id", lex.languages)
-    exp = X.experience(lines, "page_id")
-    parsed = local
-    for part in (near, shaped, before, title, region, school, clerk, lang):
-        parsed = parsed.join(part, "page_id", "left")
+    fields = _line_fields(LN.text_lines(base, "page_id", "text"), lex)
+    parsed = local.join(fields, "page_id", "left")
     name = F.coalesce("url_name", "near_name", "line_name", "title_name")
     # write-time check: a blacklisted name is replaced from the e-mail, else NULL
     bad = any_contains(F.lower(name), lex.stored_blacklist)
-    name = F.when(bad, X.name_from_email("email")).otherwise(name)
-    parsed = parsed.withColumn("name", name)
+    parsed = parsed.withColumn("name", F.when(bad, X.name_from_email("email")).otherwise(name))
     first, last = X.split_first_last(F.col("name"))
-    good = parsed.where(F.col("n_lines") > 0)
+    good = parsed.where(F.col("n_lines") > 0).withColumn("id", profile_id("url"))
     profiles = good.select(
-        profile_id("url").alias("id"), "url", "name", first.alias("first_name"), last.alias("last_name"), "email",
+        "id", "url", "name", first.alias("first_name"), last.alias("last_name"), "email",
         "phone", "title", "office_location", "clerkship", *(["raw_html"] if keep_raw else []))
-    facets = explode_facets(good.withColumn("id", profile_id("url")), "id", ["practice", "industry", "region",
-                                                                             "language"])
-    schools = good.select(profile_id("url").alias("id"), "school").where(F.col("school").isNotNull())
-    experience = exp.join(good.select("page_id", profile_id("url").alias("id")), "page_id") \
-        .select("id", F.col("experience").alias("content"))
+    facets = explode_facets(good, "id", ["practice", "industry", "region", "language"])
+    schools = good.select("id", "school").where(F.col("school").isNotNull())
+    experience = good.where(F.col("experience").isNotNull()).select("id", F.col("experience").alias("content"))
     errors = parsed.where(F.col("n_lines") == 0).select("page_id", "url", F.lit("empty page").alias("error"))
     return Parsed(profiles, facets, schools, experience, errors)
 
 
+def _line_fields(lines: DataFrame, lex: Lexicon) -> DataFrame:
+    """All line-based fields of every page: one exchange, three window passes, one aggregate."""
+    w = Window.partitionBy("page_id").orderBy("pos")
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    line = F.col("line")
+    valid = valid_name(line, lex.name_blacklist, L.NAME_SHAPE, L.NAME_BAD_CHARS)
+
+    def mark(header, stops):
+        return F.when(line.contains(header), F.lit(1)).when(any_contains(line, stops), F.lit(0))
+
+    m = (lines.withColumn("valid", valid)
+         .withColumn("m_edu", mark(L.EDUCATION_HEADER, L.EDUCATION_STOPS))
+         .withColumn("m_cap", mark(L.CAPABILITIES_HEADER, L.CAPABILITIES_STOPS))
+         .withColumn("m_lang", mark(L.LANGUAGE_HEADER, L.LANGUAGE_STOPS))
+         .withColumn("m_clerk", mark(L.CLERKSHIP_HEADER, L.CLERKSHIP_STOPS)))
+    # pass 1: neighbours and running section states
+    m = m.select(
+        "*",
+        F.first(F.when(F.col("valid"), line), ignorenulls=True).over(w.rowsBetween(-5, -1)).alias("near_cand"),
+        F.lag("line", 1).over(w).alias("prev"),
+        F.lag("valid", 1).over(w).alias("prev_valid"),
+        F.lead("line", 1).over(w).alias("next"),
+        F.collect_list("line").over(w.rowsBetween(-L.NAV_LOOKBACK, -1)).alias("prev5"),
+        F.last("m_edu", ignorenulls=True).over(upto).alias("s_edu"),
+        F.last("m_cap", ignorenulls=True).over(upto).alias("s_cap"),
+        F.last("m_lang", ignorenulls=True).over(upto).alias("s_lang"),
+        F.coalesce(F.max((F.col("m_clerk") == 1).cast("int")).over(before), F.lit(0)).alias("clerk_opened"))
+    # pass 2: experience opening lines (need next/prev5) and clerkship closing state
+    hdr = L.EXPERIENCE_HEADER
+    is_header = (line == hdr) | (line.startswith(hdr) & (F.length(line) < L.EXPERIENCE_HEADER_MAX_LEN))
+    nav_arr = F.array(*[F.lit(x) for x in L.EXPERIENCE_NAV])
+    is_nav = F.col("next").isNotNull() & (F.coalesce(any_contains(F.col("next"), L.EXPERIENCE_NAV), F.lit(False))
+                                          | F.coalesce(F.arrays_overlap("prev5", nav_arr), F.lit(False)))
+    m = m.withColumn("x_open", is_header & ~is_nav)
+    clerk_close = (F.col("m_clerk") == 0) & (F.col("clerk_opened") == 1)
+    m = m.select("*",
+                 F.coalesce(F.max(F.col("x_open").cast("int")).over(before), F.lit(0)).alias("x_opened"),
+                 F.max(clerk_close.cast("int")).over(upto).alias("clerk_closed"))
+    # pass 3: experience closing state
+    x_close = (any_contains(line, L.EXPERIENCE_STOPS) & (line != L.EXPERIENCE_KEEP_LINE) & ~F.col("x_open")
+               & (F.col("x_opened") == 1))
+    m = m.withColumn("x_closed", F.max(x_close.cast("int")).over(upto))
+
+    pos = F.col("pos")
+    low = F.lower(line)
+    mail_re = r"(?i)[a-zA-Z0-9._%+-]+@" + lex.email_domain
+    has_title = any_contains(line, lex.titles)
+    edu_in = (F.col("s_edu") == 1) & F.col("m_edu").isNull()
+    edu_keep = any_contains(line, L.EDUCATION_DEGREE_MARKS) | (
+        any_contains(line, L.EDUCATION_SCHOOL_WORDS) & (F.length(line) < L.EDUCATION_MAX_LEN))
+    cap_in = (F.col("s_cap") == 1) & F.col("m_cap").isNull() & ~any_contains(low, L.CAPABILITIES_SKIPS)
+    lang_in = (F.col("s_lang") == 1) & F.col("m_lang").isNull()
+    lang_found = F.filter(F.array(*[F.when(line.rlike(X.word_pattern(x)), F.lit(x)) for x in lex.languages]),
+                          lambda v: v.isNotNull())
+    clerk_in = ((F.col("clerk_opened") == 1) & (F.col("clerk_closed") == 0) & F.col("m_clerk").isNull()
+                & any_contains(line, L.CLERKSHIP_WORDS))
+    x_in = ((F.col("x_opened") == 1) & (F.col("x_closed") == 0) & ~F.col("x_open")
+            & ~any_contains(low, L.EXPERIENCE_SKIPS))
+    agg = m.groupBy("page_id").agg(
+        F.min_by("near_cand", F.when(line.rlike(mail_re) & F.col("near_cand").isNotNull(), pos)).alias("near_name"),
+        F.min_by("line", F.when((pos < lex.head_lines) & line.rlike(L.NAME_LINE) & F.col("valid"), pos))
+        .alias("line_name"),
+        F.min_by("prev", F.when(has_title & F.col("prev").isNotNull() & F.col("prev_valid"), pos)).alias("title_name"),
+        F.min_by(first_in_order(line, lex.titles), F.when(has_title, pos)).alias("title"),
+        _sorted_lines(edu_in & edu_keep).alias("_edu"),
+        _sorted_lines(cap_in).alias("_cap"),
+        F.flatten(F.collect_list(F.when(lang_in, lang_found))).alias("_lang"),
+        _sorted_lines(clerk_in).alias("_clerk"),
+        _sorted_lines(x_in).alias("_exp"))
+    exp_text = collapse_spaces(F.array_join(F.transform("_exp", lambda s: s["l"]), " "))
+    cap_text = F.array_join(F.transform("_cap", lambda s: s["l"]), "\n")
+    return agg.select(
+        "page_id", "near_name", "line_name", "title_name", "title",
+        _nonempty(F.transform("_edu", lambda s: s["l"])).alias("school"),
+        F.when(F.size("_cap") > 0, X.dictionary_values(cap_text, lex.regions)).alias("region"),
+        _nonempty(F.array_sort(F.array_distinct("_lang"))).alias("language"),
+        F.when(F.size("_clerk") > 0, F.array_join(F.transform("_clerk", lambda s: s["l"]), ", ")).alias("clerkship"),
+        F.when(F.length(exp_text) > L.EXPERIENCE_MIN_LEN, exp_text).alias("experience"))
+
+
 def ingest_stats(pages: DataFrame, existing_urls: DataFrame | None, parsed: Parsed) -> DataFrame:
     """A5: run counters as ``(metric, value)`` rows: seen, skipped (already
     stored), processed, errors, with_experience.  Each is a global count with
