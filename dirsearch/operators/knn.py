@@ -15,8 +15,9 @@ window (planned as a partial ``WindowGroupLimit`` before its shuffle) makes
 the final cut with ties broken by id.
 
 Approximate search (``knn_lsh``) uses MLlib's random-projection LSH on unit
-vectors (Euclidean distance on the sphere is monotone in cosine) and
-re-ranks the candidates exactly.
+vectors (Euclidean distance on the sphere is monotone in cosine) to bucket
+the vectors, then scores each bucket's queries against its corpus vectors
+exactly, with hot buckets split into bounded sub-blocks.
 """
 
 from __future__ import annotations
@@ -209,26 +210,45 @@ def cosine_to(df: DataFrame, other: DataFrame, on: list[str], vec_col: str, othe
 
 def knn_lsh(corpus: DataFrame, queries: DataFrame, k: int, *, id_col: str = "id", vec_col: str = "embedding",
             query_id_col: str = "query_id", query_vec_col: str = "embedding", bucket_length: float = 0.5,
-            num_tables: int = 8, max_distance: float = 1.2, seed: int = 7) -> DataFrame:
-    """Approximate cosine top-k with random-projection LSH, then exact re-rank.
-
-    Vectors are unit-normalised first, so ``max_distance`` d corresponds to a
-    cosine floor of ``1 - d*d/2``.
+            num_tables: int = 8, max_block_rows: int = 50_000, seed: int = 7) -> DataFrame:
+    """Approximate cosine top-k with random-projection LSH and exact re-rank.
+
+    MLlib's ``BucketedRandomProjectionLSH`` assigns every unit vector one
+    bucket per hash table.  A query is scored only against the corpus
+    vectors sharing one of its buckets, inside a cogroup per (table, bucket)
+    with the same running numpy top-k as the exact search, so no pair is
+    emitted as a row.  A hot bucket is split into ``ceil(size /
+    max_block_rows)`` sub-blocks (sizes from a grouped count) and its queries
+    are copied to each, so no group exceeds the block size.  Pairs found in
+    several tables are de-duplicated before the final rank.
     """
     from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.functions import array_to_vector, vector_to_array
 
     def unit(df, idc, vc, name):
         n = F.sqrt(F.aggregate(F.col(vc), F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
         arr = F.transform(F.col(vc), lambda x: F.when(n > 0, x.cast("double") / n).otherwise(F.lit(0.0)))
-        return df.where(F.col(vc).isNotNull()).select(F.col(idc).cast("long").alias(name), array_to_vector(arr).alias("v"))
+        return df.where(F.col(vc).isNotNull()).select(F.col(idc).cast("long").alias(name), F.col(vc).alias("vec"),
+                                                      array_to_vector(arr).alias("v"))
 
     c = unit(corpus, id_col, vec_col, "id")
     q = unit(queries, query_id_col, query_vec_col, "query_id")
     model = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=bucket_length,
                                         numHashTables=num_tables, seed=seed).fit(c)
-    pairs = model.approxSimilarityJoin(q, c, max_distance, distCol="dist")
-    scored = pairs.select(F.col("datasetA.query_id").alias("query_id"), F.col("datasetB.id").alias("id"),
-                          (F.lit(1.0) - F.col("dist") * F.col("dist") / 2.0).alias("score"))
+
+    def buckets(df):
+        h = F.transform("h", lambda v: vector_to_array(v)[0].cast("long"))
+        return model.transform(df).select("*", F.posexplode(h).alias("tbl", "bkt")).drop("h", "v")
+
+    cb = buckets(c)
+    qb = buckets(q).withColumnRenamed("vec", "qvec")
+    sizes = cb.groupBy("tbl", "bkt").agg(F.count("*").alias("n")) \
+        .select("tbl", "bkt", (F.floor((F.col("n") - 1) / max_block_rows) + 1).cast("int").alias("subs"))
+    cb = cb.join(sizes, ["tbl", "bkt"]).withColumn("sub", F.pmod(F.xxhash64("id"), F.col("subs")).cast("int"))
+    qb = qb.join(sizes, ["tbl", "bkt"]).withColumn("sub", F.explode(F.sequence(F.lit(0), F.col("subs") - 1)))
+    partial = (cb.select("tbl", "bkt", "sub", "id", "vec").groupBy("tbl", "bkt", "sub")
+               .cogroup(qb.select("tbl", "bkt", "sub", "query_id", "qvec").groupBy("tbl", "bkt", "sub"))
+               .applyInPandas(_tile_topk(k), _PARTIAL_SCHEMA))
+    best = partial.groupBy("query_id", "id").agg(F.max("score").alias("score"))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("id"))
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

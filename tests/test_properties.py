@@ -118,3 +118,12 @@ def test_scan_pruning(spark, registry):
 def test_small_sf_smoke_has_rows(spark, registry):
     qs, _ = registry
     assert qs["cascade"](spark, SMALL).count() > 0
+
+
+def test_lsh_hot_bucket_split_same_answer(spark):
+    emb = _emb(spark)
+    qs = emb.withColumnRenamed("vec_id", "query_id")
+    key = lambda df: {(r["query_id"], r["id"], r["rank"]) for r in df.collect()}
+    whole = knn.knn_lsh(emb, qs, 5, id_col="vec_id")
+    split = knn.knn_lsh(emb, qs, 5, id_col="vec_id", max_block_rows=3)
+    assert key(whole) == key(split)
