@@ -94,8 +94,8 @@ def _plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("key", ["knn_batch", "cascade", "batch_search", "crit_bool_mix", "export_nested",
-                                 "smart_filter", "parse_profiles"])
+@pytest.mark.parametrize("key", ["knn_batch", "knn_tiled", "knn_lsh", "cascade", "batch_search", "crit_bool_mix",
+                                 "export_nested", "smart_filter", "parse_profiles", "crit_school"])
 def test_no_cross_join(spark, registry, key):
     p = _plan(registry[0][key](spark, SMOKE))
     assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p
