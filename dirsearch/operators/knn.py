@@ -135,8 +135,9 @@ def knn_exact(corpus: DataFrame, queries: DataFrame, k: int, *, id_col: str = "i
         partition keeps a running top-k per query (no corpus shuffle).
       * ``tiled`` — corpus blocks x query tiles meet in a cogroup; for query
         tables too large to broadcast.
-      * ``auto`` — counts the queries and broadcasts only when
-        ``n_queries * dim * 8`` bytes is within ``broadcast_limit_bytes``.
+      * ``auto`` — reads at most ``limit / (8 * dim) + 1`` query rows and
+        broadcasts only when they are all the rows (``n_queries * dim * 8``
+        bytes within ``broadcast_limit_bytes``); otherwise tiled.
     Block and tile counts default to sizes derived from row counts.
     """
     spark = corpus.sparkSession
@@ -144,21 +145,26 @@ def knn_exact(corpus: DataFrame, queries: DataFrame, k: int, *, id_col: str = "i
          .select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("vec")))
     q = (queries.where(F.col(query_vec_col).isNotNull())
          .select(F.col(query_id_col).cast("long").alias("query_id"), F.col(query_vec_col).alias("qvec")))
-    n_q = None
-    if strategy == "auto" or (strategy == "tiled" and query_tiles is None):
-        n_q = q.count()
-    if strategy == "auto":
+    rows = None
+    if strategy in ("auto", "broadcast"):
+        # One capped collect decides: at most `cap` query rows fit the byte
+        # limit; if the capped read comes back full, the table is too big.
         first = q.select(F.size("qvec").alias("d")).first()
-        dim = int(first["d"]) if first is not None else 0
-        strategy = "broadcast" if n_q * max(dim, 1) * 8 <= broadcast_limit_bytes else "tiled"
+        dim = max(int(first["d"]), 1) if first is not None else 1
+        cap = max(broadcast_limit_bytes // (8 * dim), 1)
+        got = q.limit(cap + 1).collect() if first is not None else []
+        if len(got) <= cap:
+            rows, strategy = got, "broadcast"
+        elif strategy == "broadcast":
+            raise ValueError(f"query table exceeds the broadcast limit ({cap} rows of dim {dim})")
+        else:
+            strategy = "tiled"
     if strategy == "broadcast":
         # A corpus stored in fewer partitions than the cluster has cores (a
         # small single file) is spread out first; a large corpus is scanned as is.
         par = spark.sparkContext.defaultParallelism
         if c.rdd.getNumPartitions() < par:
             c = c.repartition(par)
-        # size proven by the count above (or asserted by the caller)
-        rows = q.collect()
         qids = np.array([r["query_id"] for r in rows], dtype=np.int64)
         qm = _unit(_stack(pd.Series([r["qvec"] for r in rows]))) if rows else np.zeros((0, 0))
         bq = spark.sparkContext.broadcast((qids, qm))
@@ -166,7 +172,7 @@ def knn_exact(corpus: DataFrame, queries: DataFrame, k: int, *, id_col: str = "i
             spark.createDataFrame([], _PARTIAL_SCHEMA)
     elif strategy == "tiled":
         blocks = corpus_blocks or max(1, -(-c.count() // rows_per_block))
-        tiles = query_tiles or max(1, -(-n_q // queries_per_tile))
+        tiles = query_tiles or max(1, -(-q.count() // queries_per_tile))
         # every corpus block meets every query tile: corpus rows are copied to
         # each tile, query rows to each block (the tiling of a matrix product)
         cb = (c.withColumn("blk", _block_key("id", blocks))

@@ -127,3 +127,14 @@ def test_lsh_hot_bucket_split_same_answer(spark):
     whole = knn.knn_lsh(emb, qs, 5, id_col="vec_id")
     split = knn.knn_lsh(emb, qs, 5, id_col="vec_id", max_block_rows=3)
     assert key(whole) == key(split)
+
+
+def test_auto_falls_back_to_tiled(spark):
+    emb = _emb(spark)
+    qs = emb.withColumnRenamed("vec_id", "query_id")
+    key = lambda df: {(r["query_id"], r["id"], r["rank"]) for r in df.collect()}
+    small_limit = knn.knn_exact(emb, qs, 4, id_col="vec_id", broadcast_limit_bytes=4096)
+    assert "FlatMapCoGroupsInPandas" in _plan(small_limit)
+    assert key(small_limit) == key(knn.knn_exact(emb, qs, 4, id_col="vec_id"))
+    with pytest.raises(ValueError):
+        knn.knn_exact(emb, qs, 4, id_col="vec_id", strategy="broadcast", broadcast_limit_bytes=4096)
