@@ -216,7 +216,10 @@ def batch_search(criteria: DataFrame, profiles: DataFrame, facets: DataFrame | N
     """
     crit = criteria.select("query_id", "clause_no", "field", "op", "value")
     ckey = F.struct("query_id", "clause_no")
+    # the clause count travels with the (small) criteria rows, so the large hit
+    # table is grouped once and never joined back
     need = crit.groupBy("query_id").agg(F.count_distinct(ckey).alias("n_need"))
+    crit = crit.join(need, "query_id")
     hits = []
     # name contains: match distinct word sets against distinct name token sets
     nm = crit.where((F.col("field") == "name") & (F.col("op") == "contains")) \
@@ -225,19 +228,24 @@ def batch_search(criteria: DataFrame, profiles: DataFrame, facets: DataFrame | N
     prof = profiles.withColumn("ntoks", F.array_sort(F.array_distinct(name_tokens(F.col("name"))))) \
         .withColumn("nkey", F.xxhash64("ntoks"))
     pairs = name_matches(nm.select("qkey", "qtoks").distinct(), prof.select("nkey", "ntoks").distinct())
-    hits.append(nm.select("query_id", "clause_no", "qkey").join(pairs, "qkey")
-                .join(prof.select("nkey", "id"), "nkey").select("query_id", "clause_no", "id"))
+    hits.append(nm.select("query_id", "clause_no", "n_need", "qkey").join(pairs, "qkey")
+                .join(prof.select("nkey", "id"), "nkey").select("query_id", "clause_no", "n_need", "id"))
     # title equality
     ti = crit.where((F.col("field") == "title") & (F.col("op") == "eq"))
     hits.append(ti.join(profiles.select("id", F.col("title").alias("value")), "value")
-                .select("query_id", "clause_no", "id"))
+                .select("query_id", "clause_no", "n_need", "id"))
     if facets is not None:
         fc = crit.where(F.col("field").isin("practice", "industry", "region", "language") & (F.col("op") == "eq"))
         f = facets.select(F.col("profile_id").alias("id"), F.col("facet").alias("field"), "value").distinct()
-        hits.append(fc.join(f, ["field", "value"]).select("query_id", "clause_no", "id"))
+        hits.append(fc.join(f, ["field", "value"]).select("query_id", "clause_no", "n_need", "id"))
     allh = hits[0]
     for h in hits[1:]:
         allh = allh.unionByName(h)
     # hits are unique per (query, clause, profile): every input above is keyed, so no DISTINCT
-    got = allh.groupBy("query_id", "id").agg(F.count("*").alias("n_got"))
-    return got.join(need, "query_id").where(F.col("n_got") == F.col("n_need")).select("query_id", "id")
+    # one-clause queries: every hit is final (unique per query and profile), no grouping;
+    # the n_need filters push down to the criteria rows, so each query runs in one branch
+    single = allh.where(F.col("n_need") == 1).select("query_id", "id")
+    multi = (allh.where(F.col("n_need") > 1).groupBy("query_id", "id")
+             .agg(F.count("*").alias("n_got"), F.max("n_need").alias("n_need"))
+             .where(F.col("n_got") == F.col("n_need")).select("query_id", "id"))
+    return single.unionByName(multi)

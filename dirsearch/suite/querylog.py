@@ -231,3 +231,16 @@ def alias_resolve(spark, sf):
                     F.when(F.col("p_size") < 15, F.upper("p_name")).when(F.col("p_size") < 30, F.col("p_brand"))
                     .otherwise(F.concat(F.lit("x-"), F.col("p_name"))).alias("value"))
     return A.resolve(vals, "value", S.part_aliases(spark, sf)).select("id", "value", "resolved")
+
+
+@register("batch_search_and", sql="with pr as (select p_partkey as id, list_filter(string_split_regex(lower(p_name), "
+          "'[^\\p{L}\\p{N}]+'), lambda t: t <> '') as toks, p_type from part) "
+          "select q.id as query_id, p.id from pr q join pr p on list_has_all(p.toks, q.toks) and p.p_type = q.p_type")
+def batch_search_and(spark, sf):
+    """Q14 with two AND-ed clauses per query (name words, then title equality)."""
+    parts = S.part_profiles(spark, sf)
+    name = parts.select(F.col("id").alias("query_id"), F.lit(0).alias("clause_no"), F.lit("name").alias("field"),
+                        F.lit("contains").alias("op"), F.col("name").alias("value"))
+    title = parts.select(F.col("id").alias("query_id"), F.lit(1).alias("clause_no"), F.lit("title").alias("field"),
+                         F.lit("eq").alias("op"), F.col("title").alias("value"))
+    return QL.batch_search(name.unionByName(title), parts)
