@@ -70,30 +70,37 @@ def keyword_filter(candidates: DataFrame, keywords: DataFrame, texts: DataFrame,
     return j.where(keep)
 
 
-def keyword_hits(pairs: DataFrame, texts: DataFrame, head_chars: int = L.JUDGE_TEXT_CHARS) -> DataFrame:
+def keyword_hits(pairs: DataFrame, texts: DataFrame, head_chars: int = L.JUDGE_TEXT_CHARS,
+                 broadcast_rows: int | None = 2_000_000) -> DataFrame:
     """Keyword hits per candidate document, each (document, keyword) tested once.
 
     ``pairs`` holds ``(id, keywords)`` for every (query, candidate) pair; the
     distinct (document, keyword) combinations are matched against the
     lower-cased text once, however many queries share them.  Returns
-    ``(id, has_text, hits, head_hits)`` for documents that have a text, where
+    ``(id, hits, head_hits)`` for candidate documents that have a text, where
     ``head_hits`` are the keywords found in the first ``head_chars`` characters.
+
+    The distinct pairs are few (bounded by queries x k x keywords); when a
+    count shows at most ``broadcast_rows`` of them they are broadcast, so the
+    text store is streamed through a hash join and never shuffled, and only
+    candidate documents are lower-cased.  Above that bound a shuffle join is used.
     """
-    need = pairs.select("id", F.explode("keywords").alias("kw")).distinct()
-    low = texts.select("id", F.lower("text").alias("_low"))
-    tested = need.join(low, "id").select(
-        "id", "kw", (F.instr("_low", F.col("kw")) > 0).alias("hit"),
-        (F.instr(F.substring("_low", 1, head_chars), F.col("kw")) > 0).alias("head"))
-    per_doc = tested.groupBy("id").agg(F.collect_set(F.when(F.col("hit"), F.col("kw"))).alias("hits"),
-                                       F.collect_set(F.when(F.col("head"), F.col("kw"))).alias("head_hits"))
-    present = texts.select("id", F.lit(True).alias("has_text"))
-    return present.join(per_doc, "id", "left")
+    need = pairs.select("id", F.explode_outer("keywords").alias("kw")).distinct()
+    if broadcast_rows is not None and need.count() <= broadcast_rows:
+        need = F.broadcast(need)
+    j = texts.select("id", "text").join(need, "id")
+    low = F.lower("text")
+    kw = F.col("kw")
+    tested = j.select("id", "kw", F.coalesce(F.instr(low, kw) > 0, F.lit(False)).alias("hit"),
+                      F.coalesce(F.instr(F.substring(low, 1, head_chars), kw) > 0, F.lit(False)).alias("head"))
+    return tested.groupBy("id").agg(F.collect_set(F.when(F.col("hit"), kw)).alias("hits"),
+                                    F.collect_set(F.when(F.col("head"), kw)).alias("head_hits"))
 
 
 def _scored(candidates: DataFrame, keywords: DataFrame, texts: DataFrame) -> DataFrame:
     j = (candidates.join(keywords, "query_id", "left")
          .withColumn("keywords", F.coalesce("keywords", F.array().cast("array<string>"))))
-    docs = keyword_hits(j.select("id", "keywords"), texts)
+    docs = keyword_hits(j.select("id", "keywords"), texts).withColumn("has_text", F.lit(True))
     empty = F.array().cast("array<string>")
     j = j.join(docs, "id", "left")
     hits = F.array_intersect("keywords", F.coalesce("hits", empty))

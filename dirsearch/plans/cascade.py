@@ -25,17 +25,28 @@ from dirsearch.operators.knn import knn_exact
 
 
 def candidates(queries: DataFrame, corpus: DataFrame, keywords: DataFrame, *, k_max: int = L.POOL_K_NONE,
-               corpus_blocks: int | None = None, query_tiles: int = 1) -> DataFrame:
-    """Top-k candidates per query with the adaptive k applied: ``(query_id, id, score, rank)``."""
+               corpus_blocks: int | None = None, query_tiles: int | None = None, materialize: bool = True) -> DataFrame:
+    """Top-k candidates per query with the adaptive k applied: ``(query_id, id, score, rank)``.
+
+    With ``materialize`` the candidate set (at most queries x k rows) is
+    written once to the checkpoint folder: the scoring never runs twice, and
+    later steps can count it cheaply to size their joins.
+    """
     pool = keywords.select("query_id", K.pool_size(F.size("keywords")).alias("k"))
     hits = knn_exact(corpus, queries, k_max, id_col="id", vec_col="embedding", query_id_col="query_id",
                      query_vec_col="embedding", corpus_blocks=corpus_blocks, query_tiles=query_tiles)
-    return hits.join(pool, "query_id").where(F.col("rank") <= F.col("k")).drop("k")
+    out = hits.join(pool, "query_id").where(F.col("rank") <= F.col("k")).drop("k")
+    if materialize:
+        from dirsearch.session import ensure_checkpoint_dir
+
+        ensure_checkpoint_dir(out.sparkSession)
+        out = out.checkpoint(eager=True)
+    return out
 
 
 def cascade(queries: DataFrame, corpus: DataFrame, texts: DataFrame, profiles: DataFrame, *,
             keyword_options: dict | None = None, judge: Callable[[pd.DataFrame], pd.DataFrame] | None = None,
-            k_max: int = L.POOL_K_NONE, corpus_blocks: int | None = None, query_tiles: int = 1,
+            k_max: int = L.POOL_K_NONE, corpus_blocks: int | None = None, query_tiles: int | None = None,
             keep_failed: bool = False) -> DataFrame:
     """Run the complex-query path for every row of ``queries``.
 
