@@ -2,12 +2,13 @@
 
 New page files arrive in a folder; each micro-batch skips URLs already stored
 (unless forced), parses the pages, upserts the profile table and replaces the
-children of the touched profiles.  Plain Parquet has no MERGE, so every batch
-writes a complete new version under ``<root>/<table>/epoch=<batch id>``; a
-replayed batch rewrites the same version from the same inputs (version
-``epoch - 1`` plus the same micro-batch), which makes the sink idempotent.
-Readers take the highest complete epoch.  ``root`` must be shared storage on
-a cluster (for example a folder under ``spark.checkpoint.dir``).
+children of the touched profiles.  Plain Parquet has no MERGE, so tables live
+in a :class:`~dirsearch.streaming.store.BucketedStore`: a batch rewrites only
+the hash buckets it touches, under a new epoch, and publishes a small
+manifest.  A replayed batch recomputes the same epoch from the previous
+manifest and the same micro-batch, so the sink is idempotent.  ``root`` must
+be shared storage on a cluster (for example a folder under
+``spark.checkpoint.dir``).
 """
 
 from __future__ import annotations
@@ -18,51 +19,52 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from dirsearch.operators.upsert import replace_children, upsert
+from dirsearch.operators.upsert import profile_id, replace_children, upsert
 from dirsearch.plans.ingest import Lexicon, parse_pages, skip_existing
+from dirsearch.streaming.store import BucketedStore
 
 PROFILE_COLS = ["id", "url", "name", "first_name", "last_name", "email", "phone", "title", "office_location",
                 "clerkship"]
+N_BUCKETS = 64
 
 
-def latest_epoch(spark: SparkSession, root: str, table: str) -> int | None:
-    path = os.path.join(root, table)
-    try:
-        row = spark.read.parquet(path).agg(F.max("epoch").alias("e")).first()
-    except Exception:  # noqa: BLE001 - no version written yet
-        return None
-    return None if row is None or row["e"] is None else int(row["e"])
-
-
-def read_version(spark: SparkSession, root: str, table: str, epoch: int | None = None) -> DataFrame | None:
-    e = latest_epoch(spark, root, table) if epoch is None else epoch
-    if e is None:
-        return None
-    return spark.read.parquet(os.path.join(root, table, f"epoch={e}"))
+def read_version(spark: SparkSession, root: str, table: str, epoch: int | None = None,
+                 n_buckets: int = N_BUCKETS) -> DataFrame | None:
+    out = BucketedStore(spark, root, n_buckets).read(table, epoch)
+    return out.drop("bucket") if out is not None else None
 
 
 def apply_batch(spark: SparkSession, pages: DataFrame, root: str, epoch: int, lex: Lexicon | None = None,
-                force: bool = False) -> None:
-    """One micro-batch: build version ``epoch`` from version ``epoch - 1`` and ``pages``."""
-    prev_p = read_version(spark, root, "profiles", epoch - 1) if epoch > 0 else None
-    prev_f = read_version(spark, root, "facets", epoch - 1) if epoch > 0 else None
-    if prev_p is None and epoch > 0:
-        prev_e = latest_epoch(spark, root, "profiles")
-        if prev_e is not None and prev_e < epoch:
-            prev_p = read_version(spark, root, "profiles", prev_e)
-            prev_f = read_version(spark, root, "facets", prev_e)
-    new = pages if (force or prev_p is None) else skip_existing(pages, prev_p)
-    parsed = parse_pages(new, lex)
+                force: bool = False, n_buckets: int = N_BUCKETS) -> None:
+    """One micro-batch: version ``epoch`` from version ``epoch - 1`` and ``pages``.
+
+    Only the buckets of the incoming URLs are read (to skip known pages) and
+    only the buckets of the parsed profiles are rewritten.
+    """
+    store = BucketedStore(spark, root, n_buckets)
+    if not force:
+        keyed = pages.select(profile_id("url").alias("id"))
+        prev = store._previous("profiles", epoch)
+        known = store.read("profiles", prev, store.buckets_of(keyed, "id")) if prev is not None else None
+        if known is not None:
+            pages = skip_existing(pages, known.select("url"))
+    parsed = parse_pages(pages, lex)
     ts = F.current_timestamp()
     batch = parsed.profiles.select(*PROFILE_COLS)
-    if prev_p is None:
-        profiles = batch.withColumn("created_at", ts).withColumn("updated_at", ts)
-        facets = parsed.facets
-    else:
-        profiles = upsert(prev_p, batch, key="url", batch_ts=ts)
-        facets = replace_children(prev_f, parsed.facets, batch.select(F.col("id").alias("profile_id")))
-    profiles.write.mode("overwrite").parquet(os.path.join(root, "profiles", f"epoch={epoch}"))
-    facets.write.mode("overwrite").parquet(os.path.join(root, "facets", f"epoch={epoch}"))
+
+    def merge_profiles(prev, new):
+        if prev is None:
+            return new.withColumn("created_at", ts).withColumn("updated_at", ts)
+        return upsert(prev.select(*PROFILE_COLS, "created_at", "updated_at"), new, key="url", batch_ts=ts)
+
+    def merge_facets(prev, new):
+        if prev is None:
+            return new
+        return replace_children(prev.select(*new.columns), new, batch.select(F.col("id").alias("profile_id")))
+
+    store.write("profiles", epoch, batch, "id", merge_profiles)
+    store.write("facets", epoch, parsed.facets, "profile_id", merge_facets,
+                touch=batch.select(F.col("id").alias("profile_id")))
 
 
 def start_ingest(spark: SparkSession, source: str, schema, root: str, checkpoint: str | None = None,
