@@ -73,8 +73,10 @@ class _TopK:
             self.s[a:b] = np.take_along_axis(cat_s, order, axis=1)
             self.i[a:b] = np.take_along_axis(cat_i, order, axis=1)
 
-    def frame(self) -> pd.DataFrame:
+    def frame(self, floors: np.ndarray | None = None) -> pd.DataFrame:
         keep = np.isfinite(self.s)
+        if floors is not None:
+            keep &= self.s >= floors[:, None]
         rows = np.nonzero(keep)
         return pd.DataFrame({"query_id": self.qids[rows[0]], "id": self.i[keep], "score": self.s[keep]})
 
@@ -101,10 +103,14 @@ def _tile_topk(k: int):
 
 
 def _scan_topk(bq, k: int):
-    """mapInPandas function: a corpus partition against the broadcast queries."""
+    """mapInPandas function: a corpus partition against the broadcast queries.
+
+    The broadcast value is ``(query ids, unit query matrix, floors or None)``;
+    with floors, only entries scoring at least the query's floor leave the task.
+    """
 
     def run(batches):
-        qids, q = bq.value
+        qids, q, floors = bq.value
         acc = _TopK(qids, q, k)
         seen = False
         for pdf in batches:
@@ -115,16 +121,31 @@ def _scan_topk(bq, k: int):
             for a in range(0, len(pdf), CORPUS_CHUNK):
                 acc.add(ids[a:a + CORPUS_CHUNK], _unit(_stack(pdf["vec"].iloc[a:a + CORPUS_CHUNK])))
         if seen:
-            yield acc.frame()
+            yield acc.frame(floors)
 
     return run
 
 
+def _floors(spark, sample: DataFrame, qids: np.ndarray, qm: np.ndarray, k: int) -> np.ndarray:
+    """Per-query k-th best score over a corpus sample (-inf when the sample has fewer than k rows).
+
+    One row per query comes back to the driver (the query set is already
+    bounded by the broadcast check).
+    """
+    bq = spark.sparkContext.broadcast((qids, qm, None))
+    part = sample.mapInPandas(_scan_topk(bq, k), _PARTIAL_SCHEMA)
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("id"))
+    kth = part.withColumn("r", F.row_number().over(w)).where(F.col("r") == k).select("query_id", "score")
+    got = {int(r["query_id"]): float(r["score"]) for r in kth.collect()}
+    return np.array([got.get(int(x), -np.inf) for x in qids], dtype=np.float64)
+
+
 def knn_exact(corpus: DataFrame, queries: DataFrame, k: int, *, id_col: str = "id", vec_col: str = "embedding",
               query_id_col: str = "query_id", query_vec_col: str = "embedding", strategy: str = "auto",
               broadcast_limit_bytes: int = 64 << 20, corpus_blocks: int | None = None,
               query_tiles: int | None = None, rows_per_block: int = 50_000,
-              queries_per_tile: int = 20_000) -> DataFrame:
+              queries_per_tile: int = 20_000, prune: str | bool = "auto", prune_fraction: float = 0.01,
+              prune_min_partitions: int = 64, seed: int = 11) -> DataFrame:
     """Exact cosine top-k for every query row.
 
     Returns ``(query_id, id, score, rank)``; rank is 1-based, ties broken by id.
@@ -139,6 +160,14 @@ def knn_exact(corpus: DataFrame, queries: DataFrame, k: int, *, id_col: str = "i
         broadcasts only when they are all the rows (``n_queries * dim * 8``
         bytes within ``broadcast_limit_bytes``); otherwise tiled.
     Block and tile counts default to sizes derived from row counts.
+
+    ``prune`` (broadcast strategy): first score a ``prune_fraction`` sample of
+    the corpus; the k-th best sample score of each query is a floor that the
+    true k-th best can only exceed, so partitions emit only entries at or
+    above it and the result stays exact while the rows leaving the scan drop
+    from ``k`` per query per partition to about ``k / prune_fraction`` per
+    query.  ``"auto"`` prunes when the corpus has at least
+    ``prune_min_partitions`` partitions.
     """
     spark = corpus.sparkSession
     c = (corpus.where(F.col(vec_col).isNotNull())
@@ -167,7 +196,10 @@ def knn_exact(corpus: DataFrame, queries: DataFrame, k: int, *, id_col: str = "i
             c = c.repartition(par)
         qids = np.array([r["query_id"] for r in rows], dtype=np.int64)
         qm = _unit(_stack(pd.Series([r["qvec"] for r in rows]))) if rows else np.zeros((0, 0))
-        bq = spark.sparkContext.broadcast((qids, qm))
+        floors = None
+        if rows and (prune is True or (prune == "auto" and c.rdd.getNumPartitions() >= prune_min_partitions)):
+            floors = _floors(spark, c.sample(fraction=prune_fraction, seed=seed), qids, qm, k)
+        bq = spark.sparkContext.broadcast((qids, qm, floors))
         partial = c.mapInPandas(_scan_topk(bq, k), _PARTIAL_SCHEMA) if len(rows) else \
             spark.createDataFrame([], _PARTIAL_SCHEMA)
     elif strategy == "tiled":

@@ -161,3 +161,12 @@ def test_store_replay_and_partial_rewrite(spark):
     # re-sending known pages changes nothing (they are skipped)
     apply_batch(spark, a, root, 2, n_buckets=16)
     assert read_version(spark, root, "profiles", n_buckets=16).count() == 44
+
+
+def test_pruned_scan_is_exact(spark):
+    emb = _emb(spark)
+    qs = emb.withColumnRenamed("vec_id", "query_id")
+    key = lambda df: {(r["query_id"], r["id"], r["rank"]) for r in df.collect()}
+    plain = knn.knn_exact(emb, qs, 6, id_col="vec_id", prune=False)
+    pruned = knn.knn_exact(emb, qs, 6, id_col="vec_id", prune=True, prune_fraction=0.3)
+    assert key(plain) == key(pruned)
