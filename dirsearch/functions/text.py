@@ -38,15 +38,26 @@ def clean_lines(text: Column | str, sep: str = "\n") -> Column:
 
 
 def any_contains(c: Column | str, needles: Sequence[str]) -> Column:
-    """True when any needle is a case-sensitive substring of ``c``."""
+    """True when any needle is a case-sensitive substring of ``c``.
+
+    One regex of escaped literal alternatives (a single expression, built
+    with one call instead of one per needle)."""
     c = col_of(c)
     if not needles:
         return F.lit(False)
-    out = None
-    for n in needles:
-        term = c.contains(n)
-        out = term if out is None else (out | term)
-    return out
+    return c.rlike("|".join(re.escape(n) for n in needles))
+
+
+_SEP = "\u0001"
+
+
+def literal_array(values: Sequence[str]) -> Column:
+    """Constant array<string> built from one joined literal (folded by the optimizer)."""
+    if not values:
+        return F.array().cast("array<string>")
+    if any(_SEP in v for v in values):
+        return F.array(*[F.lit(v) for v in values])
+    return F.split(F.lit(_SEP.join(values)), _SEP, -1)
 
 
 def any_equals(c: Column | str, values: Sequence[str]) -> Column:
@@ -56,7 +67,7 @@ def any_equals(c: Column | str, values: Sequence[str]) -> Column:
 def dict_hits(text: Column | str, dictionary: Sequence[str]) -> Column:
     """array<string>: dictionary entries occurring as substrings of ``text``,
     in dictionary order (theta join text x small dictionary, row-local)."""
-    return F.filter(F.array(*[F.lit(d) for d in dictionary]), lambda d: F.instr(col_of(text), d) > 0)
+    return F.filter(literal_array(dictionary), lambda d: F.instr(col_of(text), d) > 0)
 
 
 def first_hit_by_position(text: Column | str, dictionary: Sequence[str]) -> Column:
