@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from dirsearch.operators.upsert import profile_id, replace_children, upsert
+from dirsearch.operators.upsert import name_index, profile_id, refresh_index, replace_children, upsert
 from dirsearch.plans.ingest import Lexicon, parse_pages, skip_existing
 from dirsearch.streaming.store import BucketedStore
 
@@ -62,9 +62,16 @@ def apply_batch(spark: SparkSession, pages: DataFrame, root: str, epoch: int, le
             return new
         return replace_children(prev.select(*new.columns), new, batch.select(F.col("id").alias("profile_id")))
 
+    def merge_index(prev, new):
+        if prev is None:
+            return new
+        return refresh_index(prev.select(*new.columns), batch.select("id", "name"))
+
+    touched = batch.select(F.col("id").alias("profile_id"))
     store.write("profiles", epoch, batch, "id", merge_profiles)
-    store.write("facets", epoch, parsed.facets, "profile_id", merge_facets,
-                touch=batch.select(F.col("id").alias("profile_id")))
+    store.write("facets", epoch, parsed.facets, "profile_id", merge_facets, touch=touched)
+    # ST2: the name token index follows every profile insert and update
+    store.write("name_index", epoch, name_index(batch), "profile_id", merge_index, touch=touched)
 
 
 def start_ingest(spark: SparkSession, source: str, schema, root: str, checkpoint: str | None = None,

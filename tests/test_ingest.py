@@ -86,3 +86,26 @@ def test_parse_pages_profiles(spark):
     assert ("region", "Asia") in facets and ("language", "Spanish") in facets
     assert parsed.errors.count() == 1
     assert parsed.experience.count() == 1
+
+
+def test_stream_store_keeps_name_index(spark):
+    import os
+    import uuid
+
+    from dirsearch.session import ensure_checkpoint_dir
+    from dirsearch.streaming.ingest_stream import apply_batch, read_version
+
+    root = os.path.join(ensure_checkpoint_dir(spark), f"test-index-{uuid.uuid4().hex}")
+    pages = _pages(spark)
+    apply_batch(spark, pages, root, 0, n_buckets=4)
+    ids = {r["url"]: r["id"] for r in read_version(spark, root, "profiles", n_buckets=4).collect()}
+    jane, john = ids["https://www.davispolk.com/lawyers/jane-doe"], ids["https://www.davispolk.com/people/42"]
+    idx0 = {(r["token"], r["profile_id"]) for r in read_version(spark, root, "name_index", n_buckets=4).collect()}
+    assert {("jane", jane), ("doe", jane), ("john", john), ("smith", john)} <= idx0
+    changed = spark.createDataFrame([(2, "https://www.davispolk.com/people/42", PAGE2.replace("John Smith", "Jack Smith"))],
+                                    "page_id long, url string, html string")
+    apply_batch(spark, changed, root, 1, n_buckets=4, force=True)
+    idx1 = {(r["token"], r["profile_id"]) for r in read_version(spark, root, "name_index", n_buckets=4).collect()}
+    assert ("jack", john) in idx1 and ("john", john) not in idx1 and ("jane", jane) in idx1
+    names = {r["url"]: r["name"] for r in read_version(spark, root, "profiles", n_buckets=4).collect()}
+    assert names["https://www.davispolk.com/people/42"] == "Jack Smith"

@@ -161,6 +161,16 @@ def test_store_replay_and_partial_rewrite(spark):
     # re-sending known pages changes nothing (they are skipped)
     apply_batch(spark, a, root, 2, n_buckets=16)
     assert read_version(spark, root, "profiles", n_buckets=16).count() == 44
+    # the token index follows the profile table
+    from dirsearch.operators.upsert import name_index
+    prof = read_version(spark, root, "profiles", n_buckets=16)
+    idx = read_version(spark, root, "name_index", n_buckets=16)
+    want = name_index(prof.where(F.col("name").isNotNull()))
+    if idx is None:
+        assert want.count() == 0
+    else:
+        idx = idx.select("token", "profile_id", "pos")
+        assert idx.exceptAll(want).count() == 0 and want.exceptAll(idx).count() == 0
 
 
 def test_pruned_scan_is_exact(spark):
