@@ -105,16 +105,17 @@ def listagg_distinct(spark, sf):
         F.array_join(F.array_sort(F.collect_set("o_orderpriority")), ",").alias("priorities"))
 
 
-def export_nested_df(profiles, facets, educations):
-    """Profile + nested children; each child pre-aggregated by profile then left-joined."""
-    out = profiles
-    for f in ("practice", "industry", "region", "language"):
-        agg = (facets.where(F.col("facet") == f).groupBy(F.col("profile_id").alias("id"))
-               .agg(F.array_sort(F.collect_set("value")).alias(f + "s")))
-        out = out.join(agg, "id", "left")
+def export_nested_df(profiles, facets, educations, kinds=("practice", "industry", "region", "language")):
+    """Profile + nested children.  The long facet table is aggregated
+    once (one conditional ``collect_set`` per facet kind, partial aggregation
+    before the shuffle), education structs once, then two left joins: no
+    cross-child fan-out and one shuffle per child table."""
+    sets = [F.array_sort(F.collect_set(F.when(F.col("facet") == f, F.col("value")))).alias(f + "s") for f in kinds]
+    fa = facets.where(F.col("facet").isin(*kinds)).groupBy(F.col("profile_id").alias("id")).agg(*sets)
+    fa = fa.select("id", *[F.when(F.size(f + "s") > 0, F.col(f + "s")).alias(f + "s") for f in kinds])
     edu = educations.groupBy(F.col("profile_id").alias("id")).agg(F.array_sort(F.collect_set(
         F.struct(F.col("year").cast("long").alias("year"), "school_name", "school_normalized"))).alias("educations"))
-    return out.join(edu, "id", "left")
+    return profiles.join(fa, "id", "left").join(edu, "id", "left")
 
 
 @register("export_nested", sql=f"with {S.EDUCATIONS_SQL}, "
