@@ -300,3 +300,17 @@ def strip_col(c: Column) -> Column:
     from dirsearch.functions.text import strip
 
     return strip(c)
+
+
+def name_index_search(profiles: DataFrame, index: DataFrame, value: str, columns: Sequence[str] = ("id", "name", "url"),
+                      id_col: str = "id") -> DataFrame:
+    """J1/P10 through a token index ``(token, profile_id, pos)``: profiles having
+    every word of ``value`` as a name token.  The index is filtered to the
+    query words (a literal IN list), counted per profile with partial
+    aggregation, and semi-joined back."""
+    words = sorted(set(value_tokens(value)))
+    if not words:
+        return profiles.limit(0).select(*columns)
+    hits = (index.where(F.col("token").isin(words)).groupBy("profile_id")
+            .agg(F.count_distinct("token").alias("n")).where(F.col("n") == len(words)))
+    return profiles.join(hits, profiles[id_col] == hits["profile_id"], "left_semi").select(*columns)

@@ -129,6 +129,17 @@ def crit_name_phrase(spark, sf):
                   order_by_name=False)
 
 
+@register("crit_name_index", sql=f"with {S.PART_PROFILES_SQL} select id, name, url from profiles "
+          "where list_has_all(string_split(lower(name), ' '), ['red', 'widget'])")
+def crit_name_index(spark, sf):
+    """Name words matched through the exploded token index, semi-joined back."""
+    from dirsearch.operators.criteria import name_index_search
+    from dirsearch.operators.upsert import name_index
+
+    parts = S.part_profiles(spark, sf)
+    return name_index_search(parts, name_index(parts), "Widget red")
+
+
 @register("crit_and", sql=f"with {P} select id, name, url from profiles where "
           + _exists("practice", "f.value = '1-URGENT'") + " and " + _exists("industry", "f.value = 'F'"))
 def crit_and(spark, sf):
