@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("quality_rules",)
+MODULES = ("bpe", "quality_rules")
 
 
 def load_all():
