@@ -46,7 +46,9 @@ from dirsearch.llm.store import written
 LEAF = 4096  # characters
 SEGMENT = 1 << 16  # characters
 FAN_IN = 8
-CACHE = 1 << 18
+CACHE = 1 << 17  # entries of a cache's generation
+SHORT = 16  # bytes; encodings of halves of pieces up to this length are kept
+BATCH_BYTES = 4 << 20
 _CLOSE = re.compile(r"\s | \s")  # spaces beside other white space
 _BETWEEN = re.compile(r"(?<=\S) (?=\S)")
 
@@ -69,6 +71,17 @@ class Generations(dict):
         return value
 
 
+class Words(Generations):
+    """Ids of words after a space; those of letters only are kept, the others are put together from their pieces."""
+
+    def __init__(self, codec: Codec):
+        super().__init__(lambda w: codec.piece(" " + w))
+        self.ids_of = codec.ids_of
+
+    def __missing__(self, word):
+        return super().__missing__(word) if word.isalpha() else self.ids_of(" " + word)
+
+
 class Codec:
     """Ranks and the joins over them."""
 
@@ -77,7 +90,8 @@ class Codec:
         self.bytes_of = {r: b for b, r in ranks.items()}
         self.findall = regex.compile(pattern).findall
         self.pieces = Generations(self.piece)
-        self.spaced = Generations(lambda w: self.ids_of(" " + w))
+        self.spaced = Words(self)
+        self.halves = Generations(self.tree)
         self.fits = Generations(self.fit)
         self.seams = Generations(self.merged)
         self.parts = {}  # token: the two that its last merge joins; None if merges don't make it, or if it is a byte
@@ -158,6 +172,8 @@ class Codec:
         if r is not None and (len(b) == 1 or self.split(b)):
             return (r,)
         mid = len(b) // 2
+        if len(b) <= SHORT:
+            return self.join_tokens(self.halves[b[:mid]], self.halves[b[mid:]])
         return self.join_tokens(self.tree(b[:mid]), self.tree(b[mid:]))
 
     def piece(self, p: str) -> tuple[int, ...]:
@@ -166,10 +182,13 @@ class Codec:
         return (r,) if r is not None else self.tree(b)
 
     # -- one text ----------------------------------------------------------------------------------------------
-    def ids_of(self, text: str) -> tuple[int, ...]:
-        return tuple(chain.from_iterable(map(self.pieces.__getitem__, self.findall(text))))
+    def ids_of(self, text: str) -> list[int]:
+        out = []
+        for p in self.findall(text):
+            out += self.spaced[p[1:]] if p[0] == " " and p[1:].isalpha() else self.pieces[p]
+        return out
 
-    def units(self, text: str) -> tuple[list[int], list[tuple[int, ...]]]:
+    def units(self, text: str) -> tuple[list[int], list]:
         """Ends and ids of the units of a text."""
         words = _BETWEEN.split(text) if _CLOSE.search(text) else text.split(" ")
         ids = [self.ids_of(words[0]), *map(self.spaced.__getitem__, words[1:])]
@@ -236,6 +255,14 @@ def codec(ranks_path: str, pattern: str) -> Codec:
     return Codec(ranks, pattern)
 
 
+def small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of some megabytes, or of one row."""
+    for b in batches:
+        rows = max(1, b.num_rows * BATCH_BYTES // max(1, b.nbytes))
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def pack(ids) -> bytes:
     """Ids as little-endian unsigned 32-bit integers."""
     packed = array("I", ids)
@@ -256,7 +283,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", o
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(ranks_path, pattern)
-        for b in batches:
+        for b in small(batches):
             ids = [pack(c.encode(t.as_py())) for t in b.column(len(names))]
             yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], pa.array(ids, pa.binary())], names=[*names, out])
 
@@ -306,7 +333,7 @@ def decode(df: DataFrame, ranks_path: str, pattern: str, ids: str = "ids", out:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(ranks_path, pattern)
-        for b in batches:
+        for b in small(batches):
             done = [c.decode(unpack(x.as_py())) for x in b.column(len(keep))]
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(done, pa.binary())], names=[*keep, out])
 
