@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("bpe", "near_dup", "quality_rules")
+MODULES = ("bpe", "near_dup", "quality_rules", "substring")
 
 
 def load_all():
