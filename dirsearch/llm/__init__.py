@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("bpe", "line_dedup", "near_dup", "quality_rules", "substring", "topk")
+MODULES = ("bpe", "line_dedup", "mixing", "near_dup", "quality_rules", "substring", "topk")
 
 
 def load_all():
