@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("bpe", "html_main", "line_dedup", "mixing", "near_dup", "quality_model", "quality_rules", "substring", "topk")
+MODULES = ("bpe", "html_main", "line_dedup", "lm", "mixing", "near_dup", "quality_model", "quality_rules", "substring", "topk")
 
 
 def load_all():
