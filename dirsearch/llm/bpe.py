@@ -347,14 +347,14 @@ def multilingual() -> dict[str, str]:
     return {"ranks_path": public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "pattern": public_tokenizers.PATTERN}
 
 
-def digests(docs: DataFrame) -> DataFrame:
-    """doc_id, token count and the digests of the ids and of what they decode to."""
-    coded = encode(docs.select("doc_id", "text"), **multilingual())
-    back = decode(coded.select("doc_id", "ids"), **multilingual())
-    return back.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
-                       F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+def digests(docs: DataFrame, keep: list[str], with_ids: bool = False) -> DataFrame:
+    """The columns ``keep``, the token count and the digests of the ids and of what they decode to; ids if asked for."""
+    coded = encode(docs.select(*keep, "text"), **multilingual(), out="_ids")
+    back = decode(coded, **multilingual(), ids="_ids", out="_decoded", keep=[*keep, "_ids"])
+    return back.select(*keep, (F.octet_length("_ids") / 4).cast("long").alias("n_tokens"), F.sha2("_ids", 256).alias("ids_sha256"),
+                       F.sha2("_decoded", 256).alias("decoded_sha256"), *([F.col("_ids").alias("ids")] if with_ids else []))
 
 
 @register("op1_byte_bpe")
 def op1_byte_bpe(spark, sf_dir):
-    return digests(table(spark, sf_dir, "documents"))
+    return digests(table(spark, sf_dir, "documents"), keep=["doc_id"])

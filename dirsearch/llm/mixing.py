@@ -12,7 +12,7 @@ Shards take consecutive draws of each source's permuted order, so they are disjo
 All numbers depend on seeds and data only, so reruns agree.  Per-source tables have one row a source, and a source has at
 most ``MOST_BLOCKS`` blocks; these are the only things ordered in one task.
 
-Defined results: null texts have size 0; the null source comes last; sources without words have target 0; null ids are
+Defined results: null texts have size 0; documents without words add nothing and are not drawn; the null source comes last; sources without words have target 0; null ids are
 mixed like others; rows equal in id and text share their draws; extra columns pass through ``mixture``.
 """
 
@@ -132,7 +132,7 @@ def copies(docs: DataFrame, text: str = "text", source: str = "source", shards:
     ends = quota.where("last = 'part'").select("skey", "block", "room")
     filled = (placed.join(ends, ["skey", "block"]).select("skey", KEY_ID, KEY_HASH, "size", "mixed", "room")
               .groupBy("skey").applyInPandas(_fill, f"{KEY_ID} long, {KEY_HASH} long"))
-    drawn = placed.select(KEY_ID, KEY_HASH, "skey", "block", "size").join(dealt, ["skey", "block"])
+    drawn = placed.where("size > 0").select(KEY_ID, KEY_HASH, "skey", "block", "size").join(dealt, ["skey", "block"])
     rows = drawn.where("not part").unionByName(drawn.where("part").join(filled.distinct(), [KEY_ID, KEY_HASH], "left_semi"))
     rows = rows.select(KEY_ID, KEY_HASH, "size", "pass", "shard", F.xxhash64(F.lit(seed + 2), "shard", KEY_ID, KEY_HASH, "pass").alias("place"))
     return placed.select(KEY_ID, KEY_HASH, "source", "size", "source_size", "target"), rows
