@@ -6,13 +6,15 @@ another one has a population count that gives the similarity of the two sets, pr
 1. Documents with equal shingle sets are one node.
 2. Nodes that share a band meet in a bucket.  Each node is compared with the first node of each of its buckets; the
    closest by sketch is confirmed on full sets.  This joins nearly all of a group by one comparison a node.
-3. Where a bucket still holds several components, sketches decide which nodes of different components are confirmed
-   on full sets: each node outside the first component is compared with all others of the bucket, block by block, so a
-   large bucket is spread over tasks, and pairs below the threshold are never rows.
-4. The confirmed links make the components.
+3. Where a bucket still holds several components, each node outside the first node's component is compared by sketch
+   with all others of the bucket, block by block, so a large bucket is spread over tasks.  First only the closest node of
+   another component is confirmed, which joins what belongs together by one comparison a node.
+4. Where a bucket holds several components even then, all pairs of different components are confirmed whose sketches
+   come near the threshold; pairs further off are never rows.
+5. The confirmed links make the components.
 
-A pair at the threshold shares none of the bands with a probability of (1 - 0.75 ** 4) ** 32 = 5e-6, and of links found
-the sketch (six standard errors of slack) loses none that counts.  Confirmation compares whole sets.
+A pair at the threshold shares none of the bands with a probability of (1 - 0.75 ** 4) ** 32 = 5e-6, and a link's sketch
+is five standard errors from being passed over.  Confirmation compares whole sets.
 
 Defined results: null and empty texts have no shingles and no links; a text of fewer words than a shingle is one
 shingle; rows equal in id and text are one document, whose result each of them gets; null ids stay null and count as
@@ -38,16 +40,17 @@ from dirsearch.llm.store import KEY_HASH, KEY_ID, NULL_ID, keyed, written
 WORDS = 5
 PERCENT = 75
 BANDS, ROWS = 32, 4
-SKETCH_BITS = 1024
+SAMPLES = 256  # MinHash samples; the first BANDS * ROWS make the bands, all make the sketch
+SKETCH_BITS = 2048
 BLOCK = 1024
-LEAST_ESTIMATE = 0.54
+LEAST_ESTIMATE = 0.62
 
 _rng = np.random.default_rng(20240607)
-_MUL = _rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_ADD = _rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
+_MUL = _rng.integers(0, 1 << 63, SAMPLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_ADD = _rng.integers(0, 1 << 63, SAMPLES, dtype=np.uint64)
 
 
-def most_bits(similarity: float, samples: int = BANDS * ROWS, bits: int = SKETCH_BITS) -> int:
+def most_bits(similarity: float, samples: int = SAMPLES, bits: int = SKETCH_BITS) -> int:
     """Expected population count of the XOR of two odd sketches of sets of this similarity."""
     return int(np.ceil(bits / 2 * (1 - (1 - 2 / bits) ** (2 * samples * (1 - similarity)))))
 
@@ -79,11 +82,11 @@ def features(buf: np.ndarray, offs: np.ndarray) -> dict[str, list | np.ndarray]:
         first = bounds[full]
         node[full, 0] = np.add.reduceat(flat.mix(h), first)
         node[full, 1] = np.add.reduceat(flat.mix(h ^ np.uint64(0x5DEECE66D1234567)), first)
-        for j in range(BANDS * ROWS):
+        for j in range(SAMPLES):
             least = np.minimum.reduceat(h * _MUL[j] + _ADD[j], first)
             np.add.at(bitmap, (full, (flat.mix(least ^ np.uint64(j)) % np.uint64(SKETCH_BITS)).astype(np.int64)), 1)
-            b = j // ROWS
-            bands[full, b] = flat.mix(bands[full, b] * np.uint64(31) + least + np.uint64(b + 1))
+            if (b := j // ROWS) < BANDS:
+                bands[full, b] = flat.mix(bands[full, b] * np.uint64(31) + least + np.uint64(b + 1))
     sketch = np.packbits(bitmap & 1, axis=1).view(np.uint64)
     return {"n": size, "node": node, "bands": bands, "sketch": sketch}
 
@@ -135,34 +138,37 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.where(f"100 * n >= {PERCENT} * (na + nb - n)").select("a", "b")
 
 
-def _close(limit: int):
-    """Of (band, block, nid, comp, minor, own, sketch) rows: pairs of different components with close sketches."""
-    def pairs(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+def _close(limit: int, closest: bool):
+    """Of (band, block, nid, comp, minor, own, sketch) rows: pairs of different components with near sketches, for each
+    minor node all of them or only the closest."""
+    def pairs(rows: pd.DataFrame) -> np.ndarray:
         nid, comp = rows["nid"].to_numpy(), rows["comp"].to_numpy()
         sketch = np.stack(rows["sketch"].to_numpy()).view(np.uint64)
         minor, own = rows["minor"].to_numpy(), rows["own"].to_numpy()
         left, right = np.flatnonzero(minor), np.flatnonzero(own)
-        out = []
-        for lo in range(0, len(left), 256):
+        out = [np.zeros((3, 0), np.int64)]
+        for lo in range(0, len(left) if len(right) else 0, 256):
             x = left[lo : lo + 256]
             bits = np.zeros((len(x), len(right)), np.int32)
             for k in range(sketch.shape[1]):
                 bits += np.bitwise_count(sketch[x, k][:, None] ^ sketch[right, k][None, :])
-            near = (bits <= limit) & (comp[x][:, None] != comp[right][None, :])
-            near &= ~minor[right][None, :] | (nid[x][:, None] < nid[right][None, :])
-            i, j = np.nonzero(near)
-            out.append((nid[x[i]], nid[right[j]]))
-        if not out:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        return np.concatenate([o[0] for o in out]), np.concatenate([o[1] for o in out])
+            bits[comp[x][:, None] == comp[right][None, :]] = limit + 1
+            if closest:
+                j = bits.argmin(axis=1)
+                i = np.flatnonzero(bits[np.arange(len(x)), j] <= limit)
+                j = j[i]
+            else:
+                i, j = np.nonzero((bits <= limit) & (~minor[right][None, :] | (nid[x][:, None] < nid[right][None, :])))
+            out.append(np.stack([nid[x[i]], nid[right[j]], bits[i, j]]))
+        return np.concatenate(out, axis=1)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest = None
 
         def groups(rows: pd.DataFrame) -> pd.DataFrame:
             found = [pairs(g) for _, g in rows.groupby(["band", "block"], sort=False) if len(g) > 1]
-            a, b = (np.concatenate([f[i] for f in found]) if found else np.zeros(0, np.int64) for i in (0, 1))
-            return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
+            a, b, bits = np.concatenate(found, axis=1) if found else np.zeros((3, 0), np.int64)
+            return pd.DataFrame({"a": a, "b": b, "bits": bits}).drop_duplicates()
 
         for f in frames:
             f = f if rest is None else pd.concat([rest, f], ignore_index=True)
@@ -178,6 +184,23 @@ def _close(limit: int):
     return run
 
 
+def across(members: DataFrame, comp: DataFrame, sketches: DataFrame, closest: bool) -> DataFrame:
+    """Pairs (a, b, bits) of near sketches in buckets that hold several components."""
+    placed = (members.join(comp.select(F.col("node").alias("nid"), F.col("root").alias("comp")), "nid", "left")
+              .withColumn("comp", F.coalesce("comp", "nid")))
+    open_ = (placed.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"),
+                                        F.max(F.when(F.col("nid") == F.col("leader"), F.col("comp"))).alias("main"))
+             .where("lo < hi").select("band", "main"))
+    live = (placed.join(open_, "band").withColumn("minor", F.col("comp") != F.col("main"))
+            .withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+            .withColumn("home", F.expr("pmod(xxhash64(nid), blocks)")))
+    dealt = (live.withColumn("block", F.explode(F.when(F.col("minor"), F.expr("sequence(0L, blocks - 1L)")).otherwise(F.array("home"))))
+             .withColumn("own", F.col("block") == F.col("home")).join(sketches, "nid")
+             .select("band", "block", "nid", "comp", "minor", "own", "sketch")
+             .repartition("band", "block").sortWithinPartitions("band", "block"))
+    return dealt.mapInPandas(_close(most_bits(LEAST_ESTIMATE), closest), "a long, b long, bits long")
+
+
 def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
     """For each document: its key, n_shingles, component_id (least id reachable) and keeper (the component's one row)."""
     feats = written(with_features(docs, text), "near-features")
@@ -206,22 +229,11 @@ def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
     comp = components(first, "a", "b")
 
     # what is left: buckets that still hold several components
-    placed = (members.join(comp.select(F.col("node").alias("nid"), F.col("root").alias("comp")), "nid", "left")
-              .withColumn("comp", F.coalesce("comp", "nid")))
-    open_ = (placed.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"),
-                                        F.max(F.when(F.col("nid") == F.col("leader"), F.col("comp"))).alias("main"))
-             .where("lo < hi").select("band", "main"))
-    live = (placed.join(open_, "band").withColumn("minor", F.col("comp") != F.col("main"))
-            .withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
-            .withColumn("home", F.expr("pmod(xxhash64(nid), blocks)")))
-    dealt = (live.withColumn("block", F.explode(F.when(F.col("minor"), F.expr("sequence(0L, blocks - 1L)")).otherwise(F.array("home"))))
-             .withColumn("own", F.col("block") == F.col("home")).join(sketches, "nid")
-             .select("band", "block", "nid", "comp", "minor", "own", "sketch")
-             .repartition("band", "block").sortWithinPartitions("band", "block"))
-    more = dealt.mapInPandas(_close(limit), "a long, b long").distinct()
-    second = confirmed(more, sets)
-    roots = comp.select(F.col("node").alias("a"), F.col("root").alias("b"))
-    links = components(roots.unionAll(second), "a", "b")
+    again = across(members, comp, sketches, closest=True).groupBy("a").agg(F.min(F.struct("bits", "b")).alias("m")).select("a", F.col("m.b").alias("b"))
+    roots = lambda: comp.select(F.col("node").alias("a"), F.col("root").alias("b"))
+    comp = components(roots().unionAll(confirmed(again, sets)), "a", "b")
+    every = across(members, comp, sketches, closest=False).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    links = components(roots().unionAll(confirmed(every, sets)), "a", "b")
 
     whole = (nodes.select("nid", "node", "id", "hash").join(links.select(F.col("node").alias("nid"), "root"), "nid", "left")
              .withColumn("root", F.coalesce("root", "nid")))
