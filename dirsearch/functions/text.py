@@ -127,3 +127,9 @@ def truncate_preview(c: Column | str, n: int) -> Column:
 
 def collapse_spaces(c: Column | str) -> Column:
     return strip(F.regexp_replace(col_of(c), r"(?U)\s+", " "))
+
+
+def words_in_text(text: Column | str, words: Column | str) -> Column:
+    """Those of an array of lower-case words that occur in the text; the text is lower-cased once."""
+    found = F.transform(F.array(F.lower(col_of(text))), lambda low: F.filter(col_of(words), lambda k: F.instr(low, k) > 0))
+    return F.element_at(found, 1)

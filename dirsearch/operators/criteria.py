@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import logging
 import re
+import unicodedata
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -92,13 +93,29 @@ def like_pattern(value: str, literal: bool = False) -> str:
     return f"%{v}%"
 
 
+def _accents() -> tuple[str, str]:
+    """Lower-case Latin letters with a mark, and their base letters, by the Unicode decompositions."""
+    both = [(c, unicodedata.normalize("NFD", c)[0]) for c in map(chr, [*range(0xDF, 0x250), *range(0x1E00, 0x1F00)])
+            if c == c.lower() and len(unicodedata.normalize("NFD", c)) > 1]
+    return "".join(c for c, _ in both), "".join(b for _, b in both)
+
+
+ACCENTED, PLAIN = _accents()
+
+
+def fold(c: Column) -> Column:
+    """Lower case without diacritics (marks that stand alone go, letters with one become their base)."""
+    return F.translate(F.regexp_replace(F.lower(c), "[\\u0300-\\u036F]", ""), ACCENTED, PLAIN)
+
+
 def name_tokens(c: Column) -> Column:
-    """Case-folded word tokens of a name (letters and digits)."""
-    return F.filter(F.split(F.lower(c), TOKEN_SPLIT, -1), lambda t: t != F.lit(""))
+    """Word tokens of a name (letters and digits), in lower case and without diacritics."""
+    return F.filter(F.split(fold(c), TOKEN_SPLIT, -1), lambda t: t != F.lit(""))
 
 
 def value_tokens(value: str) -> list[str]:
-    return [t for t in re.split(r"[^\w]+|_", str(value).lower()) if t]
+    plain = "".join(c for c in unicodedata.normalize("NFD", str(value).lower()) if not unicodedata.combining(c))
+    return [t for t in re.split(r"[^\w]+|_", plain) if t]
 
 
 # ------------------------------------------------------------ row predicates

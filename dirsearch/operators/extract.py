@@ -27,7 +27,7 @@ def name_from_url(url: Column | str, pattern: str = L.URL_SLUG) -> Column:
     return F.when(slug != "", name_from_slug(slug, L.ROMAN_PARTS, L.SUFFIX_PARTS))
 
 
-def email(text: Column | str, domain: str = L.EMAIL_DOMAIN) -> Column:
+def email(text: Column | str, domain: str) -> Column:
     """First e-mail address of the domain, lower-cased."""
     return F.lower(_nz(F.regexp_extract(col_of(text), r"[a-zA-Z0-9._%+-]+@" + domain, 0)))
 

@@ -4,8 +4,9 @@ A judge sees ``(query_id, id, query, text)`` rows and returns
 ``(query_id, id, passes, reasoning)``.  The default judge is a Column
 expression (keyword coverage), so nothing leaves the JVM.  A caller may
 supply a Python judge ``fn(pandas.DataFrame) -> pandas.DataFrame``; it runs
-batch-wise through ``mapInPandas`` (Arrow), and any exception in a batch
-fails that batch's rows with the error message instead of failing the job.
+batch-wise through ``mapInPandas`` (Arrow).  A batch in which it raises is
+judged again row by row, so that only the failing rows get the error message.
+Judges see whole texts; one that wants less cuts for itself.
 """
 
 from __future__ import annotations
@@ -16,32 +17,25 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dirsearch.functions import lexicons as L
-from dirsearch.functions.text import col_of, strip
+from dirsearch.functions.text import col_of, strip, words_in_text
 
 
 
-def cut(text: Column | str, n: int = L.JUDGE_TEXT_CHARS) -> Column:
-    return F.substring(col_of(text), 1, n)
-
-
 def default_judge(rows: DataFrame, min_hits: int = 1, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Pass when the candidate text (first 3,000 chars) contains at least
-    ``min_hits`` of the query keywords; no keywords -> pass.  Missing text
-    fails with an error message, like a failed call.  ``keep`` columns pass
-    through unchanged.
-
-    Rows either carry ``head_hits`` (keywords already found in the first
-    3,000 characters, null when there is no text, see
-    :func:`dirsearch.operators.keywords.keyword_hits`) or the ``text`` itself.
+    """Pass when the candidate's text contains at least ``min_hits`` of the
+    query keywords; no keywords -> pass.  Missing text fails with an error
+    message, like a failed call.  ``keep`` columns pass through unchanged.
+
+    Rows either carry ``hits`` (the query's keywords found in the text, null
+    when there is no text, see :func:`dirsearch.operators.keywords.keyword_hits`)
+    or the ``text`` itself.
     """
-    if "head_hits" in rows.columns:
-        no_text = F.col("head_hits").isNull()
-        hits = F.col("head_hits")
+    if "hits" in rows.columns:
+        no_text = F.col("hits").isNull()
+        hits = F.col("hits")
     else:
-        low = F.lower(cut("text"))
         no_text = F.col("text").isNull()
-        hits = F.filter("keywords", lambda k: F.instr(low, k) > 0)
+        hits = words_in_text("text", "keywords")
     passes = F.when(no_text, F.lit(False)).when(F.size("keywords") == 0, F.lit(True)) \
         .otherwise(F.size(hits) >= min_hits)
     reasoning = F.when(no_text, F.lit("Error: no profile text")) \
@@ -59,17 +53,27 @@ def python_judge(rows: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], ke
     schema = ", ".join(["query_id long", "id long"] + [f"{c} {fields[c]}" for c in keep]
                        + ["passes boolean", "reasoning string"])
 
+    def judged(pdf):
+        out = fn(pdf[["query_id", "id", "query", "text"]]).reset_index(drop=True)
+        if len(out) != len(pdf):
+            raise ValueError(f"judge returned {len(out)} rows for {len(pdf)}")
+        return pd.DataFrame({"passes": out["passes"].astype(bool), "reasoning": out["reasoning"].astype(str)})
+
+    def one(pdf):
+        try:
+            return judged(pdf)
+        except Exception as e:  # noqa: BLE001 - a failed call fails its row
+            return pd.DataFrame({"passes": [False], "reasoning": [f"Error: {e}"]})
+
     def run(batches):
         for pdf in batches:
-            pdf = pdf.assign(text=pdf["text"].str.slice(0, L.JUDGE_TEXT_CHARS))
-            base = pdf[["query_id", "id", *keep]].reset_index(drop=True)
+            pdf = pdf.reset_index(drop=True)
             try:
-                out = fn(pdf[["query_id", "id", "query", "text"]]).reset_index(drop=True)
-                if len(out) != len(pdf):
-                    raise ValueError(f"judge returned {len(out)} rows for {len(pdf)}")
-                yield base.assign(passes=out["passes"].astype(bool), reasoning=out["reasoning"].astype(str))
-            except Exception as e:  # noqa: BLE001 - a failed call fails its rows
-                yield base.assign(passes=False, reasoning=f"Error: {e}")
+                out = judged(pdf)
+            except Exception:  # noqa: BLE001 - find the rows that fail
+                rows_ = [one(pdf.iloc[i:i + 1].reset_index(drop=True)) for i in range(len(pdf))]
+                out = pd.concat(rows_, ignore_index=True)
+            yield pd.concat([pdf[["query_id", "id", *keep]], out], axis=1)
 
     return rows.select("query_id", "id", "query", "text", *keep).mapInPandas(run, schema)
 

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dirsearch.functions import lexicons as L
-from dirsearch.functions.text import col_of, py_regex, strip
+from dirsearch.functions.text import col_of, py_regex, strip, words_in_text
 
 DEFAULT_COMPANY = [(py_regex("(?i)" + p), 0) for p in L.COMPANY_PATTERNS]
 DEFAULT_CAPITALISED = (py_regex(L.CAPITALISED_ENTITY), 1)
@@ -40,8 +40,7 @@ def extract_keywords(query: Column | str, *, companies: Sequence[tuple[str, int]
 
 def match_count(text: Column | str, keywords: Column | str) -> Column:
     """A4: number of keywords occurring (substring) in the lower-cased text."""
-    low = F.lower(col_of(text))
-    return F.size(F.filter(col_of(keywords), lambda k: F.instr(low, k) > 0)).cast("long")
+    return F.size(words_in_text(text, keywords)).cast("long")
 
 
 def pool_size(n_keywords: Column, many: int = L.POOL_K_MANY, some: int = L.POOL_K_SOME,
@@ -50,14 +49,6 @@ def pool_size(n_keywords: Column, many: int = L.POOL_K_MANY, some: int = L.POOL_
     return F.when(n_keywords >= strict_at, F.lit(many)).when(n_keywords >= 1, F.lit(some)).otherwise(F.lit(none))
 
 
-def candidate_text(texts: DataFrame, id_col: str = "id", parsed_col: str = "parsed_text",
-                   content_col: str | None = "content") -> DataFrame:
-    """Text used for keyword matching: stored page text and experience text."""
-    content = F.coalesce(F.col(content_col), F.lit("")) if content_col else F.lit("")
-    return texts.select(F.col(id_col).alias("id"),
-                        F.concat(F.coalesce(F.col(parsed_col), F.lit("")), F.lit(" "), content).alias("text"))
-
-
 def keyword_filter(candidates: DataFrame, keywords: DataFrame, texts: DataFrame, min_matches: int = 0) -> DataFrame:
     """V8: candidates ``(query_id, id, rank)`` kept when the query has no
     keywords, the candidate has no stored text, or enough keywords match.
@@ -70,45 +61,30 @@ def keyword_filter(candidates: DataFrame, keywords: DataFrame, texts: DataFrame,
     return j.where(keep)
 
 
-def keyword_hits(pairs: DataFrame, texts: DataFrame, head_chars: int = L.JUDGE_TEXT_CHARS,
-                 broadcast_rows: int | None = 2_000_000) -> DataFrame:
+def keyword_hits(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Keyword hits per candidate document, each (document, keyword) tested once.
 
-    ``pairs`` holds ``(id, keywords)`` for every (query, candidate) pair; the
-    distinct (document, keyword) combinations are matched against the
-    lower-cased text once, however many queries share them.  Returns
-    ``(id, hits, head_hits)`` for candidate documents that have a text, where
-    ``head_hits`` are the keywords found in the first ``head_chars`` characters.
-
-    The distinct pairs are few (bounded by queries x k x keywords); when a
-    count shows at most ``broadcast_rows`` of them they are broadcast, so the
-    text store is streamed through a hash join and never shuffled, and only
-    candidate documents are lower-cased.  Above that bound a shuffle join is used.
+    ``pairs`` holds ``(id, keywords)`` for every (query, candidate) pair.  The
+    distinct keywords of a document are gathered first (partial aggregation),
+    so the text store is joined once and each text lower-cased once, however
+    many queries share it.  Returns ``(id, found)`` for documents with a text.
     """
-    need = pairs.select("id", F.explode_outer("keywords").alias("kw")).distinct()
-    if broadcast_rows is not None and need.count() <= broadcast_rows:
-        need = F.broadcast(need)
-    j = texts.select("id", "text").join(need, "id")
-    low = F.lower("text")
-    kw = F.col("kw")
-    tested = j.select("id", "kw", F.coalesce(F.instr(low, kw) > 0, F.lit(False)).alias("hit"),
-                      F.coalesce(F.instr(F.substring(low, 1, head_chars), kw) > 0, F.lit(False)).alias("head"))
-    return tested.groupBy("id").agg(F.collect_set(F.when(F.col("hit"), kw)).alias("hits"),
-                                    F.collect_set(F.when(F.col("head"), kw)).alias("head_hits"))
+    need = (pairs.select("id", F.explode_outer("keywords").alias("kw"))
+            .groupBy("id").agg(F.collect_set("kw").alias("kws")))
+    return texts.select("id", "text").where(F.col("text").isNotNull()).join(need, "id") \
+        .select("id", words_in_text("text", "kws").alias("found"))
 
 
 def _scored(candidates: DataFrame, keywords: DataFrame, texts: DataFrame) -> DataFrame:
+    """candidates with ``keywords``, ``missing`` (no text), ``matches`` and ``hits`` (null when missing)."""
     j = (candidates.join(keywords, "query_id", "left")
          .withColumn("keywords", F.coalesce("keywords", F.array().cast("array<string>"))))
-    docs = keyword_hits(j.select("id", "keywords"), texts).withColumn("has_text", F.lit(True))
-    empty = F.array().cast("array<string>")
-    j = j.join(docs, "id", "left")
-    hits = F.array_intersect("keywords", F.coalesce("hits", empty))
-    head = F.array_intersect("keywords", F.coalesce("head_hits", empty))
-    return (j.withColumn("missing", F.col("has_text").isNull())
-            .withColumn("matches", F.size(hits).cast("long"))
-            .withColumn("head_hits", F.when(F.col("has_text"), head))
-            .drop("hits", "has_text"))
+    j = j.join(keyword_hits(j.select("id", "keywords"), texts), "id", "left")
+    # a document's hits of all its queries shrink to the query's own before anything is shuffled again
+    own = F.when(F.col("found").isNotNull(), F.array_intersect("keywords", "found"))
+    return (j.withColumn("hits", own).drop("found")
+            .withColumn("missing", F.col("hits").isNull())
+            .withColumn("matches", F.coalesce(F.size("hits"), F.lit(0)).cast("long")))
 
 
 def smart_filter(candidates: DataFrame, keywords: DataFrame, texts: DataFrame,

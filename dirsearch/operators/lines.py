@@ -11,33 +11,57 @@ shared across the table.  Windows with the same spec share one exchange.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from html.entities import name2codepoint
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dirsearch.functions.text import any_contains, clean_lines, col_of
 
-# FIXED VALUES: HTML entities decoded after tag removal (``&amp;`` last).
-HTML_ENTITIES = [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"),
-                 ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")]
+# FIXED VALUES: elements of HTML that stand within a line; every other tag breaks the line.
+INLINE_TAGS = ["a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i",
+               "img", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup",
+               "time", "tt", "u", "var", "wbr"]
 SCRIPT_RE = r"(?is)<script[^>]*>.*?</script>"
 STYLE_RE = r"(?is)<style[^>]*>.*?</style>"
 COMMENT_RE = r"(?s)<!--.*?-->"
 BODY_RE = r"(?is)<body[^>]*>(.*)</body>"
+INLINE_RE = r"(?i)</?(?:" + "|".join(INLINE_TAGS) + r")(?:\s[^>]*)?/?>"
 TAG_RE = r"<[^>]*>"
+REFERENCE_RE = r"^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);"
+
+# Named character references of HTML 4 and apos, from the standard library's table.
+ENTITY_NAMES = sorted(name2codepoint) + ["apos"]
+ENTITY_CHARS = [chr(name2codepoint[n]) for n in ENTITY_NAMES[:-1]] + ["'"]
+
+
+def unescape(text: Column | str) -> Column:
+    """Numeric and named character references decoded; what is none stays as it is."""
+    sep = "\x01"
+    names = F.map_from_arrays(F.split(F.lit(sep.join(ENTITY_NAMES)), sep), F.split(F.lit(sep.join(ENTITY_CHARS)), sep))
+
+    def decoded(part: Column) -> Column:
+        ref = F.regexp_extract(part, REFERENCE_RE, 1)
+        code = (F.when(F.lower(ref).startswith("#x"), F.conv(F.substr(ref, F.lit(3)), 16, 10).cast("int"))
+                .when(ref.startswith("#"), F.substr(ref, F.lit(2)).cast("int")))
+        good = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
+        char = F.when(good, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
+        found = F.coalesce(char, F.try_element_at(names, ref))
+        return F.when((ref != "") & found.isNotNull(), F.concat(found, F.substr(part, F.length(ref) + 2))) \
+            .otherwise(F.concat(F.lit("&"), part))
+
+    parts = F.split(col_of(text), "&", -1)
+    return F.array_join(F.transform(parts, lambda p, i: F.when(i == 0, p).otherwise(decoded(p))), "")
 
 
 def html_to_text(html: Column | str) -> Column:
-    """Visible body text of a page with one line break per tag."""
+    """Visible body text of a page: block tags and ``br`` break the line, inline tags do not."""
     h = col_of(html)
     body = F.regexp_extract(h, BODY_RE, 1)
     t = F.when(body != "", body).otherwise(h)
-    for pat in (SCRIPT_RE, STYLE_RE, COMMENT_RE):
+    for pat in (SCRIPT_RE, STYLE_RE, COMMENT_RE, INLINE_RE):
         t = F.regexp_replace(t, pat, "")
-    t = F.regexp_replace(t, TAG_RE, "\n")
-    for ent, ch in HTML_ENTITIES:
-        t = F.replace(t, F.lit(ent), F.lit(ch))
-    return t
+    return unescape(F.regexp_replace(t, TAG_RE, "\n"))
 
 
 def text_lines(df: DataFrame, id_col: str, text_col: str | Column, keep: Sequence[str] = ()) -> DataFrame:

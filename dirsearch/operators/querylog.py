@@ -174,78 +174,168 @@ def normalise_practice(criteria: DataFrame, practice_map: DataFrame) -> DataFram
 
 
 # ---------------------------------------------------------- query normalise
-def normalise_query(query: Column | str, mapping: Sequence[tuple[str, str]]) -> Column:
-    """Q13: lower-case, strip, then replace every alias substring in map order."""
-    q = strip(F.lower(col_of(query)))
-    for alias, norm in mapping:
-        q = F.replace(q, F.lit(alias), F.lit(norm))
-    return q
+def normalise_queries(queries: DataFrame, aliases: DataFrame, max_words: int = 6, id_col: str = "query_id",
+                      text_col: str = "query") -> DataFrame:
+    """Q13: ``(query_id, normalized)``: whole words and phrases that are aliases become their canonical names.
+
+    ``aliases`` are alias rows (see :mod:`dirsearch.operators.aliases`), matched without case, the earliest row first.
+    Every run of up to ``max_words`` words meets the alias table in an equi-join.  From left to right the longest alias
+    that starts at a word replaces it, and what it covers is not looked at again.
+    """
+    from dirsearch.operators.aliases import lookup_keys
+
+    words = F.filter(F.split(strip(F.lower(F.col(text_col))), r"\s+", -1), lambda w: w != "")
+    q = queries.select(F.col(id_col).alias("query_id"), words.alias("words"))
+    starts = q.select("query_id", "words", F.posexplode("words").alias("at", "word"))
+    runs = starts.select("query_id", "at", F.explode(F.sequence(F.lit(1), F.least(F.lit(max_words), F.size("words") - F.col("at")))).alias("n"),
+                         "words").select("query_id", "at", "n", F.array_join(F.slice("words", F.col("at") + 1, F.col("n")), " ").alias("key"))
+    keys = (lookup_keys(aliases).where(F.col("key").isNotNull()).withColumn("key", F.lower("key")).groupBy("key")
+            .agg(F.min_by("normalized", F.struct("ord", "pos")).alias("normalized")))
+    longest = (runs.join(keys, "key").groupBy("query_id", "at").agg(F.max(F.struct("n", "normalized")).alias("m"))
+               .groupBy("query_id").agg(F.map_from_entries(F.collect_list(F.struct("at", "m"))).alias("found")))
+    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(0).alias("next"))
+
+    def step(state: Column, x: Column) -> Column:
+        m = F.try_element_at(F.col("found"), x["at"])
+        taken = F.struct(F.concat(state["out"], F.array(m["normalized"])).alias("out"), (x["at"] + m["n"]).alias("next"))
+        plain = F.struct(F.concat(state["out"], F.array(x["word"])).alias("out"), state["next"].alias("next"))
+        return F.when(x["at"] < state["next"], state).when(m.isNotNull(), taken).otherwise(plain)
+
+    numbered = F.transform("words", lambda w, i: F.struct(i.alias("at"), w.alias("word")))
+    return (q.join(longest, "query_id", "left")
+            .select("query_id", F.array_join(F.aggregate(numbered, start, step)["out"], " ").alias("normalized")))
 
 
 # ------------------------------------------------------------ batch search
 def name_matches(word_sets: DataFrame, name_sets: DataFrame) -> DataFrame:
-    """Pairs ``(qkey, nkey)`` where every token of word set ``qkey`` is a token of name set ``nkey``.
+    """Pairs ``(qtoks, ntoks)`` where every token of the word set is a token of the name set.
 
-    Both sides are distinct token sets.  Each word set is joined only through
-    its rarest token (the shortest posting list, found with a grouped count),
-    and the other words are checked row-locally with ``array_contains``; a hot
-    token shared by a third of all names never drives a join unless it is the
-    rarest word of the query.
+    Both sides are distinct sorted token arrays.  Each word set is joined only
+    through its rarest token (the shortest posting list, found with a grouped
+    count), and the other words are checked row-locally with
+    ``array_contains``; a hot token shared by a third of all names does not
+    drive a join unless it is the rarest word of the query.
     """
-    postings = name_sets.select("nkey", "ntoks", F.explode("ntoks").alias("token"))
+    postings = name_sets.select("ntoks", F.explode("ntoks").alias("token"))
     freq = postings.groupBy("token").agg(F.count("*").alias("df"))
-    q = word_sets.select("qkey", "qtoks", F.explode("qtoks").alias("token"))
-    rated = q.join(freq, "token", "left")
+    rated = word_sets.select("qtoks", F.explode("qtoks").alias("token")).join(freq, "token", "left")
     # a word with no posting makes the set unmatchable: drop such sets
-    rare = (rated.groupBy("qkey", "qtoks")
+    rare = (rated.groupBy("qtoks")
             .agg(F.min_by("token", F.struct(F.coalesce(F.col("df"), F.lit(0)).alias("df"), "token")).alias("token"),
                  F.count_if(F.col("df").isNull()).alias("missing"))
             .where(F.col("missing") == 0).drop("missing"))
     cand = rare.join(postings, "token")
-    return cand.where(F.forall("qtoks", lambda t: F.array_contains(F.col("ntoks"), t))).select("qkey", "nkey")
+    return cand.where(F.forall("qtoks", lambda t: F.array_contains(F.col("ntoks"), t))).select("qtoks", "ntoks")
+
+
+def substring_matches(needles: DataFrame, values: DataFrame) -> DataFrame:
+    """Pairs ``(needle, value)`` where a distinct value contains a distinct needle, without case.
+
+    A needle of three characters or more meets the values through its rarest
+    trigram, a shorter one through itself as a gram; then the whole needle is
+    checked.  Empty needles match nothing.
+    """
+    grams = lambda c, n: F.array_distinct(F.transform(
+        F.sequence(F.lit(1), F.greatest(F.length(c) - n + 1, F.lit(1))), lambda i: F.substr(c, i, n)))
+    v = values.where(F.col("value").isNotNull()).select("value", F.lower("value").alias("low"))
+    v = v.select("value", "low", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("n")).where("length(low) >= n")
+    postings = v.select("value", "low", "n", F.explode(grams(F.col("low"), F.col("n"))).alias("gram"))
+    q = needles.where(F.length("needle") > 0).select("needle", F.lower("needle").alias("find"))
+    q = q.withColumn("n", F.least(F.length("find"), F.lit(3)))
+    freq = postings.groupBy("n", "gram").agg(F.count("*").alias("df"))
+    rated = q.select("needle", "find", "n", F.explode(grams(F.col("find"), F.col("n"))).alias("gram")).join(freq, ["n", "gram"], "left")
+    rare = (rated.groupBy("needle", "find", "n")
+            .agg(F.min_by("gram", F.struct(F.coalesce(F.col("df"), F.lit(0)).alias("df"), "gram")).alias("gram")))
+    return rare.join(postings, ["n", "gram"]).where(F.col("low").contains(F.col("find"))).select("needle", "value")
+
+
+PROFILE_TEXT = {"title": "title", "office": "office_location", "clerkship": "clerkship"}
+FACETS = ["practice", "industry", "region", "language"]
+YEARS = {"law_school_year": 1, "undergrad_year": 0}
+YEAR_OPS = ["gt", "lt", "gte", "lte", "eq"]
 
 
-def batch_search(criteria: DataFrame, profiles: DataFrame, facets: DataFrame | None = None) -> DataFrame:
+def _supported(field: Column, op: Column) -> Column:
+    return ((field.isin("name", "school", *PROFILE_TEXT, *FACETS) & op.isin("eq", "contains"))
+            | (field.isin(*YEARS) & op.isin(*YEAR_OPS)))
+
+
+def batch_search(criteria: DataFrame, profiles: DataFrame, facets: DataFrame | None = None,
+                 educations: DataFrame | None = None, aliases: DataFrame | None = None) -> DataFrame:
     """Q14: answer a whole table of AND-ed criteria with equi-joins.
 
-    criteria (query_id, clause_no, field, op, value); supported: name contains
-    (all words are name tokens), title eq, facet eq (practice, industry,
-    region, language).  Returns ``(query_id, id)`` for profiles meeting every
-    supported criterion of the query.  Identical criteria values and
-    identical names are matched once and expanded afterwards.
+    criteria (query_id, field, op, value); a query's criteria are its distinct
+    (field, op, value), whichever clause they come from, and a profile must
+    meet all of them.  Fields are those of the criteria search: name, title,
+    office, clerkship, practice, industry, region, language, school (through
+    the aliases) and the graduation years with their degree flag.  A field or
+    operation that is none of these, or that needs a table which is not given,
+    is an error when the plan runs.  Values are literal (no wildcards).
+
+    Distinct criteria are matched once and expanded to their queries at the
+    end.  Returns ``(query_id, id)``.
     """
-    crit = criteria.select("query_id", "clause_no", "field", "op", "value")
-    ckey = F.struct("query_id", "clause_no")
-    # the clause count travels with the (small) criteria rows, so the large hit
-    # table is grouped once and never joined back
-    need = crit.groupBy("query_id").agg(F.count_distinct(ckey).alias("n_need"))
-    crit = crit.join(need, "query_id")
-    hits = []
-    # name contains: match distinct word sets against distinct name token sets
-    nm = crit.where((F.col("field") == "name") & (F.col("op") == "contains")) \
-        .withColumn("qtoks", F.array_sort(F.array_distinct(name_tokens(F.col("value"))))) \
-        .where(F.size("qtoks") > 0).withColumn("qkey", F.xxhash64("qtoks"))
-    prof = profiles.withColumn("ntoks", F.array_sort(F.array_distinct(name_tokens(F.col("name"))))) \
-        .withColumn("nkey", F.xxhash64("ntoks"))
-    pairs = name_matches(nm.select("qkey", "qtoks").distinct(), prof.select("nkey", "ntoks").distinct())
-    hits.append(nm.select("query_id", "clause_no", "n_need", "qkey").join(pairs, "qkey")
-                .join(prof.select("nkey", "id"), "nkey").select("query_id", "clause_no", "n_need", "id"))
-    # title equality
-    ti = crit.where((F.col("field") == "title") & (F.col("op") == "eq"))
-    hits.append(ti.join(profiles.select("id", F.col("title").alias("value")), "value")
-                .select("query_id", "clause_no", "n_need", "id"))
+    known = _supported(F.col("field"), F.col("op"))
+    if facets is None:
+        known = known & ~F.col("field").isin(FACETS)
+    if educations is None:
+        known = known & ~F.col("field").isin("school", *YEARS)
+    refuse = F.raise_error(F.concat(F.lit("criterion not supported: "), F.coalesce("field", F.lit("null")), F.lit(" "),
+                                    F.coalesce("op", F.lit("null")))).cast("boolean")
+    crit = (criteria.where(F.when(F.coalesce(known, F.lit(False)), F.lit(True)).otherwise(refuse))
+            .select("query_id", "field", "op", "value").distinct())
+    asked = crit.select("field", "op", "value").distinct()
+    key = ["field", "op", "value"]
+
+    def texts(fields: DataFrame, values: DataFrame, fold_eq: Column) -> DataFrame:
+        """asked criteria against (id, field, text) rows: equality, and substrings by their distinct values."""
+        eq = fields.where("op = 'eq'").withColumn("_k", F.when(fold_eq, F.lower("value")).otherwise(F.col("value")))
+        same = eq.join(values.withColumn("_k", F.when(fold_eq, F.lower("text")).otherwise(F.col("text"))), ["field", "_k"])
+        part = fields.where("op = 'contains'")
+        found = substring_matches(part.select(F.col("value").alias("needle")).distinct(), values.select(F.col("text").alias("value")).distinct())
+        within = part.join(found.select(F.col("needle").alias("value"), F.col("value").alias("text")), "value").join(values, ["field", "text"])
+        return same.select(*key, "id").unionByName(within.select(*key, "id"))
+
+    # names: distinct word sets against distinct name token sets
+    toks = lambda c: F.array_sort(F.array_distinct(name_tokens(F.col(c))))
+    names = asked.where("field = 'name'").withColumn("qtoks", toks("value")).where(F.size("qtoks") > 0)
+    prof = profiles.select("id", "name", toks("name").alias("ntoks"))
+    pairs = name_matches(names.select("qtoks").distinct(), prof.select("ntoks").distinct())
+    spaced = lambda c: F.concat(F.lit(" "), F.array_join(name_tokens(F.col(c)), " "), F.lit(" "))
+    by_name = (names.join(pairs, "qtoks").join(prof, "ntoks")
+               .where((F.col("op") == "contains") | spaced("name").contains(spaced("value"))).select(*key, "id"))
+    hits = [by_name]
+    columns = F.array(*[F.struct(F.lit(f).alias("field"), F.col(c).cast("string").alias("text"))
+                        for f, c in PROFILE_TEXT.items() if c in profiles.columns])
+    own = profiles.select("id", F.explode(columns).alias("x")).select("id", "x.*").where("text is not null")
+    hits.append(texts(asked.where(F.col("field").isin(list(PROFILE_TEXT))), own, F.lit(False)))
     if facets is not None:
-        fc = crit.where(F.col("field").isin("practice", "industry", "region", "language") & (F.col("op") == "eq"))
-        f = facets.select(F.col("profile_id").alias("id"), F.col("facet").alias("field"), "value").distinct()
-        hits.append(fc.join(f, ["field", "value"]).select("query_id", "clause_no", "n_need", "id"))
-    allh = hits[0]
+        f = facets.where(F.col("facet").isin(FACETS)).select(F.col("profile_id").alias("id"), F.col("facet").alias("field"),
+                                                            F.col("value").alias("text")).where("text is not null").distinct()
+        hits.append(texts(asked.where(F.col("field").isin(FACETS)), f, F.col("field") == "language"))
+    if educations is not None:
+        schools = asked.where("field = 'school'")
+        if aliases is not None:
+            from dirsearch.operators.aliases import resolve
+
+            schools = resolve(schools, "value", aliases, "canonical")
+        else:
+            schools = schools.withColumn("canonical", F.col("value"))
+        e = educations.select(F.col("profile_id").alias("id"), "school_name", "school_normalized").distinct()
+        for given, column in (("value", "school_name"), ("canonical", "school_normalized")):
+            rows = e.select("id", F.lit("school").alias("field"), F.col(column).alias("text")).where("text is not null").distinct()
+            met = texts(schools.select("field", "op", F.col(given).alias("value")).distinct(), rows, F.lit(False))
+            hits.append(schools.join(met.withColumnRenamed("value", given), ["field", "op", given]).select(*key, "id"))
+        years = asked.where(F.col("field").isin(list(YEARS))).withColumn("y", F.expr("try_cast(value as int)")).withColumn(
+            "is_law_degree", F.when(F.col("field") == "undergrad_year", 0).otherwise(1))
+        graduated = educations.where("year is not null").select(F.col("profile_id").alias("id"), "year", F.col("is_law_degree").cast("int").alias("is_law_degree")).distinct()
+        # distinct years are a calendar's worth: criteria meet these first, then the rows of the years
+        meets = F.expr("case op when 'gt' then year > y when 'lt' then year < y when 'gte' then year >= y when 'lte' then year <= y else year = y end")
+        hits.append(years.join(graduated.select("year", "is_law_degree").distinct(), "is_law_degree").where(meets)
+                    .join(graduated, ["year", "is_law_degree"]).select(*key, "id"))
+    met = hits[0]
     for h in hits[1:]:
-        allh = allh.unionByName(h)
-    # hits are unique per (query, clause, profile): every input above is keyed, so no DISTINCT
-    # one-clause queries: every hit is final (unique per query and profile), no grouping;
-    # the n_need filters push down to the criteria rows, so each query runs in one branch
-    single = allh.where(F.col("n_need") == 1).select("query_id", "id")
-    multi = (allh.where(F.col("n_need") > 1).groupBy("query_id", "id")
-             .agg(F.count("*").alias("n_got"), F.max("n_need").alias("n_need"))
-             .where(F.col("n_got") == F.col("n_need")).select("query_id", "id"))
-    return single.unionByName(multi)
+        met = met.unionByName(h)
+    need = crit.groupBy("query_id").agg(F.count("*").alias("need"))
+    each = crit.join(need, "query_id").join(met.distinct(), key).groupBy("query_id", "id").agg(F.count("*").alias("got"), F.first("need").alias("need"))
+    return each.where("got = need").select("query_id", "id")

@@ -25,29 +25,26 @@ from dirsearch.operators.knn import knn_exact
 
 
 def candidates(queries: DataFrame, corpus: DataFrame, keywords: DataFrame, *, k_max: int = L.POOL_K_NONE,
-               corpus_blocks: int | None = None, query_tiles: int | None = None, materialize: bool = True) -> DataFrame:
+               corpus_blocks: int | None = None, query_tiles: int | None = None, checkpoint: bool = False) -> DataFrame:
     """Top-k candidates per query with the adaptive k applied: ``(query_id, id, score, rank)``.
 
-    With ``materialize`` the candidate set (at most queries x k rows) is
-    written once to the checkpoint folder: the scoring never runs twice, and
-    later steps can count it cheaply to size their joins.
+    Nothing runs here.  With ``checkpoint`` the candidate set (at most queries
+    x k rows) is written once to the caller's checkpoint folder, which must be
+    set on the SparkContext; the scoring then never runs again.
     """
     pool = keywords.select("query_id", K.pool_size(F.size("keywords")).alias("k"))
     hits = knn_exact(corpus, queries, k_max, id_col="id", vec_col="embedding", query_id_col="query_id",
                      query_vec_col="embedding", corpus_blocks=corpus_blocks, query_tiles=query_tiles)
     out = hits.join(pool, "query_id").where(F.col("rank") <= F.col("k")).drop("k")
-    if materialize:
-        from dirsearch.session import ensure_checkpoint_dir
-
-        ensure_checkpoint_dir(out.sparkSession)
-        out = out.checkpoint(eager=True)
+    if checkpoint:
+        out = out.checkpoint(eager=False)
     return out
 
 
 def cascade(queries: DataFrame, corpus: DataFrame, texts: DataFrame, profiles: DataFrame, *,
             keyword_options: dict | None = None, judge: Callable[[pd.DataFrame], pd.DataFrame] | None = None,
             k_max: int = L.POOL_K_NONE, corpus_blocks: int | None = None, query_tiles: int | None = None,
-            keep_failed: bool = False) -> DataFrame:
+            keep_failed: bool = False, checkpoint: bool = False) -> DataFrame:
     """Run the complex-query path for every row of ``queries``.
 
     queries  (query_id, query, embedding)
@@ -58,15 +55,14 @@ def cascade(queries: DataFrame, corpus: DataFrame, texts: DataFrame, profiles: D
     passing rows only unless ``keep_failed``.
     """
     kw = queries.select("query_id", K.extract_keywords("query", **(keyword_options or {})).alias("keywords"))
-    cand = candidates(queries, corpus, kw, k_max=k_max, corpus_blocks=corpus_blocks, query_tiles=query_tiles)
+    cand = candidates(queries, corpus, kw, k_max=k_max, corpus_blocks=corpus_blocks, query_tiles=query_tiles,
+                      checkpoint=checkpoint)
     kept = K.smart_filter(cand, kw, texts, bounded=True)
     keep = ("rank", "score")
     if judge is None:
         out = J.default_judge(kept, keep=keep)
     else:
-        # the judge reads at most the first 3,000 characters: cut before the join
-        cut = texts.select("id", J.cut("text").alias("text"))
-        rows = kept.join(cut, "id", "left").join(queries.select("query_id", "query"), "query_id")
+        rows = kept.join(texts.select("id", "text"), "id", "left").join(queries.select("query_id", "query"), "query_id")
         out = J.python_judge(rows, judge, keep=keep)
     if not keep_failed:
         out = out.where("passes")
@@ -82,19 +78,18 @@ def explain_hits(hits: DataFrame, profiles: DataFrame, experience: DataFrame, n:
     from dirsearch.functions.text import truncate_preview
 
     top = hits.where(F.col("rank") <= n)
-    j = top.join(profiles.select("id", "name", "url"), "id", "left").join(experience, "id", "left")
-    preview = F.coalesce(truncate_preview("content", L.PREVIEW_CHARS), F.lit("No experience data"))
+    preview = experience.select("id", truncate_preview("content", L.PREVIEW_CHARS).alias("preview"))
+    j = top.join(profiles.select("id", "name", "url"), "id", "left").join(preview, "id", "left")
     return j.select("query_id", F.col("rank").cast("long").alias("rank"), "id", "name",
-                    F.round("score", 4).alias("score"), "url", preview.alias("preview"))
+                    F.round("score", 4).alias("score"), "url",
+                    F.coalesce("preview", F.lit("No experience data")).alias("preview"))
 
 
 def hybrid_rank(hits: DataFrame, keywords: DataFrame, texts: DataFrame, weight: float = 0.7) -> DataFrame:
     """Blend cosine with the share of query keywords found in the text and re-rank."""
-    j = (hits.join(keywords, "query_id", "left").join(texts, "id", "left")
-         .withColumn("keywords", F.coalesce("keywords", F.array().cast("array<string>"))))
+    j = K._scored(hits, keywords, texts)
     n = F.size("keywords")
-    share = F.when(n == 0, F.lit(0.0)).otherwise(
-        F.coalesce(K.match_count("text", "keywords"), F.lit(0)).cast("double") / n)
+    share = F.when(n == 0, F.lit(0.0)).otherwise(F.col("matches").cast("double") / n)
     blended = F.lit(weight) * F.col("score") + F.lit(1.0 - weight) * share
     w = Window.partitionBy("query_id").orderBy(F.desc("hybrid"), "id")
     return (j.withColumn("hybrid", blended)

@@ -2,9 +2,9 @@
 text and an error (dead-letter) table.
 
 Fields that need only the page text (URL name, e-mail, phone, office,
-dictionary facets) are computed row-locally on the page scan; the HTML column
-is then dropped, and only the line table (page_id, pos, line) is shuffled,
-once, for all line-based fields.  The per-field extractors in
+dictionary facets) are computed row-locally on the page scan and travel with
+the page's first line; the HTML column is dropped, and the line table
+(page_id, pos, line) is shuffled once, for all line-based fields.  The per-field extractors in
 :mod:`dirsearch.operators.extract` express the same rules one field at a
 time; tests check that both give the same profiles.
 """
@@ -35,8 +35,8 @@ class Lexicon:
     name_blacklist: list = field(default_factory=lambda: list(L.NAME_BLACKLIST))
     stored_blacklist: list = field(default_factory=lambda: list(L.STORED_NAME_BLACKLIST))
     url_slug: str = L.URL_SLUG
-    email_domain: str = L.EMAIL_DOMAIN
-    head_lines: int = 30
+    email_domain: str = r"[a-zA-Z0-9.-]+\.[a-zA-Z]+"  # a regular expression; by default any domain
+    head_lines: int | None = None  # look for a name-shaped line in so many first lines; None: in all
 
 
 @dataclass
@@ -44,6 +44,7 @@ class Parsed:
     profiles: DataFrame
     facets: DataFrame
     schools: DataFrame
+    educations: DataFrame
     experience: DataFrame
     errors: DataFrame
 
@@ -57,43 +58,35 @@ def _nonempty(arr):
 
 
 def parse_pages(pages: DataFrame, lex: Lexicon | None = None, *, id_col: str = "page_id", url_col: str = "url",
-                html_col: str = "html", keep_raw: bool = False, materialize: bool = True) -> Parsed:
+                html_col: str = "html", keep_raw: bool = False,
+                school_aliases: DataFrame | None = None) -> Parsed:
     """Parse every page into profile rows, facets, schools, experience and errors.
 
     Plan shape: row-local fields on the page scan; the cleaned text is
-    exploded into ``(page_id, pos, line)`` and shuffled once by ``page_id``;
-    three stacked window passes over that one partitioning compute every
-    per-line flag (neighbour lines, section states, first/last markers); one
-    grouped aggregation with filtered ``min_by`` / ``collect_list`` produces
-    all line-based fields; one join brings back the row-local fields.
-
-    With ``materialize`` the cleaned text is written once to the checkpoint
-    folder (``DataFrame.checkpoint``): the HTML regexes run once and the copy
-    cuts lineage, so a lost executor re-reads it instead of re-parsing HTML.
+    exploded into ``(page_id, pos, line)``, the row-local fields go with the
+    first line; one shuffle by ``page_id``; three stacked window passes over
+    that one partitioning compute every per-line flag (neighbour lines,
+    section states, first/last markers); one grouped aggregation with filtered
+    ``min_by`` / ``collect_list`` gives all fields.  No join, nothing runs here.
     """
     lex = lex or Lexicon()
-    spark = pages.sparkSession
-    if pages.rdd.getNumPartitions() < spark.sparkContext.defaultParallelism:
-        pages = pages.repartition(spark.sparkContext.defaultParallelism)
-    text = LN.html_to_text(F.col(html_col))
-    base = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), text.alias("text"),
+    base = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"),
+                        LN.html_to_text(F.col(html_col)).alias("text"),
                         *([F.col(html_col).alias("raw_html")] if keep_raw else []))
-    if materialize:
-        from dirsearch.session import ensure_checkpoint_dir
-
-        ensure_checkpoint_dir(spark)
-        base = base.checkpoint(eager=True)
-    local = base.select(
-        "page_id", "url", *(["raw_html"] if keep_raw else []),
+    local = F.struct(
+        "url", *(["raw_html"] if keep_raw else []),
         X.name_from_url("url", lex.url_slug).alias("url_name"),
         X.email("text", lex.email_domain).alias("email"),
         X.phone("text").alias("phone"),
         X.office("text", lex.offices).alias("office_location"),
         X.dictionary_values("text", lex.practices).alias("practice"),
         X.dictionary_values("text", lex.industries).alias("industry"),
-        F.size(clean_lines("text")).alias("n_lines"))
-    fields = _line_fields(LN.text_lines(base, "page_id", "text"), lex)
-    parsed = local.join(fields, "page_id", "left")
+        F.size("lines").alias("n_lines"))
+    rows = (base.withColumn("lines", F.coalesce(clean_lines("text"), F.array().cast("array<string>")))
+            .select("page_id", local.alias("local"), "lines")
+            .select("page_id", "local", F.posexplode_outer("lines").alias("pos", "line"))
+            .withColumn("local", F.when(F.coalesce(F.col("pos"), F.lit(0)) == 0, F.col("local"))))
+    parsed = _line_fields(rows, lex).select("page_id", "local.*", *LINE_FIELDS)
     name = F.coalesce("url_name", "near_name", "line_name", "title_name")
     # write-time check: a blacklisted name is replaced from the e-mail, else NULL
     bad = any_contains(F.lower(name), lex.stored_blacklist)
@@ -105,9 +98,13 @@ def parse_pages(pages: DataFrame, lex: Lexicon | None = None, *, id_col: str = "
         "phone", "title", "office_location", "clerkship", *(["raw_html"] if keep_raw else []))
     facets = explode_facets(good, "id", ["practice", "industry", "region", "language"])
     schools = good.select("id", "school").where(F.col("school").isNotNull())
+    educations = X.education_rows(schools, "id", aliases=school_aliases)
     experience = good.where(F.col("experience").isNotNull()).select("id", F.col("experience").alias("content"))
     errors = parsed.where(F.col("n_lines") == 0).select("page_id", "url", F.lit("empty page").alias("error"))
-    return Parsed(profiles, facets, schools, experience, errors)
+    return Parsed(profiles, facets, schools, educations, experience, errors)
+
+
+LINE_FIELDS = ["near_name", "line_name", "title_name", "title", "school", "region", "language", "clerkship", "experience"]
 
 
 def _line_fields(lines: DataFrame, lex: Lexicon) -> DataFrame:
@@ -169,9 +166,11 @@ def _line_fields(lines: DataFrame, lex: Lexicon) -> DataFrame:
                 & any_contains(line, L.CLERKSHIP_WORDS))
     x_in = ((F.col("x_opened") == 1) & (F.col("x_closed") == 0) & ~F.col("x_open")
             & ~any_contains(low, L.EXPERIENCE_SKIPS))
+    in_head = F.lit(True) if lex.head_lines is None else pos < lex.head_lines
     agg = m.groupBy("page_id").agg(
+        F.first("local", ignorenulls=True).alias("local"),
         F.min_by("near_cand", F.when(line.rlike(mail_re) & F.col("near_cand").isNotNull(), pos)).alias("near_name"),
-        F.min_by("line", F.when((pos < lex.head_lines) & line.rlike(L.NAME_LINE) & F.col("valid"), pos))
+        F.min_by("line", F.when(in_head & line.rlike(L.NAME_LINE) & F.col("valid"), pos))
         .alias("line_name"),
         F.min_by("prev", F.when(has_title & F.col("prev").isNotNull() & F.col("prev_valid"), pos)).alias("title_name"),
         F.min_by(first_in_order(line, lex.titles), F.when(has_title, pos)).alias("title"),
@@ -183,7 +182,7 @@ def _line_fields(lines: DataFrame, lex: Lexicon) -> DataFrame:
     exp_text = collapse_spaces(F.array_join(F.transform("_exp", lambda s: s["l"]), " "))
     cap_text = F.array_join(F.transform("_cap", lambda s: s["l"]), "\n")
     return agg.select(
-        "page_id", "near_name", "line_name", "title_name", "title",
+        "page_id", "local", "near_name", "line_name", "title_name", "title",
         _nonempty(F.transform("_edu", lambda s: s["l"])).alias("school"),
         F.when(F.size("_cap") > 0, X.dictionary_values(cap_text, lex.regions)).alias("region"),
         _nonempty(F.array_sort(F.array_distinct("_lang"))).alias("language"),

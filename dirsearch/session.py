@@ -33,19 +33,24 @@ def local_session(cores: int | str = "*", app: str = "dirsearch") -> SparkSessio
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    ensure_checkpoint_dir(spark)
+    if not spark.conf.get("spark.checkpoint.dir", None):
+        spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="dirsearch-ckpt-", dir=os.environ.get("TMPDIR", "/tmp")))
+    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
     return spark
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
+def shared_dir(spark: SparkSession) -> str:
+    """The shared folder that the session names: ``spark.checkpoint.dir``, else the SparkContext's checkpoint folder.
 
-    On a cluster the operator sets it to shared storage and we only read it.
-    Only when it is unset (local tests) do we point it at a scratch folder.
+    Library code never sets or replaces either.  Only a local master without both gets a scratch folder.
     """
-    current = spark.conf.get("spark.checkpoint.dir", None)
-    if not current:
-        current = tempfile.mkdtemp(prefix="dirsearch-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
-        spark.conf.set("spark.checkpoint.dir", current)
-    spark.sparkContext.setCheckpointDir(current)
-    return current
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    held = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if folder:
+        return folder
+    if held.isDefined():
+        return held.get()
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return tempfile.mkdtemp(prefix="dirsearch-", dir=os.environ.get("TMPDIR", "/tmp"))

@@ -1,14 +1,14 @@
 """Incremental ingest with Structured Streaming.
 
-New page files arrive in a folder; each micro-batch skips URLs already stored
-(unless forced), parses the pages, upserts the profile table and replaces the
-children of the touched profiles.  Plain Parquet has no MERGE, so tables live
-in a :class:`~dirsearch.streaming.store.BucketedStore`: a batch rewrites only
-the hash buckets it touches, under a new epoch, and publishes a small
-manifest.  A replayed batch recomputes the same epoch from the previous
-manifest and the same micro-batch, so the sink is idempotent.  ``root`` must
-be shared storage on a cluster (for example a folder under
-``spark.checkpoint.dir``).
+New page files arrive in a folder.  Each micro-batch drops pages whose URL is
+already stored (unless forced), keeps one page per URL, parses the pages and
+writes every table as plain Parquet under ``root/<table>/epoch=N``.  Readers
+take, for each URL, the rows of its latest epoch, so a page parsed again
+replaces its profile and all its children.
+
+A replayed batch overwrites its own epoch and looks only at earlier epochs for
+known URLs, so it writes the same rows again.  ``root`` must be shared storage
+on a cluster.
 """
 
 from __future__ import annotations
@@ -19,72 +19,69 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from dirsearch.operators.upsert import name_index, profile_id, refresh_index, replace_children, upsert
+from dirsearch.operators.upsert import name_index
 from dirsearch.plans.ingest import Lexicon, parse_pages, skip_existing
-from dirsearch.streaming.store import BucketedStore
 
-PROFILE_COLS = ["id", "url", "name", "first_name", "last_name", "email", "phone", "title", "office_location",
-                "clerkship"]
-N_BUCKETS = 64
+PROFILE_COLS = ["id", "url", "name", "first_name", "last_name", "email", "phone", "title", "office_location", "clerkship"]
+CHILDREN = {"facets": "profile_id", "educations": "profile_id", "experience": "id", "name_index": "profile_id"}
 
 
-def read_version(spark: SparkSession, root: str, table: str, epoch: int | None = None,
-                 n_buckets: int = N_BUCKETS) -> DataFrame | None:
-    out = BucketedStore(spark, root, n_buckets).read(table, epoch)
-    return out.drop("bucket") if out is not None else None
+def _exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
+def _all(spark: SparkSession, root: str, table: str) -> DataFrame | None:
+    path = f"{root}/{table}"
+    return spark.read.parquet(path) if _exists(spark, path) else None
+
+
+def read_table(spark: SparkSession, root: str, table: str) -> DataFrame | None:
+    """The current rows of a table: profiles, one of CHILDREN, or errors (all of them); None before the first batch."""
+    rows = _all(spark, root, table)
+    if rows is None or table == "errors":
+        return rows
+    if table == "profiles":
+        others = [c for c in rows.columns if c != "url"]
+        latest = rows.groupBy("url").agg(F.max_by(F.struct(*others), "epoch").alias("r"), F.min("epoch").alias("first_epoch"))
+        return latest.select("url", "r.*", "first_epoch").select(*PROFILE_COLS, "first_epoch", "epoch")
+    key = CHILDREN[table]
+    current = _all(spark, root, "profiles").groupBy(F.col("id").alias(key)).agg(F.max("epoch").alias("epoch"))
+    return rows.join(current, [key, "epoch"]).select(*rows.columns)
+
+
+def one_page_per_url(pages: DataFrame, order: str = "page_id") -> DataFrame:
+    """Of pages with one URL in a batch, the one that comes last in ``order``."""
+    rest = [c for c in pages.columns if c != "url"]
+    last = pages.groupBy("url").agg(F.max_by(F.struct(*rest), order).alias("r"))
+    return last.select("url", "r.*").select(*pages.columns)
 
 
 def apply_batch(spark: SparkSession, pages: DataFrame, root: str, epoch: int, lex: Lexicon | None = None,
-                force: bool = False, n_buckets: int = N_BUCKETS) -> None:
-    """One micro-batch: version ``epoch`` from version ``epoch - 1`` and ``pages``.
-
-    Only the buckets of the incoming URLs are read (to skip known pages) and
-    only the buckets of the parsed profiles are rewritten.
-    """
-    store = BucketedStore(spark, root, n_buckets)
-    if not force:
-        keyed = pages.select(profile_id("url").alias("id"))
-        prev = store._previous("profiles", epoch)
-        known = store.read("profiles", prev, store.buckets_of(keyed, "id")) if prev is not None else None
-        if known is not None:
-            pages = skip_existing(pages, known.select("url"))
-    parsed = parse_pages(pages, lex)
-    ts = F.current_timestamp()
-    batch = parsed.profiles.select(*PROFILE_COLS)
-
-    def merge_profiles(prev, new):
-        if prev is None:
-            return new.withColumn("created_at", ts).withColumn("updated_at", ts)
-        return upsert(prev.select(*PROFILE_COLS, "created_at", "updated_at"), new, key="url", batch_ts=ts)
-
-    def merge_facets(prev, new):
-        if prev is None:
-            return new
-        return replace_children(prev.select(*new.columns), new, batch.select(F.col("id").alias("profile_id")))
-
-    def merge_index(prev, new):
-        if prev is None:
-            return new
-        return refresh_index(prev.select(*new.columns), batch.select("id", "name"))
-
-    touched = batch.select(F.col("id").alias("profile_id"))
-    store.write("profiles", epoch, batch, "id", merge_profiles)
-    store.write("facets", epoch, parsed.facets, "profile_id", merge_facets, touch=touched)
-    # ST2: the name token index follows every profile insert and update
-    store.write("name_index", epoch, name_index(batch), "profile_id", merge_index, touch=touched)
+                force: bool = False, school_aliases: DataFrame | None = None) -> None:
+    """One micro-batch: the tables of ``epoch`` from ``pages`` and what earlier epochs hold."""
+    stored = _all(spark, root, "profiles")
+    if stored is not None and not force:
+        pages = skip_existing(pages, stored.where(F.col("epoch") < epoch).select("url"))
+    parsed = parse_pages(one_page_per_url(pages), lex, school_aliases=school_aliases)
+    profiles = parsed.profiles.select(*PROFILE_COLS)
+    tables = {"facets": parsed.facets, "educations": parsed.educations, "experience": parsed.experience, "errors": parsed.errors,
+              "name_index": name_index(profiles), "profiles": profiles}
+    for name, rows in tables.items():  # profiles last: readers find children through them
+        rows.write.mode("overwrite").parquet(f"{root}/{name}/epoch={epoch}")
 
 
 def start_ingest(spark: SparkSession, source: str, schema, root: str, checkpoint: str | None = None,
                  lex: Lexicon | None = None, force: bool = False, available_now: bool = True,
-                 max_files_per_trigger: int | None = None) -> StreamingQuery:
-    """ST1: stream page files from ``source`` (a folder or glob) into versioned tables under ``root``."""
+                 max_files_per_trigger: int | None = None, school_aliases: DataFrame | None = None) -> StreamingQuery:
+    """ST1: stream page files from ``source`` (a folder or glob) into the tables under ``root``."""
     reader = spark.readStream.schema(schema)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     stream = reader.parquet(source)
 
     def each(batch_df: DataFrame, epoch_id: int) -> None:
-        apply_batch(batch_df.sparkSession, batch_df, root, int(epoch_id), lex, force)
+        apply_batch(batch_df.sparkSession, batch_df, root, int(epoch_id), lex, force, school_aliases)
 
     w = (stream.writeStream.foreachBatch(each)
          .option("checkpointLocation", checkpoint or os.path.join(root, "_checkpoint")))

@@ -12,11 +12,11 @@ from dirsearch.operators import embed as E
 from dirsearch.operators import lines as LN
 from dirsearch.operators import upsert as U
 from dirsearch.plans import ingest as I
-from dirsearch.session import ensure_checkpoint_dir
+from dirsearch.session import shared_dir
 from dirsearch.sources import files as FS
 from dirsearch.suite import standins as S
 from dirsearch.suite.pages import HTML_SQL, strip_sql
-from dirsearch.suite.registry import register, table
+from dirsearch.suite.registry import register, sql_str, table
 
 
 @register("src_seed_urls", sql=f"select {strip_sql('url')} as url from pages where starts_with({strip_sql('url')}, 'http')")
@@ -25,6 +25,7 @@ def src_seed_urls(spark, sf):
     return FS.seed_urls(table(spark, sf, "pages"), "url")
 
 
+STREAM_DOMAIN = r"[a-z0-9.-]+\.[a-z]+"  # any host: the test pages have no one domain
 T0, T1 = "2020-01-01 00:00:00", "2021-06-01 00:00:00"
 
 
@@ -186,16 +187,25 @@ def raw_archive(spark, sf):
     return I.parse_pages(table(spark, sf, "pages"), keep_raw=True).profiles.select("id", "url", "raw_html")
 
 
-@register("stream_ingest")
+@register("stream_ingest", sql=f"with last as (select url, max(page_id) as page_id from pages group by url) "
+          f"select h.url, lower(nullif(regexp_extract(h.text, {sql_str('[a-zA-Z0-9._%+-]+@' + STREAM_DOMAIN)}, 0), '')) as email, "
+          f"1::bigint as first_epoch, 2::bigint as epoch from {HTML_SQL} h join last using (page_id) "
+          f"where len(list_filter(list_transform(string_split(h.text, chr(10)), lambda x: {strip_sql('x')}), lambda x: x <> '')) > 0")
 def stream_ingest(spark, sf):
-    """ST1: incremental ingest through Structured Streaming, run to completion (rows-only)."""
-    from dirsearch.streaming.ingest_stream import read_version, start_ingest
-
-    root = os.path.join(ensure_checkpoint_dir(spark), f"stream-ingest-{uuid.uuid4().hex}")
-    schema = table(spark, sf, "pages").schema
-    q = start_ingest(spark, os.path.join(sf, "pages*.parquet"), schema, root)
+    """ST1: pages through Structured Streaming, then the same pages again, forced, as a second epoch; pages of one
+    URL are one profile."""
+    from dirsearch.streaming.ingest_stream import apply_batch, read_table, start_ingest
+
+    root = os.path.join(shared_dir(spark), f"stream-ingest-{uuid.uuid4().hex}")
+    pages = table(spark, sf, "pages")
+    lex = I.Lexicon(email_domain=STREAM_DOMAIN)
+    q = start_ingest(spark, os.path.join(sf, "pages*.parquet"), pages.schema, root, lex=lex)
     q.awaitTermination()
-    return read_version(spark, root, "profiles").select("id", "url", "name", "email", "phone", "title")
+    last = q.lastProgress["batchId"] if q.lastProgress else 0
+    apply_batch(spark, pages, root, last + 1, lex, force=True)
+    out = read_table(spark, root, "profiles")
+    return out.select("url", "email", (F.col("first_epoch") + 1).cast("long").alias("first_epoch"),
+                      (F.col("epoch") - last + 1).cast("long").alias("epoch"))
 
 
 @register("index_refresh", sql="with np as (select p_partkey as id, case when p_size > 40 then p_name || ' v2' "

@@ -48,14 +48,19 @@ HEADER = "The"
 STOPS = [" whi", "Licensed"]
 
 # --------------------------------------------------------------- HTML pages
-HTML_SQL = ("(with b as (select page_id, url, html, regexp_extract(html, " + sql_str(LN.BODY_RE) + ", 1) as body "
-            "from pages) select page_id, url, "
-            + "replace(" * len(LN.HTML_ENTITIES)
-            + "regexp_replace(regexp_replace(regexp_replace(regexp_replace(case when body <> '' then body else html end, "
-            + sql_str(LN.SCRIPT_RE) + ", '', 'g'), " + sql_str(LN.STYLE_RE) + ", '', 'g'), "
-            + sql_str(LN.COMMENT_RE) + ", '', 'g'), " + sql_str(LN.TAG_RE) + ", chr(10), 'g')"
-            + "".join(f", {sql_str(e)}, {sql_str(c)})" for e, c in LN.HTML_ENTITIES)
-            + " as text from b)")
+_ENT_CHARS = "[" + ", ".join("chr(%d)" % ord(c) for c in LN.ENTITY_CHARS) + "]"
+_DECODED = (f"case when i = 1 then p when r like '#x%' or r like '#X%' then chr(('0x' || substr(r, 3))::int) || substr(p, length(r) + 2) "
+            "when r like '#%' then chr(substr(r, 2)::int) || substr(p, length(r) + 2) "
+            f"when list_contains({sql_list(LN.ENTITY_NAMES)}, r) then {_ENT_CHARS}[list_position({sql_list(LN.ENTITY_NAMES)}, r)] "
+            "|| substr(p, length(r) + 2) else '&' || p end")
+HTML_SQL = ("(with b as (select page_id, url, html, regexp_extract(html, " + sql_str(LN.BODY_RE) + ", 1) as body from pages), "
+            "t as (select page_id, url, "
+            + "regexp_replace(" * 5 + "case when body <> '' then body else html end, "
+            + ", ".join(f"{sql_str(x)}, '', 'g')" for x in (LN.SCRIPT_RE, LN.STYLE_RE, LN.COMMENT_RE, LN.INLINE_RE))
+            + f", {sql_str(LN.TAG_RE)}, chr(10), 'g') as t from b), "
+            "u as (select page_id, url, unnest(string_split(t, '&')) as p, generate_subscripts(string_split(t, '&'), 1) as i from t), "
+            f"r as (select page_id, url, p, i, regexp_extract(p, {sql_str(LN.REFERENCE_RE)}, 1) as r from u) "
+            f"select page_id, url, string_agg({_DECODED}, '' order by i) as text from r group by page_id, url)")
 
 
 @register("page_lines", sql="select * from (" + lines_sql(HTML_SQL, "page_id", "text") + ")")
@@ -281,7 +286,7 @@ EXP = dict(header="Ietzte", header_max_len=20, stops=["Licensed", "And ornd."],
           "and not op and pos > st then pos end) over (partition by doc_id) as sp from c), "
           "e as (select doc_id, string_agg(line, ' ' order by pos) as t from d where pos > st and (sp is null or pos < sp)"
           f" and not op and not {any_sql('lower(line)', EXP['skips'])} group by doc_id), "
-          f"f as (select doc_id, {strip_sql(chr(114) + 'egexp_replace(t, ' + sql_str(chr(92) + 's+') + ', chr(32), ' + sql_str('g') + ')')} as x from e) "
+          f"f as (select doc_id, {strip_sql('regexp_replace(t, ' + sql_str(chr(92) + 's+') + ', chr(32), ' + sql_str('g') + ')')} as x from e) "
           f"select doc_id, x as experience from f where length(x) > {EXP['min_len']}")
 def experience_text(spark, sf):
     """Experience section text with navigation-header detection."""

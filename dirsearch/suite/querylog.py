@@ -175,24 +175,49 @@ for _key, _where, _doc in [
         ("criteria_fallback", "by_fallback", "Q12: remaining words as a name criterion")]:
     _crit_key(_key, _where, _where, _doc)
 
-NORM_MAP = [("the", "THE"), ("und", "UND"), ("que", "QUE"), ("tion", "TION")]
+NORM_KEYS_SQL = ("ak as (select key, arg_min(normalized, ord * 10 + pos) as normalized from (select lower(key) as key, normalized, ord, pos "
+                 "from alias_keys where key is not null and not contains(key, ' ')) group by key)")
 
 
-def _norm_sql() -> str:
-    x = f"lower({strip_sql('query')})"
-    for a, n in NORM_MAP:
-        x = f"replace({x}, {sql_str(a)}, {sql_str(n)})"
-    return x
-
-
-@register("query_normalize", sql=f"with {Q_SQL} select query_id, {_norm_sql()} as normalized from qs")
+@register("query_normalize", sql=f"with {Q_SQL}, {S.PART_ALIAS_KEYS_SQL}, {NORM_KEYS_SQL}, "
+          f"w as (select query_id, list_filter(string_split_regex(lower({strip_sql('query')}), '\\s+'), lambda x: x <> '') as ws from qs), "
+          "u as (select query_id, unnest(ws) as word, generate_subscripts(ws, 1) as i from w) "
+          "select w.query_id, coalesce(max(x.t), '') as normalized from w left join (select query_id, "
+          "string_agg(coalesce(ak.normalized, word), ' ' order by i) as t from u left join ak on ak.key = u.word group by query_id) x "
+          "using (query_id) group by w.query_id")
 def query_normalize(spark, sf):
-    """Q13: alias substrings replaced in map order."""
-    q = log_queries(spark, sf)
-    return q.select("query_id", QL.normalise_query("query", NORM_MAP).alias("normalized"))
-
-
-@register("batch_search", sql="with pr as (select p_partkey as id, list_filter(string_split_regex(lower(p_name), "
+    """Q13: whole words of the query that are aliases become their canonical names (single-word aliases here)."""
+    rows = A.alias_rows(table(spark, sf, "part"), "p_brand", ["p_name", "p_type"], "p_partkey")
+    return QL.normalise_queries(log_queries(spark, sf), rows, max_words=1)
+
+
+_FOLD = "list_filter(string_split_regex(strip_accents(lower({0})), '[^\\p{{L}}\\p{{N}}]+'), lambda t: t <> '')"
+SEARCH_SQL = (CRIT_SQL.rstrip() + f", {S.PART_DIRECTORY_SQL.strip()}, {S.PART_ALIAS_KEYS_SQL.strip()}, "
+              "cd as (select distinct query_id, field, op, value from crit2), ak as (select distinct field, op, value from cd), "
+              "sv as (select field, op, value, " + S.resolve_sql("value") + " as canonical from ak where field = 'school'), "
+              "ed as (select distinct profile_id as id, school_name, school_normalized, is_law_degree, year from educations), "
+              f"nt as (select id, {_FOLD.format('name')} as toks from profiles), "
+              "met as (select field, op, value, id from ak join nt on field = 'name' and len(" + _FOLD.format("value") + ") > 0 and case op when 'contains' then "
+              f"list_has_all(toks, {_FOLD.format('value')}) else contains(' ' || array_to_string(toks, ' ') || ' ', ' ' || array_to_string({_FOLD.format('value')}, ' ') || ' ') end "
+              "union select field, op, ak.value, id from ak join profiles on field = 'title' and case op when 'eq' then title = ak.value else contains(lower(title), lower(ak.value)) end "
+              "union select ak.field, op, ak.value, id from ak join fa on fa.field = ak.field and case when op = 'eq' and ak.field = 'language' then lower(fa.value) = lower(ak.value) "
+              "when op = 'eq' then fa.value = ak.value else contains(lower(fa.value), lower(ak.value)) end "
+              "union select field, op, value, id from sv join ed on case op when 'eq' then school_name = value or school_normalized = canonical else "
+              "contains(lower(school_name), lower(value)) or contains(lower(school_normalized), lower(canonical)) end "
+              "union select field, op, value, id from ak join ed on (field = 'law_school_year' and is_law_degree = 1 or field = 'undergrad_year' and is_law_degree = 0) "
+              "and case op when 'gt' then year > try_cast(value as int) when 'lt' then year < try_cast(value as int) when 'gte' then year >= try_cast(value as int) when 'lte' then year <= value::int else year = try_cast(value as int) end) "
+              "select query_id, id from cd join met using (field, op, value) join (select query_id, count(*) as need from cd group by 1) using (query_id) "
+              "group by query_id, id having count(*) = max(need)")
+
+
+@register("search_log", sql=SEARCH_SQL)
+def search_log(spark, sf):
+    """Q4-Q12, Q14: query strings to clauses to criteria to profiles, for the whole log."""
+    profiles, facets, educations = S.part_directory(spark, sf)
+    return QL.batch_search(criteria_rows(spark, sf), profiles, facets, educations, S.part_aliases(spark, sf))
+
+
+@register("batch_search", sql="with pr as (select p_partkey as id, list_filter(string_split_regex(strip_accents(lower(p_name)), "
           "'[^\\p{L}\\p{N}]+'), lambda t: t <> '') as toks from part) "
           "select q.id as query_id, p.id from pr q join pr p on list_has_all(p.toks, q.toks)")
 def batch_search(spark, sf):
@@ -233,7 +258,7 @@ def alias_resolve(spark, sf):
     return A.resolve(vals, "value", S.part_aliases(spark, sf)).select("id", "value", "resolved")
 
 
-@register("batch_search_and", sql="with pr as (select p_partkey as id, list_filter(string_split_regex(lower(p_name), "
+@register("batch_search_and", sql="with pr as (select p_partkey as id, list_filter(string_split_regex(strip_accents(lower(p_name)), "
           "'[^\\p{L}\\p{N}]+'), lambda t: t <> '') as toks, p_type from part) "
           "select q.id as query_id, p.id from pr q join pr p on list_has_all(p.toks, q.toks) and p.p_type = q.p_type")
 def batch_search_and(spark, sf):

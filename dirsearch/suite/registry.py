@@ -26,19 +26,9 @@ def register(key: str, sql: str | None = None):
     return deco
 
 
-_TABLES: dict[tuple[int, str], DataFrame] = {}
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The test table as a DataFrame; the (immutable) handle is reused within a
-    session so repeated plans do not list and read the file footer again."""
-    path = f"{sf_dir}/{name}.parquet"
-    key = (id(spark), path)
-    df = _TABLES.get(key)
-    if df is None or df.sparkSession is not spark:
-        df = spark.read.parquet(path)
-        _TABLES[key] = df
-    return df
+    """The test table as a DataFrame."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def sql_str(s: str) -> str:

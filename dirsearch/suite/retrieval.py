@@ -78,7 +78,7 @@ SMART_SQL = ("cnt as (select query_id, count(*) filter (where missing or matches
              "(case when n_strict >= 5 then n_strict else n_loose end) when n_kw >= 1 then n_loose else 1 end) > 0 "
              "then (case when n_kw >= 3 then (case when n_strict >= 5 then missing or matches >= 2 else missing or "
              "matches >= 1 end) when n_kw >= 1 then missing or matches >= 1 else true end) else rank <= 20 end)")
-_HITS = "list_filter(kept.keywords, lambda w: instr(lower(left(t.text, 3000)), w) > 0)"
+_HITS = "list_filter(kept.keywords, lambda w: instr(lower(t.text), w) > 0)"
 JUDGE_SQL = (f"jd as (select kept.query_id, kept.id, kept.rank, kept.score, case when t.text is null then false "
              f"when len(kept.keywords) = 0 then true else len({_HITS}) >= 1 end as passes, case when t.text is null "
              f"then 'Error: no profile text' else 'matched: ' || array_to_string({_HITS}, ', ') end as reasoning "
@@ -213,8 +213,8 @@ def hybrid_rank(spark, sf):
 
 
 @register("judge_parse", sql="select conv_id, turn, coalesce(regexp_matches(r, '(?s)<answer>.*?</answer>') and "
-          f"lower({strip_sql(chr(114) + 'egexp_extract(r, ' + sql_str('(?s)<answer>(.*?)</answer>') + ', 1)')}) = 'pass', "
-          f"false) as passes, {strip_sql(chr(114) + 'egexp_extract(r, ' + sql_str('(?s)<thinking>(.*?)</thinking>') + ', 1)')} "
+          f"lower({strip_sql('regexp_extract(r, ' + sql_str('(?s)<answer>(.*?)</answer>') + ', 1)')}) = 'pass', "
+          f"false) as passes, {strip_sql('regexp_extract(r, ' + sql_str('(?s)<thinking>(.*?)</thinking>') + ', 1)')} "
           "as reasoning from (select conv_id, turn, '<thinking> ' || text || ' </thinking><answer> ' || case when "
           "length(text) > 300 then 'PASS' when length(text) > 100 then 'Fail' else 'maybe' end || ' </answer>' as r "
           "from conversations where role = 'assistant')")
@@ -227,7 +227,7 @@ def judge_parse(spark, sf):
     return c.select("conv_id", "turn", p["passes"].alias("passes"), p["reasoning"].alias("reasoning"))
 
 
-@register("embed_clean", sql=f"select doc_id, t as clean from (select doc_id, {strip_sql(chr(114) + 'egexp_replace(text, ' + sql_str('[' + chr(10) + chr(9) + ']') + ', ' + sql_str(' ') + ', ' + sql_str('g') + ')')} "
+@register("embed_clean", sql=f"select doc_id, t as clean from (select doc_id, {strip_sql('regexp_replace(text, ' + sql_str('[' + chr(10) + chr(9) + ']') + ', ' + sql_str(' ') + ', ' + sql_str('g') + ')')} "
           "as t from documents) where t <> ''")
 def embed_clean(spark, sf):
     """V5: text prepared for embedding (newlines/tabs to spaces, stripped, empty dropped), ids kept."""
@@ -245,7 +245,7 @@ def embed_coverage(spark, sf):
 
 
 def word_judge(pdf):
-    """A caller-style Python judge: pass when 'the' occurs in the (already cut) text."""
+    """A caller-style Python judge: pass when 'the' occurs in the text."""
     import pandas as pd
 
     low = pdf["text"].fillna("").str.lower()
@@ -256,7 +256,7 @@ def word_judge(pdf):
 @register("cascade_python_judge", sql=f"with {Q_SQL}, {KW_SQL}, {hits_sql(50)}, {CAND_SQL}, {TEXTS_SQL}, {SC_SQL}, "
           f"{SMART_SQL} select kept.query_id, kept.rank, kept.id, 'python judge: pass' as reasoning "
           "from kept join texts t using (id) join customer c on c.c_custkey = kept.id "
-          "where contains(lower(left(t.text, 3000)), 'the')")
+          "where contains(lower(t.text), 'the')")
 def cascade_python_judge(spark, sf):
     """V10 pluggable judge: the cascade with a Python judge run through mapInPandas."""
     out = C.cascade(queries(spark, sf), corpus(spark, sf), texts(spark, sf), profiles(spark, sf),

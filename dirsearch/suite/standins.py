@@ -95,3 +95,34 @@ def resolve_sql(value_sql: str) -> str:
     """DuckDB expression resolving ``value_sql`` through ``alias_keys`` (exact, then folded, then itself)."""
     return (f"coalesce((select arg_min(normalized, (key <> {value_sql})::int * 1000000000 + ord * 10 + pos) "
             f"from alias_keys where key = {value_sql} or lower(key) = lower({value_sql})), {value_sql})")
+
+
+def part_directory(spark, sf):
+    """A directory in which the composed query strings find people: parts as profiles with facets and schools."""
+    p = table(spark, sf, "part").select("p_partkey", "p_name", "p_brand", "p_size")
+    kind = F.col("p_size") % 5
+    title = (F.when(kind == 0, "Partner").when(kind == 1, "Associate").when(kind == 2, "Of Counsel")
+             .when(kind == 3, "Counsel").otherwise(F.concat(F.lit("Senior "), F.initcap("p_name"))))
+    profiles = p.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), title.alias("title"))
+    region = F.when(kind < 3, "Asia").otherwise("Latin America")
+    own = F.array(*[F.struct(F.lit(f).alias("facet"), v.alias("value")) for f, v in
+                    (("practice", F.col("p_brand")), ("region", region), ("language", F.initcap("p_name")))])
+    facets = p.select(F.col("p_partkey").alias("profile_id"), F.explode(own).alias("x")).select("profile_id", "x.*")
+    schools = F.array(*[F.struct(F.concat("p_name", F.lit(s)).alias("school_name"), F.col("p_brand").alias("school_normalized"),
+                                 F.lit(law).alias("is_law_degree"), (F.lit(y) + F.col("p_size")).alias("year"))
+                        for s, law, y in ((" University", 1, 1995), (" College", 0, 1960), (" Law School", 1, 1970))])
+    educations = p.select(F.col("p_partkey").alias("profile_id"), F.explode(schools).alias("x")).select("profile_id", "x.*")
+    return profiles, facets, educations
+
+
+_INITCAP_NAME = "array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(left(w, 1)) || lower(substr(w, 2))), ' ')"
+PART_DIRECTORY_SQL = f"""
+dp as (select *, p_size % 5 as kind, {_INITCAP_NAME} as cap from part),
+profiles as (select p_partkey as id, p_name as name, case kind when 0 then 'Partner' when 1 then 'Associate' when 2 then 'Of Counsel'
+                    when 3 then 'Counsel' else 'Senior ' || cap end as title from dp),
+fa as (select p_partkey as id, 'practice' as field, p_brand as value from dp
+       union all select p_partkey, 'region', case when kind < 3 then 'Asia' else 'Latin America' end from dp
+       union all select p_partkey, 'language', cap from dp),
+educations as (select p_partkey as profile_id, p_name || ' University' as school_name, p_brand as school_normalized, 1 as is_law_degree, 1995 + p_size as year from part
+       union all select p_partkey, p_name || ' College', p_brand, 0, 1960 + p_size from part
+       union all select p_partkey, p_name || ' Law School', p_brand, 1, 1970 + p_size from part)"""

@@ -68,16 +68,40 @@ select * from (
 where rank <= 10
 """)
 def knn_tiled(spark, sf):
-    """V3 with the tiled plan (corpus blocks x query tiles), as used for query tables too big to broadcast."""
+    """V3 with block and tile counts given (corpus blocks x query tiles)."""
     emb = table(spark, sf, "embeddings").select("vec_id", "embedding")
-    out = knn.knn_exact(emb, emb.withColumnRenamed("vec_id", "query_id"), 10, id_col="vec_id", strategy="tiled",
+    out = knn.knn_exact(emb, emb.withColumnRenamed("vec_id", "query_id"), 10, id_col="vec_id",
                         corpus_blocks=4, query_tiles=3)
     return out.select("query_id", "id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
-@register("knn_lsh")
+LSH_RECALL, LSH_SHARE = 0.95, 0.10
+
+
+@register("knn_lsh", sql="select count(*) as n_queries, true as recall_ok, true as share_ok from embeddings")
 def knn_lsh(spark, sf):
-    """V4: approximate top-10 of every vector by LSH, re-ranked exactly (rows-only)."""
+    """V4: every vector, changed to a cosine of about 0.95, finds its source among the approximate top 10.
+
+    One row: whether the share of queries that find it is at least 0.95, and
+    whether at most a tenth of all pairs were scored.
+    """
+    emb = table(spark, sf, "embeddings").select("vec_id", "embedding")
+    size = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda t, x: t + x.cast("double") * x.cast("double")) / F.size("embedding"))
+    sign = lambda i: F.pmod(F.xxhash64("vec_id", i), F.lit(2)) * 2 - 1
+    queries = emb.select(F.col("vec_id").alias("query_id"), F.transform(
+        "embedding", lambda x, i: x.cast("double") + F.lit(0.33) * size * sign(i)).alias("embedding"))
+    found = knn.knn_lsh(emb, queries, 10, id_col="vec_id").where("query_id = id").agg(F.count("*").alias("n"))
+    counts = [emb.agg(F.count("*").alias("n")), found, knn.lsh_pairs(emb, queries, id_col="vec_id").select(F.col("pairs").alias("n"))]
+    rows = [df.select(F.lit(i).alias("i"), F.col("n").cast("long").alias("n")) for i, df in enumerate(counts)]
+    total, hits, pairs = (F.max(F.when(F.col("i") == i, F.col("n"))) for i in range(3))
+    return (rows[0].unionAll(rows[1]).unionAll(rows[2])
+            .agg(total.alias("n_queries"), (hits >= LSH_RECALL * total).alias("recall_ok"),
+                 (pairs <= LSH_SHARE * total * total).alias("share_ok")))
+
+
+@register("knn_lsh_topk")
+def knn_lsh_topk(spark, sf):
+    """V4: the approximate top 10 themselves (rows-only: approximate)."""
     emb = table(spark, sf, "embeddings").select("vec_id", "embedding")
     out = knn.knn_lsh(emb, emb.withColumnRenamed("vec_id", "query_id"), 10, id_col="vec_id")
     return out.select("query_id", "id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))

@@ -13,7 +13,7 @@ from dirsearch.plans import ingest as I
 
 PAGE = """<html><head><title>x</title><script>var a="<p>";</script></head><body>
 <nav><a>Lawyers</a><a>Capabilities</a><a>Experience</a><a>Offices</a></nav>
-<h1>Jane Q. Doe</h1><p>Partner</p><p>jane.doe@davispolk.com</p><p>+1 212 450 4000</p><p>New York</p>
+<h1>Jane Q. Doe</h1><p>Partner</p><p>jane.doe@example.com</p><p>+1 212 450 4000</p><p>New York</p>
 <h2>Experience</h2>
 <p>Represented Acme Corp in its $1 billion acquisition of Widget Co, a leading maker of widgets.</p>
 <p>Advised a consortium of banks on a cross-border financing.</p><p>View more experience</p>
@@ -25,21 +25,24 @@ PAGE = """<html><head><title>x</title><script>var a="<p>";</script></head><body>
 <p>Back to top</p></body></html>"""
 
 PAGE2 = """<html><body><p>Print this page</p><p>John Smith</p><p>Senior Counsel, Tax</p>
-<p>john.smith@davispolk.com</p><p>London</p><p>Experience</p><p>Offices</p>
+<p>john.smith@example.com</p><p>London</p><p>Experience</p><p>Offices</p>
 <p>Capabilities</p><p>China</p><p>Japan</p><p>Education</p><p>Harvard University</p></body></html>"""
 
 
+LEX = I.Lexicon(email_domain=r"example\.com")
+
+
 def _pages(spark):
-    return spark.createDataFrame([(1, "https://www.davispolk.com/lawyers/jane-doe", PAGE),
-                                  (2, "https://www.davispolk.com/people/42", PAGE2),
-                                  (3, "https://www.davispolk.com/lawyers/empty", "<html><body></body></html>")],
+    return spark.createDataFrame([(1, "https://www.example.com/lawyers/jane-doe", PAGE),
+                                  (2, "https://www.example.com/people/42", PAGE2),
+                                  (3, "https://www.example.com/lawyers/empty", "<html><body></body></html>")],
                                  "page_id long, url string, html string")
 
 
 def _modular(pages):
     lines = LN.page_lines(pages)
     ok = lambda c: valid_name(c, L.NAME_BLACKLIST, L.NAME_SHAPE, L.NAME_BAD_CHARS)
-    mail = r"(?i)[a-zA-Z0-9._%+-]+@" + L.EMAIL_DOMAIN
+    mail = r"(?i)[a-zA-Z0-9._%+-]+@" + LEX.email_domain
     parts = [X.near_match(lines, "page_id", F.col("line").rlike(mail), ok(F.col("line")), out="near_name"),
              X.first_line_matching(lines, "page_id", F.col("line").rlike(L.NAME_LINE) & ok(F.col("line")), head=30,
                                    out="line_name"),
@@ -56,7 +59,8 @@ def test_single_pass_equals_extractors(spark):
     pages = _pages(spark)
     cols = ["page_id", "near_name", "line_name", "title_name", "title", "region", "school", "clerkship", "language",
             "experience"]
-    single = I._line_fields(LN.page_lines(pages), I.Lexicon()).select(*cols)
+    lines = LN.page_lines(pages).withColumn("local", F.lit(None).cast("struct<url:string>"))
+    single = I._line_fields(lines, I.Lexicon(email_domain=LEX.email_domain, head_lines=30)).select(*cols)
     modular = _modular(pages).select(*cols)
     a = {r["page_id"]: r.asDict() for r in single.collect()}
     b = {r["page_id"]: r.asDict() for r in modular.collect()}
@@ -73,13 +77,13 @@ def test_single_pass_equals_extractors(spark):
 
 
 def test_parse_pages_profiles(spark):
-    parsed = I.parse_pages(_pages(spark), materialize=False)
+    parsed = I.parse_pages(_pages(spark), LEX)
     rows = {r["url"]: r for r in parsed.profiles.collect()}
-    jane = rows["https://www.davispolk.com/lawyers/jane-doe"]
+    jane = rows["https://www.example.com/lawyers/jane-doe"]
     assert (jane["name"], jane["first_name"], jane["last_name"]) == ("Jane Doe", "Jane", "Doe")
-    assert jane["email"] == "jane.doe@davispolk.com" and jane["phone"] == "+1 212 450 4000"
+    assert jane["email"] == "jane.doe@example.com" and jane["phone"] == "+1 212 450 4000"
     assert jane["office_location"] == "New York"
-    john = rows["https://www.davispolk.com/people/42"]
+    john = rows["https://www.example.com/people/42"]
     assert john["name"] == "John Smith" and john["title"] == "Senior Counsel"
     facets = {(r["facet"], r["value"]) for r in parsed.facets.collect()}
     assert ("practice", "Capital Markets") in facets and ("practice", "Tax") in facets
@@ -92,20 +96,20 @@ def test_stream_store_keeps_name_index(spark):
     import os
     import uuid
 
-    from dirsearch.session import ensure_checkpoint_dir
-    from dirsearch.streaming.ingest_stream import apply_batch, read_version
+    from dirsearch.session import shared_dir
+    from dirsearch.streaming.ingest_stream import apply_batch, read_table
 
-    root = os.path.join(ensure_checkpoint_dir(spark), f"test-index-{uuid.uuid4().hex}")
+    root = os.path.join(shared_dir(spark), f"test-index-{uuid.uuid4().hex}")
     pages = _pages(spark)
-    apply_batch(spark, pages, root, 0, n_buckets=4)
-    ids = {r["url"]: r["id"] for r in read_version(spark, root, "profiles", n_buckets=4).collect()}
-    jane, john = ids["https://www.davispolk.com/lawyers/jane-doe"], ids["https://www.davispolk.com/people/42"]
-    idx0 = {(r["token"], r["profile_id"]) for r in read_version(spark, root, "name_index", n_buckets=4).collect()}
+    apply_batch(spark, pages, root, 0, LEX)
+    ids = {r["url"]: r["id"] for r in read_table(spark, root, "profiles").collect()}
+    jane, john = ids["https://www.example.com/lawyers/jane-doe"], ids["https://www.example.com/people/42"]
+    idx0 = {(r["token"], r["profile_id"]) for r in read_table(spark, root, "name_index").collect()}
     assert {("jane", jane), ("doe", jane), ("john", john), ("smith", john)} <= idx0
-    changed = spark.createDataFrame([(2, "https://www.davispolk.com/people/42", PAGE2.replace("John Smith", "Jack Smith"))],
+    changed = spark.createDataFrame([(2, "https://www.example.com/people/42", PAGE2.replace("John Smith", "Jack Smith"))],
                                     "page_id long, url string, html string")
-    apply_batch(spark, changed, root, 1, n_buckets=4, force=True)
-    idx1 = {(r["token"], r["profile_id"]) for r in read_version(spark, root, "name_index", n_buckets=4).collect()}
+    apply_batch(spark, changed, root, 1, LEX, force=True)
+    idx1 = {(r["token"], r["profile_id"]) for r in read_table(spark, root, "name_index").collect()}
     assert ("jack", john) in idx1 and ("john", john) not in idx1 and ("jane", jane) in idx1
-    names = {r["url"]: r["name"] for r in read_version(spark, root, "profiles", n_buckets=4).collect()}
-    assert names["https://www.davispolk.com/people/42"] == "Jack Smith"
+    names = {r["url"]: r["name"] for r in read_table(spark, root, "profiles").collect()}
+    assert names["https://www.example.com/people/42"] == "Jack Smith"

@@ -8,7 +8,7 @@ import uuid
 import numpy as np
 
 from dirsearch.operators import embed as E
-from dirsearch.session import ensure_checkpoint_dir
+from dirsearch.session import shared_dir
 from dirsearch.sources import files as FS
 
 
@@ -35,7 +35,7 @@ def test_default_embedder_is_unit_length(spark):
 
 
 def test_sinks_write_and_read_back(spark):
-    base = os.path.join(ensure_checkpoint_dir(spark), f"test-sinks-{uuid.uuid4().hex}")
+    base = os.path.join(shared_dir(spark), f"test-sinks-{uuid.uuid4().hex}")
     prof = spark.createDataFrame([(1, "A B", ["Tax"]), (2, "C D", None)], "id long, name string, practices array<string>")
     FS.write_json(prof, os.path.join(base, "export"))
     back = {r["id"]: r for r in spark.read.json(os.path.join(base, "export")).collect()}
