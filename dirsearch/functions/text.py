@@ -97,12 +97,7 @@ def regex_first(text: Column | str, patterns: Sequence[str], group: int = 0) ->
 
 def capitalize_word(w: Column) -> Column:
     """Python ``str.capitalize`` for one word: first char upper, rest lower."""
-    return F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, 2, 1 << 30)))
-
-
-def title_case_ascii_words(c: Column | str) -> Column:
-    """Python ``str.title`` on space-separated words of letters (initcap)."""
-    return F.initcap(col_of(c))
+    return F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substr(w, F.lit(2))))
 
 
 def name_from_slug(slug: Column | str, roman: Sequence[str], suffixes: Sequence[str]) -> Column:

@@ -50,11 +50,10 @@ def route_final(tag: Column | str, fallback: Column | None = None, default: str
 
 
 def route_mix(tags: DataFrame, tag_col: str = "route") -> DataFrame:
-    """Q3: share of each routing tag (aggregate first; the window runs over <= 3 rows)."""
-    from pyspark.sql import Window
-
+    """Q3: share of each routing tag; the total is a scalar subquery."""
     counts = tags.groupBy(tag_col).agg(F.count("*").alias("n"))
-    return counts.withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy()), 6))
+    total = tags.agg(F.count("*").alias("total")).scalar()
+    return counts.withColumn("share", F.round(F.col("n") / total, 6))
 
 
 # ------------------------------------------------------------ clause split

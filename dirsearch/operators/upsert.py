@@ -26,14 +26,22 @@ def profile_id(url: Column | str) -> Column:
 
 
 def upsert(base: DataFrame, batch: DataFrame, key: str = "url", batch_ts: Column | None = None,
-           created: str = "created_at", updated: str = "updated_at") -> DataFrame:
-    """Keyed upsert of ``batch`` into ``base`` (same columns)."""
+           created: str = "created_at", updated: str = "updated_at", order: str | None = None) -> DataFrame:
+    """Keyed upsert of ``batch`` into ``base`` (same columns).
+
+    Of batch rows with one key, the one that is last by ``order`` (a column of
+    the batch) wins; without it the greatest row, so that reruns agree.
+    """
+    if order is not None:
+        rest = [c for c in batch.columns if c not in (key, order)]
+        batch = batch.groupBy(key).agg(F.max_by(F.struct(*rest), order).alias("_b")).select(key, "_b.*")
     ts = batch_ts if batch_ts is not None else F.current_timestamp()
     cols = [c for c in base.columns if c not in (created, updated)]
     b = base.select(*cols, created, updated, F.lit(0).alias("_v"))
     n = batch.select(*cols, ts.alias(created), ts.alias(updated), F.lit(1).alias("_v"))
     both = b.unionByName(n)
-    latest = F.max_by(F.struct(*[F.col(c) for c in cols if c != key], F.col(updated)), "_v")
+    values = [F.col(c) for c in cols if c != key]
+    latest = F.max_by(F.struct(*values, F.col(updated)), F.struct("_v", *values))
     out = both.groupBy(key).agg(latest.alias("_r"), F.min(created).alias(created))
     return out.select(key, *[F.col(f"_r.{c}").alias(c) for c in cols if c != key], created, F.col(f"_r.{updated}")
                       .alias(updated)).select(*base.columns)

@@ -38,7 +38,7 @@ def read_alias_file(spark: SparkSession, path: str) -> DataFrame:
     parts = F.transform(F.split(strip("value"), ",", -1), strip)
     rows = body.select("ord", parts.alias("p")).where((F.size("p") >= 2) & (F.col("p")[0] != ""))
     return (rows.select(F.col("p")[0].alias("normalized"), "ord",
-                        F.posexplode(F.slice("p", 2, 1 << 20)).alias("pos0", "alias"))
+                        F.posexplode(F.slice("p", F.lit(2), F.size("p"))).alias("pos0", "alias"))
             .where(F.col("alias") != "")
             .select("normalized", "alias", "ord", (F.col("pos0") + 1).alias("pos")))
 
