@@ -9,8 +9,9 @@ another one has a population count that gives the similarity of the two sets, pr
 3. Where a bucket still holds several components, each node outside the first node's component is compared by sketch
    with all others of the bucket, block by block, so a large bucket is spread over tasks.  First only the closest node of
    another component is confirmed, which joins what belongs together by one comparison a node.
-4. Where a bucket holds several components even then, all pairs of different components are confirmed whose sketches
-   come near the threshold; pairs further off are never rows.
+4. Where a bucket holds several components even then, the nodes that have a node of another component near the
+   threshold by sketch meet once more, now with their whole sets: all such pairs are confirmed inside the task, unless
+   confirmed links already join the two, and only links that join components are rows.
 5. The confirmed links make the components.
 
 A pair at the threshold shares none of the bands with a probability of (1 - 0.75 ** 4) ** 32 = 5e-6, and a link's sketch
@@ -138,67 +139,125 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.where(f"100 * n >= {PERCENT} * (na + nb - n)").select("a", "b")
 
 
-def _close(limit: int, closest: bool):
-    """Of (band, block, nid, comp, minor, own, sketch) rows: pairs of different components with near sketches, for each
-    minor node all of them or only the closest."""
-    def pairs(rows: pd.DataFrame) -> np.ndarray:
-        nid, comp = rows["nid"].to_numpy(), rows["comp"].to_numpy()
-        sketch = np.stack(rows["sketch"].to_numpy()).view(np.uint64)
-        minor, own = rows["minor"].to_numpy(), rows["own"].to_numpy()
-        left, right = np.flatnonzero(minor), np.flatnonzero(own)
-        out = [np.zeros((3, 0), np.int64)]
-        for lo in range(0, len(left) if len(right) else 0, 256):
-            x = left[lo : lo + 256]
-            bits = np.zeros((len(x), len(right)), np.int32)
-            for k in range(sketch.shape[1]):
-                bits += np.bitwise_count(sketch[x, k][:, None] ^ sketch[right, k][None, :])
-            bits[comp[x][:, None] == comp[right][None, :]] = limit + 1
-            if closest:
-                j = bits.argmin(axis=1)
-                i = np.flatnonzero(bits[np.arange(len(x)), j] <= limit)
-                j = j[i]
-            else:
-                i, j = np.nonzero((bits <= limit) & (~minor[right][None, :] | (nid[x][:, None] < nid[right][None, :])))
-            out.append(np.stack([nid[x[i]], nid[right[j]], bits[i, j]]))
-        return np.concatenate(out, axis=1)
+GROUP = ["band", "block", "side"]
 
+
+def _grouped(work):
+    """mapInPandas function over rows sorted by GROUP: work on each group; a group may go on over batches."""
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest = None
 
-        def groups(rows: pd.DataFrame) -> pd.DataFrame:
-            found = [pairs(g) for _, g in rows.groupby(["band", "block"], sort=False) if len(g) > 1]
-            a, b, bits = np.concatenate(found, axis=1) if found else np.zeros((3, 0), np.int64)
-            return pd.DataFrame({"a": a, "b": b, "bits": bits}).drop_duplicates()
+        def done(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+            found = [r for _, g in rows.groupby(GROUP, sort=False) if len(g) > 1 and len(r := work(g))]
+            if found:
+                yield pd.concat(found, ignore_index=True)
 
         for f in frames:
             f = f if rest is None else pd.concat([rest, f], ignore_index=True)
-            if not len(f):
-                continue
-            last = (f["band"] == f["band"].iloc[-1]) & (f["block"] == f["block"].iloc[-1])
-            rest, ready = f[last], f[~last]
-            if len(ready):
-                yield groups(ready)
+            if len(f):
+                last = (f[GROUP] == f[GROUP].iloc[-1]).all(axis=1)
+                rest = f[last]
+                yield from done(f[~last])
         if rest is not None:
-            yield groups(rest)
+            yield from done(rest)
 
     return run
 
 
-def across(members: DataFrame, comp: DataFrame, sketches: DataFrame, closest: bool) -> DataFrame:
-    """Pairs (a, b, bits) of near sketches in buckets that hold several components."""
+def _distances(rows: pd.DataFrame, limit: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(minor rows, own rows, differing bits) of a group, some minor rows at a time; over limit within a component."""
+    comp, sketch = rows["comp"].to_numpy(), np.stack(rows["sketch"].to_numpy()).view(np.uint64)
+    left, right = np.flatnonzero(rows["minor"].to_numpy()), np.flatnonzero(rows["own"].to_numpy())
+    for lo in range(0, len(left) if len(right) else 0, 256):
+        x = left[lo : lo + 256]
+        bits = np.zeros((len(x), len(right)), np.int32)
+        for k in range(sketch.shape[1]):
+            bits += np.bitwise_count(sketch[x, k][:, None] ^ sketch[right, k][None, :])
+        bits[comp[x][:, None] == comp[right][None, :]] = limit + 1
+        yield x, right, bits
+
+
+def _closest(limit: int):
+    """For each minor row of a group its closest row of another component: (a, b, bits)."""
+    def work(rows: pd.DataFrame) -> pd.DataFrame:
+        nid, out = rows["nid"].to_numpy(), [np.zeros((3, 0), np.int64)]
+        for x, right, bits in _distances(rows, limit):
+            j = bits.argmin(axis=1)
+            i = np.flatnonzero(bits[np.arange(len(x)), j] <= limit)
+            out.append(np.stack([nid[x[i]], nid[right[j[i]]], bits[i, j[i]]]))
+        a, b, bits = np.concatenate(out, axis=1)
+        return pd.DataFrame({"a": a, "b": b, "bits": bits})
+
+    return work
+
+
+def _near(limit: int):
+    """The rows of a group that have a near row of another component."""
+    def work(rows: pd.DataFrame) -> pd.DataFrame:
+        keep = np.zeros(len(rows), bool)
+        for x, right, bits in _distances(rows, limit):
+            near = bits <= limit
+            keep[x[near.any(axis=1)]] = keep[right[near.any(axis=0)]] = True
+        return rows[keep]
+
+    return work
+
+
+def _confirmed(limit: int):
+    """Links (a, b) of a group, confirmed on whole sets, that join components which links of the group do not yet join."""
+    def work(rows: pd.DataFrame) -> pd.DataFrame:
+        nid, root = rows["nid"].to_numpy(), {c: c for c in rows["comp"]}
+        comp, sets = rows["comp"].tolist(), [np.sort(s) for s in rows["shingles"]]
+        size, links = np.array([len(s) for s in sets]), []
+
+        def find(c: int) -> int:
+            while root[c] != c:
+                root[c] = c = root[root[c]]
+            return c
+
+        for x, right, bits in _distances(rows, limit):
+            for i, row in zip(x, bits):
+                own = find(comp[i])
+                others = [j for j in right[row <= limit] if find(comp[j]) != own]
+                if not others:
+                    continue
+                values = np.concatenate([sets[j] for j in others])
+                at = np.minimum(np.searchsorted(sets[i], values), size[i] - 1)
+                n = np.add.reduceat(sets[i][at] == values, np.cumsum([0, *size[others[:-1]]]), dtype=np.int64)
+                for j in np.asarray(others)[100 * n >= PERCENT * (size[i] + size[others] - n)]:
+                    if find(comp[i]) != find(comp[j]):
+                        root[find(comp[j])] = find(comp[i])
+                        links.append((nid[i], nid[j]))
+        return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
+
+    return work
+
+
+def open_groups(members: DataFrame, comp: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Rows of the buckets that hold several components, dealt into groups of about two BLOCKs of nodes at most.
+
+    A minor node is one outside the first node's component.  Nodes are dealt to blocks, minor nodes also to sides; each
+    block meets each side, so every pair of a minor node and another one is in one group.  A row says as what its node
+    stands in the group: as one of the block (own), as one of the side (minor), or both.
+    """
     placed = (members.join(comp.select(F.col("node").alias("nid"), F.col("root").alias("comp")), "nid", "left")
               .withColumn("comp", F.coalesce("comp", "nid")))
     open_ = (placed.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"),
                                         F.max(F.when(F.col("nid") == F.col("leader"), F.col("comp"))).alias("main"))
              .where("lo < hi").select("band", "main"))
-    live = (placed.join(open_, "band").withColumn("minor", F.col("comp") != F.col("main"))
-            .withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
-            .withColumn("home", F.expr("pmod(xxhash64(nid), blocks)")))
-    dealt = (live.withColumn("block", F.explode(F.when(F.col("minor"), F.expr("sequence(0L, blocks - 1L)")).otherwise(F.array("home"))))
-             .withColumn("own", F.col("block") == F.col("home")).join(sketches, "nid")
-             .select("band", "block", "nid", "comp", "minor", "own", "sketch")
-             .repartition("band", "block").sortWithinPartitions("band", "block"))
-    return dealt.mapInPandas(_close(most_bits(LEAST_ESTIMATE), closest), "a long, b long, bits long")
+    live = (placed.join(open_, "band").withColumn("outside", F.col("comp") != F.col("main"))
+            .withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("long"))
+            .withColumn("home", F.expr("pmod(xxhash64(nid), blocks)")).withColumn("away", F.expr("pmod(xxhash64(nid, 1), blocks)")))
+    cells = F.expr("""concat(
+        transform(sequence(0L, blocks - 1L), k -> struct(home as block, k as side, true as own, outside and k = away as minor)),
+        if(outside, transform(filter(sequence(0L, blocks - 1L), k -> k <> home),
+                              k -> struct(k as block, away as side, false as own, true as minor)), array()))""")
+    return (live.withColumn("cell", F.explode(cells)).join(sketches, "nid")
+            .select("band", "cell.block", "cell.side", "nid", "comp", "cell.minor", "cell.own", "sketch"))
+
+
+def _in_order(groups: DataFrame) -> DataFrame:
+    return groups.repartition(*GROUP).sortWithinPartitions(*GROUP)
 
 
 def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -229,11 +288,14 @@ def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
     comp = components(first, "a", "b")
 
     # what is left: buckets that still hold several components
-    again = across(members, comp, sketches, closest=True).groupBy("a").agg(F.min(F.struct("bits", "b")).alias("m")).select("a", F.col("m.b").alias("b"))
+    again = (_in_order(open_groups(members, comp, sketches)).mapInPandas(_grouped(_closest(limit)), "a long, b long, bits long")
+             .groupBy("a").agg(F.min(F.struct("bits", "b")).alias("m")).select("a", F.col("m.b").alias("b")))
     roots = lambda: comp.select(F.col("node").alias("a"), F.col("root").alias("b"))
     comp = components(roots().unionAll(confirmed(again, sets)), "a", "b")
-    every = across(members, comp, sketches, closest=False).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    links = components(roots().unionAll(confirmed(every, sets)), "a", "b")
+    groups = open_groups(members, comp, sketches)
+    near = written(_in_order(groups).mapInPandas(_grouped(_near(limit)), groups.schema), "near-groups")
+    last = _in_order(near.join(sets, "nid")).mapInPandas(_grouped(_confirmed(limit)), "a long, b long")
+    links = components(roots().unionAll(last), "a", "b")
 
     whole = (nodes.select("nid", "node", "id", "hash").join(links.select(F.col("node").alias("nid"), "root"), "nid", "left")
              .withColumn("root", F.coalesce("root", "nid")))
