@@ -45,7 +45,7 @@ class _Powers:
 
     def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) < n:
-            size = max(n, 2 * len(self.up), 1 << 16)
+            size = max(n + n // 8, 1 << 16)
             for name, b in (("up", self.base), ("down", pow(self.base, -1, 1 << 64))):
                 x = np.full(size, b, np.uint64)
                 x[0] = 1

@@ -40,6 +40,7 @@ FREQUENT = 1 << 16  # tokens whose counts are broadcast: 1 MB
 EMBED, HIDDEN = 16, 24
 LANES, WINDOW = 32, 16
 SCORE_LANES, SCORE_WINDOW = 256, 32
+SCORE_BYTES = 2 << 20  # of text that are scored side by side
 SAMPLE_SHARE, SAMPLE_LEAST = 0.02, 500_000  # of training tokens: this share, but at least so many
 TRAINER_TOKENS, TRAINERS, ROUNDS, FAN_IN = 400_000, 6, 4, 32
 RATE = 0.005
@@ -160,6 +161,7 @@ def _grid(bounds: np.ndarray, lanes: int) -> tuple[np.ndarray, np.ndarray]:
     """(steps, lanes): token numbers (-1: none) and whether a text starts there."""
     dealt = _lanes(np.diff(bounds), lanes)
     rows = [np.concatenate([np.arange(bounds[i], bounds[i + 1]) for i in lane]) if lane else np.zeros(0, np.int64) for lane in dealt]
+    rows.sort(key=len, reverse=True)  # so that the lanes that still go on are the first ones
     grid = np.full((max(map(len, rows)), lanes), -1, np.int64)
     for k, r in enumerate(rows):
         grid[: len(r), k] = r
@@ -178,12 +180,15 @@ def log10_probabilities(p: dict[str, np.ndarray], ids: np.ndarray, bounds: np.nd
     share = p["embed"] @ p["wx"] + p["b"]
     h = np.zeros((lanes, HIDDEN), np.float32)
     for lo in range(0, len(grid), window):
-        g, s = grid[lo : lo + window], starts[lo : lo + window]
+        n = int(np.count_nonzero(grid[lo] >= 0))
+        g, s, h = grid[lo : lo + window, :n], starts[lo : lo + window, :n], h[:n]
+        new = s.any(axis=1)
         tok = ids[np.maximum(g, 0)]
         x = share[tok]
         before = np.empty((*g.shape, HIDDEN), np.float32)
         for t in range(len(g)):
-            h = np.where(s[t][:, None], p["start"], h)
+            if new[t]:
+                h[s[t]] = p["start"]
             before[t] = h
             h = _step(h, x[t], p["wh"])[0]
         live = g >= 0
@@ -334,7 +339,7 @@ def partial_scores(docs: DataFrame, p: dict[str, np.ndarray], v: Vocabulary) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net, voc = shared.value
         for b in batches:
-            for lo, hi, buf, offs in flat.chunks(b.column(1), 8 << 20):
+            for lo, hi, buf, offs in flat.chunks(b.column(1), SCORE_BYTES):
                 h, bounds = tokens(buf, offs)
                 n = hi - lo
                 row = np.repeat(np.arange(n), np.diff(bounds))
