@@ -365,7 +365,8 @@ def trained(pages: DataFrame, sample: int = SAMPLE) -> dict[str, np.ndarray]:
         texts = [x for b in batches for x in b.column(1).to_pylist()]
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit([blocks(x) for x in texts]))], pa.binary())], names=["model"])
 
-    return pickle.loads(rows.mapInArrow(run, T.StructType([T.StructField("model", T.BinaryType())])).first()[0])
+    made = rows.mapInArrow(run, T.StructType([T.StructField("model", T.BinaryType())])).first()
+    return pickle.loads(made[0]) if made else fit([])  # no row: nothing to learn from
 
 
 def extracted(pages: DataFrame, model: dict[str, np.ndarray]) -> DataFrame:

@@ -147,7 +147,8 @@ def trained(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
         y = np.concatenate([b.column(2).to_numpy() for b in parts]).astype(np.int64) if parts else np.zeros(0, np.int64)
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(texts, y))], pa.binary())], names=["model"])
 
-    return pickle.loads(rows.mapInArrow(run, T.StructType([T.StructField("model", T.BinaryType())])).first()[0])
+    made = rows.mapInArrow(run, T.StructType([T.StructField("model", T.BinaryType())])).first()
+    return pickle.loads(made[0]) if made else fit(pa.array([], pa.string()), np.zeros(0, np.int64))  # no row: nothing to learn from
 
 
 def scored(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
