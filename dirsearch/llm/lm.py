@@ -8,8 +8,9 @@ all others share one class, the rest class.  The network's probability of a toke
     P(rest class | state) * (c + 0.5) / Z        for others, from the same counts, with Z the sum over all others.
 
 The network (gated recurrent units, in numpy) is trained by truncated backpropagation: windows of ``WINDOW`` tokens, the
-state carried on from window to window.  The training sample is a share of all training documents, so it grows with the
-corpus; it is dealt to trainers, each of which trains on its share, and their weights are averaged after every round.
+state carried on from window to window.  Every training document is read, once at least: a round takes a part of them,
+which is dealt to trainers, each of which trains on its share, and their weights are averaged after every round.  Where
+one pass is short of ``LEAST_TOKENS`` a round, a round takes several parts, up to all of them in every round.
 Scoring reads whole documents, many side by side in lanes, with the state carried across windows.
 
 Counts of frequent tokens (a bounded table) are broadcast; other tokens meet their counts in a join by hash.
@@ -39,9 +40,10 @@ VOCABULARY = CLASS * CLASSES
 FREQUENT = 1 << 16  # tokens whose counts are broadcast: 1 MB
 EMBED, HIDDEN = 16, 24
 LANES, WINDOW = 32, 16
+TOGETHER = 16  # words of a class in one matrix product of training
 SCORE_LANES, SCORE_WINDOW = 256, 32
 SCORE_BYTES = 2 << 20  # of text that are scored side by side
-SAMPLE_SHARE, SAMPLE_LEAST = 0.02, 500_000  # of training tokens: this share, but at least so many
+LEAST_TOKENS = 500_000  # that a round trains on, if the corpus has them: small corpora are read up to ROUNDS times
 TRAINER_TOKENS, TRAINERS, ROUNDS, FAN_IN = 400_000, 6, 4, 32
 RATE = 0.005
 COUNT_WORDS = 1 << 21  # words that are counted together before they leave a task
@@ -209,8 +211,9 @@ def log10_probabilities(p: dict[str, np.ndarray], ids: np.ndarray, bounds: np.nd
     return out / np.log(10)
 
 
-def _window_gradients(p: dict[str, np.ndarray], tok: np.ndarray, live: np.ndarray, starts: np.ndarray, h: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
-    """Gradients of one window's mean loss, back through the window only, and the state after it."""
+def _window_gradients(p: dict[str, np.ndarray], tok: np.ndarray, live: np.ndarray, starts: np.ndarray, h: np.ndarray,
+                      grad: dict[str, np.ndarray] | None = None) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    """Gradients of one window's mean loss (into grad, if given: zeros), back through the window only, and the state after it."""
     steps = len(tok)
     emb = p["embed"][tok]
     x = emb @ p["wx"] + p["b"]
@@ -225,33 +228,46 @@ def _window_gradients(p: dict[str, np.ndarray], tok: np.ndarray, live: np.ndarra
     d = _softmax(hid @ p["class_w"].T + p["class_b"])
     d[np.arange(len(y)), cls] -= 1
     d /= total
-    grad = {k: np.zeros_like(w) for k, w in p.items()}
-    grad["class_w"], grad["class_b"] = d.T @ hid, d.sum(0)
+    grad = grad or {k: np.zeros_like(w) for k, w in p.items()}
+    grad["class_w"][...], grad["class_b"][...] = d.T @ hid, d.sum(0)
     dhid = d @ p["class_w"]
-    for c in np.unique(cls[cls < CLASSES]):
-        mine = np.flatnonzero(cls == c)
-        q = _softmax(hid[mine] @ p["word_w"][c].T + p["word_b"][c])
-        q[np.arange(len(mine)), y[mine] % CLASS] -= 1
-        q /= total
-        grad["word_w"][c], grad["word_b"][c] = q.T @ hid[mine], q.sum(0)
-        dhid[mine] += q @ p["word_w"][c]
+    order = np.argsort(cls, kind="stable")
+    order = order[: np.searchsorted(cls[order], CLASSES)]
+    if len(order):  # words of the vocabulary, in blocks of TOGETHER of one class, so that all classes are one product
+        c = cls[order]
+        rank = np.arange(len(c)) - np.searchsorted(c, c)
+        new = rank % TOGETHER == 0
+        block, at = np.cumsum(new) - 1, rank % TOGETHER
+        of = c[new]
+        ins, q = np.zeros((len(of), TOGETHER, HIDDEN), hid.dtype), np.zeros((len(of), TOGETHER, CLASS), hid.dtype)
+        ins[block, at] = hid[order]
+        w = p["word_w"][of]
+        some = _softmax((ins @ w.transpose(0, 2, 1) + p["word_b"][of][:, None])[block, at])
+        some[np.arange(len(c)), y[order] % CLASS] -= 1
+        q[block, at] = some / total
+        dw, db = q.transpose(0, 2, 1) @ ins, q.sum(1)
+        for k in range(len(of)):
+            grad["word_w"][of[k]] += dw[k]
+            grad["word_b"][of[k]] += db[k]
+        dhid[order] += (q @ w)[block, at]
     dbefore = np.zeros_like(before)
     dbefore[live] = dhid
     dh = np.zeros_like(h)
-    dx = np.zeros_like(x)
+    dx, da = np.empty_like(x), np.empty_like(x)
     for t in range(steps - 1, -1, -1):
         h0, z, r, inner, n = tape[t]
         dn = dh * (1 - z) * (1 - n * n)
         dz = dh * (h0 - n) * z * (1 - z)
         dr = dn * inner * r * (1 - r)
         dx[t] = np.concatenate([dz, dr, dn], axis=1)
-        da = np.concatenate([dz, dr, dn * r], axis=1)
-        grad["wh"] += h0.T @ da
-        dh = dh * z + da @ p["wh"].T + dbefore[t]
+        da[t] = dx[t]
+        da[t, :, 2 * HIDDEN :] *= r
+        dh = dh * z + da[t] @ p["wh"].T + dbefore[t]
         grad["start"] += dh[starts[t]].sum(0)
         dh = np.where(starts[t][:, None], 0, dh)
+    grad["wh"][...] = before.reshape(-1, HIDDEN).T @ da.reshape(-1, 3 * HIDDEN)
     flat_dx, flat_emb = dx.reshape(-1, 3 * HIDDEN), emb.reshape(-1, EMBED)
-    grad["wx"], grad["b"] = flat_emb.T @ flat_dx, flat_dx.sum(0)
+    grad["wx"][...], grad["b"][...] = flat_emb.T @ flat_dx, flat_dx.sum(0)
     np.add.at(grad["embed"], tok.reshape(-1), flat_dx @ p["wx"].T)
     return grad, h
 
@@ -260,21 +276,30 @@ def train(p: dict[str, np.ndarray], ids: np.ndarray, bounds: np.ndarray, rate: f
     """One pass over some texts by Adam."""
     if not len(ids):
         return p
-    p = {k: w.copy() for k, w in p.items()}
-    first, second, step = {k: np.zeros_like(w) for k, w in p.items()}, {k: np.zeros_like(w) for k, w in p.items()}, 0
+    ends = np.cumsum([0, *(w.size for w in p.values())])
+    views = lambda all_: {k: all_[a:b].reshape(w.shape) for (k, w), a, b in zip(p.items(), ends, ends[1:])}
+    weights = np.concatenate([w.ravel() for w in p.values()])
+    slope, first, second, free = (np.zeros_like(weights) for _ in range(4))
+    net, grad = views(weights), views(slope)
     grid, starts = _grid(bounds, min(LANES, len(bounds) - 1))
     h = np.zeros((grid.shape[1], HIDDEN), np.float32)
-    for lo in range(0, len(grid), WINDOW):
+    for step, lo in enumerate(range(0, len(grid), WINDOW), 1):
         g = grid[lo : lo + WINDOW]
-        grad, h = _window_gradients(p, ids[np.maximum(g, 0)], g >= 0, starts[lo : lo + WINDOW], h)
-        step += 1
-        norm = np.sqrt(sum(float((x * x).sum()) for x in grad.values()))
-        for k, x in grad.items():
-            x = x * min(1.0, 1.0 / (norm + 1e-9))
-            first[k] += 0.1 * (x - first[k])
-            second[k] += 0.01 * (x * x - second[k])
-            p[k] -= rate * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-7)
-    return p
+        slope.fill(0)
+        _, h = _window_gradients(net, ids[np.maximum(g, 0)], g >= 0, starts[lo : lo + WINDOW], h, grad)
+        slope *= min(1.0, 1.0 / (float(np.sqrt(slope @ slope)) + 1e-9))
+        first *= 0.9  # all in place: the weights are few, but they are touched in every window
+        first += np.multiply(slope, 0.1, out=free)
+        second *= 0.99
+        slope *= slope
+        second += np.multiply(slope, 0.01, out=free)
+        np.sqrt(second, out=free)
+        free *= (1 - 0.99**step) ** -0.5
+        free += 1e-7
+        np.divide(first, free, out=free)
+        free *= rate / (1 - 0.9**step)
+        weights -= free
+    return {k: w.copy() for k, w in net.items()}
 
 
 def _averaged(rows: list[tuple[int, bytes]]) -> tuple[int, bytes]:
@@ -286,17 +311,22 @@ def _averaged(rows: list[tuple[int, bytes]]) -> tuple[int, bytes]:
     return total, pickle.dumps(sums)
 
 
+def passes(total: int, rounds: int = ROUNDS) -> int:
+    """How often each of total training tokens is read: once at least, more often where that gives too few a round."""
+    return min(rounds, max(1, -(-LEAST_TOKENS * rounds // max(1, total))))
+
+
 def trained(docs: DataFrame, v: Vocabulary, rounds: int = ROUNDS) -> dict[str, np.ndarray]:
-    """The network after rounds of training on a share of the training documents."""
+    """The network after rounds of training on all training documents."""
     spark = docs.sparkSession
     p = initial(v)
     if not v.total:
         return p
-    share = min(1.0, max(SAMPLE_SHARE, SAMPLE_LEAST / v.total))
-    trainers = max(TRAINERS, int(v.total * share / TRAINER_TOKENS))
+    times = passes(v.total, rounds)
+    trainers = max(TRAINERS, v.total * times // rounds // TRAINER_TOKENS)
     mixed = F.xxhash64(F.lit(17), "doc_id", "text")
-    chosen = docs.where(~held_out()).where(F.pmod(mixed, F.lit(1_000_000)) < int(share * 1_000_000))
-    sample = written(chosen.select(F.coalesce("text", F.lit("")).alias("text"), mixed.alias("m")).repartition(trainers, "m").sortWithinPartitions("m"), "lm-sample")
+    part = F.pmod(F.xxhash64(F.lit(18), "doc_id", "text"), F.lit(rounds))  # a document is in times rounds, from its part on
+    texts = docs.where(~held_out()).select(F.coalesce("text", F.lit("")).alias("text"), mixed.alias("m"), part.alias("part"))
     rows = T.StructType([T.StructField("n", T.LongType()), T.StructField("w", T.BinaryType())])
     for k in range(rounds):
         shared = spark.sparkContext.broadcast((p, v))
@@ -313,12 +343,14 @@ def trained(docs: DataFrame, v: Vocabulary, rounds: int = ROUNDS) -> dict[str, n
                 w = train(start, np.concatenate(ids), np.concatenate(ends), rate)
                 yield pa.RecordBatch.from_arrays([pa.array([int(ends[-1][-1])], pa.int64()), pa.array([pickle.dumps(w)], pa.binary())], names=["n", "w"])
 
-        weights = sample.select("text").repartition(trainers, F.xxhash64("text")).mapInArrow(run, rows)
+        chosen = texts.where(F.pmod(F.lit(k) - F.col("part"), F.lit(rounds)) < times).drop("part")
+        weights = chosen.repartition(trainers, "m").sortWithinPartitions("m", "text").select("text").mapInArrow(run, rows)
         left = trainers
         while left > FAN_IN:  # averages of averages, so that few rows reach the driver
             left = -(-left // FAN_IN)
             weights = weights.repartition(left, F.xxhash64("w")).mapInArrow(_average_rows, rows)
-        p = pickle.loads(_averaged([(r.n, bytes(r.w)) for r in weights.collect()])[1])
+        got = [(r.n, bytes(r.w)) for r in weights.collect()]
+        p = pickle.loads(_averaged(got)[1]) if got else p  # a round of a few documents may have none
     return p
 
 

@@ -470,3 +470,19 @@ def test_lm_scores(spark, docs, none, registry):
     held = [r for r in rows if r.held_out]
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
     assert lm.scores(docs).count() == docs.count() and lm.scores(none).count() == 0
+
+
+def test_lm_trains_on_every_training_document(spark):
+    words = [f"only{i}" for i in range(60)]
+    docs = spark.createDataFrame([(i, " ".join([w] * 5)) for i, w in enumerate(words)], "doc_id long, text string")
+    h = lm.tokens(*_bytes(words))[0][::2]
+    order = np.argsort(h)
+    v = lm.Vocabulary(h[order], np.full(len(h), 5), 10_000_000, 70)  # as if of a large corpus: one pass
+    before, after = lm.initial(v)["embed"], lm.trained(docs, v)["embed"]
+    moved = {words[order[k]] for k in range(len(words)) if np.abs(before[k] - after[k]).max() > 1e-5}
+    assert moved == {w for i, w in enumerate(words) if zlib.crc32(str(i).encode()) % 5 != 1}
+    assert [lm.passes(n) for n in (0, 500_000, 1_000_000, 10_000_000)] == [4, 4, 2, 1]
+
+
+def _bytes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    return next((buf, offs) for _, _, buf, offs in flat.chunks(pa.array(texts)))
