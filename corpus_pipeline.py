@@ -4,7 +4,7 @@ Stages are (name, function) pairs; a function takes (spark, docs, sf_dir) and re
 return the columns of ``documents``:
 
 1. quality rules: documents that the rules reject go;
-2. line dedup: later repeated runs of lines are cut from the texts (and ``n_chars`` follows); no document goes;
+2. line dedup: lines that stand earlier are cut from the texts (and ``n_chars`` follows); no document goes;
 3. MinHash near-dedup: of each group of near copies the document with the least id stays;
 4. mixing: documents stand as often as the mix draws them, dealt by shard and shuffled within;
 5. byte-level BPE: the ids of each row's text, and the digests of the ids and of what they decode to.
@@ -31,8 +31,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later repeated runs of lines go."""
-    out = without_later_runs(docs)
+    """Lines that stand earlier go, in runs of any length."""
+    out = without_later_runs(docs, gram=1, span=1)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*[f"`{c}`" for c in docs.columns])

@@ -9,6 +9,10 @@ earlier (by id, then position) is deleted; longer repeated runs are rows of such
 Defined results: null texts stay null, empty texts empty; lines without a word are neither compared nor deleted, but a
 text that loses all its other lines becomes empty; rows equal in id and text count as one document, so none of them is
 earlier; null ids come first; extra columns pass through.
+
+The least run is a parameter: op3_line_dedup has runs of ``RUN`` = 3 lines, as its SQL says; the corpus pipeline calls
+``without_later_runs`` with gram = span = 1, where each line that stands earlier goes, so that runs of any length and
+texts of one or two lines are found.
 """
 
 from __future__ import annotations
@@ -41,27 +45,28 @@ def hashed_lines(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndar
     return flat.span_hash(buf, s[first[has]], e[last[has]]), row[has], number[has]
 
 
-def winnowed(h: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts of the windows of RUN lines; the place and the hash of the fingerprint of each."""
-    n = len(h) - RUN + 1
+def winnowed(h: np.ndarray, row: np.ndarray, gram: int = GRAM, span: int = SPAN) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts of the windows of gram + span - 1 lines; the place and the hash of the fingerprint of each."""
+    least = gram + span - 1
+    n = len(h) - least + 1
     if n <= 0:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    g = np.zeros(len(h) - GRAM + 1, np.uint64)
-    for i in range(GRAM):
+    g = np.zeros(len(h) - gram + 1, np.uint64)
+    for i in range(gram):
         g = g * np.uint64(0x9E3779B97F4A7C15) + h[i : i + len(g)]
     g = flat.mix(g)
-    start = np.flatnonzero(row[:n] == row[RUN - 1 :])
-    place = start + SPAN - 1 - sliding_window_view(g, SPAN)[start, ::-1].argmin(axis=1)
+    start = np.flatnonzero(row[:n] == row[least - 1 :])
+    place = start + span - 1 - sliding_window_view(g, span)[start, ::-1].argmin(axis=1)
     return start, place, g[place]
 
 
-def fingerprints(docs: DataFrame, text: str) -> DataFrame:
+def fingerprints(docs: DataFrame, text: str, gram: int = GRAM, span: int = SPAN) -> DataFrame:
     """The selected fingerprints, one row for each place."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for _, _, buf, offs in flat.chunks(b.column(0)):
                 h, row, _ = hashed_lines(buf, offs)
-                _, place, f = winnowed(h, row)
+                _, place, f = winnowed(h, row, gram, span)
                 new = np.ones(len(f), bool)  # windows in a row share a fingerprint
                 new[1:] = place[1:] != place[:-1]
                 yield pa.RecordBatch.from_arrays([pa.array(flat.signed(f[new]))], names=["f"])
@@ -69,16 +74,16 @@ def fingerprints(docs: DataFrame, text: str) -> DataFrame:
     return docs.select(F.col(f"`{text}`").cast("string")).mapInArrow(run, T.StructType([T.StructField("f", T.LongType())]))
 
 
-def windows(docs: DataFrame, text: str) -> DataFrame:
-    """Every window of RUN lines: document, start, fingerprint and two hashes of its lines."""
+def windows(docs: DataFrame, text: str, gram: int = GRAM, span: int = SPAN) -> DataFrame:
+    """Every window of gram + span - 1 lines: document, start, fingerprint and two hashes of its lines."""
     schema = T.StructType([*_KEYS, *(T.StructField(n, T.LongType()) for n in ("start", "f", "x", "y"))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo, hi, buf, offs in flat.chunks(b.column(2)):
                 h, row, _ = hashed_lines(buf, offs)
-                start, _, f = winnowed(h, row)
-                x, y = (flat.signed(flat.span_hash(h, start, start + RUN, k)) for k in (0, 1))
+                start, _, f = winnowed(h, row, gram, span)
+                x, y = (flat.signed(flat.span_hash(h, start, start + gram + span - 1, k)) for k in (0, 1))
                 r = row[start]
                 take = pa.array(r + lo)
                 at = start - flat.row_bounds(row, hi - lo)[r]
@@ -88,20 +93,21 @@ def windows(docs: DataFrame, text: str) -> DataFrame:
     return keyed(docs, text).select(KEY_ID, KEY_HASH, F.col(f"`{text}`").cast("string")).mapInArrow(run, schema)
 
 
-def later_windows(docs: DataFrame, text: str = "text") -> DataFrame:
+def later_windows(docs: DataFrame, text: str = "text", gram: int = GRAM, span: int = SPAN) -> DataFrame:
     """For each document that repeats earlier runs: the starts of the windows to delete."""
-    common = fingerprints(docs, text).groupBy("f").agg(F.count("*").alias("n")).where("n > 1").select("f")
-    matched = written(windows(docs, text).join(common, "f").drop("f"), "line-windows")
+    common = fingerprints(docs, text, gram, span).groupBy("f").agg(F.count("*").alias("n")).where("n > 1").select("f")
+    matched = written(windows(docs, text, gram, span).join(common, "f").drop("f"), "line-windows")
     place = F.struct(KEY_ID, KEY_HASH, "start")
     first = matched.groupBy("x", "y").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1").select("x", "y", "first")
     return matched.join(first, ["x", "y"]).where(place != F.col("first")).groupBy(KEY_ID, KEY_HASH).agg(F.collect_list("start").alias("_starts"))
 
 
-def without_later_runs(docs: DataFrame, text: str = "text") -> DataFrame:
+def without_later_runs(docs: DataFrame, text: str = "text", gram: int = GRAM, span: int = SPAN) -> DataFrame:
     """docs with the later repeated runs deleted from its texts, and the counts ``_n_lines`` and ``_n_removed``."""
+    least = gram + span - 1
     names = docs.columns
     at = names.index(text)
-    joined = (keyed(docs, text).join(later_windows(docs, text), [KEY_ID, KEY_HASH], "left")
+    joined = (keyed(docs, text).join(later_windows(docs, text, gram, span), [KEY_ID, KEY_HASH], "left")
               .select(*[F.col(f"`{c}`").cast("string").alias(c) if c == text else F.col(f"`{c}`") for c in names], "_starts"))
     schema = T.StructType([*joined.schema.fields[:-1], T.StructField("_n_lines", T.LongType()), T.StructField("_n_removed", T.LongType())])
 
@@ -115,7 +121,7 @@ def without_later_runs(docs: DataFrame, text: str = "text") -> DataFrame:
                 for i in np.flatnonzero(starts.slice(lo, hi - lo).is_valid().to_numpy(zero_copy_only=False)):
                     first = np.array(starts[lo + int(i)].as_py())
                     drop = np.zeros(bounds[i + 1] - bounds[i], bool)
-                    for k in range(RUN):
+                    for k in range(least):
                         drop[first + k] = True
                     gone[i] = drop.sum()
                     dead = set(number[bounds[i] : bounds[i + 1]][drop].tolist())

@@ -157,6 +157,30 @@ def test_line_dedup(docs, none):
     assert line_dedup.without_later_runs(none).count() == 0
 
 
+def test_pipeline_cuts_every_line_that_stands_earlier(spark, docs):
+    import corpus_pipeline
+
+    rows = [(r.doc_id, r.text) for r in docs.where("doc_id is not null").collect()]
+    seen, e = set(), {}
+    for i, t in sorted(set(rows), key=lambda r: r[0]):
+        kept, words, cut = [], 0, 0
+        for line in (t or "").split("\n"):
+            plain = line.strip(" \t\n\r\x0b\x0c")
+            has = bool(WORD.search(line))
+            words, cut = words + has, cut + (has and plain in seen)
+            if not (has and plain in seen):
+                kept.append(line)
+            if has:
+                seen.add(plain)
+        e[i, t] = None if t is None else "" if words and cut == words else "\n".join(kept)
+    got = corpus_pipeline.line_stage(spark, docs.withColumn("was", F.col("text")), SMOKE).where("doc_id is not null").collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert r.text == e[r.doc_id, r.was], r.doc_id
+    one = {r.doc_id: r.text for r in got}
+    assert one[3] == "one" and one[4] == "" and one[9] and "k" == one[18]  # copies of one line
+
+
 # -- near duplicates ---------------------------------------------------------------------------------------------------
 def _near_brute(rows: list[tuple]) -> dict:
     sets = {}
