@@ -1,14 +1,15 @@
-"""Substring dedup by relative Lempel-Ziv parsing against an indexed reference of all documents.
+"""Substring dedup by phrases and windows looked up in an indexed reference of all documents.
 
 The reference is the whole corpus, cut into phrases by content: each window of ``window`` words is assigned to its anchor
 (the first of its smallest gram hashes), and a phrase is the stretch of words that an anchor's windows span.  Equal
 windows have equal anchors, wherever they stand, so the index (phrases by anchor, dealt over blocks by hash) finds every
 repeat.
 
-A document is parsed greedily into factors: as long as its next phrase is in the index as a whole, the factor goes on, and
-all windows of these phrases are repeats.  A factor ends at a phrase that is there only in part, or not at all.  At such
-boundaries the windows themselves are checked: each of the phrase's windows is looked up among the windows of the phrases
-that share its anchor, of which one occurrence each stands in the reference.  So windows are hashed for boundaries only,
+Each phrase is looked up on its own, by anchor and hash: where it is in the index as a whole, all its windows are repeats.
+Otherwise its windows themselves are checked: each is looked up among the windows of the phrases that share its anchor, of
+which one occurrence each stands in the reference.  This replaces a greedy parse: no factor over several phrases, length
+or reference place is formed, as the result needs only which windows are repeated.
+So windows are hashed for such phrases only,
 copies in any number cost one reference occurrence, and no pairs of occurrences are made.
 
 Defined results: null and empty texts have no words; texts shorter than a window keep all words; rows equal in id and
