@@ -1,10 +1,11 @@
-"""Operators of a training-data pipeline: ten corpus operators and their registered queries."""
+"""Operators of a training-data pipeline: thirteen corpus operators and their registered queries."""
 
 from __future__ import annotations
 
 import importlib
 
-MODULES = ("bpe", "html_main", "line_dedup", "lm", "mixing", "near_dup", "quality_model", "quality_rules", "substring", "topk")
+MODULES = ("alignment", "bpe", "collocations", "html_main", "line_dedup", "lm", "mixing", "near_dup", "quality_model", "quality_rules", "substring",
+           "token_files", "topk")
 
 
 def load_all():
