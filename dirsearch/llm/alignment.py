@@ -10,7 +10,7 @@ documents each is linked; these are summed over the corpus, compared with the hi
 to the blocks that hold the pair.  A pair that a third of all documents hold is one row a block.
 
 Texts are cut before a space that follows a character other than white space, and every distinct part of a batch is
-encoded once.  That is exact: A's pattern has no match that goes on with a space after another character, and none of
+encoded once, many parts in one call.  That is exact: A's pattern has no match that goes on with a space after another character, and none of
 B's pieces holds a space after another character (checked when the model is loaded), so no merge of either reaches
 across such a place.
 
@@ -22,7 +22,7 @@ one); an empty table gives an empty result; columns other than the id and the te
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -37,6 +37,7 @@ from dirsearch.llm.store import written
 
 BATCH_BYTES = 1 << 20
 BLOCK_BYTES = 16 << 20
+RUN = 64
 SPACE = "▁"
 
 _LOADED: dict[tuple[str, str], tuple[units.Encoded, units.Encoded, list[np.ndarray]]] = {}
@@ -72,20 +73,34 @@ def loaded(a_path: str, b_path: str):
             b_bytes.append(bytes([int(piece[3:5], 16)]) if b.is_byte(i) else piece.replace(SPACE, " ").encode())
 
         def encode_a(parts: list[str]) -> list[bytes]:
-            return [_code(e.ids, a_bytes, p) for e, p in zip(a.encode_batch_fast([" " + p for p in parts], add_special_tokens=False), parts)]
+            return _codes(parts, lambda texts: [e.ids for e in a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)], a_bytes)
 
         def encode_b(parts: list[str]) -> list[bytes]:
-            return [_code(ids, b_bytes, p) for ids, p in zip(b.encode(parts, num_threads=1), parts)]
+            return _codes(parts, lambda texts: b.encode(texts, num_threads=1), b_bytes)
 
         lengths = [np.array([len(x) for x in side], np.int64) for side in (a_bytes, b_bytes)]
         _LOADED[a_path, b_path] = units.Encoded(encode_a), units.Encoded(encode_b), lengths
     return _LOADED[a_path, b_path]
 
 
-def _code(ids: list[int], token_bytes: list[bytes], part: str) -> bytes:
-    """The ids, or -1 where they do not give the part back."""
-    same = b"".join([token_bytes[i] for i in ids]) == b" " + part.encode()
-    return np.array(ids if same else [-1], "<i4").tobytes()
+def _codes(parts: list[str], encode: Callable[[list[str]], list[list[int]]], token_bytes: list[bytes]) -> list[bytes]:
+    """The ids of each part, or -1 where they do not give the part back; ``RUN`` parts are encoded in one text."""
+    runs = [parts[i : i + RUN] for i in range(0, len(parts), RUN)]
+    out = []
+    for run, ids in zip(runs, encode([" ".join(r) for r in runs])):
+        tokens = [token_bytes[i] for i in ids]
+        if b"".join(tokens) == "".join([" " + p for p in run]).encode():
+            upto = np.cumsum([0, *map(len, tokens)])
+            bounds = np.cumsum([0, *(len(p.encode()) + 1 for p in run)])
+            cuts = np.searchsorted(upto, bounds)
+            if (upto[cuts] == bounds).all():
+                code = np.array(ids, "<i4").tobytes()
+                out += [code[4 * x : 4 * y] for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
+                continue
+        for p, each in zip(run, encode(run)):
+            same = b"".join([token_bytes[i] for i in each]) == b" " + p.encode()
+            out.append(np.array(each if same else [-1], "<i4").tobytes())
+    return out
 
 
 def parts(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -1,7 +1,8 @@
 """Parts of texts that a tokenizer treats on their own: distinct parts of a batch are encoded once.
 
-A unit's code is the little-endian int32 values that ``encode`` gives for it; codes are kept by a worker, up to ``MOST``
-of them, and dropped together when they are more (a matter of speed only).  Units are told apart by their bytes.
+A unit's code is the little-endian int32 values that ``encode`` gives for it.  A worker keeps the codes that it used
+lately: at most twice ``MOST``, in two generations, of which the older one goes when the younger is full (a matter of
+speed only).  Units are told apart by their bytes.
 """
 
 from __future__ import annotations
@@ -11,34 +12,39 @@ from collections.abc import Callable
 import numpy as np
 import pyarrow as pa
 
-MOST = 150_000
+MOST = 120_000
 
 
 class Encoded:
     """Codes of units, encoded when first seen."""
 
     def __init__(self, encode: Callable[[list[str]], list[bytes]], most: int = MOST):
-        self.encode, self.most, self.kept = encode, most, {}
+        self.encode, self.most, self.young, self.old = encode, most, {}, {}
 
     def codes(self, units: list[bytes]) -> list[bytes]:
-        new = [u for u in units if u not in self.kept]
-        if new and len(self.kept) + len(new) > self.most:
-            self.kept = {}
-            new = units
-        if new:
-            self.kept.update(zip(new, self.encode([u.decode("utf-8", "replace") for u in new])))
-        return [self.kept[u] for u in units]
+        found = list(map(self.young.get, units))
+        aged = [i for i, c in enumerate(found) if c is None]
+        kept = list(map(self.old.get, [units[i] for i in aged]))
+        new = [i for i, c in zip(aged, kept) if c is None]
+        for i, c in zip(aged, kept):
+            found[i] = c
+        for i, c in zip(new, self.encode([units[i].decode("utf-8", "replace") for i in new]) if new else []):
+            found[i] = c
+        if len(self.young) + len(aged) > self.most:
+            self.old, self.young = self.young, {}
+        self.young.update([(units[i], found[i]) for i in aged])
+        return found
 
 
 def distinct(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
-    """For spans of buf that do not overlap, in order: the number of each one's unit, and the distinct units."""
+    """For non-empty spans of buf that do not overlap, in order: the number of each one's unit, and the distinct units."""
     n = len(starts)
     if n == 0:
         return np.zeros(0, np.int64), []
     mark = np.zeros(len(buf) + 1, np.int8)
-    mark[starts] += 1
-    np.add.at(mark, ends, -1)
-    inside = np.cumsum(mark[:-1], dtype=np.int8).astype(bool)
+    mark[ends] = -1
+    mark[starts] += 1  # a span may begin where another ends
+    inside = np.cumsum(mark[:-1], dtype=np.int8).view(bool)
     offsets = np.zeros(n + 1, np.int64)
     np.cumsum(ends - starts, out=offsets[1:])
     spans = pa.LargeBinaryArray.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(offsets), pa.py_buffer(buf[inside])])
