@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from dirsearch.functions import lexicons as L
 from dirsearch.functions.text import col_of, py_regex, strip
 from dirsearch.operators.criteria import name_tokens
+from dirsearch.session import written
 
 
 # ---------------------------------------------------------------- routing
@@ -173,22 +174,25 @@ def normalise_practice(criteria: DataFrame, practice_map: DataFrame) -> DataFram
 
 
 # ---------------------------------------------------------- query normalise
-def normalise_queries(queries: DataFrame, aliases: DataFrame, max_words: int = 6, id_col: str = "query_id",
+def normalise_queries(queries: DataFrame, aliases: DataFrame, max_words: int | None = None, id_col: str = "query_id",
                       text_col: str = "query") -> DataFrame:
     """Q13: ``(query_id, normalized)``: whole words and phrases that are aliases become their canonical names.
 
     ``aliases`` are alias rows (see :mod:`dirsearch.operators.aliases`), matched without case, the earliest row first.
-    Every run of up to ``max_words`` words meets the alias table in an equi-join.  From left to right the longest alias
-    that starts at a word replaces it, and what it covers is not looked at again.
+    Every run of words, up to as many as the table's longest alias has (or ``max_words``), meets the alias table in an
+    equi-join.  From left to right the longest alias that starts at a word replaces it, and what it covers is not looked
+    at again.
     """
     from dirsearch.operators.aliases import lookup_keys
 
     words = F.filter(F.split(strip(F.lower(F.col(text_col))), r"\s+", -1), lambda w: w != "")
     q = queries.select(F.col(id_col).alias("query_id"), words.alias("words"))
+    spaced = lookup_keys(aliases).where(F.col("key").isNotNull()).withColumn("key", F.array_join(F.filter(F.split(F.lower("key"), r"\s+", -1), lambda w: w != ""), " "))
+    most = F.lit(max_words) if max_words else F.coalesce(spaced.agg(F.max(F.size(F.split("key", " ")))).scalar(), F.lit(1))
     starts = q.select("query_id", "words", F.posexplode("words").alias("at", "word"))
-    runs = starts.select("query_id", "at", F.explode(F.sequence(F.lit(1), F.least(F.lit(max_words), F.size("words") - F.col("at")))).alias("n"),
+    runs = starts.select("query_id", "at", F.explode(F.sequence(F.lit(1), F.least(most, F.size("words") - F.col("at")))).alias("n"),
                          "words").select("query_id", "at", "n", F.array_join(F.slice("words", F.col("at") + 1, F.col("n")), " ").alias("key"))
-    keys = (lookup_keys(aliases).where(F.col("key").isNotNull()).withColumn("key", F.lower("key")).groupBy("key")
+    keys = (spaced.where("key <> ''").groupBy("key")
             .agg(F.min_by("normalized", F.struct("ord", "pos")).alias("normalized")))
     longest = (runs.join(keys, "key").groupBy("query_id", "at").agg(F.max(F.struct("n", "normalized")).alias("m"))
                .groupBy("query_id").agg(F.map_from_entries(F.collect_list(F.struct("at", "m"))).alias("found")))
@@ -227,30 +231,34 @@ def name_matches(word_sets: DataFrame, name_sets: DataFrame) -> DataFrame:
     return cand.where(F.forall("qtoks", lambda t: F.array_contains(F.col("ntoks"), t))).select("qtoks", "ntoks")
 
 
-def substring_matches(needles: DataFrame, values: DataFrame) -> DataFrame:
-    """Pairs ``(needle, value)`` where a distinct value contains a distinct needle, without case.
+def substring_matches(needles: DataFrame, values: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Rows ``(*by, needle, value)`` where a distinct value contains a distinct needle, without case.
 
-    A needle of three characters or more meets the values through its rarest
-    trigram, a shorter one through itself as a gram; then the whole needle is
-    checked.  Empty needles match nothing.
+    ``by`` are columns of both sides that must agree.  A needle of three
+    characters or more meets the values through its rarest trigram, a shorter
+    one through itself as a gram; then the whole needle is checked.  Empty
+    needles match nothing.
     """
     grams = lambda c, n: F.array_distinct(F.transform(
         F.sequence(F.lit(1), F.greatest(F.length(c) - n + 1, F.lit(1))), lambda i: F.substr(c, i, n)))
-    v = values.where(F.col("value").isNotNull()).select("value", F.lower("value").alias("low"))
-    v = v.select("value", "low", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("n")).where("length(low) >= n")
-    postings = v.select("value", "low", "n", F.explode(grams(F.col("low"), F.col("n"))).alias("gram"))
-    q = needles.where(F.length("needle") > 0).select("needle", F.lower("needle").alias("find"))
+    on = [*by, "n", "gram"]
+    v = values.where(F.col("value").isNotNull()).select(*by, "value", F.lower("value").alias("low"))
+    q = needles.where(F.length("needle") > 0).select(*by, "needle", F.lower("needle").alias("find"))
     q = q.withColumn("n", F.least(F.length("find"), F.lit(3)))
-    freq = postings.groupBy("n", "gram").agg(F.count("*").alias("df"))
-    rated = q.select("needle", "find", "n", F.explode(grams(F.col("find"), F.col("n"))).alias("gram")).join(freq, ["n", "gram"], "left")
-    rare = (rated.groupBy("needle", "find", "n")
-            .agg(F.min_by("gram", F.struct(F.coalesce(F.col("df"), F.lit(0)).alias("df"), "gram")).alias("gram")))
-    return rare.join(postings, ["n", "gram"]).where(F.col("low").contains(F.col("find"))).select("needle", "value")
+    asked = q.select(*by, "needle", "find", "n", F.explode(grams(F.col("find"), F.col("n"))).alias("gram"))
+    v = v.withColumn("n", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3)))).where("length(low) >= n")
+    postings = v.select(*by, "value", "low", "n", F.explode(grams(F.col("low"), F.col("n"))).alias("gram"))
+    freq = postings.groupBy(*on).agg(F.count("*").alias("df"))
+    # a gram that no value holds makes the needle unmatchable
+    rare = (asked.join(freq, on, "left").groupBy(*by, "needle", "find", "n")
+            .agg(F.min_by("gram", F.struct("df", "gram")).alias("gram"), F.count_if(F.col("df").isNull()).alias("missing"))
+            .where("missing = 0").drop("missing"))
+    return rare.join(postings, on).where(F.col("low").contains(F.col("find"))).select(*by, "needle", "value")
 
 
 PROFILE_TEXT = {"title": "title", "office": "office_location", "clerkship": "clerkship"}
 FACETS = ["practice", "industry", "region", "language"]
-YEARS = {"law_school_year": 1, "undergrad_year": 0}
+YEARS = ("law_school_year", "undergrad_year")
 YEAR_OPS = ["gt", "lt", "gte", "lte", "eq"]
 
 
@@ -259,9 +267,173 @@ def _supported(field: Column, op: Column) -> Column:
             | (field.isin(*YEARS) & op.isin(*YEAR_OPS)))
 
 
+KEY = ["field", "op", "value"]
+
+
+def _checked(criteria: DataFrame, facets: DataFrame | None, educations: DataFrame | None) -> DataFrame:
+    """The distinct criteria of each query; one that cannot be answered is an error when the plan runs."""
+    known = _supported(F.col("field"), F.col("op"))
+    if facets is None:
+        known = known & ~F.col("field").isin(FACETS)
+    if educations is None:
+        known = known & ~F.col("field").isin("school", *YEARS)
+    refuse = F.raise_error(F.concat(F.lit("criterion not supported: "), F.coalesce("field", F.lit("null")), F.lit(" "),
+                                    F.coalesce("op", F.lit("null")))).cast("boolean")
+    return criteria.where(F.when(F.coalesce(known, F.lit(False)), F.lit(True)).otherwise(refuse)).select("query_id", *KEY)
+
+
+def _spaced(c: str) -> Column:
+    return F.concat(F.lit(" "), F.array_join(name_tokens(F.col(c)), " "), F.lit(" "))
+
+
+def _directory_values(profiles: DataFrame, facets: DataFrame | None, educations: DataFrame | None) -> DataFrame:
+    """``(id, part, text)``: every value that a criterion can meet, one row for each profile that has it."""
+    texts = {f: F.col(c).cast("string") for f, c in PROFILE_TEXT.items() if c in profiles.columns}
+    own = F.array(*[F.struct(F.lit(f).alias("part"), c.alias("text")) for f, c in {"name": _spaced("name"), **texts}.items()])
+    rows = profiles.select("id", F.inline(own))
+    if facets is not None:
+        rows = rows.unionAll(facets.where(F.col("facet").isin(FACETS)).select("profile_id", "facet", "value"))
+    if educations is not None:
+        year = F.when(F.col("is_law_degree").cast("int") == 1, "law_school_year").when(F.col("is_law_degree").cast("int") == 0, "undergrad_year")
+        held = F.array(*[F.struct(p.alias("part"), c.alias("text")) for p, c in (
+            (F.lit("school_name"), F.col("school_name")), (F.lit("school_normalized"), F.col("school_normalized")), (year, F.col("year").cast("string")))])
+        rows = rows.unionAll(educations.select("profile_id", F.inline(held)))
+    return rows.where("part is not null and text is not null").distinct()
+
+
+def _met_values(asked: DataFrame, values: DataFrame, aliases: DataFrame | None) -> DataFrame:
+    """``(field, op, value, part, text, n)``: the distinct values that each distinct criterion meets; n profiles have the value."""
+    toks = lambda c: F.array_sort(F.array_distinct(c))
+    schools = asked.where("field = 'school'")
+    if aliases is not None:
+        from dirsearch.operators.aliases import resolve
+
+        schools = resolve(schools, "value", aliases, "canonical")
+    else:
+        schools = schools.withColumn("canonical", F.col("value"))
+    looked = F.array(F.struct(F.lit("school_name").alias("part"), F.col("value").alias("find")),
+                     F.struct(F.lit("school_normalized").alias("part"), F.col("canonical").alias("find")))
+    texts = (asked.where(F.col("field").isin(*PROFILE_TEXT, *FACETS)).select(*KEY, F.col("field").alias("part"), F.col("value").alias("find"))
+             .unionAll(schools.select(*KEY, F.inline(looked))))
+    fold = lambda c: F.when(F.col("part") == "language", F.lower(c)).otherwise(F.col(c))
+    same = (texts.where("op = 'eq'").withColumn("_k", fold("find"))
+            .join(values.where(~F.col("part").isin("name", *YEARS)).withColumn("_k", fold("text")), ["part", "_k"]))
+    inside = texts.where("op = 'contains'")
+    stored = values.where(~F.col("part").isin("name", *YEARS))
+    pairs = substring_matches(inside.select("part", F.col("find").alias("needle")).distinct(), stored.select("part", F.col("text").alias("value")), ["part"])
+    within = (inside.join(pairs.select("part", F.col("needle").alias("find"), F.col("value").alias("text")), ["part", "find"])
+              .join(stored, ["part", "text"]))
+    # names: distinct word sets against distinct token sets
+    names = asked.where("field = 'name'").withColumn("qtoks", toks(name_tokens(F.col("value")))).where(F.size("qtoks") > 0)
+    held = values.where("part = 'name'").withColumn("ntoks", toks(F.filter(F.split("text", " "), lambda t: t != "")))
+    sets = name_matches(names.select("qtoks").distinct(), held.select("ntoks").distinct())
+    named = (names.join(sets, "qtoks").join(held, "ntoks")
+             .where((F.col("op") == "contains") | F.col("text").contains(_spaced("value"))))
+    # distinct years are a calendar's worth
+    meets = F.expr("case op when 'gt' then text > y when 'lt' then text < y when 'gte' then text >= y when 'lte' then text <= y else text = y end"
+                   .replace("text", "cast(text as int)"))
+    years = (asked.where(F.col("field").isin(list(YEARS))).withColumn("y", F.expr("try_cast(value as int)"))
+             .join(values.where(F.col("part").isin(list(YEARS))), F.col("field") == F.col("part")).where(meets))
+    columns = [*KEY, "part", "text", "n"]
+    return same.select(*columns).unionAll(within.select(*columns)).unionAll(named.select(*columns)).unionAll(years.select(*columns))
+
+
+def _meets_all(profile_columns: Sequence[str]) -> Column:
+    """Whether the profile of a candidate row meets every criterion of ``criteria``."""
+    texts = [f for f in PROFILE_TEXT if f in profile_columns]
+
+    def text_meets(c: Column, text: Column, find: Column, low: Column, fold: bool = False) -> Column:
+        eq = (F.lower(text) == low) if fold else (text == find)
+        return F.when(c["op"] == "eq", eq).otherwise((F.length(find) > 0) & F.contains(F.lower(text), low))
+
+    def one(c: Column) -> Column:
+        met = F.when(c["field"] == "name", (F.size(c["qtoks"]) > 0) & (F.size(F.array_except(c["qtoks"], F.col("ntoks"))) == 0)
+                     & ((c["op"] == "contains") | F.contains(F.col("spaced"), c["spaced"])))
+        for f in texts:
+            met = met.when(c["field"] == f, text_meets(c, F.col(f"own_{f}"), c["value"], c["low"]))
+        met = met.when(c["field"] == "school", F.exists("schools", lambda s: text_meets(c, s["school_name"], c["value"], c["low"])
+                                                        | text_meets(c, s["school_normalized"], c["canonical"], c["canonical_low"])))
+        compare = lambda y: (F.when(c["op"] == "gt", y > c["year"]).when(c["op"] == "lt", y < c["year"]).when(c["op"] == "gte", y >= c["year"])
+                             .when(c["op"] == "lte", y <= c["year"]).otherwise(y == c["year"]))
+        law = F.when(c["field"] == "law_school_year", 1).otherwise(0)
+        met = met.when(c["field"].isin(list(YEARS)), F.exists("schools", lambda s: (s["law"] == law) & compare(s["year"])))
+        return F.coalesce(met.otherwise(F.exists("facets", lambda f: (f["facet"] == c["field"]) & F.when(
+            c["field"] == "language", text_meets(c, f["value"], c["value"], c["low"], fold=True)).otherwise(text_meets(c, f["value"], c["value"], c["low"])))),
+            F.lit(False))
+
+    return F.forall("criteria", one)
+
+
+@dataclass(frozen=True)
+class BatchSearch:
+    """The tables of one batch search: queries with their criteria sets, the candidates of each set, the sets' results."""
+
+    queries: DataFrame  # (query_id, set)
+    candidates: DataFrame  # (set, id): hits of the set's rarest criterion
+    found: DataFrame  # (set, id): those that meet every criterion
+
+
+def batch_candidates(criteria: DataFrame, profiles: DataFrame, facets: DataFrame | None = None,
+                     educations: DataFrame | None = None, aliases: DataFrame | None = None) -> BatchSearch:
+    """Conjunctive search led by each criteria set's rarest criterion; see :func:`batch_search`."""
+    given = F.array_sort(F.collect_set(F.struct(*KEY)))
+    per_query = written(_checked(criteria, facets, educations).groupBy("query_id").agg(given.alias("criteria")), "batch-criteria")
+    sets = per_query.groupBy("criteria").agg(F.min("query_id").alias("set"))  # a set is named by its least query
+    rows = _directory_values(profiles, facets, educations)
+    each = sets.select("set", F.size("criteria").alias("size"), F.inline("criteria"))
+    values = rows.groupBy("part", "text").agg(F.count("*").alias("n"))
+    met = written(_met_values(each.select(*KEY).distinct(), values, aliases), "batch-values")
+    hits = met.groupBy(*KEY).agg(F.sum("n").alias("hits"))
+    # a set with a criterion that nothing meets has no result
+    lead = (each.join(hits, KEY).groupBy("set", "size").agg(F.count("*").alias("met"), F.min(F.struct("hits", *KEY)).alias("lead"))
+            .where("met = size").select("set", "size", *[F.col(f"lead.{c}").alias(c) for c in KEY]))
+    ids = met.join(lead.select(*KEY).distinct(), KEY, "left_semi").join(rows, ["part", "text"]).select(*KEY, "id").distinct()
+    candidates = lead.join(ids, KEY).select("set", "size", "id")
+    several = candidates.where("size > 1")
+
+    # what the criteria need, worked out once a set
+    detail = F.transform("criteria", lambda c: F.struct(
+        c["field"].alias("field"), c["op"].alias("op"), c["value"].alias("value"), F.lower(c["value"]).alias("low"),
+        F.array_distinct(name_tokens(c["value"])).alias("qtoks"), F.concat(F.lit(" "), F.array_join(name_tokens(c["value"]), " "), F.lit(" ")).alias("spaced"),
+        c["value"].try_cast("int").alias("year"),
+        F.coalesce(F.try_element_at("canon", c["value"]), c["value"]).alias("canonical"),
+        F.lower(F.coalesce(F.try_element_at("canon", c["value"]), c["value"])).alias("canonical_low")))
+    asked_schools = each.where("field = 'school' and value is not null").select("set", "value")
+    if aliases is not None:
+        from dirsearch.operators.aliases import resolve
+
+        canon = resolve(asked_schools.select("value").distinct(), "value", aliases, "canonical")
+        canon = asked_schools.join(canon, "value").groupBy("set").agg(F.map_from_entries(F.collect_set(F.struct("value", "canonical"))).alias("canon"))
+        with_canon = sets.join(canon, "set", "left")
+    else:
+        with_canon = sets.withColumn("canon", F.lit(None).cast("map<string,string>"))
+    detailed = with_canon.select("set", detail.alias("criteria"))
+    wanted = several.select("id").distinct()
+    texts = {f: c for f, c in PROFILE_TEXT.items() if c in profiles.columns}
+    people = profiles.join(wanted, "id", "left_semi").select("id", _spaced("name").alias("spaced"), name_tokens(F.col("name")).alias("ntoks"), *[
+        F.col(c).cast("string").alias(f"own_{f}") for f, c in texts.items()])
+    none = F.array()
+    if facets is not None:
+        held = (facets.where(F.col("facet").isin(FACETS)).join(wanted, F.col("profile_id") == F.col("id"), "left_semi").groupBy(F.col("profile_id").alias("id"))
+                .agg(F.collect_set(F.struct("facet", "value")).alias("facets")))
+        people = people.join(held, "id", "left")
+    else:
+        people = people.withColumn("facets", none.cast("array<struct<facet:string,value:string>>"))
+    if educations is not None:
+        held = (educations.join(wanted, F.col("profile_id") == F.col("id"), "left_semi").groupBy(F.col("profile_id").alias("id"))
+                .agg(F.collect_set(F.struct("school_name", "school_normalized", F.col("is_law_degree").cast("int").alias("law"), "year")).alias("schools")))
+        people = people.join(held, "id", "left")
+    else:
+        people = people.withColumn("schools", none.cast("array<struct<school_name:string,school_normalized:string,law:int,year:int>>"))
+    people = people.withColumns({c: F.coalesce(c, none) for c in ("facets", "schools")})
+    checked = several.select("set", "id").join(people, "id").join(detailed, "set").where(_meets_all(list(texts))).select("set", "id")
+    found = candidates.where("size = 1").select("set", "id").unionAll(checked)
+    return BatchSearch(per_query.join(sets, "criteria").select("query_id", "set"), candidates.select("set", "id"), found)
+
+
 def batch_search(criteria: DataFrame, profiles: DataFrame, facets: DataFrame | None = None,
                  educations: DataFrame | None = None, aliases: DataFrame | None = None) -> DataFrame:
-    """Q14: answer a whole table of AND-ed criteria with equi-joins.
+    """Q14: answer a whole table of AND-ed criteria.
 
     criteria (query_id, field, op, value); a query's criteria are its distinct
     (field, op, value), whichever clause they come from, and a profile must
@@ -271,70 +443,16 @@ def batch_search(criteria: DataFrame, profiles: DataFrame, facets: DataFrame | N
     operation that is none of these, or that needs a table which is not given,
     is an error when the plan runs.  Values are literal (no wildcards).
 
-    Distinct criteria are matched once and expanded to their queries at the
-    end.  Returns ``(query_id, id)``.
+    Queries with the same criteria are solved once.  Distinct criteria meet
+    distinct values (equi-joins, rarest token, rarest trigram), which gives
+    each criterion's number of hits without a row for each; a set with a
+    criterion that nothing meets is done.  Only the hits of a set's rarest
+    criterion become candidate rows; its other criteria are checked on the
+    candidates' own values.  Two work tables are written to the shared folder
+    while the plan is built: the queries' criteria sets (so that what
+    ``criteria`` computes runs once) and the met values.
+
+    Returns ``(query_id, id)``.
     """
-    known = _supported(F.col("field"), F.col("op"))
-    if facets is None:
-        known = known & ~F.col("field").isin(FACETS)
-    if educations is None:
-        known = known & ~F.col("field").isin("school", *YEARS)
-    refuse = F.raise_error(F.concat(F.lit("criterion not supported: "), F.coalesce("field", F.lit("null")), F.lit(" "),
-                                    F.coalesce("op", F.lit("null")))).cast("boolean")
-    crit = (criteria.where(F.when(F.coalesce(known, F.lit(False)), F.lit(True)).otherwise(refuse))
-            .select("query_id", "field", "op", "value").distinct())
-    asked = crit.select("field", "op", "value").distinct()
-    key = ["field", "op", "value"]
-
-    def texts(fields: DataFrame, values: DataFrame, fold_eq: Column) -> DataFrame:
-        """asked criteria against (id, field, text) rows: equality, and substrings by their distinct values."""
-        eq = fields.where("op = 'eq'").withColumn("_k", F.when(fold_eq, F.lower("value")).otherwise(F.col("value")))
-        same = eq.join(values.withColumn("_k", F.when(fold_eq, F.lower("text")).otherwise(F.col("text"))), ["field", "_k"])
-        part = fields.where("op = 'contains'")
-        found = substring_matches(part.select(F.col("value").alias("needle")).distinct(), values.select(F.col("text").alias("value")).distinct())
-        within = part.join(found.select(F.col("needle").alias("value"), F.col("value").alias("text")), "value").join(values, ["field", "text"])
-        return same.select(*key, "id").unionByName(within.select(*key, "id"))
-
-    # names: distinct word sets against distinct name token sets
-    toks = lambda c: F.array_sort(F.array_distinct(name_tokens(F.col(c))))
-    names = asked.where("field = 'name'").withColumn("qtoks", toks("value")).where(F.size("qtoks") > 0)
-    prof = profiles.select("id", "name", toks("name").alias("ntoks"))
-    pairs = name_matches(names.select("qtoks").distinct(), prof.select("ntoks").distinct())
-    spaced = lambda c: F.concat(F.lit(" "), F.array_join(name_tokens(F.col(c)), " "), F.lit(" "))
-    by_name = (names.join(pairs, "qtoks").join(prof, "ntoks")
-               .where((F.col("op") == "contains") | spaced("name").contains(spaced("value"))).select(*key, "id"))
-    hits = [by_name]
-    columns = F.array(*[F.struct(F.lit(f).alias("field"), F.col(c).cast("string").alias("text"))
-                        for f, c in PROFILE_TEXT.items() if c in profiles.columns])
-    own = profiles.select("id", F.explode(columns).alias("x")).select("id", "x.*").where("text is not null")
-    hits.append(texts(asked.where(F.col("field").isin(list(PROFILE_TEXT))), own, F.lit(False)))
-    if facets is not None:
-        f = facets.where(F.col("facet").isin(FACETS)).select(F.col("profile_id").alias("id"), F.col("facet").alias("field"),
-                                                            F.col("value").alias("text")).where("text is not null").distinct()
-        hits.append(texts(asked.where(F.col("field").isin(FACETS)), f, F.col("field") == "language"))
-    if educations is not None:
-        schools = asked.where("field = 'school'")
-        if aliases is not None:
-            from dirsearch.operators.aliases import resolve
-
-            schools = resolve(schools, "value", aliases, "canonical")
-        else:
-            schools = schools.withColumn("canonical", F.col("value"))
-        e = educations.select(F.col("profile_id").alias("id"), "school_name", "school_normalized").distinct()
-        for given, column in (("value", "school_name"), ("canonical", "school_normalized")):
-            rows = e.select("id", F.lit("school").alias("field"), F.col(column).alias("text")).where("text is not null").distinct()
-            met = texts(schools.select("field", "op", F.col(given).alias("value")).distinct(), rows, F.lit(False))
-            hits.append(schools.join(met.withColumnRenamed("value", given), ["field", "op", given]).select(*key, "id"))
-        years = asked.where(F.col("field").isin(list(YEARS))).withColumn("y", F.expr("try_cast(value as int)")).withColumn(
-            "is_law_degree", F.when(F.col("field") == "undergrad_year", 0).otherwise(1))
-        graduated = educations.where("year is not null").select(F.col("profile_id").alias("id"), "year", F.col("is_law_degree").cast("int").alias("is_law_degree")).distinct()
-        # distinct years are a calendar's worth: criteria meet these first, then the rows of the years
-        meets = F.expr("case op when 'gt' then year > y when 'lt' then year < y when 'gte' then year >= y when 'lte' then year <= y else year = y end")
-        hits.append(years.join(graduated.select("year", "is_law_degree").distinct(), "is_law_degree").where(meets)
-                    .join(graduated, ["year", "is_law_degree"]).select(*key, "id"))
-    met = hits[0]
-    for h in hits[1:]:
-        met = met.unionByName(h)
-    need = crit.groupBy("query_id").agg(F.count("*").alias("need"))
-    each = crit.join(need, "query_id").join(met.distinct(), key).groupBy("query_id", "id").agg(F.count("*").alias("got"), F.first("need").alias("need"))
-    return each.where("got = need").select("query_id", "id")
+    search = batch_candidates(criteria, profiles, facets, educations, aliases)
+    return search.queries.join(search.found, "set").select("query_id", "id")

@@ -52,6 +52,63 @@ def test_every_field_of_the_batch_search_agrees_with_the_search_of_one(spark, di
         assert got[k] == {r["id"] for r in want.collect()}, rows[k]
 
 
+def test_candidates_are_the_hits_of_the_rarest_criterion(spark):
+    profiles = spark.createDataFrame([(i, f"Ann Number{i}", "Partner" if i % 2 else "Associate") for i in range(60)], "id long, name string, title string")
+    facets = spark.createDataFrame([(i, "region", "Asia") for i in range(60)] + [(i, "practice", "Tax") for i in range(0, 60, 20)],
+                                   "profile_id long, facet string, value string")
+    rows = [(q, *c) for q in range(100) for c in (("region", "eq", "Asia"), ("name", "contains", "ann"), ("practice", "eq", "Tax"), ("title", "eq", "Associate"))]
+    rows += [(500, "region", "eq", "Asia"), (500, "practice", "eq", "Sports"), (501, "title", "contains", "PART"), (501, "title", "contains", "PART"),
+             (502, "title", "eq", None), (502, "region", "eq", "Asia"), (503, "name", "contains", "--")]
+    crit = spark.createDataFrame(rows, "query_id long, field string, op string, value string")
+    done = QL.batch_candidates(crit, profiles, facets)
+    # 100 equal queries are one set with three candidates; 501 has 30; the others meet nothing with some criterion
+    assert done.candidates.count() == 3 + 30
+    got = QL.batch_search(crit, profiles, facets)
+    assert {r["id"] for r in got.where("query_id = 42").collect()} == {0, 20, 40}
+    assert got.where("query_id < 100").count() == 300 and got.where("query_id = 501").count() == 30
+    assert got.where("query_id in (500, 502, 503)").count() == 0
+
+
+def test_batch_search_against_brute_force(spark):
+    import random
+
+    rng = random.Random(3)
+    words = ["ann", "lee", "bo", "garcía", "wu"]
+    people = [(i, " ".join(rng.choices(words, k=2)).title(), rng.choice(["Partner", "Associate", None]), rng.choice(["London", "Paris", None])) for i in range(40)]
+    facets = [(rng.randrange(40), rng.choice(QL.FACETS), rng.choice(["Tax", "Asia", "french", "French", None])) for _ in range(120)]
+    schools = [(rng.randrange(40), rng.choice(["Yale University", "Oxford", None]), rng.choice(["Yale", "Oxford", None]), rng.choice([0, 1, None]), rng.choice([1999, 2005, None]))
+               for _ in range(80)]
+    makers = [lambda: ("name", rng.choice(["eq", "contains"]), " ".join(rng.choices(["Ann", "LEE", "garcia"], k=rng.choice([1, 2])))),
+              lambda: ("title", rng.choice(["eq", "contains"]), rng.choice(["Partner", "part", "assoc"])), lambda: ("office", "contains", rng.choice(["on", "PARIS", ""])),
+              lambda: (rng.choice(QL.FACETS), rng.choice(["eq", "contains"]), rng.choice(["Tax", "asia", "French", "fr"])),
+              lambda: ("school", rng.choice(["eq", "contains"]), rng.choice(["Yale", "yale", "Oxford"])),
+              lambda: (rng.choice(QL.YEARS), rng.choice(QL.YEAR_OPS), rng.choice(["1999", "2000", "2005", "no"]))]
+    asked = [(q, *rng.choice(makers)()) for q in range(150) for _ in range(rng.choice([1, 2, 3]))]
+    plain = lambda t: t.lower().replace("í", "i")
+    inside = lambda text, v: text is not None and v != "" and v.lower() in text.lower()
+
+    def meets(i, f, op, v):
+        _, name, title, office = people[i]
+        if f == "name":
+            return set(plain(v).split()) <= set(plain(name).split()) and (op == "contains" or f" {plain(v)} " in f" {plain(name)} ")
+        if f in ("title", "office"):
+            text = title if f == "title" else office
+            return text == v if op == "eq" else inside(text, v)
+        if f == "school":
+            return any((v in (a, b)) if op == "eq" else inside(a, v) or inside(b, v) for p, a, b, _, _ in schools if p == i)
+        if f in QL.FACETS:
+            return any((x == v or f == "language" and x is not None and x.lower() == v.lower()) if op == "eq" else inside(x, v) for p, k, x in facets if p == i and k == f)
+        compare = {"gt": int.__gt__, "lt": int.__lt__, "gte": int.__ge__, "lte": int.__le__, "eq": int.__eq__}[op]
+        return v != "no" and any(y is not None and law == (f == "law_school_year") and law is not None and compare(y, int(v)) for p, _, _, law, y in schools if p == i)
+
+    want = {(q, i) for q in {a[0] for a in asked} for i in range(40) if all(meets(i, *a[1:]) for a in asked if a[0] == q)}
+    got = QL.batch_search(spark.createDataFrame(asked, "query_id long, field string, op string, value string"),
+                          spark.createDataFrame(people, "id long, name string, title string, office_location string"),
+                          spark.createDataFrame(facets, "profile_id long, facet string, value string"),
+                          spark.createDataFrame(schools, "profile_id long, school_name string, school_normalized string, is_law_degree int, year int"))
+    assert sorted((r["query_id"], r["id"]) for r in got.collect()) == sorted(want) and len(want) > 50
+
+
 def test_unsupported_criteria_are_refused(spark, directory):
     crit = spark.createDataFrame([(1, "shoe size", "eq", "9")], "query_id long, field string, op string, value string")
     with pytest.raises(PySparkException):
@@ -63,6 +120,9 @@ def test_alias_phrases_longest_first(spark):
     log = spark.createDataFrame([(1, "M and A tax taxes m"), (2, ""), (3, "nothing here")], "query_id long, query string")
     got = {r["query_id"]: r["normalized"] for r in QL.normalise_queries(log, rows).collect()}
     assert got == {1: "Mergers Tax Law taxes Mergers", 2: "", 3: "nothing here"}
+    long = alias_rows(spark.createDataFrame([("School", "the very old  School of law by the river side", None, 1)], "c string, a string, b string, n long"), "c", ["a", "b"], "n")
+    log = spark.createDataFrame([(1, "at The Very Old school of law by the river  side now")], "query_id long, query string")
+    assert QL.normalise_queries(log, long).first()["normalized"] == "at School now"
 
 
 def test_names_are_folded(spark):
