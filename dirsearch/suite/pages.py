@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from dirsearch.functions import lexicons as L
 from dirsearch.functions.text import any_contains, clean_lines, strip, truncate_preview
 from dirsearch.operators import extract as X
+from dirsearch.operators.dictionary import dictionary_hits
 from dirsearch.operators import lines as LN
 from dirsearch.suite import standins as S
 from dirsearch.suite.registry import register, sql_list, sql_str, table
@@ -342,6 +343,27 @@ def dict_match(spark, sf):
             .where(F.col("practice").isNotNull()))
 
 
+ENTRIES_SQL = ("entries as (select c_name as entry from customer union select p_name || ' ' || p_partkey from part union select p_name from part union "
+               "select array_to_string(list_slice(ws, i, i + 2), ' ') from (select ws, unnest(range(1, len(ws) - 1)) as i from "
+               "(select string_split_regex(text, '\\s+') as ws from benchmark)))")
+
+
+def dictionary_entries(spark, sf):
+    """A dictionary of names (customers, numbered parts, parts) and of three-word terms from the benchmark texts."""
+    part = table(spark, sf, "part")
+    words = table(spark, sf, "benchmark").select(F.split("text", r"\s+", -1).alias("ws"))
+    terms = words.select("ws", F.explode(F.sequence(F.lit(1), F.size("ws") - 2)).alias("i")).select(F.array_join(F.slice("ws", F.col("i"), 3), " ").alias("entry"))
+    return (table(spark, sf, "customer").select(F.col("c_name").alias("entry"))
+            .unionAll(part.select(F.concat_ws(" ", "p_name", F.col("p_partkey").cast("string")))).unionAll(part.select("p_name")).unionAll(terms))
+
+
+@register("dict_match_large", sql=f"with {ENTRIES_SQL} select doc_id, entry from documents join entries on contains(text, entry) where entry <> ''")
+def dict_match_large(spark, sf):
+    """A dictionary table of many thousand entries against whole texts, through each entry's rarest gram."""
+    hits = dictionary_hits(table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text"), dictionary_entries(spark, sf))
+    return hits.withColumnRenamed("id", "doc_id")
+
+
 @register("extract_title", sql=f"with {DOC_LINES} select doc_id, arg_min({first_in_order_sql('line', ['Stteen Erachtz', 'Erachtz', 'Ietzte', 'And ornd', 'ornd'])}, pos) as title "
           f"from l where {any_sql('line', ['Stteen Erachtz', 'Erachtz', 'Ietzte', 'And ornd', 'ornd'])} group by doc_id")
 def extract_title(spark, sf):
