@@ -7,7 +7,8 @@ still fit.  That fixes each source's quota of block draws.
 
 The quotas are split among output shards by a tree: a node halves its shards and draws, multivariate-hypergeometrically,
 how many draws of each source go left, so each shard gets its exact number of draws and a random mixture of sources.
-Shards take consecutive draws of each source's permuted order, so they are disjoint, and shuffle their rows locally.
+Shards take consecutive draws of each source's permuted order, so they are disjoint, and shuffle their rows locally.  There
+is a shard for each ``SHARD_WORDS`` words of the targets, and ``SHARDS`` at least.
 
 All numbers depend on seeds and data only, so reruns agree.  Per-source tables have one row a source, and a source has at
 most ``MOST_BLOCKS`` blocks; these are the only things ordered in one task.
@@ -30,7 +31,7 @@ from dirsearch.llm.store import KEY_HASH, KEY_ID, NULL_ID, keyed, written
 WEIGHTS = (5, 2, 1)
 SHARE, MOST = 1.5, 2.0
 BLOCK_DOCS, MOST_BLOCKS = 256, 4096
-SHARDS = 16
+SHARDS, SHARD_WORDS = 16, 2_000_000
 SEED = 7
 
 
@@ -102,10 +103,12 @@ def _split(shards: int, seed: int):
     return tree
 
 
-def copies(docs: DataFrame, text: str = "text", source: str = "source", shards: int = SHARDS, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
+def copies(docs: DataFrame, text: str = "text", source: str = "source", shards: int | None = None, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
     """(documents with size, source_size and target; the mixture's rows as key, size, shard and place in the shard)."""
     sizes = written(sized(docs, text, source), "mixing-sizes")
     plan = written(targets(sizes), "mixing-targets")
+    if shards is None:  # one for each SHARD_WORDS, and SHARDS at least
+        shards = max(SHARDS, int((plan.agg(F.sum("target")).first()[0] or 0) // SHARD_WORDS))
     placed = sizes.join(plan, "skey").withColumn("mixed", F.xxhash64(F.lit(seed), KEY_ID, KEY_HASH))
     n_blocks = F.least(F.lit(MOST_BLOCKS), F.ceil(F.col("n_docs") / BLOCK_DOCS))
     placed = placed.withColumn("block", F.pmod("mixed", n_blocks).cast("int"))
@@ -138,11 +141,11 @@ def copies(docs: DataFrame, text: str = "text", source: str = "source", shards:
     return placed.select(KEY_ID, KEY_HASH, "source", "size", "source_size", "target"), rows
 
 
-def mixture(docs: DataFrame, text: str = "text", source: str = "source", shards: int = SHARDS, seed: int = SEED) -> DataFrame:
+def mixture(docs: DataFrame, text: str = "text", source: str = "source", shards: int | None = None, seed: int = SEED) -> DataFrame:
     """The mixed documents, as often as they are drawn, dealt by shard and shuffled within each."""
     rows = copies(docs, text, source, shards, seed)[1].select(KEY_ID, KEY_HASH, "pass", F.col("shard").alias("_m_shard"), F.col("place").alias("_m_place"))
     rows = rows.distinct()  # rows equal in id and text share their draws
-    return (keyed(docs, text).join(rows, [KEY_ID, KEY_HASH]).repartition(shards, "_m_shard").sortWithinPartitions("_m_shard", "_m_place")
+    return (keyed(docs, text).join(rows, [KEY_ID, KEY_HASH]).repartitionByRange("_m_shard", "_m_place").sortWithinPartitions("_m_shard", "_m_place")
             .select(*[f"`{c}`" for c in docs.columns]))
 
 

@@ -38,6 +38,8 @@ RATES = {  # name: (numerator, denominator, scale, least spread)
 }
 MIN_GROUP = 50  # documents a group needs for thresholds of its own
 
+SLICE_BYTES = 4 << 20  # of a batch that goes back at once
+
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_capitals")
 
 _SYM = np.zeros(256, bool)
@@ -82,14 +84,22 @@ def measure(column: pa.Array) -> dict[str, np.ndarray]:
 def with_counts(docs: DataFrame, text: str = "text", prefix: str = "_q_", keep: list[str] | None = None) -> DataFrame:
     """docs (or its columns ``keep``) and the counts of each text under prefixed names."""
     keep = docs.columns if keep is None else keep
-    source = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("string").alias(prefix + "text"))
-    schema = T.StructType([*source.schema.fields[:-1], *(T.StructField(prefix + c, T.LongType()) for c in COUNTS)])
+    source = docs.select(*[F.col(f"`{c}`") for c in keep])
+    if text in keep and isinstance(docs.schema[text].dataType, T.StringType):
+        at = keep.index(text)  # no second copy of the texts
+    else:
+        at = len(keep)
+        source = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("string").alias(prefix + "text"))
+    schema = T.StructType([*source.schema.fields[: len(keep)], *(T.StructField(prefix + c, T.LongType()) for c in COUNTS)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            counts = measure(b.column(len(keep)))
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], *(pa.array(counts[c]) for c in COUNTS)],
-                                             names=[*keep, *(prefix + c for c in COUNTS)])
+        for whole in batches:
+            rows = max(1, whole.num_rows * SLICE_BYTES // max(1, whole.nbytes))
+            for first in range(0, whole.num_rows, rows):
+                b = whole.slice(first, rows)
+                counts = measure(b.column(at))
+                yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], *(pa.array(counts[c]) for c in COUNTS)],
+                                                 names=[*keep, *(prefix + c for c in COUNTS)])
 
     return source.mapInArrow(run, schema)
 
