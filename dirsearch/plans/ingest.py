@@ -11,9 +11,10 @@ time; tests check that both give the same profiles.
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from dirsearch.functions import lexicons as L
@@ -57,10 +58,9 @@ def _nonempty(arr):
     return F.when(F.size(arr) > 0, arr)
 
 
-def parse_pages(pages: DataFrame, lex: Lexicon | None = None, *, id_col: str = "page_id", url_col: str = "url",
-                html_col: str = "html", keep_raw: bool = False,
-                school_aliases: DataFrame | None = None) -> Parsed:
-    """Parse every page into profile rows, facets, schools, experience and errors.
+def parsed_rows(pages: DataFrame, lex: Lexicon | None = None, *, id_col: str = "page_id", url_col: str = "url",
+                html_col: str = "html", keep_raw: bool = False) -> DataFrame:
+    """One row a page with everything that parsing finds: lists stay nested.
 
     Plan shape: row-local fields on the page scan; the cleaned text is
     exploded into ``(page_id, pos, line)``, the row-local fields go with the
@@ -92,18 +92,58 @@ def parse_pages(pages: DataFrame, lex: Lexicon | None = None, *, id_col: str = "
     bad = any_contains(F.lower(name), lex.stored_blacklist)
     parsed = parsed.withColumn("name", F.when(bad, X.name_from_email("email")).otherwise(name))
     first, last = X.split_first_last(F.col("name"))
-    good = parsed.where(F.col("n_lines") > 0).withColumn("id", profile_id("url"))
-    profiles = good.select(
-        "id", "url", "name", first.alias("first_name"), last.alias("last_name"), "email",
-        "phone", "title", "office_location", "clerkship", *(["raw_html"] if keep_raw else []))
+    return parsed.withColumns({"id": profile_id("url"), "first_name": first, "last_name": last})
+
+
+def tables_of(rows: DataFrame, school_aliases: DataFrame | None = None) -> Parsed:
+    """The tables of parsed rows.  Written rows are parsed once and read by every table."""
+    good = rows.where(F.col("n_lines") > 0)
+    profiles = good.select("id", "url", "name", "first_name", "last_name", "email", "phone", "title", "office_location", "clerkship",
+                           *(["raw_html"] if "raw_html" in rows.columns else []))
     facets = explode_facets(good, "id", ["practice", "industry", "region", "language"])
     schools = good.select("id", "school").where(F.col("school").isNotNull())
     educations = X.education_rows(schools, "id", aliases=school_aliases)
     experience = good.where(F.col("experience").isNotNull()).select("id", F.col("experience").alias("content"))
-    errors = parsed.where(F.col("n_lines") == 0).select("page_id", "url", F.lit("empty page").alias("error"))
+    errors = rows.where(F.col("n_lines") == 0).select("page_id", "url", F.lit("empty page").alias("error"))
     return Parsed(profiles, facets, schools, educations, experience, errors)
 
 
+def parse_pages(pages: DataFrame, lex: Lexicon | None = None, *, id_col: str = "page_id", url_col: str = "url",
+                html_col: str = "html", keep_raw: bool = False,
+                school_aliases: DataFrame | None = None) -> Parsed:
+    """Parse every page into profile rows, facets, schools, experience and errors; lazy, so each table that is used
+    parses the pages.  :func:`ingest_pages` parses once for all of them."""
+    return tables_of(parsed_rows(pages, lex, id_col=id_col, url_col=url_col, html_col=html_col, keep_raw=keep_raw), school_aliases)
+
+
+COUNTERS = ("processed", "errors", "with_experience")
+
+
+def ingest_pages(pages: DataFrame, path: str, existing_urls: DataFrame | None = None, lex: Lexicon | None = None, *,
+                 school_aliases: DataFrame | None = None, keep_raw: bool = False) -> tuple[Parsed, DataFrame]:
+    """One parse of the pages that are not stored yet, written to ``path`` as one nested row a page; the tables read from
+    there, and the run counters (A5) as ``(metric, value)`` rows: seen, skipped (already stored), processed, errors,
+    with_experience.
+
+    What the parse finds is counted in flight, by an observation in the job's last stage (whose tasks count once, also
+    if executors are lost); seen and skipped read the URLs only.
+    """
+    spark = pages.sparkSession
+    new = pages if existing_urls is None else skip_existing(pages, existing_urls)
+    counted = Observation(f"ingest-{uuid.uuid4().hex}")
+    good = F.col("n_lines") > 0
+    rows = parsed_rows(new, lex, keep_raw=keep_raw).observe(
+        counted, F.count_if(good).alias("processed"), F.count_if(~good).alias("errors"), F.count_if(good & F.col("experience").isNotNull()).alias("with_experience"))
+    rows.write.mode("overwrite").parquet(path)
+    seen = pages.agg(F.count("*").alias("value")).select(F.lit("seen").alias("metric"), "value")
+    if existing_urls is not None:
+        known = pages.select("url").join(existing_urls.select("url").distinct(), "url", "left_semi")
+        seen = seen.unionAll(known.agg(F.count("*").alias("value")).select(F.lit("skipped"), "value"))
+    found = counted.get
+    counters = seen.unionAll(spark.createDataFrame([(c, int(found.get(c) or 0)) for c in COUNTERS], "metric string, value long"))
+    return tables_of(spark.read.schema(rows.schema).parquet(path), school_aliases), counters
+
+
 LINE_FIELDS = ["near_name", "line_name", "title_name", "title", "school", "region", "language", "clerkship", "experience"]
 
 
@@ -190,24 +230,6 @@ def _line_fields(lines: DataFrame, lex: Lexicon) -> DataFrame:
         F.when(F.length(exp_text) > L.EXPERIENCE_MIN_LEN, exp_text).alias("experience"))
 
 
-def ingest_stats(pages: DataFrame, existing_urls: DataFrame | None, parsed: Parsed) -> DataFrame:
-    """A5: run counters as ``(metric, value)`` rows: seen, skipped (already
-    stored), processed, errors, with_experience.  Each is a global count with
-    partial aggregation; the five one-row results are unioned, not joined."""
-    def cnt(df: DataFrame, name: str) -> DataFrame:
-        return df.agg(F.count("*").alias("value")).select(F.lit(name).alias("metric"), "value")
-
-    parts = [cnt(pages, "seen")]
-    if existing_urls is not None:
-        parts.append(cnt(pages.join(existing_urls.select("url").distinct(), "url", "left_semi"), "skipped"))
-    parts += [cnt(parsed.profiles, "processed"), cnt(parsed.errors, "errors"),
-              cnt(parsed.experience, "with_experience")]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
 def skip_existing(pages: DataFrame, existing: DataFrame, force: bool = False, url_col: str = "url") -> DataFrame:
     """Pages whose URL is not stored yet (all pages when ``force``)."""
     if force:

@@ -1,10 +1,13 @@
 """Incremental ingest with Structured Streaming.
 
-New page files arrive in a folder.  Each micro-batch drops pages whose URL is
-already stored (unless forced), keeps one page per URL, parses the pages and
-writes every table as plain Parquet under ``root/<table>/epoch=N``.  Readers
-take, for each URL, the rows of its latest epoch, so a page parsed again
-replaces its profile and all its children.
+New page files arrive in a folder.  The stream carries the names of the files;
+each micro-batch reads its files.  It drops pages whose URL is already stored
+(unless forced) and keeps one page per URL, both decided on the URLs and page
+ids alone.  The pages that stay are parsed once, into one nested row a page
+under ``root/parsed/epoch=N``; every table is derived from these rows and
+written as plain Parquet under ``root/<table>/epoch=N``.  Readers take, for
+each URL, the rows of its latest epoch, so a page parsed again replaces its
+profile and all its children.
 
 A replayed batch overwrites its own epoch and looks only at earlier epochs for
 known URLs, so it writes the same rows again.  ``root`` must be shared storage
@@ -14,13 +17,14 @@ on a cluster.
 from __future__ import annotations
 
 import os
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from dirsearch.operators.upsert import name_index
-from dirsearch.plans.ingest import Lexicon, parse_pages, skip_existing
+from dirsearch.plans.ingest import Lexicon, parsed_rows, tables_of
 
 PROFILE_COLS = ["id", "url", "name", "first_name", "last_name", "email", "phone", "title", "office_location", "clerkship"]
 CHILDREN = {"facets": "profile_id", "educations": "profile_id", "experience": "id", "name_index": "profile_id"}
@@ -50,25 +54,41 @@ def read_table(spark: SparkSession, root: str, table: str) -> DataFrame | None:
     return rows.join(current, [key, "epoch"]).select(*rows.columns)
 
 
-def one_page_per_url(pages: DataFrame, order: str = "page_id") -> DataFrame:
-    """Of pages with one URL in a batch, the one that comes last in ``order``."""
-    rest = [c for c in pages.columns if c != "url"]
-    last = pages.groupBy("url").agg(F.max_by(F.struct(*rest), order).alias("r"))
-    return last.select("url", "r.*").select(*pages.columns)
+def pages_to_parse(pages: DataFrame, known_urls: DataFrame | None = None, order: str = "page_id") -> DataFrame:
+    """Of pages with one URL the one that comes last in ``order``, none of known URLs.
+
+    What goes is found on the narrow columns; the HTML only meets the list of pages that go (an anti join, which adaptive
+    execution broadcasts while that list is small).  Pages repeated in URL and ``order`` are one page.
+    """
+    keys = pages.select("url", order).groupBy("url", order).agg(F.count("*").alias("n"))
+    last = keys.groupBy("url").agg(F.max(order).alias("last")).withColumnRenamed("url", "of_url")
+    judged = keys.join(last, F.col("url").eqNullSafe(F.col("of_url")), "left").withColumn("gone", ~F.col(order).eqNullSafe(F.col("last")))
+    if known_urls is not None:
+        known = known_urls.select(F.col("url").alias("known_url")).distinct().withColumn("known", F.lit(True))
+        judged = judged.join(known, F.col("url") == F.col("known_url"), "left").withColumn("gone", F.col("gone") | F.coalesce("known", F.lit(False)))
+    judged = judged.where("gone or n > 1").select(F.col("url").alias("k_url"), F.col(order).alias("k_order"), "gone")
+    same = F.col("url").eqNullSafe(F.col("k_url")) & F.col(order).eqNullSafe(F.col("k_order"))
+    kept = pages.join(judged, same, "left_anti")
+    repeated = judged.where("not gone")
+    if not repeated.isEmpty():
+        kept = kept.unionByName(pages.join(repeated, same, "left_semi").dropDuplicates(["url", order]))
+    return kept
 
 
 def apply_batch(spark: SparkSession, pages: DataFrame, root: str, epoch: int, lex: Lexicon | None = None,
                 force: bool = False, school_aliases: DataFrame | None = None) -> None:
     """One micro-batch: the tables of ``epoch`` from ``pages`` and what earlier epochs hold."""
-    stored = _all(spark, root, "profiles")
-    if stored is not None and not force:
-        pages = skip_existing(pages, stored.where(F.col("epoch") < epoch).select("url"))
-    parsed = parse_pages(one_page_per_url(pages), lex, school_aliases=school_aliases)
+    stored = None if force else _all(spark, root, "profiles")
+    known = None if stored is None else stored.where(F.col("epoch") < epoch).select("url")
+    rows = parsed_rows(pages_to_parse(pages, known), lex)
+    path = f"{root}/parsed/epoch={epoch}"
+    rows.write.mode("overwrite").parquet(path)
+    parsed = tables_of(spark.read.schema(rows.schema).parquet(path), school_aliases)
     profiles = parsed.profiles.select(*PROFILE_COLS)
     tables = {"facets": parsed.facets, "educations": parsed.educations, "experience": parsed.experience, "errors": parsed.errors,
               "name_index": name_index(profiles), "profiles": profiles}
-    for name, rows in tables.items():  # profiles last: readers find children through them
-        rows.write.mode("overwrite").parquet(f"{root}/{name}/epoch={epoch}")
+    for name, table in tables.items():  # profiles last: readers find children through them
+        table.write.mode("overwrite").parquet(f"{root}/{name}/epoch={epoch}")
 
 
 def start_ingest(spark: SparkSession, source: str, schema, root: str, checkpoint: str | None = None,
@@ -78,10 +98,13 @@ def start_ingest(spark: SparkSession, source: str, schema, root: str, checkpoint
     reader = spark.readStream.schema(schema)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    stream = reader.parquet(source)
+    stream = reader.parquet(source).select(F.col("_metadata.file_path").alias("file"))
 
-    def each(batch_df: DataFrame, epoch_id: int) -> None:
-        apply_batch(batch_df.sparkSession, batch_df, root, int(epoch_id), lex, force, school_aliases)
+    def each(batch: DataFrame, epoch_id: int) -> None:
+        session = batch.sparkSession
+        files = [unquote(r["file"]) for r in batch.distinct().collect()]  # the files of one trigger
+        pages = session.read.schema(schema).parquet(*files) if files else session.createDataFrame([], schema)
+        apply_batch(session, pages, root, int(epoch_id), lex, force, school_aliases)
 
     w = (stream.writeStream.foreachBatch(each)
          .option("checkpointLocation", checkpoint or os.path.join(root, "_checkpoint")))

@@ -176,17 +176,24 @@ _N_LINES_SQL = ("(select page_id, url, len(list_filter(list_transform(string_spl
                 + f"), lambda x: x <> '')) as n from {HTML_SQL})")
 
 
+def composed_pages(spark, sf):
+    """The pages, of which each fifth is empty and each fifth is a short profile with an experience section."""
+    kind = F.col("page_id") % 5
+    body = F.concat(F.lit("<html><body><p>Experience</p><p>Represented the owners of "), "url", F.lit(" in three courts over many years.</p></body></html>"))
+    return table(spark, sf, "pages").withColumn("html", F.when(kind == 0, "<html><body></body></html>").when(kind == 1, body).otherwise(F.col("html")))
+
+
 @register("ingest_stats", sql="with old as (select distinct url from pages where contains(html, 'lang=\"en\"')), "
-          f"new as (select * from {_N_LINES_SQL} where url not in (select url from old)) "
+          "new as (select page_id, url, case page_id % 5 when 0 then 0 when 1 then 2 else n end as n "
+          f"from {_N_LINES_SQL} where url not in (select url from old)) "
           "select 'seen' as metric, count(*) as value from pages union all select 'skipped', count(*) from pages where url in (select url from old) "
           "union all select 'processed', count(*) from new where n > 0 union all select 'errors', count(*) from new where n = 0 "
-          "union all select 'with_experience', 0::bigint")
+          "union all select 'with_experience', count(*) from new where page_id % 5 = 1")
 def ingest_stats(spark, sf):
-    """A5: run counters of a batch ingest (the test pages have no experience section)."""
-    p = table(spark, sf, "pages")
-    existing = p.where(F.col("html").contains('lang="en"')).select("url")
-    parsed = I.parse_pages(I.skip_existing(p, existing))
-    return I.ingest_stats(p, existing, parsed)
+    """A5: run counters of a batch ingest, counted while its one parse runs."""
+    existing = table(spark, sf, "pages").where(F.col("html").contains('lang="en"')).select("url")
+    path = os.path.join(shared_dir(spark), f"ingest-{uuid.uuid4().hex}")
+    return I.ingest_pages(composed_pages(spark, sf), path, existing)[1]
 
 
 @register("raw_archive", sql=f"select p.url, p.html as raw_html from pages p join {_N_LINES_SQL} l using (page_id) where l.n > 0")

@@ -113,3 +113,44 @@ def test_stream_store_keeps_name_index(spark):
     assert ("jack", john) in idx1 and ("john", john) not in idx1 and ("jane", jane) in idx1
     names = {r["url"]: r["name"] for r in read_table(spark, root, "profiles").collect()}
     assert names["https://www.example.com/people/42"] == "Jack Smith"
+
+
+def test_pages_are_parsed_once_and_counted_in_flight(spark, tmp_path):
+    pages = _pages(spark)
+    known = spark.createDataFrame([("https://www.example.com/people/42",), (None,)], "url string")
+    parsed, counters = I.ingest_pages(pages, str(tmp_path / "rows"), known, LEX)
+    assert {r["metric"]: r["value"] for r in counters.collect()} == {"seen": 3, "skipped": 1, "processed": 1, "errors": 1, "with_experience": 1}
+    lazy = I.parse_pages(pages.where("page_id <> 2"), LEX)
+    for t in ("profiles", "facets", "schools", "educations", "experience", "errors"):
+        a, b = getattr(parsed, t), getattr(lazy, t)
+        assert sorted(map(str, a.collect())) == sorted(map(str, b.collect())), t
+        assert "html" not in a._jdf.queryExecution().optimizedPlan().toString()
+    _, counters = I.ingest_pages(pages.where("false"), str(tmp_path / "none"), known, LEX)
+    assert {r["metric"]: r["value"] for r in counters.collect()} == {"seen": 0, "skipped": 0, "processed": 0, "errors": 0, "with_experience": 0}
+
+
+def test_one_page_of_a_url_is_chosen_without_its_html(spark):
+    from dirsearch.streaming.ingest_stream import pages_to_parse
+
+    rows = [(1, "a", "old"), (2, "a", "new"), (2, "a", "new"), (3, "b", "x"), (4, None, "n1"), (5, None, "n2"), (None, "c", "only"), (6, "d", "known"), (None, "a", "none")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    known = spark.createDataFrame([("d",), ("d",), (None,)], "url string")
+    got = sorted(map(tuple, pages_to_parse(pages, known).collect()), key=str)
+    assert got == sorted([(2, "a", "new"), (3, "b", "x"), (5, None, "n2"), (None, "c", "only")], key=str)
+    assert pages_to_parse(pages.where("false")).count() == 0
+
+
+def test_a_replayed_batch_writes_the_same_rows(spark, tmp_path):
+    from dirsearch.streaming.ingest_stream import apply_batch, read_table, start_ingest
+
+    source, root = str(tmp_path / "in dir"), str(tmp_path / "out")
+    pages = _pages(spark)
+    pages.where("page_id = 1").write.parquet(source)
+    start_ingest(spark, source, pages.schema, root, lex=LEX).awaitTermination()
+    pages.write.mode("append").parquet(source)
+    start_ingest(spark, source, pages.schema, root, lex=LEX).awaitTermination()
+    tables = ("profiles", "facets", "educations", "experience", "name_index")
+    before = {t: sorted(map(str, read_table(spark, root, t).collect())) for t in tables}
+    assert [r["first_epoch"] for r in read_table(spark, root, "profiles").orderBy("first_epoch").collect()] == [0, 1]
+    apply_batch(spark, pages, root, 1, LEX)  # the same batch again
+    assert {t: sorted(map(str, read_table(spark, root, t).collect())) for t in tables} == before
