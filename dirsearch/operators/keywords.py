@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from dirsearch.functions import lexicons as L
 from dirsearch.functions.text import col_of, py_regex, strip, words_in_text
+from dirsearch.operators.postings import Postings
 
 DEFAULT_COMPANY = [(py_regex("(?i)" + p), 0) for p in L.COMPANY_PATTERNS]
 DEFAULT_CAPITALISED = (py_regex(L.CAPITALISED_ENTITY), 1)
@@ -49,7 +50,7 @@ def pool_size(n_keywords: Column, many: int = L.POOL_K_MANY, some: int = L.POOL_
     return F.when(n_keywords >= strict_at, F.lit(many)).when(n_keywords >= 1, F.lit(some)).otherwise(F.lit(none))
 
 
-def keyword_filter(candidates: DataFrame, keywords: DataFrame, texts: DataFrame, min_matches: int = 0) -> DataFrame:
+def keyword_filter(candidates: DataFrame, keywords: DataFrame, texts: DataFrame | Postings, min_matches: int = 0) -> DataFrame:
     """V8: candidates ``(query_id, id, rank)`` kept when the query has no
     keywords, the candidate has no stored text, or enough keywords match.
 
@@ -61,21 +62,25 @@ def keyword_filter(candidates: DataFrame, keywords: DataFrame, texts: DataFrame,
     return j.where(keep)
 
 
-def keyword_hits(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def keyword_hits(pairs: DataFrame, texts: DataFrame | Postings) -> DataFrame:
     """Keyword hits per candidate document, each (document, keyword) tested once.
 
     ``pairs`` holds ``(id, keywords)`` for every (query, candidate) pair.  The
     distinct keywords of a document are gathered first (partial aggregation),
     so the text store is joined once and each text lower-cased once, however
     many queries share it.  Returns ``(id, found)`` for documents with a text.
+    With :class:`~dirsearch.operators.postings.Postings` of the texts in their
+    place no text is read.
     """
+    if isinstance(texts, Postings):
+        return texts.hits(pairs)
     need = (pairs.select("id", F.explode_outer("keywords").alias("kw"))
             .groupBy("id").agg(F.collect_set("kw").alias("kws")))
     return texts.select("id", "text").where(F.col("text").isNotNull()).join(need, "id") \
         .select("id", words_in_text("text", "kws").alias("found"))
 
 
-def _scored(candidates: DataFrame, keywords: DataFrame, texts: DataFrame) -> DataFrame:
+def _scored(candidates: DataFrame, keywords: DataFrame, texts: DataFrame | Postings) -> DataFrame:
     """candidates with ``keywords``, ``missing`` (no text), ``matches`` and ``hits`` (null when missing)."""
     j = (candidates.join(keywords, "query_id", "left")
          .withColumn("keywords", F.coalesce("keywords", F.array().cast("array<string>"))))
@@ -87,7 +92,7 @@ def _scored(candidates: DataFrame, keywords: DataFrame, texts: DataFrame) -> Dat
             .withColumn("matches", F.coalesce(F.size("hits"), F.lit(0)).cast("long")))
 
 
-def smart_filter(candidates: DataFrame, keywords: DataFrame, texts: DataFrame,
+def smart_filter(candidates: DataFrame, keywords: DataFrame, texts: DataFrame | Postings,
                  strict_at: int = L.STRICT_KEYWORDS, strict_hits: int = L.STRICT_HITS,
                  relax_below: int = L.RELAX_BELOW, fallback_top: int = L.FALLBACK_TOP,
                  bounded: bool = False) -> DataFrame:

@@ -8,6 +8,9 @@ text, ``customer`` (c_custkey = vec_id) the profile rows.
 
 from __future__ import annotations
 
+import os
+import uuid
+
 from pyspark.sql import functions as F
 
 from dirsearch.functions import lexicons as L
@@ -15,7 +18,9 @@ from dirsearch.functions.text import strip
 from dirsearch.operators import judge as J
 from dirsearch.operators import keywords as K
 from dirsearch.operators.knn import knn_exact
+from dirsearch.operators.postings import write_postings
 from dirsearch.plans import cascade as C
+from dirsearch.session import shared_dir
 from dirsearch.suite.pages import WS_SQL, strip_sql
 from dirsearch.suite.registry import register, sql_list, sql_str, table
 
@@ -72,6 +77,7 @@ TEXTS_SQL = "texts as (select doc_id as id, text from documents)"
 SC_SQL = ("sc as (select c.*, k.keywords, t.text, t.text is null as missing, coalesce(len(list_filter(k.keywords, "
           "lambda w: instr(lower(t.text), w) > 0)), 0) as matches from cand c join kw k using (query_id) "
           "left join texts t using (id))")
+STRANGERS_SQL = ("hx as (select query_id, id, rank, score from hits union all select query_id, id + 1000000000, rank, score from hits)")
 SMART_SQL = ("cnt as (select query_id, count(*) filter (where missing or matches >= 2) as n_strict, "
              "count(*) filter (where missing or matches >= 1) as n_loose, max(len(keywords)) as n_kw from sc group by 1), "
              "kept as (select sc.* from sc join cnt using (query_id) where case when (case when n_kw >= 3 then "
@@ -124,13 +130,16 @@ def keyword_filter(spark, sf):
     return kept.select("query_id", "id", F.col("rank").cast("long").alias("rank"), "matches")
 
 
-@register("join_keep_missing", sql=f"with {Q_SQL}, {KW_SQL}, {hits_sql(50)}, {CAND_SQL}, "
-          "texts as (select doc_id as id, text from documents where lang = 'en'), " + SC_SQL
-          + " select query_id, id, rank, missing from sc where len(keywords) = 0 or missing or matches >= 2")
+def with_strangers(hits):
+    """Hits, and as many of ids that no other table holds."""
+    return hits.select("query_id", "id", "rank", "score").unionAll(hits.select("query_id", F.col("id") + 1000000000, "rank", "score"))
+
+
+@register("join_keep_missing", sql=f"with {Q_SQL}, {KW_SQL}, {hits_sql(50)}, {STRANGERS_SQL}, {CAND_SQL.replace('from hits h', 'from hx h')}, "
+          + TEXTS_SQL + ", " + SC_SQL + " select query_id, id, rank, missing from sc where len(keywords) = 0 or missing or matches >= 2")
 def join_keep_missing(spark, sf):
-    """Candidates without stored text are kept (only English documents are stored here)."""
-    en = table(spark, sf, "documents").where(F.col("lang") == "en").select(F.col("doc_id").alias("id"), "text")
-    kept = K.keyword_filter(_cands(spark, sf), keywords(spark, sf), en, min_matches=2)
+    """Candidates without stored text are kept (half of the candidates have none)."""
+    kept = K.keyword_filter(with_strangers(_cands(spark, sf)), keywords(spark, sf), texts(spark, sf), min_matches=2)
     return kept.select("query_id", "id", F.col("rank").cast("long").alias("rank"), "missing")
 
 
@@ -142,6 +151,15 @@ def smart_filter(spark, sf):
     return kept.select("query_id", "id", F.col("rank").cast("long").alias("rank"))
 
 
+@register("smart_filter_postings", sql=f"with {Q_SQL}, {KW_SQL}, {hits_sql(50)}, {CAND_SQL}, {TEXTS_SQL}, {SC_SQL}, {SMART_SQL} "
+          "select query_id, id, rank, matches from kept")
+def smart_filter_postings(spark, sf):
+    """V8/V9 against the gram postings of the stored texts; the filter reads no text."""
+    index = write_postings(texts(spark, sf), os.path.join(shared_dir(spark), f"postings-{uuid.uuid4().hex}"))
+    kept = K.smart_filter(_cands(spark, sf), keywords(spark, sf), index, bounded=True)
+    return kept.select("query_id", "id", F.col("rank").cast("long").alias("rank"), "matches")
+
+
 @register("judge_default", sql=f"with {Q_SQL}, {KW_SQL}, {hits_sql(50)}, {CAND_SQL}, {TEXTS_SQL}, {SC_SQL}, "
           f"{SMART_SQL}, {JUDGE_SQL} select query_id, id, passes, reasoning from jd")
 def judge_default(spark, sf):
@@ -168,13 +186,11 @@ def _hits10(spark, sf):
     return knn_exact(corpus(spark, sf), queries(spark, sf), 10, id_col="id", query_id_col="query_id")
 
 
-@register("join_hydrate", sql=f"with {Q_SQL}, {hits_sql(10)} select h.query_id, h.rank, h.id, c.c_name as name "
-          "from hits h join customer c on c.c_custkey = h.id where c.c_mktsegment = 'BUILDING'")
+@register("join_hydrate", sql=f"with {Q_SQL}, {hits_sql(10)}, {STRANGERS_SQL} select h.query_id, h.rank, h.id, c.c_name as name "
+          "from hx h join customer c on c.c_custkey = h.id")
 def join_hydrate(spark, sf):
-    """Hits joined to profile rows; ids without a profile are dropped."""
-    prof = table(spark, sf, "customer").where(F.col("c_mktsegment") == "BUILDING") \
-        .select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
-    return _hits10(spark, sf).join(prof, "id").select("query_id", F.col("rank").cast("long").alias("rank"), "id", "name")
+    """Hits joined to profile rows; ids without a profile (half of them here) are dropped."""
+    return with_strangers(_hits10(spark, sf)).join(profiles(spark, sf).select("id", "name"), "id").select("query_id", F.col("rank").cast("long").alias("rank"), "id", "name")
 
 
 @register("join_embed_profiles", sql="select c_custkey as id, c_name as name, len(embedding) as dim "
@@ -186,17 +202,15 @@ def join_embed_profiles(spark, sf):
             .select("id", "name", F.size("embedding").cast("long").alias("dim")))
 
 
-@register("explain_hits", sql=f"with {Q_SQL}, {hits_sql(5)} select h.query_id, h.rank, h.id, c.c_name as name, "
+@register("explain_hits", sql=f"with {Q_SQL}, {hits_sql(5)}, {STRANGERS_SQL} select h.query_id, h.rank, h.id, c.c_name as name, "
           "round(h.score, 4) as score, 'cust/' || c.c_custkey as url, coalesce(case when length(d.text) > 200 then "
-          "left(d.text, 200) || '...' else d.text end, 'No experience data') as preview from hits h "
-          "left join customer c on c.c_custkey = h.id left join (select * from documents where lang = 'en') d "
-          "on d.doc_id = h.id")
+          "left(d.text, 200) || '...' else d.text end, 'No experience data') as preview from hx h "
+          "left join customer c on c.c_custkey = h.id left join documents d on d.doc_id = h.id")
 def explain_hits(spark, sf):
-    """Top-5 per query with name, score, url and experience preview."""
-    exp = table(spark, sf, "documents").where(F.col("lang") == "en").select(F.col("doc_id").alias("id"),
-                                                                           F.col("text").alias("content"))
+    """Top-5 per query with name, score, url and experience preview; half of the hits have none of these."""
+    exp = texts(spark, sf).withColumnRenamed("text", "content")
     hits = knn_exact(corpus(spark, sf), queries(spark, sf), 5, id_col="id", query_id_col="query_id")
-    return C.explain_hits(hits, profiles(spark, sf), exp, n=5)
+    return C.explain_hits(with_strangers(hits), profiles(spark, sf), exp, n=5)
 
 
 @register("hybrid_rank", sql=f"with {Q_SQL}, {KW_SQL}, {hits_sql(10)}, {TEXTS_SQL}, "
