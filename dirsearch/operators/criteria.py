@@ -5,9 +5,11 @@ tables.
 Two modes:
 
 * ``entity`` (default) — a child condition holds when *some* child row of the
-  profile matches it.  Each condition becomes a distinct id set; pure
-  conjunctions run as ``left_semi`` / ``left_anti`` joins, anything with OR
-  becomes one boolean flag per condition.  No fan-out, no DISTINCT.
+  profile matches it.  All conditions on a child table become flags of one
+  grouped pass over it; pure conjunctions run as one ``left_semi`` or
+  ``left_anti`` join a table, anything with OR joins the flags.  No fan-out, no
+  DISTINCT.  On tables written by :mod:`dirsearch.sources.directory` neither
+  the grouping nor the joins shuffle a stored table.
 * ``row`` — the original row-level meaning: every child table the criteria
   touch is LEFT-joined once, the WHERE is evaluated on each joined row, then
   ``(id, name, url)`` is de-duplicated.  ``practice = A AND practice = B`` is
@@ -258,39 +260,60 @@ def _rebind(c: Cond, kind: str, aliases, literal) -> Column:
     return cmp & (F.col(p + "is_law_degree") == F.lit(flag))
 
 
-def _id_set(c: Cond, facets, educations, aliases, literal) -> DataFrame:
-    kind, p = _child_pred(c, aliases, literal)
-    return _child_table(kind, facets, educations).where(p).select(F.col("profile_id").alias("id")).distinct()
+def _flag_rows(conds: dict[str, Cond], facets, educations, aliases, literal) -> dict[str, tuple[DataFrame, list[str]]]:
+    """For each child table that the conditions touch: one row a profile with a flag for each of its conditions.
+
+    The table is read once, whatever the number of conditions; rows that meet
+    none of them go before the grouping.
+    """
+    by_table: dict[str, dict[str, Column]] = {}
+    for name, c in conds.items():
+        kind, p = _child_pred(c, aliases, literal)
+        _child_table(kind, facets, educations)
+        if kind != "educations":
+            kind, p = "facets", (F.col("facet") == F.lit(kind)) & p
+        by_table.setdefault(kind, {})[name] = p
+    out = {}
+    for kind, preds in by_table.items():
+        child = facets if kind == "facets" else educations
+        met = None
+        for p in preds.values():
+            met = p if met is None else met | p
+        rows = child.where(met).select(F.col("profile_id").alias("id"), *[F.coalesce(p, F.lit(False)).alias(n) for n, p in preds.items()])
+        out[kind] = rows.groupBy("id").agg(*[F.bool_or(n).alias(n) for n in preds]), list(preds)
+    return out
 
 
 def _search_entities(profiles, dnf, facets, educations, aliases, literal, columns):
+    names: dict[int, str] = {}
+    conds: dict[str, Cond] = {}
+    for term in dnf:
+        for _, c in term:
+            if _is_child(c) and id(c) not in names:
+                names[id(c)] = f"_c{len(names)}"
+                conds[names[id(c)]] = c
     base = profiles
+    flagged = _flag_rows(conds, facets, educations, aliases, literal)
     if len(dnf) == 1:
-        # Pure conjunction: semi / anti joins for child conditions.
-        local = []
+        # Pure conjunction: a semi join (or, if all its conditions are negated, an anti join) for each child table.
+        negated = {names[id(c)]: neg for neg, c in dnf[0] if _is_child(c)}
+        for rows, flags in flagged.values():
+            if all(negated[f] for f in flags):
+                base = base.join(rows.select("id"), "id", "left_anti")
+                continue
+            for f in flags:
+                rows = rows.where(~F.col(f) if negated[f] else F.col(f))
+            base = base.join(rows.select("id"), "id", "left_semi")
         for neg, c in dnf[0]:
-            if _is_child(c):
-                base = base.join(_id_set(c, facets, educations, aliases, literal), "id",
-                                 "left_anti" if neg else "left_semi")
-            else:
+            if not _is_child(c):
                 p = _profile_pred(c, literal)
-                local.append(~p if neg else p)
-        for p in local:
-            base = base.where(p)
+                base = base.where(~p if neg else p)
         return base.select(*columns)
-    flags: dict[int, str] = {}
-    n = 0
-    for term in dnf:
-        for _, c in term:
-            if _is_child(c) and id(c) not in flags:
-                name = f"_c{n}"
-                n += 1
-                ids = _id_set(c, facets, educations, aliases, literal).withColumn(name, F.lit(True))
-                base = base.join(ids, "id", "left").withColumn(name, F.coalesce(F.col(name), F.lit(False)))
-                flags[id(c)] = name
+    for rows, flags in flagged.values():
+        base = base.join(rows, "id", "left").withColumns({f: F.coalesce(F.col(f), F.lit(False)) for f in flags})
 
     def pred(c: Cond) -> Column:
-        return F.col(flags[id(c)]) if _is_child(c) else _profile_pred(c, literal)
+        return F.col(names[id(c)]) if _is_child(c) else _profile_pred(c, literal)
 
     return base.where(_combine(dnf, pred)).select(*columns)
 
@@ -324,10 +347,15 @@ def name_index_search(profiles: DataFrame, index: DataFrame, value: str, columns
     """J1/P10 through a token index ``(token, profile_id, pos)``: profiles having
     every word of ``value`` as a name token.  The index is filtered to the
     query words (a literal IN list), counted per profile with partial
-    aggregation, and semi-joined back."""
+    aggregation, and semi-joined back.  Of an index stored by token partition
+    (:mod:`dirsearch.sources.directory`) only the words' partitions are read."""
     words = sorted(set(value_tokens(value)))
     if not words:
         return profiles.limit(0).select(*columns)
+    if "part" in index.columns:
+        from dirsearch.sources.directory import token_part
+
+        index = index.where(F.col("part").isin([token_part(F.lit(w)) for w in words]))
     hits = (index.where(F.col("token").isin(words)).groupBy("profile_id")
             .agg(F.count_distinct("token").alias("n")).where(F.col("n") == len(words)))
     return profiles.join(hits, profiles[id_col] == hits["profile_id"], "left_semi").select(*columns)

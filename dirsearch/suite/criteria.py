@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import os
+import uuid
+
 from pyspark.sql import functions as F
 
 from dirsearch.functions import lexicons as L
 from dirsearch.functions.text import clean_lines
-from dirsearch.operators.criteria import search, valid_name
+from dirsearch.operators.criteria import name_index_search, search, valid_name
+from dirsearch.session import shared_dir
+from dirsearch.sources.directory import write_directory
 from dirsearch.suite import standins as S
 from dirsearch.suite.registry import register, sql_str, table
 
@@ -173,6 +178,35 @@ def crit_bool_mix(spark, sf):
                              {"field": "title", "op": "eq", "value": "BUILDING"}])
 
 
+def stored(spark, sf, profiles=S.customer_profiles):
+    """The stand-in directory, stored in buckets."""
+    name = f"dir_{uuid.uuid4().hex}"
+    return write_directory(name, os.path.join(shared_dir(spark), name), profiles(spark, sf), S.facets(spark, sf), S.educations(spark, sf), buckets=8)
+
+
+STORED_MIX = [{"field": "practice", "op": "eq", "value": "1-URGENT"}, {"op": "AND"}, {"field": "industry", "op": "contains", "value": "f"},
+              {"op": "AND"}, {"op": "NOT"}, {"field": "region", "op": "eq", "value": "N"}, {"op": "OR"},
+              {"field": "law_school_year", "op": "gte", "value": 1997}, {"op": "AND"}, {"op": "NOT"}, {"field": "practice", "op": "eq", "value": "5-LOW"}]
+
+
+@register("crit_stored_mix", sql=f"with {P}, " + S.EDUCATIONS_SQL.strip() + " select id, name, url from profiles where ("
+          + _exists("practice", "f.value = '1-URGENT'") + " and " + _exists("industry", "contains(lower(f.value), 'f')") + " and not "
+          + _exists("region", "f.value = 'N'") + ") or (exists (select 1 from educations e where e.profile_id = id and e.is_law_degree = 1 and e.year >= 1997) "
+          "and not " + _exists("practice", "f.value = '5-LOW'") + ")")
+def crit_stored_mix(spark, sf):
+    """J2/P4-P8/P12 on the stored directory: five conditions, one pass over each child table, no shuffle of a stored table."""
+    d = stored(spark, sf)
+    return search(d.profiles, STORED_MIX, facets=d.facets, educations=d.educations, order_by_name=False)
+
+
+@register("crit_stored_name", sql="select p_partkey as id, p_name as name, 'part/' || p_partkey as url from part "
+          "where list_has_all(string_split(lower(p_name), ' '), ['bolt', 'red'])")
+def crit_stored_name(spark, sf):
+    """J1/P10 on the stored directory: only the token partitions of the words are read."""
+    d = stored(spark, sf, S.part_profiles)
+    return name_index_search(d.profiles, d.name_index, "Red BOLT")
+
+
 @register("crit_row_mode", sql="select distinct c_custkey as id, c_name as name, 'cust/' || c_custkey as url "
           "from customer left join orders on o_custkey = c_custkey where not (o_orderpriority = '1-URGENT')")
 def crit_row_mode(spark, sf):
