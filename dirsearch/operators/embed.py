@@ -1,12 +1,17 @@
 """Embedding texts (V5, V6).
 
-The default embedder is an MLlib pipeline (regex tokens -> hashed term
-frequencies -> IDF -> L2 normalisation), entirely JVM-side and deterministic,
-so nothing needs a network.  A caller may pass ``embedder(pandas.Series of
-texts) -> list of vectors``; it runs through ``mapInPandas`` in Arrow batches
-of ``batch_size`` rows, ids travel with their texts (a dropped or failed text
-can never shift vectors onto other ids), and a failed batch yields error rows
-instead of failing the job.
+The default embedder hashes words into features and weighs them by inverse
+document frequency, then scales to length 1; built-in functions only.  What it
+learns from a corpus is one table of document counts by feature
+(:func:`feature_counts`).  Counts are sums, so those of a later batch are added
+(:func:`merged_counts`) and stored with the corpus, and any batch is embedded
+with the same stored counts (:func:`embed_hashed`): no fitting, and equal
+texts get equal vectors whichever batch they come in.
+
+A caller may pass ``embedder(pandas.Series of texts) -> list of vectors``; it
+runs through ``mapInPandas`` in Arrow batches of ``batch_size`` rows, ids
+travel with their texts (a dropped or failed text can never shift vectors onto
+other ids), and a failed batch yields error rows instead of failing the job.
 """
 
 from __future__ import annotations
@@ -32,11 +37,10 @@ def clean_for_embedding(text: Column | str) -> Column:
 
 def embed_texts(df: DataFrame, id_col: str, text_col: str, embedder: Callable[[pd.Series], list] | None = None,
                 num_features: int = 256, batch_size: int = L.EMBED_BATCH) -> DataFrame:
-    """``(id, embedding, error)`` for every non-empty text."""
-    rows = df.select(F.col(id_col).cast("long").alias("id"), clean_for_embedding(text_col).alias("text")) \
-        .where(F.col("text").isNotNull())
+    """``(id, embedding, error)`` for every non-empty text; the default embedder weighs by these texts themselves."""
     if embedder is None:
-        return _hashing_tfidf(rows, num_features)
+        return embed_hashed(df, feature_counts(df, text_col, num_features), id_col, text_col, num_features)
+    rows = _cleaned(df, id_col, text_col)
 
     def run(batches):
         for pdf in batches:
@@ -55,18 +59,48 @@ def embed_texts(df: DataFrame, id_col: str, text_col: str, embedder: Callable[[p
     return rows.mapInPandas(run, EMBED_SCHEMA)
 
 
-def _hashing_tfidf(rows: DataFrame, num_features: int) -> DataFrame:
-    from pyspark.ml import Pipeline
-    from pyspark.ml.feature import IDF, HashingTF, Normalizer, RegexTokenizer
-    from pyspark.ml.functions import vector_to_array
-
-    pipe = Pipeline(stages=[
-        RegexTokenizer(inputCol="text", outputCol="_tok", pattern=r"[^\p{L}\p{N}]+", toLowercase=True),
-        HashingTF(inputCol="_tok", outputCol="_tf", numFeatures=num_features),
-        IDF(inputCol="_tf", outputCol="_idf"),
-        Normalizer(inputCol="_idf", outputCol="_vec", p=2.0),
-    ])
-    model = pipe.fit(rows)
-    out = model.transform(rows)
-    return out.select("id", vector_to_array("_vec", "float32").alias("embedding"),
+def _cleaned(df: DataFrame, id_col: str | Column, text_col: str) -> DataFrame:
+    return df.select(col_of(id_col).cast("long").alias("id"), clean_for_embedding(text_col).alias("text")).where(F.col("text").isNotNull())
+
+
+def _features(text: Column | str, num_features: int) -> Column:
+    """The feature of every word: its MD5 sum's first 32 bits modulo their number, so any engine gives the same."""
+    words = F.filter(F.split(F.lower(col_of(text)), r"[^\p{L}\p{N}]+", -1), lambda w: w != "")
+    return F.transform(words, lambda w: F.pmod(F.conv(F.substring(F.md5(w.cast("binary")), 1, 8), 16, 10).cast("long"), F.lit(num_features)).cast("int"))
+
+
+DOCUMENTS = -1  # the feature that every text has
+
+
+def feature_counts(df: DataFrame, text_col: str, num_features: int = 256) -> DataFrame:
+    """``(feature, df)``: the number of texts that hold each feature; feature -1 counts the texts."""
+    rows = _cleaned(df, F.lit(0), text_col)
+    held = F.array_union(F.array(F.lit(DOCUMENTS)), _features("text", num_features))
+    return rows.select(F.explode(held).alias("feature")).groupBy("feature").agg(F.count("*").alias("df"))
+
+
+def merged_counts(*counts: DataFrame) -> DataFrame:
+    """Counts of several batches as those of all their texts."""
+    out = counts[0]
+    for c in counts[1:]:
+        out = out.unionByName(c)
+    return out.groupBy("feature").agg(F.sum("df").alias("df"))
+
+
+def embed_hashed(df: DataFrame, counts: DataFrame, id_col: str, text_col: str, num_features: int = 256) -> DataFrame:
+    """``(id, embedding, error)``: word counts by feature, times ln((texts + 1) / (texts with it + 1)), scaled to length 1.
+
+    A text without words, or with none that tells texts apart, gets zeros.  ``counts`` has ``num_features`` + 1 rows at most.
+    """
+    rows = _cleaned(df, id_col, text_col).select(F.monotonically_increasing_id().alias("row"), "id", _features("text", num_features).alias("features"))
+    tf = rows.select("row", "id", F.explode_outer("features").alias("feature")).groupBy("row", "id", "feature").agg(F.count("feature").alias("tf"))
+    total = F.max(F.when(F.col("feature") == DOCUMENTS, F.col("df")))
+    held = F.map_from_entries(F.collect_list(F.struct("feature", "df")))
+    weights = counts.agg(total.alias("n"), held.alias("held")).select(F.struct("n", "held")).scalar()
+    one = tf.groupBy("row", "id").agg(F.map_from_entries(F.collect_list(F.when(F.col("feature").isNotNull(), F.struct("feature", "tf")))).alias("tf"))
+    one = one.select("id", "tf", weights.alias("w"))
+    raw = F.transform(F.sequence(F.lit(0), F.lit(num_features - 1)), lambda f: F.coalesce(
+        F.try_element_at("tf", f) * F.log((F.col("w")["n"] + 1) / (F.coalesce(F.try_element_at(F.col("w")["held"], f), F.lit(0)) + 1)), F.lit(0.0)))
+    out = one.select("id", raw.alias("raw")).withColumn("size", F.sqrt(F.aggregate("raw", F.lit(0.0), lambda t, x: t + x * x)))
+    return out.select("id", F.transform("raw", lambda x: F.when(F.col("size") > 0, x / F.col("size")).otherwise(F.lit(0.0)).cast("float")).alias("embedding"),
                       F.lit(None).cast("string").alias("error"))

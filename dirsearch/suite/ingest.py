@@ -245,6 +245,34 @@ def embed_documents(spark, sf):
     return E.embed_texts(table(spark, sf, "documents"), "doc_id", "text")
 
 
+_CLEAN_SQL = f"(select doc_id, {strip_sql('regexp_replace(text, ' + sql_str('[' + chr(10) + chr(9) + ']') + ', ' + sql_str(' ') + ', ' + sql_str('g') + ')')} as t from documents)"
+FEATURES_SQL = ("fe as (select doc_id, unnest(list_distinct(list_transform(list_filter(string_split_regex(lower(t), '[^\\p{L}\\p{N}]+'), lambda w: w <> ''), "
+                f"lambda w: ('0x' || substr(md5(w), 1, 8))::bigint % 256))) as feature from {_CLEAN_SQL} where t <> '')")
+
+
+@register("embed_counts", sql=f"with {FEATURES_SQL} select feature::int as feature, count(*) as df from fe group by 1 "
+          f"union all select -1, count(*) from {_CLEAN_SQL} where t <> ''")
+def embed_counts(spark, sf):
+    """V6: document counts by feature, of two batches added."""
+    d = table(spark, sf, "documents")
+    batches = [d.where(F.col("doc_id") % 2 == k) for k in (0, 1)]
+    return E.merged_counts(*[E.feature_counts(b, "text") for b in batches])
+
+
+@register("embed_invariants", sql=f"with {FEATURES_SQL}, c as (select feature, count(*) as df from fe group by 1), "
+          f"x as (select doc_id, count(*) as nnz from fe join c using (feature) where c.df < (select count(*) from {_CLEAN_SQL} where t <> '') group by 1) "
+          f"select d.doc_id as id, 256::bigint as dim, coalesce(x.nnz, 0) as nnz, (x.nnz is not null)::int::double as length from {_CLEAN_SQL} d left join x using (doc_id) where t <> ''")
+def embed_invariants(spark, sf):
+    """V6: dimensions, filled features and length of every document's vector, embedded in two batches with counts of both."""
+    d = table(spark, sf, "documents")
+    batches = [d.where(F.col("doc_id") % 2 == k) for k in (0, 1)]
+    counts = E.merged_counts(*[E.feature_counts(b, "text") for b in batches])
+    rows = E.embed_hashed(batches[0], counts, "doc_id", "text").unionAll(E.embed_hashed(batches[1], counts, "doc_id", "text"))
+    length = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda t, x: t + x.cast("double") * x.cast("double")))
+    return rows.select("id", F.size("embedding").cast("long").alias("dim"), F.size(F.filter("embedding", lambda x: x != 0)).cast("long").alias("nnz"),
+                       F.round(length, 3).alias("length"))
+
+
 @register("facet_strip_check", sql=f"select doc_id, {strip_sql('source')} as source from documents")
 def facet_strip_check(spark, sf):
     """Scalar: Python-style strip of a text column."""

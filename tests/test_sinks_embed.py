@@ -43,3 +43,22 @@ def test_sinks_write_and_read_back(spark):
     errs = spark.createDataFrame([("https://x/1", "empty page")], "url string, error string")
     FS.write_dead_letter(errs, os.path.join(base, "dead"))
     assert [r[0] for r in spark.read.text(os.path.join(base, "dead", "urls")).collect()] == ["https://x/1"]
+
+
+def test_batches_are_embedded_alike_with_stored_counts(spark):
+    import hashlib
+    import math
+
+    rows = [(1, "red house, RED door"), (2, "blue house"), (3, "!!!"), (4, None), (5, "red"), (5, "blue sky"), (6, "house house")]
+    df = spark.createDataFrame(rows, "id long, text string")
+    first, second = df.where("id < 4"), df.where("id >= 4")
+    counts = E.merged_counts(E.feature_counts(first, "text", 64), E.feature_counts(second, "text", 64))
+    assert sorted(map(tuple, counts.collect())) == sorted(map(tuple, E.feature_counts(df, "text", 64).collect()))
+    parts = [r for b in (first, second) for r in E.embed_hashed(b, counts, "id", "text", 64).collect()]
+    assert sorted(map(str, parts)) == sorted(map(str, E.embed_texts(df, "id", "text", num_features=64).collect())) and len(parts) == 6
+    assert [list(r["embedding"]) for r in parts if r["id"] == 3] == [[0.0] * 64]
+    # by hand: text 2 has blue (2 of 6 texts) and house (3 of 6)
+    feature = lambda w: int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % 64
+    blue, house = math.log(7 / 3), math.log(7 / 4)
+    vec = next(r["embedding"] for r in parts if r["id"] == 2)
+    assert abs(vec[feature("blue")] - blue / math.hypot(blue, house)) < 1e-6 and abs(vec[feature("house")] - house / math.hypot(blue, house)) < 1e-6
