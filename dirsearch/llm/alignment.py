@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dirsearch.llm import flat, units
+from dirsearch.llm import flat, units, workers
 from dirsearch.llm.registry import register, table
 from dirsearch.llm.store import written
 
@@ -79,6 +79,7 @@ def loaded(a_path: str, b_path: str):
             return _codes(parts, lambda texts: b.encode(texts, num_threads=1), b_bytes)
 
         lengths = [np.array([len(x) for x in side], np.int64) for side in (a_bytes, b_bytes)]
+        workers.kept(_LOADED.clear)
         _LOADED[a_path, b_path] = units.Encoded(encode_a), units.Encoded(encode_b), lengths
     return _LOADED[a_path, b_path]
 

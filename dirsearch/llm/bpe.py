@@ -40,6 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from dirsearch.llm import workers
 from dirsearch.llm.registry import register, table
 from dirsearch.llm.store import written
 
@@ -250,6 +251,7 @@ class Segment:
 @functools.lru_cache(maxsize=2)
 def codec(ranks_path: str, pattern: str) -> Codec:
     """The codec of a ranks file (lines of base64 token and rank), once per worker."""
+    workers.kept(codec.cache_clear)
     with open(ranks_path, "rb") as f:
         ranks = {base64.b64decode(t): int(r) for t, r in map(bytes.split, f)}
     return Codec(ranks, pattern)

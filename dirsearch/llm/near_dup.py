@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from dirsearch.llm import flat
+from dirsearch.llm import flat, workers
 from dirsearch.llm.components import components
 from dirsearch.llm.registry import register, table
 from dirsearch.llm.store import KEY_HASH, KEY_ID, NULL_ID, keyed, written
@@ -105,6 +105,7 @@ def with_features(docs: DataFrame, text: str = "text") -> DataFrame:
                            T.StructField("node", T.BinaryType()), T.StructField("bands", longs), T.StructField("sketch", longs)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        workers.release()
         for b in batches:
             for lo, hi, buf, offs in flat.chunks(b.column(2)):
                 f = features(buf, offs)
@@ -121,6 +122,7 @@ def with_sets(texts: DataFrame) -> DataFrame:
     schema = T.StructType([T.StructField("nid", T.LongType()), T.StructField("shingles", T.ArrayType(T.LongType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        workers.release()
         for b in batches:
             for lo, hi, buf, offs in flat.chunks(b.column(1)):
                 h, row = shingles(buf, offs)
@@ -145,6 +147,7 @@ GROUP = ["band", "block", "side"]
 def _grouped(work):
     """mapInPandas function over rows sorted by GROUP: work on each group; a group may go on over batches."""
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        workers.release()
         rest = None
 
         def done(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:

@@ -42,7 +42,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from dirsearch.llm import flat, units
+from dirsearch.llm import flat, units, workers
 from dirsearch.llm.registry import register, table
 from dirsearch.llm.store import NULL_ID, shared_dir
 
@@ -81,6 +81,7 @@ def word_codes(tokenizer_path: str) -> units.Encoded:
                 out += [ids[x:y] for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
             return out
 
+        workers.kept(_WORDS.clear)
         _WORDS[tokenizer_path] = units.Encoded(encode, MOST_WORDS)
     return _WORDS[tokenizer_path]
 
