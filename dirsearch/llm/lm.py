@@ -13,7 +13,7 @@ which is dealt to trainers, each of which trains on its share, and their weights
 one pass is short of ``LEAST_TOKENS`` a round, a round takes several parts, up to all of them in every round.
 Scoring reads whole documents, many side by side in lanes, with the state carried across windows.
 
-Counts of frequent tokens (a bounded table) are broadcast; other tokens meet their counts in a join by hash.
+Counts of frequent tokens (at most ``FREQUENT``, by a cut-off from a histogram of counts) are broadcast; other tokens meet their counts in a join by hash.
 
 Defined results: null and empty texts are an end only; null ids train (their id as text is empty); rows that are equal
 score alike; without training documents the vocabulary is empty and N is 0; extra columns are ignored.
@@ -32,20 +32,22 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from dirsearch.llm import flat
+from dirsearch.llm.quality_rules import bucket
 from dirsearch.llm.registry import register, table
 from dirsearch.llm.store import written
 
 CLASS, CLASSES = 64, 63
 VOCABULARY = CLASS * CLASSES
-FREQUENT = 1 << 16  # tokens whose counts are broadcast: 1 MB
+FREQUENT = 1 << 16  # tokens, at most, whose counts are broadcast: 1 MB; a step of the counts' histogram goes in whole or not at all
 EMBED, HIDDEN = 16, 24
-LANES, WINDOW = 32, 16
+LANES, WINDOW = 128, 16
 TOGETHER = 16  # words of a class in one matrix product of training
 SCORE_LANES, SCORE_WINDOW = 256, 32
-SCORE_BYTES = 2 << 20  # of text that are scored side by side
+SOFTMAX_TOKENS = 1 << 13  # whose classes and words are looked up together
+SCORE_BYTES = 4 << 20  # of text that are scored side by side
 LEAST_TOKENS = 500_000  # that a round trains on, if the corpus has them: small corpora are read up to ROUNDS times
 TRAINER_TOKENS, TRAINERS, ROUNDS, FAN_IN = 400_000, 6, 4, 32
-RATE = 0.005
+RATE = 0.01
 COUNT_WORDS = 1 << 21  # words that are counted together before they leave a task
 END = np.uint64(0x1D8E4E27C47D124F)  # stands for the hash of the end
 
@@ -172,6 +174,35 @@ def _grid(bounds: np.ndarray, lanes: int) -> tuple[np.ndarray, np.ndarray]:
     return grid, starts[grid] & (grid >= 0)
 
 
+def _stream(bounds: np.ndarray, lanes: int) -> tuple[np.ndarray, np.ndarray]:
+    """The grid of training: all texts in a row, cut into lanes of one length, so that a long text holds no lane up.
+    A text that a cut goes through starts its second lane without a state; none of its tokens is left out."""
+    total = int(bounds[-1])
+    steps = -(-total // lanes)
+    grid = np.arange(steps * lanes).reshape(lanes, steps).T
+    grid = np.where(grid < total, grid, -1)
+    starts = np.zeros(total + 1, bool)
+    starts[bounds[:-1]] = True
+    return grid, starts[grid] & (grid >= 0)
+
+
+def _log_softmax(p: dict[str, np.ndarray], hid: np.ndarray, tok: np.ndarray) -> np.ndarray:
+    """Of each token the log of its class's probability and, for words of the vocabulary, of the word's in it."""
+    cls = tok // CLASS
+    logit = hid @ p["class_w"].T + p["class_b"]
+    logit -= logit.max(1, keepdims=True)
+    got = logit[np.arange(len(tok)), cls] - np.log(np.exp(logit).sum(1))
+    order = np.argsort(cls, kind="stable")
+    edges = np.searchsorted(cls[order], np.arange(CLASSES + 1))
+    for c in range(CLASSES):
+        mine = order[edges[c] : edges[c + 1]]
+        if len(mine):
+            logit = hid[mine] @ p["word_w"][c].T + p["word_b"][c]
+            logit -= logit.max(1, keepdims=True)
+            got[mine] += logit[np.arange(len(mine)), tok[mine] % CLASS] - np.log(np.exp(logit).sum(1))
+    return got
+
+
 def log10_probabilities(p: dict[str, np.ndarray], ids: np.ndarray, bounds: np.ndarray, lanes: int = SCORE_LANES, window: int = SCORE_WINDOW) -> np.ndarray:
     """For each token log10 of its class's probability, and for words of the vocabulary also of the word's."""
     out = np.zeros(len(ids))
@@ -181,12 +212,12 @@ def log10_probabilities(p: dict[str, np.ndarray], ids: np.ndarray, bounds: np.nd
     grid, starts = _grid(bounds, lanes)
     share = p["embed"] @ p["wx"] + p["b"]
     h = np.zeros((lanes, HIDDEN), np.float32)
+    held, size = [], 0
     for lo in range(0, len(grid), window):
         n = int(np.count_nonzero(grid[lo] >= 0))
         g, s, h = grid[lo : lo + window, :n], starts[lo : lo + window, :n], h[:n]
         new = s.any(axis=1)
-        tok = ids[np.maximum(g, 0)]
-        x = share[tok]
+        x = share[ids[np.maximum(g, 0)]]
         before = np.empty((*g.shape, HIDDEN), np.float32)
         for t in range(len(g)):
             if new[t]:
@@ -194,20 +225,12 @@ def log10_probabilities(p: dict[str, np.ndarray], ids: np.ndarray, bounds: np.nd
             before[t] = h
             h = _step(h, x[t], p["wh"])[0]
         live = g >= 0
-        hid, tok, at = before[live], tok[live], g[live]
-        cls = tok // CLASS
-        logit = hid @ p["class_w"].T + p["class_b"]
-        logit -= logit.max(1, keepdims=True)
-        got = logit[np.arange(len(tok)), cls] - np.log(np.exp(logit).sum(1))
-        order = np.argsort(cls, kind="stable")
-        edges = np.searchsorted(cls[order], np.arange(CLASSES + 1))
-        for c in range(CLASSES):
-            mine = order[edges[c] : edges[c + 1]]
-            if len(mine):
-                logit = hid[mine] @ p["word_w"][c].T + p["word_b"][c]
-                logit -= logit.max(1, keepdims=True)
-                got[mine] += logit[np.arange(len(mine)), tok[mine] % CLASS] - np.log(np.exp(logit).sum(1))
-        out[at] = got
+        held.append((before[live], g[live]))
+        size += len(held[-1][1])
+        if size >= SOFTMAX_TOKENS or lo + window >= len(grid):  # windows of few lanes share one product a class
+            hid, at = (np.concatenate(part) for part in zip(*held))
+            out[at] = _log_softmax(p, hid, ids[at])
+            held, size = [], 0
     return out / np.log(10)
 
 
@@ -281,7 +304,7 @@ def train(p: dict[str, np.ndarray], ids: np.ndarray, bounds: np.ndarray, rate: f
     weights = np.concatenate([w.ravel() for w in p.values()])
     slope, first, second, free = (np.zeros_like(weights) for _ in range(4))
     net, grad = views(weights), views(slope)
-    grid, starts = _grid(bounds, min(LANES, len(bounds) - 1))
+    grid, starts = _stream(bounds, min(LANES, max(1, len(ids) // (4 * WINDOW))))
     h = np.zeros((grid.shape[1], HIDDEN), np.float32)
     for step, lo in enumerate(range(0, len(grid), WINDOW), 1):
         g = grid[lo : lo + WINDOW]
@@ -399,17 +422,25 @@ def partial_scores(docs: DataFrame, p: dict[str, np.ndarray], v: Vocabulary) ->
 
 
 def vocabulary(counts: DataFrame) -> Vocabulary:
-    """From all counts: their sums, and the FREQUENT largest (the end is always among them)."""
-    total, distinct = counts.agg(F.sum("c"), F.count("*")).first()
+    """From all counts: their sums, and the largest, FREQUENT at most (the end is always among them).  A histogram of the
+    counts, some 2,000 rows at most, gives the least count that still goes in, so no task or driver ranks the tokens."""
+    steps = counts.groupBy(bucket(F.col("c")).alias("b")).agg(F.count("*").alias("n"), F.sum("c").alias("c")).collect()
+    total, distinct = sum(r.c for r in steps), sum(r.n for r in steps)
     end = F.col("h") == int(flat.signed(np.array([END]))[0])
-    top = counts.orderBy(F.when(end, 0).otherwise(1), F.col("c").desc(), "h").limit(FREQUENT).toArrow()
+    above, least = 1, 0  # the end comes along in any case
+    for r in sorted(steps, key=lambda r: -r.b):
+        above += r.n
+        if above > FREQUENT:
+            least = r.b + 1
+            break
+    top = counts.where((bucket(F.col("c")) >= least) | end).toArrow()
     h, c = top.column("h").to_numpy().view(np.uint64), top.column("c").to_numpy()
     order = np.lexsort((h, -c))
     if len(h) > VOCABULARY:  # the end is in the vocabulary, too
         at = int(np.flatnonzero(h[order] == END)[0])
         if at >= VOCABULARY:
             order = np.insert(np.delete(order, at), VOCABULARY - 1, order[at])
-    return Vocabulary(h[order], c[order], int(total or 0), int(distinct))
+    return Vocabulary(h[order], c[order], int(total), int(distinct))
 
 
 def scores(docs: DataFrame, text: str = "text") -> DataFrame:
