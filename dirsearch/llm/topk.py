@@ -7,8 +7,9 @@ its k best of the block by partition, and a ranking over blocks merges them.  Ev
 
 Defined results: vectors that are null, empty of components or hold null or non-finite ones take no part; vectors of
 different lengths agree on the shorter length's terms, the rest counts as 0; ties go to the smaller id; null ids take no
-part; rows that repeat an id are candidates each.  Components are floor(1024 * x) and must be below 2**26 in size, so
-that sums of up to 2,000 products are exact in 64 bits; an error says so otherwise.
+part; rows that repeat an id are candidates each.  Components are floor(1024 * x) and products add up exactly: in 64 bits
+where a bound on the block's sums allows it, else in whole numbers of any size.  Components beyond 64 bits count as the
+outermost 64-bit number, and so do scores (the least is -(2**63 - 1)).
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from dirsearch.llm.registry import register, table
 from dirsearch.llm.store import written
 
 SCALE = 1024
-LIMIT = 1 << 26
+LARGEST = (1 << 63) - 1
 BLOCK_VALUES = 1 << 20  # components of a candidate block
 TILE_VALUES = 1 << 17  # components of a query tile
 K = 10
@@ -35,8 +36,7 @@ def quantised(vectors: DataFrame, vec_id: str, vector: str) -> DataFrame:
     usable = F.col(f"`{vec_id}`").isNotNull() & x.isNotNull() & (F.size(x) > 0) & F.forall(
         x, lambda c: F.coalesce(~F.isnan(c) & (F.abs(c) != float("inf")), F.lit(False)))
     whole = F.transform(x, lambda c: F.floor(F.lit(SCALE) * c).cast("long"))
-    checked = F.transform(whole, lambda c: F.when(F.abs(c) < LIMIT, c).otherwise(F.raise_error(F.lit("a component is too large")).cast("long")))
-    return vectors.where(usable).select(F.col(f"`{vec_id}`").cast("long").alias("vec_id"), checked.alias("v"))
+    return vectors.where(usable).select(F.col(f"`{vec_id}`").cast("long").alias("vec_id"), whole.alias("v"))
 
 
 def _matrix(rows: pd.Series, width: int) -> np.ndarray:
@@ -46,10 +46,17 @@ def _matrix(rows: pd.Series, width: int) -> np.ndarray:
     return out
 
 
+def _most(m: np.ndarray) -> int:
+    """The largest size of a number of m, as a number that cannot overflow."""
+    return max(int(m.max()), -int(m.min())) if m.size else 0
+
+
 def best(queries: tuple[np.ndarray, np.ndarray], block: tuple[np.ndarray, np.ndarray], k: int) -> pd.DataFrame:
     """The k best candidates of a block for each query."""
     (qid, q), (cid, c) = queries, block
-    scores = np.zeros((len(qid), len(cid)), np.int64)
+    exact = np.int64 if _most(q) * _most(c) * min(q.shape[1], c.shape[1]) <= LARGEST else object
+    q, c = q.astype(exact, copy=False), c.astype(exact, copy=False)
+    scores = np.zeros((len(qid), len(cid)), exact)
     for term in range(min(q.shape[1], c.shape[1])):
         posting = np.flatnonzero(c[:, term])
         weight = c[posting, term]
@@ -60,6 +67,8 @@ def best(queries: tuple[np.ndarray, np.ndarray], block: tuple[np.ndarray, np.nda
                 scores[i] += q[i, term] * weight
             else:
                 scores[i, posting] += q[i, term] * weight
+    if exact is object:
+        scores = np.clip(scores, -LARGEST, LARGEST).astype(np.int64)
     found = []
     for i, s in enumerate(scores):
         others = np.flatnonzero(cid != qid[i])

@@ -122,6 +122,15 @@ def test_bpe_query_columns(spark, docs, none, codecs):
         assert bpe.unpack(r.ids) == codecs[1].encode_ordinary(r.text or "") and bytes(r.decoded) == (r.text or "").encode()
 
 
+def test_bpe_clashing_names_and_long_texts(spark, codecs):
+    rows = [("a b " * 60, b"x", "u", 1), (None, None, None, None), ("house, red. Ok! no?yes " * 9, b"y", "v", 2)]
+    clash = spark.createDataFrame(rows, "text string, ids binary, _bpe_text string, key long")
+    got = bpe.encode(clash, **bpe.multilingual(), segment=100).collect()
+    assert got[0].__fields__ == ["text", "_bpe_text", "key", "ids"]
+    assert {(r.text, r._bpe_text, r.key) for r in got} == {(t, b, k) for t, _, b, k in rows}
+    assert all(bpe.unpack(r.ids) == codecs[1].encode_ordinary(r.text or "") for r in got)
+
+
 def test_op1_digests(spark, registry, codecs):
     for r in registry[0]["op1_byte_bpe"](spark, SMOKE).join(spark.read.parquet(f"{SMOKE}/documents.parquet").select("doc_id", "text"), "doc_id").collect():
         ids = codecs[1].encode_ordinary(r.text or "")
@@ -331,6 +340,17 @@ def test_mixing_again_and_by_shards(spark):
 
 
 # -- top-k -------------------------------------------------------------------------------------------------------------
+def test_topk_of_large_components(spark):
+    vectors = [(0, [70000.0, -3.5e9, 1.0]), (1, [1e9, 2.0, -1e9]), (2, [-1e9, 3.0e6, 0.5]), (3, [1e300, 0.0, 0.0]), (4, [0.0, 0.0, 1.0]),
+               (5, [float("nan"), 0.0, 0.0]), (100, [2.0, 2.0, 2.0])]
+    df = topk.quantised(spark.createDataFrame(vectors, "vec_id long, embedding array<double>"), "vec_id", "embedding")
+    most = (1 << 63) - 1
+    whole = {i: [max(-most - 1, min(most, math.floor(1024 * x))) for x in v] for i, v in vectors if i != 5}
+    for r in topk.top_k(df.where("vec_id % 100 = 0"), df, 3).collect():
+        scores = sorted((-max(-most, min(most, sum(a * b for a, b in zip(whole[r.query_id], v)))), i) for i, v in whole.items() if i != r.query_id)
+        assert scores[r["rank"] - 1] == (-r.score, r.vec_id)
+
+
 def test_topk(spark):
     rng = np.random.default_rng(3)
     vectors = [(int(i), [float(x) for x in np.where(rng.random(12) < 0.6, 0, rng.normal(0, 1, 12))]) for i in range(400)]
