@@ -30,6 +30,7 @@ import sys
 from array import array
 from bisect import bisect_left
 from collections.abc import Iterator
+from hashlib import sha256
 from itertools import accumulate, chain
 
 import numpy as np
@@ -54,6 +55,11 @@ _CLOSE = re.compile(r"\s | \s")  # spaces beside other white space
 _BETWEEN = re.compile(r"(?<=\S) (?=\S)")
 
 
+def unit_words(text: str) -> list[str]:
+    """The units of a text, without the space that begins each but the first."""
+    return _BETWEEN.split(text) if _CLOSE.search(text) else text.split(" ")
+
+
 class Generations(dict):
     """A cache of two generations: bounded, and what is used stays."""
 
@@ -78,9 +84,16 @@ class Words(Generations):
     def __init__(self, codec: Codec):
         super().__init__(lambda w: codec.piece(" " + w))
         self.ids_of = codec.ids_of
+        # marks that the pattern takes for a piece of their own after a word
+        self.marks = {m: codec.piece(m) for m in ".,;:!?" if codec.findall(" a" + m) == [" a", m]}
 
     def __missing__(self, word):
-        return super().__missing__(word) if word.isalpha() else self.ids_of(" " + word)
+        if word.isalpha():
+            return super().__missing__(word)
+        mark = self.marks.get(word[-1:])
+        if mark is not None and word[:-1].isalpha():
+            return self[word[:-1]] + mark
+        return self.ids_of(" " + word)
 
 
 class Codec:
@@ -91,11 +104,11 @@ class Codec:
         self.bytes_of = {r: b for b, r in ranks.items()}
         self.findall = regex.compile(pattern).findall
         self.pieces = Generations(self.piece)
-        self.spaced = Words(self)
         self.halves = Generations(self.tree)
         self.fits = Generations(self.fit)
         self.seams = Generations(self.merged)
         self.parts = {}  # token: the two that its last merge joins; None if merges don't make it, or if it is a byte
+        self.spaced = Words(self)
 
     # -- one piece ---------------------------------------------------------------------------------------------
     def merged(self, b: bytes, below: int = 1 << 32) -> tuple[int, ...]:
@@ -189,11 +202,14 @@ class Codec:
             out += self.spaced[p[1:]] if p[0] == " " and p[1:].isalpha() else self.pieces[p]
         return out
 
+    def unit_ids(self, words: list[str]) -> list:
+        """Ids of the units of a text, which are words: the first one without the space before it."""
+        return [self.ids_of(words[0]), *map(self.spaced.__getitem__, words[1:])]
+
     def units(self, text: str) -> tuple[list[int], list]:
         """Ends and ids of the units of a text."""
-        words = _BETWEEN.split(text) if _CLOSE.search(text) else text.split(" ")
-        ids = [self.ids_of(words[0]), *map(self.spaced.__getitem__, words[1:])]
-        return list(accumulate(map((1).__add__, map(len, words[1:])), initial=len(words[0]))), ids
+        words = unit_words(text)
+        return list(accumulate(map((1).__add__, map(len, words[1:])), initial=len(words[0]))), self.unit_ids(words)
 
     def segment(self, text: str) -> Segment:
         """The element of a text: its units' ends and token counts, and its ids."""
@@ -232,7 +248,7 @@ class Codec:
                        a.ids[: sum(a.counts[:keep])] + list(chain.from_iterable(seam)) + b.ids[sum(b.counts[:rest]) :])
 
     def encode(self, text: str) -> list[int]:
-        return list(chain.from_iterable(self.units(text)[1])) if len(text) <= LEAF else self.segment(text).ids
+        return list(chain.from_iterable(self.unit_ids(unit_words(text)))) if len(text) <= LEAF else self.segment(text).ids
 
     def decode(self, ids: list[int]) -> bytes:
         if len(ids) <= LEAF:
@@ -277,22 +293,47 @@ def unpack(b: bytes) -> list[int]:
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", out: str = "ids",
            segment: int = SEGMENT) -> DataFrame:
-    """docs and a binary column ``out``: the ids of each text as little-endian unsigned 32-bit integers."""
-    names = docs.columns
-    source = docs.select(*[f"`{c}`" for c in names], F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("_bpe_text"))
-    is_long = F.length("_bpe_text") > segment
+    """docs and a binary column ``out``: the ids of each text as little-endian unsigned 32-bit integers.  A column of docs
+    that is named like ``out`` is replaced."""
+    docs = docs.select(*[f"`{c}`" for c in docs.columns if c.lower() != out.lower() or c == text])
+    if out.lower() == text.lower():
+        raise ValueError("the ids need another column than the text")
     schema = T.StructType([*docs.schema.fields, T.StructField(out, T.BinaryType())])
+    n = len(docs.columns)
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(ranks_path, pattern)
         for b in small(batches):
-            ids = [pack(c.encode(t.as_py())) for t in b.column(len(names))]
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], pa.array(ids, pa.binary())], names=[*names, out])
+            ids = [pack(c.encode(t.as_py())) for t in b.column(n)]
+            yield pa.RecordBatch.from_arrays([*b.columns[:n], pa.array(ids, pa.binary())], names=schema.names)
+
+    return (_sized(docs, text, segment, short=True).mapInArrow(whole, schema)
+            .unionAll(encode_long(docs, ranks_path, pattern, text, out, segment)))
+
+
+def _sized(docs: DataFrame, text: str, segment: int, short: bool) -> DataFrame:
+    """The rows with short or with long texts, and the text once more as the last column, null as empty."""
+    whole = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
+    fits = F.length(whole) <= segment
+    return docs.where(fits if short else ~fits).select(*[f"`{c}`" for c in docs.columns], whole.alias(_free("_bpe_text", docs.columns)))
 
-    short = source.where(~is_long).mapInArrow(whole, schema)
-    row = F.struct(*[f"`{c}`" for c in names])
+
+def _free(name: str, taken: list[str]) -> str:
+    """A column name that is not taken, in any case of letters."""
+    have = {c.lower() for c in taken}
+    while name.lower() in have:
+        name += "_"
+    return name
+
+
+def encode_long(docs: DataFrame, ranks_path: str, pattern: str, text: str, out: str, segment: int = SEGMENT) -> DataFrame:
+    """``encode`` of the rows whose texts are longer than a segment: their segments are encoded and joined in rounds."""
+    names = docs.columns
+    whole = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
+    source = docs.where(F.length(whole) > segment).select(F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)]).alias("row"),
+                                                          whole.alias("_bpe_text"))
     cut = f"transform(sequence(0, cast((length(_bpe_text) - 1) div {segment} as int)), i -> substring(_bpe_text, i * {segment} + 1, {segment}))"
-    parts = written(source.where(is_long).select(F.monotonically_increasing_id().alias("key"), row.alias("row"), F.expr(cut).alias("parts"))
+    parts = written(source.select(F.monotonically_increasing_id().alias("key"), "row", F.expr(cut).alias("parts"))
                     .select("key", "row", F.posexplode("parts").alias("at", "part"))
                     .withColumn("row", F.when(F.col("at") == 0, F.col("row"))), "bpe-parts")
     element = T.StructType([T.StructField(n, T.BinaryType()) for n in ("ends", "counts", "ids")])
@@ -322,9 +363,8 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", o
     while most > 0:
         level = level.groupBy("key", F.expr(f"at div {FAN_IN}")).applyInPandas(joined, wide)
         most //= FAN_IN
-    long = (parts.where("at = 0").select("key", "row").join(level.select("key", F.col("ids").alias("_bpe_ids")), "key")
-            .select(*[F.col("row").getField(c).alias(c) for c in names], F.col("_bpe_ids").alias(out)))
-    return short.unionAll(long)
+    return (parts.where("at = 0").select("key", "row").join(level.select("key", "ids"), "key")
+            .select(*[F.col("row").getField(f"c{i}").alias(c) for i, c in enumerate(names)], F.col("ids").alias(out)))
 
 
 def decode(df: DataFrame, ranks_path: str, pattern: str, ids: str = "ids", out: str = "decoded",
@@ -350,11 +390,36 @@ def multilingual() -> dict[str, str]:
 
 
 def digests(docs: DataFrame, keep: list[str], with_ids: bool = False) -> DataFrame:
-    """The columns ``keep``, the token count and the digests of the ids and of what they decode to; ids if asked for."""
-    coded = encode(docs.select(*keep, "text"), **multilingual(), out="_ids")
-    back = decode(coded, **multilingual(), ids="_ids", out="_decoded", keep=[*keep, "_ids"])
-    return back.select(*keep, (F.octet_length("_ids") / 4).cast("long").alias("n_tokens"), F.sha2("_ids", 256).alias("ids_sha256"),
-                       F.sha2("_decoded", 256).alias("decoded_sha256"), *([F.col("_ids").alias("ids")] if with_ids else []))
+    """The columns ``keep``, the token count and the digests of the ids and of what they decode to; ids if asked for.
+
+    Texts of one segment are encoded, decoded from their ids and digested in one pass; longer ones by ``encode_long`` and
+    ``decode``."""
+    docs, tokenizer = docs.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*keep, "text"])]), multilingual()
+    kept = [docs.schema[c] for c in keep]
+    at = [docs.columns.index(c) for c in keep]
+    schema = T.StructType([*kept, T.StructField("n_tokens", T.LongType()), *(T.StructField(n, T.StringType()) for n in ("ids_sha256", "decoded_sha256")),
+                           *([T.StructField("ids", T.BinaryType())] if with_ids else [])])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = codec(**tokenizer)
+        for b in small(batches):
+            n, coded, back, packed = [], [], [], []
+            for t in b.column(b.num_columns - 1):
+                ids = c.encode(t.as_py())
+                raw = pack(ids)
+                n.append(len(ids))
+                coded.append(sha256(raw).hexdigest())
+                back.append(sha256(c.decode(ids)).hexdigest())
+                if with_ids:
+                    packed.append(raw)
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in at), pa.array(n, pa.int64()), pa.array(coded, pa.string()), pa.array(back, pa.string()),
+                                              *([pa.array(packed, pa.binary())] if with_ids else [])], names=schema.names)
+
+    short = _sized(docs, "text", SEGMENT, short=True).mapInArrow(run, schema)
+    long = encode_long(docs, **tokenizer, text="text", out="_ids")
+    long = decode(long, **tokenizer, ids="_ids", out="_decoded", keep=[*keep, "_ids"])
+    return short.unionAll(long.select(*keep, (F.octet_length("_ids") / 4).cast("long").alias("n_tokens"), F.sha2("_ids", 256).alias("ids_sha256"),
+                                      F.sha2("_decoded", 256).alias("decoded_sha256"), *([F.col("_ids").alias("ids")] if with_ids else [])))
 
 
 @register("op1_byte_bpe")
