@@ -26,7 +26,9 @@ import pickle
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -46,7 +48,7 @@ SCORE_LANES, SCORE_WINDOW = 256, 32
 SOFTMAX_TOKENS = 1 << 13  # whose classes and words are looked up together
 SCORE_BYTES = 4 << 20  # of text that are scored side by side
 LEAST_TOKENS = 500_000  # that a round trains on, if the corpus has them: small corpora are read up to ROUNDS times
-TRAINER_TOKENS, TRAINERS, ROUNDS, FAN_IN = 400_000, 6, 4, 32
+TRAINER_TOKENS, TRAINERS, ROUNDS, FAN_IN = 400_000, 6, 4, 16
 RATE = 0.01
 COUNT_WORDS = 1 << 21  # words that are counted together before they leave a task
 END = np.uint64(0x1D8E4E27C47D124F)  # stands for the hash of the end
@@ -350,7 +352,7 @@ def trained(docs: DataFrame, v: Vocabulary, rounds: int = ROUNDS) -> dict[str, n
     mixed = F.xxhash64(F.lit(17), "doc_id", "text")
     part = F.pmod(F.xxhash64(F.lit(18), "doc_id", "text"), F.lit(rounds))  # a document is in times rounds, from its part on
     texts = docs.where(~held_out()).select(F.coalesce("text", F.lit("")).alias("text"), mixed.alias("m"), part.alias("part"))
-    rows = T.StructType([T.StructField("n", T.LongType()), T.StructField("w", T.BinaryType())])
+    rows = T.StructType([T.StructField("at", T.IntegerType()), T.StructField("n", T.LongType()), T.StructField("w", T.BinaryType())])
     for k in range(rounds):
         shared = spark.sparkContext.broadcast((p, v))
 
@@ -364,24 +366,24 @@ def trained(docs: DataFrame, v: Vocabulary, rounds: int = ROUNDS) -> dict[str, n
                     ends.append(bounds[1:] + ends[-1][-1])
             if ids:
                 w = train(start, np.concatenate(ids), np.concatenate(ends), rate)
-                yield pa.RecordBatch.from_arrays([pa.array([int(ends[-1][-1])], pa.int64()), pa.array([pickle.dumps(w)], pa.binary())], names=["n", "w"])
+                yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([int(ends[-1][-1])], pa.int64()),
+                                                  pa.array([pickle.dumps(w)], pa.binary())], names=rows.names)
 
         chosen = texts.where(F.pmod(F.lit(k) - F.col("part"), F.lit(rounds)) < times).drop("part")
         weights = chosen.repartition(trainers, "m").sortWithinPartitions("m", "text").select("text").mapInArrow(run, rows)
-        left = trainers
-        while left > FAN_IN:  # averages of averages, so that few rows reach the driver
-            left = -(-left // FAN_IN)
-            weights = weights.repartition(left, F.xxhash64("w")).mapInArrow(_average_rows, rows)
-        got = [(r.n, bytes(r.w)) for r in weights.collect()]
-        p = pickle.loads(_averaged(got)[1]) if got else p  # a round of a few documents may have none
+        weights = written(weights, "lm-weights")  # one row a task, however many tasks the session makes of it
+        most = weights.agg(F.max("at")).first()[0]
+        while most:  # averages of averages of FAN_IN rows at most; one row reaches the driver
+            weights = weights.groupBy(F.expr(f"at div {FAN_IN}")).applyInPandas(_average_rows, rows)
+            most //= FAN_IN
+        got = weights.first()
+        p = pickle.loads(got.w) if got else p  # a round of a few documents may have none
     return p
 
 
-def _average_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    got = [(n, w) for b in batches for n, w in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
-    if got:
-        n, w = _averaged(got)
-        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([w], pa.binary())], names=["n", "w"])
+def _average_rows(rows: pd.DataFrame) -> pd.DataFrame:
+    n, w = _averaged(list(zip(rows["n"].tolist(), rows["w"])))
+    return pd.DataFrame({"at": [int(rows["at"].iloc[0]) // FAN_IN], "n": [n], "w": [w]})
 
 
 def partial_scores(docs: DataFrame, p: dict[str, np.ndarray], v: Vocabulary) -> DataFrame:
