@@ -69,29 +69,25 @@ def best_of_rows(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarra
     return row[place < k], col[place < k]
 
 
-class _TopK:
-    """Running exact top-k per query (score desc, id asc) over corpus chunks.
+class Best:
+    """Running exact top-k per query (score desc, id asc): two (n_queries x k) arrays, best first."""
 
-    State is two (n_queries x k) arrays; each corpus chunk is scored in
-    query chunks of ``QUERY_CHUNK`` rows so the score matrix stays small.
-    """
-
-    def __init__(self, qids: np.ndarray, q: np.ndarray, k: int):
-        self.qids, self.q, self.k = qids, q, k
+    def __init__(self, qids: np.ndarray, k: int):
+        self.qids, self.k = qids, k
         self.s = np.full((len(qids), k), -np.inf)
         self.i = np.full((len(qids), k), np.iinfo(np.int64).max, dtype=np.int64)
 
-    def add(self, ids: np.ndarray, c: np.ndarray) -> None:
-        for a in range(0, len(self.qids), QUERY_CHUNK):
-            b = a + QUERY_CHUNK
-            sc = self.q[a:b] @ c.T
-            cat_s = np.concatenate([self.s[a:b], sc], axis=1)
-            cat_i = np.concatenate([self.i[a:b], np.broadcast_to(ids, sc.shape)], axis=1)
-            row, col = best_of_rows(cat_s, cat_i, self.k)
-            place = np.arange(len(row)) - np.searchsorted(row, row, side="left")
-            s, i = np.full_like(self.s[a:b], -np.inf), np.full_like(self.i[a:b], np.iinfo(np.int64).max)
-            s[row, place], i[row, place] = cat_s[row, col], cat_i[row, col]
-            self.s[a:b], self.i[a:b] = s, i
+    def add(self, at: np.ndarray, ids: np.ndarray, sc: np.ndarray) -> None:
+        """Scores ``sc`` of the queries at places ``at`` against ``ids``."""
+        can = ~(sc.max(axis=1) < self.s[at, -1])
+        at, sc = at[can], sc[can]
+        cat_s = np.concatenate([self.s[at], sc], axis=1)
+        cat_i = np.concatenate([self.i[at], np.broadcast_to(ids, sc.shape)], axis=1)
+        row, col = best_of_rows(cat_s, cat_i, self.k)
+        place = np.arange(len(row)) - np.searchsorted(row, row, side="left")
+        s, i = np.full((len(at), self.k), -np.inf), np.full((len(at), self.k), np.iinfo(np.int64).max)
+        s[row, place], i[row, place] = cat_s[row, col], cat_i[row, col]
+        self.s[at], self.i[at] = s, i
 
     def frame(self) -> pd.DataFrame:
         keep = np.isfinite(self.s)
@@ -110,12 +106,14 @@ def _tile_topk(k: int):
     def score(key, corpus: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         if len(corpus) == 0 or len(queries) == 0:
             return _empty()
-        acc = _TopK(queries["query_id"].to_numpy(dtype=np.int64), _unit(_stack(queries["qvec"])), k)
-        ids = corpus["id"].to_numpy(dtype=np.int64)
-        vecs = corpus["vec"]
+        best = Best(queries["query_id"].to_numpy(dtype=np.int64), k)
+        q, ids, vecs = _unit(_stack(queries["qvec"])), corpus["id"].to_numpy(dtype=np.int64), corpus["vec"]
         for a in range(0, len(corpus), CORPUS_CHUNK):
-            acc.add(ids[a:a + CORPUS_CHUNK], _unit(_stack(vecs.iloc[a:a + CORPUS_CHUNK])))
-        return acc.frame()
+            c = _unit(_stack(vecs.iloc[a:a + CORPUS_CHUNK]))
+            for b in range(0, len(q), QUERY_CHUNK):  # the score matrix stays small
+                part = np.arange(b, min(len(q), b + QUERY_CHUNK))
+                best.add(part, ids[a:a + CORPUS_CHUNK], q[part] @ c.T)
+        return best.frame()
 
     return score
 

@@ -17,28 +17,31 @@ rows is many blocks, and each block is a shell between two angles.
   is always on and leaves a margin for rounding, so the result is that of
   scoring all pairs.
 
-Queries meet blocks in cogroups of one block and one tile of queries, both
-bounded in bytes.  ``Found.pairs`` tells how many (query, row) pairs were
+Queries meet blocks in cogroups of one group of blocks and one tile of queries,
+both bounded in bytes; a query travels once to each group, with one flag a list.  ``Found.pairs`` tells how many (query, row) pairs were
 scored.  Rows and queries without a vector, or with components that are not
 finite, take no part; vectors of length zero score 0 and are never skipped.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 
-from dirsearch.operators.knn import _empty, best_of_rows
+from dirsearch.operators.knn import Best, _empty, _partitions
 from dirsearch.session import written
 
 SAMPLE_ROWS, SAMPLE_BYTES = 20_000, 64 << 20
 MOST_LISTS = 1024  # the centroids go to every task
 BLOCK_BYTES = 4 << 20
+GROUP_BYTES = 16 << 20  # of the blocks, and of the queries, that a task holds
+SLICE_ROWS = 1024
 STEPS, BATCH = 80, 1024
 MARGIN = 1e-9
 DIGITS = 12  # of scores: equal vectors score alike wherever they stand
@@ -119,93 +122,146 @@ class VectorIndex:
         exact = recall is None and probes is None
         if probes is None:
             probes = max(1, len(self.centroids) // 16) if exact else self.probes_for(recall)
-        asked = _vectors(queries, query_id_col, query_vec_col).withColumnRenamed("id", "query_id")
-        near = self._met(asked.mapInPandas(_nearest(self.centroids, probes), _ASKED))
+        asked = _vectors(queries, query_id_col, query_vec_col).withColumnRenamed("id", "query_id").withColumn("least", F.lit(None).cast("double"))
+        held = {r["list"]: r for r in self.blocks.groupBy("list").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).collect()}
+        near = _nearest(self.centroids, probes)
+        scored = self._scored(asked, near, held, k)
+        pairs = self._met(asked.mapInPandas(_counted(near), _MET))
         if not exact:
-            return Found(_ranked(self._scored(near, k), k), _pairs(near))
-        first = written(_ranked(self._scored(near, k), k), "index-first")
+            return Found(_ranked(scored, k), _pairs(pairs))
+        first = written(_ranked(scored, k), "index-first")
         least = first.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("least")).where(F.col("n") == k)
-        bounded = asked.join(least.select("query_id", "least"), "query_id", "left")
-        ranges = {r["list"]: (r["lo"], r["hi"]) for r in self.blocks.groupBy("list").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).collect()}
-        rest = self._met(bounded.mapInPandas(_possible(self.centroids, probes, ranges), _ASKED), skip=True)
-        return Found(_ranked(first.select("query_id", "id", "score").unionAll(self._scored(rest, k)), k), _pairs(near.unionAll(rest)))
-
-    def _met(self, asked: DataFrame, skip: bool = False) -> DataFrame:
-        """(query, block) rows: the blocks of the queries' lists, without those that cannot reach a query's least score."""
-        met = asked.join(self.blocks.select("list", "block", "n", "lo", "hi"), "list")
-        if skip:
-            best = F.cos(F.greatest(F.lit(0.0), F.col("angle") - F.col("hi"), F.col("lo") - F.col("angle")))
-            met = met.where(F.col("least").isNull() | (best >= F.col("least") - MARGIN))
-        return met.select("query_id", "q", "block", "n")
-
-    def _scored(self, met: DataFrame, k: int) -> DataFrame:
-        """The k best rows of each query in each block that it meets."""
-        rows = max(1, BLOCK_BYTES // (8 * max(1, self.centroids.shape[1])))
-        tiles = met.groupBy("block").agg(F.ceil(F.count("*") / rows).cast("int").alias("tiles"))
-        right = met.select("query_id", "q", "block").join(tiles, "block").withColumn("tile", F.pmod(F.xxhash64("query_id"), F.col("tiles")).cast("int"))
-        left = (self.blocks.select("block", "ids", "vecs").join(tiles, "block")
-                .select(F.col("block").alias("of_block"), F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("of_tile"), "ids", "vecs"))
-        dim = self.centroids.shape[1]
-
-        def score(block: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-            if not len(block) or not len(asked):
+        bounded = asked.drop("least").join(least.select("query_id", "least"), "query_id", "left")
+        possible = _possible(self.centroids, probes, held)
+        rest = self._scored(bounded, possible, held, k)
+        pairs = pairs.unionAll(self._met(bounded.mapInPandas(_counted(possible, each=True), _MET)))
+        return Found(_ranked(first.select("query_id", "id", "score").unionAll(rest), k), _pairs(pairs))
+
+    def _met(self, asked: DataFrame) -> DataFrame:
+        """The blocks of the queries' lists, without those that cannot reach a query's least score: rows n, met by m queries."""
+        met = asked.join(self.blocks.select("list", "n", "lo", "hi"), "list")
+        best = F.cos(F.greatest(F.lit(0.0), F.col("angle") - F.col("hi"), F.col("lo") - F.col("angle")))
+        return met.where(F.col("least").isNull() | (best >= F.col("least") - MARGIN)).select("n", "m")
+
+    def _groups(self, held: dict[int, Row]) -> dict[int, tuple[int, int]]:
+        """The groups of blocks of each list, as (first, number): short lists share a group, a long one has several."""
+        size = 8 * max(1, self.centroids.shape[1])
+        total = sum(r["n"] for r in held.values()) * size
+        most = max(1, min(GROUP_BYTES, total // math.isqrt(_partitions(self.blocks.sparkSession))))
+        out, group, full = {}, 0, 0
+        for i in sorted(held):
+            own = held[i]["n"] * size
+            if full and full + own > most:
+                group, full = group + 1, 0
+            parts = max(1, -(-own // most))
+            out[i] = (group, parts)
+            group, full = (group + parts, 0) if parts > 1 else (group, full + own)
+        return out
+
+    def _scored(self, asked: DataFrame, lists, held: dict[int, Row], k: int) -> DataFrame:
+        """The k best rows of each query in each group of blocks, of the blocks that it meets.
+
+        Groups of blocks meet tiles of queries, both bounded in bytes; a query goes to a group once, however many of its
+        blocks it meets, and leaves it with k rows.
+        """
+        spark, dim, centroids = self.blocks.sparkSession, self.centroids.shape[1], self.centroids
+        slots, groups = len(centroids) + 1, self._groups(held)
+        rows = max(1, GROUP_BYTES // (8 * max(1, dim) + 16 * k + slots))
+        tiles = F.greatest(F.lit(math.isqrt(_partitions(spark))), F.ceil(asked.agg(F.count("*")).scalar() / rows)).cast("int")
+        right = (asked.mapInPandas(_spread(lists, groups, slots), "query_id long, q binary, lists binary, least double, groups array<int>")
+                 .withColumn("tile", F.pmod(F.xxhash64("query_id"), tiles).cast("int")).withColumn("group", F.explode("groups")).drop("groups"))
+        dealt = spark.createDataFrame([(i, *x) for i, x in groups.items()], "list int, first int, parts int")
+        left = (self.blocks.join(dealt, "list")
+                .select((F.col("first") + F.pmod(F.xxhash64("block"), F.col("parts"))).cast("int").alias("of_group"),
+                        F.explode(F.sequence(F.lit(0), tiles - 1)).alias("of_tile"), "list", "lo", "hi", "ids", "vecs"))
+
+        def score(blocks: pd.DataFrame, met: pd.DataFrame) -> pd.DataFrame:
+            if not len(blocks) or not len(met):
                 return _empty()
-            ids, vecs = np.frombuffer(block["ids"].iloc[0], np.int64), _units([block["vecs"].iloc[0]], dim)
-            q, qids = _units(list(asked["q"]), dim), asked["query_id"].to_numpy(np.int64)
-            out = []
-            step = max(1, (BLOCK_BYTES // 8) // len(ids))
-            for a in range(0, len(q), step):
-                s = np.round(q[a : a + step] @ vecs.T, DIGITS) + 0.0
-                row, col = best_of_rows(s, np.broadcast_to(ids, s.shape), k)
-                out.append(pd.DataFrame({"query_id": qids[a + row], "id": ids[col], "score": s[row, col]}))
-            return pd.concat(out)
+            q, least = _units(list(met["q"]), dim), met["least"].to_numpy(np.float64)
+            meets = np.unpackbits(np.frombuffer(b"".join(met["lists"]), np.uint8).reshape(len(q), -1), axis=1)[:, :slots] > 0
+            best = Best(met["query_id"].to_numpy(np.int64), k)
+            for own, lo, hi, ids, vecs in zip(*(blocks[c] for c in ("list", "lo", "hi", "ids", "vecs"))):
+                at = np.flatnonzero(meets[:, own])  # LOOSE is the last
+                if own != LOOSE:
+                    angle = _angles(q[at], centroids[own : own + 1])[:, 0]
+                    reach = np.cos(np.maximum(0.0, np.maximum(angle - hi, lo - angle)))
+                    at = at[np.isnan(least[at]) | (reach >= least[at] - MARGIN)]
+                ids, vecs = np.frombuffer(ids, np.int64), _units([vecs], dim)
+                step = max(1, (BLOCK_BYTES // 8) // len(ids))
+                for a in range(0, len(at), step):
+                    part = at[a : a + step]
+                    best.add(part, ids, np.round(q[part] @ vecs.T, DIGITS) + 0.0)
+            return best.frame()
 
-        return left.groupBy("of_block", "of_tile").cogroup(right.groupBy("block", "tile")).applyInPandas(score, "query_id long, id long, score double")
+        return left.groupBy("of_group", "of_tile").cogroup(right.groupBy("group", "tile")).applyInPandas(score, "query_id long, id long, score double")
 
 
-_ASKED = "query_id long, q binary, list int, angle double, least double"
+_MET = "list int, angle double, least double, m long"
 
 
-def _asked(ids: np.ndarray, u: np.ndarray, row: np.ndarray, lists: np.ndarray, angle: np.ndarray, least: np.ndarray) -> pd.DataFrame:
-    raw = [x.tobytes() for x in u]
-    return pd.DataFrame({"query_id": ids[row], "q": [raw[i] for i in row], "list": lists.astype(np.int32), "angle": angle, "least": least[row]})
+def _nearest(centroids: np.ndarray, probes: int):
+    """Unit vectors to their nearest lists, and the list of loose vectors, as one flag a list (the last for LOOSE)."""
 
+    def run(u: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        angle = _angles(u, centroids)
+        open_ = np.zeros((len(u), len(centroids) + 1), bool)
+        np.put_along_axis(open_, np.argsort(angle, axis=1, kind="stable")[:, :probes], True, axis=1)
+        open_[:, LOOSE] = True
+        return open_, angle
 
-def _nearest(centroids: np.ndarray, probes: int):
-    """Queries to one row for each of their nearest lists, and for the list of loose vectors."""
+    return run
+
+
+def _possible(centroids: np.ndarray, probes: int, held: dict[int, Row]):
+    """Unit vectors with their least scores to the other lists that may hold as good a row."""
+    lo, hi = (np.array([held[i][x] if i in held else none for i in range(len(centroids))]) for x, none in (("lo", np.inf), ("hi", -np.inf)))
+
+    def run(u: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        angle = _angles(u, centroids)
+        with np.errstate(invalid="ignore"):
+            best = np.cos(np.maximum(0.0, np.maximum(angle - hi, lo - angle)))
+        open_ = np.isfinite(lo) & ((best >= least[:, None] - MARGIN) | np.isnan(least)[:, None])
+        np.put_along_axis(open_, np.argsort(angle, axis=1, kind="stable")[:, :probes], False, axis=1)
+        return np.column_stack([open_, np.zeros(len(u), bool)]), angle
+
+    return run
+
+
+def _slices(frames: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, np.ndarray, np.ndarray]]:
+    for f in frames:
+        for a in range(0, len(f), SLICE_ROWS):
+            part = f.iloc[a : a + SLICE_ROWS]
+            yield part, _normalised(part["vec"]), part["least"].to_numpy(np.float64)
+
+
+def _spread(lists, groups: dict[int, tuple[int, int]], slots: int):
+    """Queries to one row each, with the flags of their lists and the groups that hold these."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            if len(f):
-                u = _normalised(f["vec"])
-                angle = _angles(u, centroids)
-                lists = np.argsort(angle, axis=1, kind="stable")[:, :probes]
-                row = np.repeat(np.arange(len(u)), lists.shape[1] + 1)
-                lists = np.concatenate([lists, np.full((len(u), 1), LOOSE)], axis=1)
-                angle = np.concatenate([angle, np.zeros((len(u), 1))], axis=1)  # the last one for LOOSE
-                yield _asked(f["query_id"].to_numpy(), u, row, lists.ravel(), np.take_along_axis(angle, lists, axis=1).ravel(), np.full(len(u), np.nan))
+        of = np.zeros((slots, 1 + max((a + n - 1 for a, n in groups.values()), default=0)), np.float32)
+        for i, (a, n) in groups.items():
+            of[i, a : a + n] = 1.0  # LOOSE is the last
+        for f, u, least in _slices(frames):
+            open_ = lists(u, least)[0]
+            yield pd.DataFrame({"query_id": f["query_id"].to_numpy(), "q": [x.tobytes() for x in u], "lists": [x.tobytes() for x in np.packbits(open_, axis=1)],
+                                "least": least, "groups": [np.flatnonzero(x).astype(np.int32) for x in open_.astype(np.float32) @ of > 0]})
 
     return run
 
 
-def _possible(centroids: np.ndarray, probes: int, ranges: dict[int, tuple[float, float]]):
-    """Queries with their least scores to one row for each other list that may hold as good a row."""
+def _counted(lists, each: bool = False):
+    """How many queries meet each list, batch by batch; with ``each`` one row for each query and list, with its angle and least score."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        lo, hi = (np.array([ranges.get(i, (np.inf, -np.inf))[x] for i in range(len(centroids))]) for x in (0, 1))
-        there = np.isfinite(lo)
-        for f in frames:
-            if len(f):
-                u = _normalised(f["vec"])
-                angle = _angles(u, centroids)
-                least = f["least"].to_numpy(np.float64)
-                with np.errstate(invalid="ignore"):
-                    best = np.cos(np.maximum(0.0, np.maximum(angle - hi, lo - angle)))
-                open_ = there & ((best >= least[:, None] - MARGIN) | np.isnan(least)[:, None])
-                done = np.argsort(angle, axis=1, kind="stable")[:, :probes]
-                np.put_along_axis(open_, done, False, axis=1)
-                row, lists = np.nonzero(open_)
-                yield _asked(f["query_id"].to_numpy(), u, row, lists, angle[row, lists], least)
+        for f, u, least in _slices(frames):
+            open_, angle = lists(u, least)
+            if each:
+                row, own = np.nonzero(open_)  # never LOOSE
+                yield pd.DataFrame({"list": own.astype(np.int32), "angle": angle[row, own], "least": least[row], "m": np.ones(len(row), np.int64)})
+            else:
+                own = np.append(np.arange(open_.shape[1] - 1), LOOSE).astype(np.int32)
+                yield pd.DataFrame({"list": own, "angle": np.zeros(len(own)), "least": np.full(len(own), np.nan), "m": open_.sum(axis=0)})
 
     return run
 
@@ -216,7 +272,7 @@ def _ranked(partial: DataFrame, k: int) -> DataFrame:
 
 
 def _pairs(met: DataFrame) -> DataFrame:
-    return met.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("pairs"))
+    return met.agg(F.coalesce(F.sum(F.col("n") * F.col("m")), F.lit(0)).alias("pairs"))
 
 
 def build_index(corpus: DataFrame, *, id_col: str = "id", vec_col: str = "embedding", lists: int | None = None, block_bytes: int = BLOCK_BYTES,

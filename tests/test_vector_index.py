@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from dirsearch.operators import vector_index as VI
@@ -73,3 +74,26 @@ def test_empty_corpus_and_mixed_lengths(spark):
     assert index.search(spark.createDataFrame([(1, [1.0])], "query_id long, embedding array<double>"), 3).rows.count() == 0
     with pytest.raises(ValueError):
         VI.build_index(spark.createDataFrame([(1, [1.0]), (2, [1.0, 2.0])], "id long, embedding array<double>"))
+
+
+def test_a_query_travels_once_to_a_group_however_many_lists_it_meets(spark):
+    m = np.random.default_rng(6).normal(size=(400, 8))
+    index = VI.build_index(_frame(spark, m), lists=40)
+    held = {r["list"]: r for r in index.blocks.groupBy("list").agg({"n": "sum"}).withColumnRenamed("sum(n)", "n").collect()}
+    groups = index._groups(held)
+    assert len(groups) == len(held) and len({a + i for a, n in groups.values() for i in range(n)}) <= 4  # 8 shuffle partitions: blocks of lists share groups
+    asked = pd.DataFrame({"query_id": range(400), "vec": list(m), "least": np.nan})
+    rows = pd.concat(VI._spread(VI._nearest(index.centroids, 40), groups, 41)([asked]))
+    assert len(rows) == 400 and rows["lists"].map(len).max() == 6  # one flag for each of 41 lists
+    found = index.search(_frame(spark, m, "query_id"), 10, probes=40)
+    assert {(r["query_id"], r["id"]) for r in found.rows.collect()} == {(q, i) for q, i, _ in _brute(m, m, 10)}
+    assert found.pairs.first()["pairs"] == 400 * 400
+
+
+def test_a_long_list_is_dealt_over_several_groups(spark, monkeypatch):
+    monkeypatch.setattr(VI, "GROUP_BYTES", 16 * 8 * 20)
+    rng = np.random.default_rng(7)
+    m = np.concatenate([np.ones((200, 16)) + 0.01 * rng.normal(size=(200, 16)), rng.normal(size=(100, 16))])
+    index = VI.build_index(_frame(spark, m), lists=5, block_bytes=16 * 8 * 7)
+    for found in (index.search(_frame(spark, m[::7], "query_id"), 10), index.search(_frame(spark, m[::7], "query_id"), 10, probes=5)):
+        assert {(r["query_id"], r["id"]) for r in found.rows.collect()} == {(q, i) for q, i, _ in _brute(m, m[::7], 10)}
