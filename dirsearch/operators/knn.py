@@ -5,7 +5,8 @@ join.  The corpus is hashed into blocks and the queries into tiles; every
 (block, tile) pair meets in one cogroup, like the tiles of a matrix product,
 so memory per task is bounded by block and tile and neither table passes
 through the driver.  Block and tile counts come from
-``spark.sql.shuffle.partitions`` (or arguments), never from a job.
+``spark.sql.shuffle.partitions`` (or arguments) and, where that would make
+them too large, from row counts inside the plan.
 
 Only k rows per query per task leave Python; a ``row_number`` window (planned
 as a partial ``WindowGroupLimit`` before its shuffle) makes the final cut with
@@ -23,18 +24,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from dirsearch.functions.vector import cosine
 
 _PARTIAL_SCHEMA = "query_id long, id long, score double"
-QUERY_CHUNK = 1024
+TILE_BYTES, BLOCK_BYTES = 16 << 20, 32 << 20  # of vectors as doubles (and of the tile's k best) in a task
+QUERY_CHUNK = 256
 CORPUS_CHUNK = 4096
 
 
-def _block_key(c: str, n: int):
-    return F.pmod(F.xxhash64(F.col(c)), F.lit(n)).cast("int")
+def _block_key(c: str, n: Column):
+    return F.pmod(F.xxhash64(F.col(c)), n).cast("int")
+
+
+def _pieces(df: DataFrame, vec: str, more: int, most: int, least: int) -> Column:
+    """How many pieces of df hold at most ``most`` bytes each, a row being its vector in doubles and ``more`` bytes; ``least`` or more."""
+    needed = F.ceil(F.count("*") * (8 * F.max(F.size(vec)) + more) / most)
+    return F.greatest(F.lit(least), df.agg(needed.alias("n")).scalar()).cast("int")
 
 
 def _stack(series: pd.Series) -> np.ndarray:
@@ -45,9 +53,7 @@ def _stack(series: pd.Series) -> np.ndarray:
 
 def _unit(m: np.ndarray) -> np.ndarray:
     n = np.linalg.norm(m, axis=1, keepdims=True)
-    with np.errstate(invalid="ignore", divide="ignore"):
-        out = np.where(n > 0, m / np.where(n > 0, n, 1.0), 0.0)
-    return out
+    return np.divide(m, n, out=np.zeros_like(m), where=n > 0)
 
 
 def best_of_rows(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -130,21 +136,22 @@ def knn_exact(corpus: DataFrame, queries: DataFrame, k: int, *, id_col: str = "i
     Returns ``(query_id, id, score, rank)``; rank is 1-based, ties broken by id.
     Rows without a vector are skipped.  Corpus rows are copied to each query
     tile, query rows to each corpus block.  By default blocks x tiles is about
-    the number of shuffle partitions, so the setting that sizes every other
-    shuffle also bounds what a task holds here.
+    the number of shuffle partitions, and more once a block or a tile would pass
+    ``BLOCK_BYTES`` or ``TILE_BYTES`` (counted by the same plan).
     """
     spark = corpus.sparkSession
     parts = _partitions(spark)
-    tiles = query_tiles or max(1, math.isqrt(parts))
-    blocks = corpus_blocks or max(1, -(-parts // tiles))
+    least = query_tiles or max(1, math.isqrt(parts))
     c = (corpus.where(F.col(vec_col).isNotNull())
          .select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("vec")))
     q = (queries.where(F.col(query_vec_col).isNotNull())
          .select(F.col(query_id_col).cast("long").alias("query_id"), F.col(query_vec_col).alias("qvec")))
+    tiles = F.lit(query_tiles) if query_tiles else _pieces(q, "qvec", 16 * k, TILE_BYTES, least)
+    blocks = F.lit(corpus_blocks) if corpus_blocks else _pieces(c, "vec", 0, BLOCK_BYTES, max(1, -(-parts // least)))
     cb = (c.withColumn("blk", _block_key("id", blocks))
-          .withColumn("tile", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1)))))
+          .withColumn("tile", F.explode(F.sequence(F.lit(0), tiles - 1))))
     qb = (q.withColumn("tile", _block_key("query_id", tiles))
-          .withColumn("blk", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))))
+          .withColumn("blk", F.explode(F.sequence(F.lit(0), blocks - 1))))
     partial = (cb.groupBy("blk", "tile").cogroup(qb.groupBy("blk", "tile"))
                .applyInPandas(_tile_topk(k), _PARTIAL_SCHEMA))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("id"))
@@ -180,6 +187,7 @@ def cosine_to(df: DataFrame, other: DataFrame, on: list[str], vec_col: str, othe
 
 # ---------------------------------------------------------------- approximate search
 LSH_TABLES, LSH_HASHES, LSH_BLOCK_BYTES = 16, 8, 4 << 20
+LSH_STEP_BYTES = 8 << 20  # of copied vectors in a frame that leaves a worker, and of scores at once
 
 
 def _bucketed(df: DataFrame, tables: int, hashes: int, seed: int) -> DataFrame:
@@ -190,22 +198,28 @@ def _bucketed(df: DataFrame, tables: int, hashes: int, seed: int) -> DataFrame:
     vectors have (with Gaussian directions: steps of 2, at any length); vectors meet in a table only when all of them agree.
     """
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        made: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    def slices(frames: Iterator[pd.DataFrame]) -> Iterator[tuple[int, pd.DataFrame]]:
         for f in frames:
             for dim, part in f.groupby(f["vec"].str.len()):
-                if dim not in made:
-                    rng = np.random.default_rng([seed, int(dim)])
-                    made[dim] = rng.normal(size=(int(dim), tables * hashes)), rng.random(tables * hashes)
-                proj, offset = made[dim]
-                step = np.floor(_unit(_stack(part["vec"])) @ proj / 2 + offset).astype(np.int64)
-                bucket = np.zeros((len(part), tables), np.int64)
-                with np.errstate(over="ignore"):
-                    for h in range(hashes):
-                        bucket = bucket * np.int64(1_000_003) + step[:, h::hashes]
-                yield pd.DataFrame({"kind": np.repeat(part["kind"].to_numpy(), tables), "key": np.repeat(part["key"].to_numpy(), tables),
-                                    "tbl": np.tile(np.arange(tables, dtype=np.int32), len(part)), "bkt": bucket.reshape(-1),
-                                    "vec": np.repeat(part["vec"].to_numpy(), tables)})
+                step = max(1, LSH_STEP_BYTES // (8 * tables * int(dim)))
+                for a in range(0, len(part), step):
+                    yield dim, part.iloc[a:a + step]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        made: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for dim, part in slices(frames):
+            if dim not in made:
+                rng = np.random.default_rng([seed, int(dim)])
+                made[dim] = rng.normal(size=(int(dim), tables * hashes)), rng.random(tables * hashes)
+            proj, offset = made[dim]
+            step = np.floor(_unit(_stack(part["vec"])) @ proj / 2 + offset).astype(np.int64)
+            bucket = np.zeros((len(part), tables), np.int64)
+            with np.errstate(over="ignore"):
+                for h in range(hashes):
+                    bucket = bucket * np.int64(1_000_003) + step[:, h::hashes]
+            yield pd.DataFrame({"kind": np.repeat(part["kind"].to_numpy(), tables), "key": np.repeat(part["key"].to_numpy(), tables),
+                                "tbl": np.tile(np.arange(tables, dtype=np.int32), len(part)), "bkt": bucket.reshape(-1),
+                                "vec": np.repeat(part["vec"].to_numpy(), tables)})
 
     return df.mapInPandas(run, "kind int, key long, tbl int, bkt long, vec array<double>")
 
@@ -221,8 +235,9 @@ def _score_buckets(k: int):
         out = []
         for part in np.split(np.arange(len(f)), cut):
             c, q = part[kind[part] == 0], part[kind[part] == 1]
-            for a in range(0, len(q) if len(c) else 0, QUERY_CHUNK):
-                qs = q[a:a + QUERY_CHUNK]
+            step = min(QUERY_CHUNK, max(1, LSH_STEP_BYTES // (8 * max(1, len(c)))))
+            for a in range(0, len(q) if len(c) else 0, step):
+                qs = q[a:a + step]
                 sc = vec[qs] @ vec[c].T
                 row, col = best_of_rows(sc, np.broadcast_to(key[c], sc.shape), k)
                 out.append((key[qs[row]], key[c[col]], sc[row, col]))
