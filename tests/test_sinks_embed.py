@@ -62,3 +62,13 @@ def test_batches_are_embedded_alike_with_stored_counts(spark):
     blue, house = math.log(7 / 3), math.log(7 / 4)
     vec = next(r["embedding"] for r in parts if r["id"] == 2)
     assert abs(vec[feature("blue")] - blue / math.hypot(blue, house)) < 1e-6 and abs(vec[feature("house")] - house / math.hypot(blue, house)) < 1e-6
+
+
+def test_no_word_becomes_a_row_on_its_way_to_a_vector(spark):
+    df = spark.createDataFrame([(1, "a b b c"), (2, "A, b"), (3, "..."), (4, None), (5, "")], "id long, text string")
+    counts = E.feature_counts(df, "text", 16)
+    vecs = E.embed_hashed(df, counts, "id", "text", 16)
+    for plan in (counts, vecs):
+        assert "Generate" not in plan._jdf.queryExecution().optimizedPlan().toString()
+    assert {r["feature"]: r["df"] for r in counts.collect()}[E.DOCUMENTS] == 3
+    assert {r["id"]: sum(x != 0 for x in r["embedding"]) for r in vecs.collect()}[3] == 0
