@@ -9,8 +9,8 @@ folders of its own grams only.
 
 ``Postings.hits`` answers ``(id, keywords)`` pairs: a keyword is the grams at
 offsets 0, 4, 8, ... and the one that ends it; it occurs where the positions
-of its grams agree.  Keywords of fewer than four bytes are found by the range
-of grams that begin with them.  The answer is that of looking for each keyword
+of its grams agree.  Keywords of fewer than four bytes are joined with the
+first one, two or three bytes of the grams.  The answer is that of looking for each keyword
 in each text (tests compare both).
 """
 
@@ -104,10 +104,12 @@ class Postings:
                .select("id", "kw", F.col("x.o").alias("o"), F.col("x.places").alias("places")).mapInArrow(_occurring, "id long, kw string"))
         # short keywords: a gram of the text begins with them; the padding byte keeps ends apart
         short = distinct.where((F.col("size") < WIDTH) & (F.col("size") > 0))
-        shift = F.expr(f"cast(shiftleft(1L, 8 * ({WIDTH} - size)) as long)")
-        ranges = short.select("kw", (number(F.col("b")) * shift).alias("lo"), shift.alias("width"), F.col("size").alias("n"))
-        headed = grams.select("id", "gram").join(asked.join(ranges, "kw"), ["id"]).where((F.col("gram") >= F.col("lo")) & (F.col("gram") < F.col("lo") + F.col("width")))
+        heads = short.select("kw", F.col("size").cast("int").alias("n"), number(F.col("b")).alias("head"))
+        each = F.array(*[F.struct(F.lit(n).alias("n"), F.shiftright("gram", 8 * (WIDTH - n)).alias("head")) for n in range(1, WIDTH)])
+        # the hint is safe: distinct strings of fewer than WIDTH bytes
+        headed = (grams.select("id", F.inline(each)).join(F.broadcast(heads), ["n", "head"]).select("id", "kw").distinct()
+                  .join(asked, ["id", "kw"], "left_semi"))
         empty = asked.where("kw = ''")
-        found = met.unionAll(headed.select("id", "kw").distinct()).unionAll(empty.select("id", "kw")).groupBy("id").agg(F.collect_set("kw").alias("found"))
+        found = met.unionAll(headed).unionAll(empty.select("id", "kw")).groupBy("id").agg(F.collect_set("kw").alias("found"))
         return ids.join(pairs.select(F.col("id").cast("long").alias("id")).distinct(), "id", "left_semi").join(found, "id", "left").select(
             "id", F.coalesce("found", F.array().cast("array<string>")).alias("found"))

@@ -45,3 +45,12 @@ def test_nothing_stored_and_nothing_asked(spark, store, tmp_path):
     none = write_postings(df.where("false"), str(tmp_path / "none"))
     pairs = spark.createDataFrame([(1, ["ab"])], "id long, keywords array<string>")
     assert none.hits(pairs).count() == 0 and index.hits(pairs.where("false")).count() == 0
+
+
+def test_short_keywords_join_by_their_bytes(spark, store):
+    _, _, index = store
+    asked = spark.createDataFrame([(62, ["a", "aa", "aaa", "b"]), (61, ["cap", "é"])], "id long, keywords array<string>")
+    hits = index.hits(asked)
+    plan = hits._jdf.queryExecution().optimizedPlan().toString()
+    assert "head" in plan and "gram#" in plan and not [x for x in plan.split("\n") if "Join" in x and ("<=" in x or ">=" in x)]
+    assert {r["id"]: sorted(r["found"]) for r in hits.collect()} == {62: ["a", "aa", "aaa"], 61: ["cap"]}
