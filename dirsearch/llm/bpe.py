@@ -48,7 +48,8 @@ from dirsearch.llm.store import written
 LEAF = 4096  # characters
 SEGMENT = 1 << 16  # characters
 FAN_IN = 8
-CACHE = 1 << 17  # entries of a cache's generation
+CACHE = 1 << 16  # entries of a cache's generation
+WORDS = 1 << 17  # that of whole words
 SHORT = 16  # bytes; encodings of halves of pieces up to this length are kept
 BATCH_BYTES = 4 << 20
 _CLOSE = re.compile(r"\s | \s")  # spaces beside other white space
@@ -82,7 +83,7 @@ class Words(Generations):
     """Ids of words after a space; those of letters only are kept, the others are put together from their pieces."""
 
     def __init__(self, codec: Codec):
-        super().__init__(lambda w: codec.piece(" " + w))
+        super().__init__(lambda w: codec.piece(" " + w), WORDS)
         self.ids_of = codec.ids_of
         # marks that the pattern takes for a piece of their own after a word
         self.marks = {m: codec.piece(m) for m in ".,;:!?" if codec.findall(" a" + m) == [" a", m]}
@@ -267,6 +268,7 @@ class Segment:
 @functools.lru_cache(maxsize=2)
 def codec(ranks_path: str, pattern: str) -> Codec:
     """The codec of a ranks file (lines of base64 token and rank), once per worker."""
+    workers.release()  # what earlier operators kept in this worker
     workers.kept(codec.cache_clear)
     with open(ranks_path, "rb") as f:
         ranks = {base64.b64decode(t): int(r) for t, r in map(bytes.split, f)}
@@ -396,7 +398,6 @@ def digests(docs: DataFrame, keep: list[str], with_ids: bool = False) -> DataFra
     ``decode``."""
     docs, tokenizer = docs.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*keep, "text"])]), multilingual()
     kept = [docs.schema[c] for c in keep]
-    at = [docs.columns.index(c) for c in keep]
     schema = T.StructType([*kept, T.StructField("n_tokens", T.LongType()), *(T.StructField(n, T.StringType()) for n in ("ids_sha256", "decoded_sha256")),
                            *([T.StructField("ids", T.BinaryType())] if with_ids else [])])
 
@@ -412,10 +413,11 @@ def digests(docs: DataFrame, keep: list[str], with_ids: bool = False) -> DataFra
                 back.append(sha256(c.decode(ids)).hexdigest())
                 if with_ids:
                     packed.append(raw)
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in at), pa.array(n, pa.int64()), pa.array(coded, pa.string()), pa.array(back, pa.string()),
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(n, pa.int64()), pa.array(coded, pa.string()), pa.array(back, pa.string()),
                                               *([pa.array(packed, pa.binary())] if with_ids else [])], names=schema.names)
 
-    short = _sized(docs, "text", SEGMENT, short=True).mapInArrow(run, schema)
+    short = _sized(docs, "text", SEGMENT, short=True)
+    short = short.select(*[F.col(f"`{c}`") for c in [*keep, short.columns[-1]]]).mapInArrow(run, schema)  # the text goes to Python once
     long = encode_long(docs, **tokenizer, text="text", out="_ids")
     long = decode(long, **tokenizer, ids="_ids", out="_decoded", keep=[*keep, "_ids"])
     return short.unionAll(long.select(*keep, (F.octet_length("_ids") / 4).cast("long").alias("n_tokens"), F.sha2("_ids", 256).alias("ids_sha256"),

@@ -14,7 +14,7 @@ import pyarrow as pa
 import pytest
 from conftest import SMOKE
 
-from dirsearch.llm import alignment, collocations, token_files, units
+from dirsearch.llm import alignment, bpe, collocations, token_files, units, workers
 from dirsearch.llm.store import NULL_ID
 
 SCHEMA = ("doc_id long, text string, lang string, source string, key long, page long, row long, start long, grp string, word string, block long, "
@@ -261,3 +261,20 @@ def test_op12_query_on_the_small_table(spark, registry, whole_text_tokens):
     rows = spark.read.parquet(f"{SMOKE}/documents.parquet").select("doc_id", "text").collect()
     got = sorted(map(tuple, registry[0]["op12_token_alignment"](spark, SMOKE).collect()), key=str)
     assert got == _brute_alignment(rows, whole_text_tokens)
+
+
+def test_the_codec_drops_what_earlier_operators_kept():
+    dropped = []
+    workers.kept(lambda: dropped.append(1))
+    bpe.codec.cache_clear()
+    bpe.codec(**bpe.multilingual())
+    assert dropped == [1]
+
+
+def test_digests_hand_the_text_to_python_once(spark):
+    docs = spark.createDataFrame([(1, "a b", "x"), (2, None, "y")], "doc_id long, text string, source string")
+    plan = bpe.digests(docs, keep=["doc_id"])._jdf.queryExecution().optimizedPlan().toString()
+    taken = re.search(r"MapInArrow run\((.*?)\)", plan).group(1)
+    assert len(re.findall(r"#\d+", taken)) == 2  # the id and the text
+    kept = bpe.digests(docs, keep=["text", "doc_id"]).orderBy("doc_id").collect()
+    assert [(r.text, r.doc_id, r.n_tokens > 0) for r in kept] == [("a b", 1, True), (None, 2, False)]
