@@ -28,7 +28,6 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -43,7 +42,6 @@ VOCABULARY = CLASS * CLASSES
 FREQUENT = 1 << 16  # tokens, at most, whose counts are broadcast: 1 MB; a step of the counts' histogram goes in whole or not at all
 EMBED, HIDDEN = 16, 24
 LANES, WINDOW = 128, 16
-TOGETHER = 16  # words of a class in one matrix product of training
 SCORE_LANES, SCORE_WINDOW = 256, 32
 SOFTMAX_TOKENS = 1 << 13  # whose classes and words are looked up together
 SCORE_BYTES = 4 << 20  # of text that are scored side by side
@@ -136,21 +134,63 @@ def initial(v: Vocabulary, seed: int = 3) -> dict[str, np.ndarray]:
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * np.tanh(0.5 * x) + 0.5
+    """In place."""
+    x *= 0.5
+    np.tanh(x, out=x)
+    x *= 0.5
+    x += 0.5
+    return x
 
 
 def _step(h: np.ndarray, x: np.ndarray, wh: np.ndarray) -> tuple[np.ndarray, ...]:
-    """One gated recurrent step from the state and the input's share of the gates."""
-    a = h @ wh
-    gates = _sigmoid(x[:, : 2 * HIDDEN] + a[:, : 2 * HIDDEN])
-    z, r, inner = gates[:, :HIDDEN], gates[:, HIDDEN:], a[:, 2 * HIDDEN :]
-    n = np.tanh(x[:, 2 * HIDDEN :] + r * inner)
-    return n + z * (h - n), z, r, inner, n
+    """One gated recurrent step from the state and the input's share of the gates, both with a column a lane: the gates
+    are then blocks of memory."""
+    a = wh.T @ h
+    gates = a[: 2 * HIDDEN]
+    inner = a[2 * HIDDEN :]
+    gates += x[: 2 * HIDDEN]
+    _sigmoid(gates)
+    z, r = gates[:HIDDEN], gates[HIDDEN:]
+    n = r * inner
+    n += x[2 * HIDDEN :]
+    np.tanh(n, out=n)
+    out = h - n
+    out *= z
+    out += n
+    return out, z, r, inner, n
+
+
+def _gate_inputs(p: dict[str, np.ndarray], emb: np.ndarray) -> np.ndarray:
+    """(steps, 3 * HIDDEN, lanes): the inputs' share of the gates."""
+    x = np.matmul(p["wx"].T, emb.transpose(0, 2, 1))
+    x += p["b"][:, None]
+    return x
+
+
+def _less_most(x: np.ndarray) -> np.ndarray:
+    """Each row less its largest number, in place."""
+    x -= x[np.arange(len(x)), x.argmax(1)][:, None]
+    return x
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
-    e = np.exp(x - x.max(1, keepdims=True))
-    return e / e.sum(1, keepdims=True)
+    """In place."""
+    np.exp(_less_most(x), out=x)
+    x *= 1 / (x @ np.ones((x.shape[1], 1), x.dtype))
+    return x
+
+
+def _picked(logit: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The log of the softmax of each row at one place; takes logit for its work."""
+    got = _less_most(logit)[np.arange(len(at)), at]
+    np.exp(logit, out=logit)
+    return got - np.log(logit @ np.ones(logit.shape[1], logit.dtype))
+
+
+def _by_class(cls: np.ndarray) -> tuple[np.ndarray, list[int]]:
+    """The order of tokens by class, and where each class of words begins in it; the rest class comes last."""
+    order = np.argsort(cls.astype(np.uint8), kind="stable")
+    return order, np.cumsum([0, *np.bincount(cls, minlength=CLASSES + 1)[:CLASSES]]).tolist()
 
 
 def _lanes(lengths: np.ndarray, lanes: int) -> list[list[int]]:
@@ -191,17 +231,18 @@ def _stream(bounds: np.ndarray, lanes: int) -> tuple[np.ndarray, np.ndarray]:
 def _log_softmax(p: dict[str, np.ndarray], hid: np.ndarray, tok: np.ndarray) -> np.ndarray:
     """Of each token the log of its class's probability and, for words of the vocabulary, of the word's in it."""
     cls = tok // CLASS
-    logit = hid @ p["class_w"].T + p["class_b"]
-    logit -= logit.max(1, keepdims=True)
-    got = logit[np.arange(len(tok)), cls] - np.log(np.exp(logit).sum(1))
-    order = np.argsort(cls, kind="stable")
-    edges = np.searchsorted(cls[order], np.arange(CLASSES + 1))
-    for c in range(CLASSES):
-        mine = order[edges[c] : edges[c + 1]]
-        if len(mine):
-            logit = hid[mine] @ p["word_w"][c].T + p["word_b"][c]
-            logit -= logit.max(1, keepdims=True)
-            got[mine] += logit[np.arange(len(mine)), tok[mine] % CLASS] - np.log(np.exp(logit).sum(1))
+    logit = hid @ p["class_w"].T
+    logit += p["class_b"]
+    got = _picked(logit, cls)
+    order, edges = _by_class(cls)
+    order = order[: edges[-1]]
+    x, y, more = hid[order], tok[order] % CLASS, np.empty(len(order), got.dtype)
+    for c, (a, b) in enumerate(zip(edges, edges[1:])):
+        if a < b:
+            logit = x[a:b] @ p["word_w"][c].T
+            logit += p["word_b"][c]
+            more[a:b] = _picked(logit, y[a:b])
+    got[order] += more
     return got
 
 
@@ -212,22 +253,22 @@ def log10_probabilities(p: dict[str, np.ndarray], ids: np.ndarray, bounds: np.nd
         return out
     lanes = min(lanes, len(bounds) - 1)
     grid, starts = _grid(bounds, lanes)
-    share = p["embed"] @ p["wx"] + p["b"]
-    h = np.zeros((lanes, HIDDEN), np.float32)
+    h = np.zeros((HIDDEN, lanes), np.float32)
+    start = p["start"][:, None]
     held, size = [], 0
     for lo in range(0, len(grid), window):
         n = int(np.count_nonzero(grid[lo] >= 0))
-        g, s, h = grid[lo : lo + window, :n], starts[lo : lo + window, :n], h[:n]
+        g, s, h = grid[lo : lo + window, :n], starts[lo : lo + window, :n], h[:, :n]
         new = s.any(axis=1)
-        x = share[ids[np.maximum(g, 0)]]
-        before = np.empty((*g.shape, HIDDEN), np.float32)
+        x = _gate_inputs(p, p["embed"][ids[np.maximum(g, 0)]])
+        before = np.empty((len(g), HIDDEN, n), np.float32)
         for t in range(len(g)):
             if new[t]:
-                h[s[t]] = p["start"]
+                h = np.where(s[t], start, h)
             before[t] = h
             h = _step(h, x[t], p["wh"])[0]
         live = g >= 0
-        held.append((before[live], g[live]))
+        held.append((before.transpose(0, 2, 1)[live], g[live]))
         size += len(held[-1][1])
         if size >= SOFTMAX_TOKENS or lo + window >= len(grid):  # windows of few lanes share one product a class
             hid, at = (np.concatenate(part) for part in zip(*held))
@@ -239,62 +280,76 @@ def log10_probabilities(p: dict[str, np.ndarray], ids: np.ndarray, bounds: np.nd
 def _window_gradients(p: dict[str, np.ndarray], tok: np.ndarray, live: np.ndarray, starts: np.ndarray, h: np.ndarray,
                       grad: dict[str, np.ndarray] | None = None) -> tuple[dict[str, np.ndarray], np.ndarray]:
     """Gradients of one window's mean loss (into grad, if given: zeros), back through the window only, and the state after it."""
-    steps = len(tok)
+    steps, lanes = tok.shape
     emb = p["embed"][tok]
-    x = emb @ p["wx"] + p["b"]
-    tape, before = [], np.empty((*tok.shape, HIDDEN), np.float32)
+    x = _gate_inputs(p, emb)
+    tape, before = [], np.empty((steps, HIDDEN, lanes), np.float32)
+    new, h = starts.any(axis=1), h.T
     for t in range(steps):
-        h0 = np.where(starts[t][:, None], p["start"], h)
+        h0 = np.where(starts[t], p["start"][:, None], h) if new[t] else h
         before[t] = h0
         h, z, r, inner, n = _step(h0, x[t], p["wh"])
         tape.append((h0, z, r, inner, n))
-    hid, y = before[live], tok[live]
+    hid, y = before.transpose(0, 2, 1)[live], tok[live]
     total, cls = max(1, len(y)), y // CLASS
-    d = _softmax(hid @ p["class_w"].T + p["class_b"])
+    d = hid @ p["class_w"].T
+    d += p["class_b"]
+    d = _softmax(d)
     d[np.arange(len(y)), cls] -= 1
     d /= total
     grad = grad or {k: np.zeros_like(w) for k, w in p.items()}
     grad["class_w"][...], grad["class_b"][...] = d.T @ hid, d.sum(0)
     dhid = d @ p["class_w"]
-    order = np.argsort(cls, kind="stable")
-    order = order[: np.searchsorted(cls[order], CLASSES)]
-    if len(order):  # words of the vocabulary, in blocks of TOGETHER of one class, so that all classes are one product
-        c = cls[order]
-        rank = np.arange(len(c)) - np.searchsorted(c, c)
-        new = rank % TOGETHER == 0
-        block, at = np.cumsum(new) - 1, rank % TOGETHER
-        of = c[new]
-        ins, q = np.zeros((len(of), TOGETHER, HIDDEN), hid.dtype), np.zeros((len(of), TOGETHER, CLASS), hid.dtype)
-        ins[block, at] = hid[order]
-        w = p["word_w"][of]
-        some = _softmax((ins @ w.transpose(0, 2, 1) + p["word_b"][of][:, None])[block, at])
-        some[np.arange(len(c)), y[order] % CLASS] -= 1
-        q[block, at] = some / total
-        dw, db = q.transpose(0, 2, 1) @ ins, q.sum(1)
-        for k in range(len(of)):
-            grad["word_w"][of[k]] += dw[k]
-            grad["word_b"][of[k]] += db[k]
-        dhid[order] += (q @ w)[block, at]
+    order, edges = _by_class(cls)
+    order = order[: edges[-1]]
+    classes = [(c, a, b) for c, (a, b) in enumerate(zip(edges, edges[1:])) if a < b]
+    if classes:  # words of the vocabulary, side by side by class: each class is a slice of one array
+        ins, words, back = hid[order], p["word_w"], np.empty((len(order), HIDDEN), hid.dtype)
+        q = np.empty((len(order), CLASS), d.dtype)
+        for c, a, b in classes:
+            np.matmul(ins[a:b], words[c].T, out=q[a:b], casting="same_kind")
+            q[a:b] += p["word_b"][c]
+        _softmax(q)
+        q[np.arange(len(q)), y[order] % CLASS] -= 1
+        q /= total
+        for c, a, b in classes:
+            grad["word_w"][c] = q[a:b].T @ ins[a:b]
+            np.matmul(q[a:b], words[c], out=back[a:b], casting="same_kind")
+        grad["word_b"][[c for c, _, _ in classes]] = np.add.reduceat(q, [a for _, a, _ in classes], axis=0)
+        dhid[order] += back
     dbefore = np.zeros_like(before)
-    dbefore[live] = dhid
+    dbefore.transpose(0, 2, 1)[live] = dhid
     dh = np.zeros_like(h)
     dx, da = np.empty_like(x), np.empty_like(x)
     for t in range(steps - 1, -1, -1):
         h0, z, r, inner, n = tape[t]
-        dn = dh * (1 - z) * (1 - n * n)
-        dz = dh * (h0 - n) * z * (1 - z)
-        dr = dn * inner * r * (1 - r)
-        dx[t] = np.concatenate([dz, dr, dn], axis=1)
-        da[t] = dx[t]
-        da[t, :, 2 * HIDDEN :] *= r
-        dh = dh * z + da[t] @ p["wh"].T + dbefore[t]
-        grad["start"] += dh[starts[t]].sum(0)
-        dh = np.where(starts[t][:, None], 0, dh)
-    grad["wh"][...] = before.reshape(-1, HIDDEN).T @ da.reshape(-1, 3 * HIDDEN)
-    flat_dx, flat_emb = dx.reshape(-1, 3 * HIDDEN), emb.reshape(-1, EMBED)
-    grad["wx"][...], grad["b"][...] = flat_emb.T @ flat_dx, flat_dx.sum(0)
-    np.add.at(grad["embed"], tok.reshape(-1), flat_dx @ p["wx"].T)
-    return grad, h
+        left = 1 - z
+        dz, dr, dn = dx[t, :HIDDEN], dx[t, HIDDEN : 2 * HIDDEN], dx[t, 2 * HIDDEN :]
+        np.multiply(dh, left, out=dn)
+        dn *= 1 - n * n
+        np.subtract(h0, n, out=dz)
+        dh *= z
+        dz *= dh
+        dz *= left
+        np.multiply(dn, inner, out=dr)
+        dr *= r
+        dr *= 1 - r
+        da[t, : 2 * HIDDEN] = dx[t, : 2 * HIDDEN]
+        np.multiply(dn, r, out=da[t, 2 * HIDDEN :])
+        dh += p["wh"] @ da[t]
+        dh += dbefore[t]
+        if new[t]:
+            grad["start"] += dh[:, starts[t]].sum(1)
+            dh[:, starts[t]] = 0
+    dx_rows = dx.transpose(0, 2, 1)
+    grad["wh"][...] = np.matmul(before, da.transpose(0, 2, 1)).sum(0)
+    grad["wx"][...], grad["b"][...] = np.matmul(emb.transpose(0, 2, 1), dx_rows).sum(0), dx.sum((0, 2))
+    demb = np.matmul(dx_rows, p["wx"].T).reshape(-1, EMBED)
+    order = np.argsort(tok.reshape(-1), kind="stable")
+    of = tok.reshape(-1)[order]
+    first = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
+    grad["embed"][of[first]] += np.add.reduceat(demb[order], first, axis=0)
+    return grad, h.T
 
 
 def train(p: dict[str, np.ndarray], ids: np.ndarray, bounds: np.ndarray, rate: float = RATE) -> dict[str, np.ndarray]:
@@ -356,23 +411,21 @@ def trained(docs: DataFrame, v: Vocabulary, rounds: int = ROUNDS) -> dict[str, n
     for k in range(rounds):
         shared = spark.sparkContext.broadcast((p, v))
 
-        def run(batches: Iterator[pa.RecordBatch], rate: float = RATE * (1 - k / rounds), k: int = k) -> Iterator[pa.RecordBatch]:
+        def run(key: tuple, share: pa.Table, *, rate: float = RATE * (1 - k / rounds)) -> pa.Table:
             start, voc = shared.value
+            share = share.sort_by([("m", "ascending"), ("text", "ascending")])
             ids, ends = [], [np.zeros(1, np.int64)]
-            for b in batches:
-                for _, _, buf, offs in flat.chunks(b.column(0)):
-                    h, bounds = tokens(buf, offs)
-                    ids.append(voc.ids(voc.find(h)))
-                    ends.append(bounds[1:] + ends[-1][-1])
-            if ids:
-                w = train(start, np.concatenate(ids), np.concatenate(ends), rate)
-                yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([int(ends[-1][-1])], pa.int64()),
-                                                  pa.array([pickle.dumps(w)], pa.binary())], names=rows.names)
+            for _, _, buf, offs in flat.chunks(share.column("text")):
+                h, bounds = tokens(buf, offs)
+                ids.append(voc.ids(voc.find(h)))
+                ends.append(bounds[1:] + ends[-1][-1])
+            w = train(start, np.concatenate(ids), np.concatenate(ends), rate)
+            return pa.table([pa.array([key[0].as_py()], pa.int32()), pa.array([int(ends[-1][-1])], pa.int64()), pa.array([pickle.dumps(w)], pa.binary())],
+                            names=rows.names)
 
         chosen = texts.where(F.pmod(F.lit(k) - F.col("part"), F.lit(rounds)) < times).drop("part")
-        weights = chosen.repartition(trainers, "m").sortWithinPartitions("m", "text").select("text").mapInArrow(run, rows)
-        weights = written(weights, "lm-weights")  # one row a task, however many tasks the session makes of it
-        most = weights.agg(F.max("at")).first()[0]
+        weights = chosen.withColumn("at", F.pmod(F.hash("m"), F.lit(trainers))).groupBy("at").applyInArrow(run, rows)
+        most = trainers - 1  # one row a trainer, however many tasks the session makes of them
         while most:  # averages of averages of FAN_IN rows at most; one row reaches the driver
             weights = weights.groupBy(F.expr(f"at div {FAN_IN}")).applyInPandas(_average_rows, rows)
             most //= FAN_IN

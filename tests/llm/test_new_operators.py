@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import collections
 import hashlib
+import os
 import re
 import zlib
 
@@ -14,8 +15,8 @@ import pyarrow as pa
 import pytest
 from conftest import SMOKE
 
-from dirsearch.llm import alignment, bpe, collocations, token_files, units, workers
-from dirsearch.llm.store import NULL_ID
+from dirsearch.llm import alignment, bpe, collocations, lm, token_files, units, workers
+from dirsearch.llm.store import NULL_ID, shared_dir
 
 SCHEMA = ("doc_id long, text string, lang string, source string, key long, page long, row long, start long, grp string, word string, block long, "
           "pair long, n long, f long, a long, w0 long, items binary")
@@ -278,3 +279,11 @@ def test_digests_hand_the_text_to_python_once(spark):
     assert len(re.findall(r"#\d+", taken)) == 2  # the id and the text
     kept = bpe.digests(docs, keep=["text", "doc_id"]).orderBy("doc_id").collect()
     assert [(r.text, r.doc_id, r.n_tokens > 0) for r in kept] == [("a b", 1, True), (None, 2, False)]
+
+
+def test_lm_trainers_leave_no_weights_behind(spark):
+    docs = spark.createDataFrame([(i, f"w{i % 7} w{i % 5} w1") for i in range(200)], "doc_id long, text string")
+    folder = shared_dir(spark)
+    before = set(os.listdir(folder))
+    assert lm.scores(docs).count() == 200
+    assert not [f for f in set(os.listdir(folder)) - before if "weights" in f]  # they were as many as tasks, each a whole model, in every round
