@@ -109,6 +109,18 @@ def test_batch_search_against_brute_force(spark):
     assert sorted((r["query_id"], r["id"]) for r in got.collect()) == sorted(want) and len(want) > 50
 
 
+def test_sets_of_one_lead_share_its_hits(spark, monkeypatch):
+    profiles = spark.createDataFrame([(i, f"Ann Word{i % 4}", "Partner" if i < 6 else "Associate") for i in range(60)], "id long, name string, title string")
+    crit = spark.createDataFrame([(q, *c) for q in range(4) for c in (("title", "eq", "Partner"), ("name", "contains", f"word{q}"))],
+                                 "query_id long, field string, op string, value string")
+    for checks in (QL.CHECKS, 5):  # whole, and dealt to slices
+        monkeypatch.setattr(QL, "CHECKS", checks)
+        done = QL.batch_candidates(crit, profiles)
+        assert done.candidates.count() == 4 * 6 and done.led.count() == 6
+        assert (done.led.agg(F.max("slice")).first()[0] > 0) == (checks == 5)
+        assert sorted((r["set"], r["id"]) for r in done.found.collect()) == sorted((i % 4, i) for i in range(6))
+
+
 def test_unsupported_criteria_are_refused(spark, directory):
     crit = spark.createDataFrame([(1, "shoe size", "eq", "9")], "query_id long, field string, op string, value string")
     with pytest.raises(PySparkException):
