@@ -132,7 +132,7 @@ def keyword_filter(spark, sf):
 
 def with_strangers(hits):
     """Hits, and as many of ids that no other table holds."""
-    return hits.select("query_id", "id", "rank", "score").unionAll(hits.select("query_id", F.col("id") + 1000000000, "rank", "score"))
+    return hits.select("query_id", F.explode(F.array(F.col("id"), F.col("id") + 1000000000)).alias("id"), "rank", "score")
 
 
 @register("join_keep_missing", sql=f"with {Q_SQL}, {KW_SQL}, {hits_sql(50)}, {STRANGERS_SQL}, {CAND_SQL.replace('from hits h', 'from hx h')}, "
