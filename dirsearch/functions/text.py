@@ -5,6 +5,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -48,6 +50,13 @@ def any_contains(c: Column | str, needles: Sequence[str]) -> Column:
     return c.rlike("|".join(re.escape(n) for n in needles))
 
 
+def holds_any(c: Column | str, needles: Sequence[str]) -> Column:
+    """As :func:`any_contains`, by one byte search a needle: for a few needles several times as fast on long texts.  Each
+    reads ``c``, which should be a plain column."""
+    c = col_of(c)
+    return reduce(or_, [c.contains(n) for n in needles]) if needles else F.lit(False)
+
+
 _SEP = "\u0001"
 
 
@@ -67,16 +76,15 @@ def any_equals(c: Column | str, values: Sequence[str]) -> Column:
 def dict_hits(text: Column | str, dictionary: Sequence[str]) -> Column:
     """array<string>: dictionary entries occurring as substrings of ``text``,
     in dictionary order (theta join text x small dictionary, row-local)."""
-    return F.filter(literal_array(dictionary), lambda d: F.instr(col_of(text), d) > 0)
+    return F.filter(literal_array(dictionary), lambda d: F.contains(col_of(text), d))
 
 
 def first_hit_by_position(text: Column | str, dictionary: Sequence[str]) -> Column:
     """The dictionary entry that occurs earliest in ``text`` (ties: dictionary order)."""
     t = col_of(text)
-    pos = F.array(*[F.struct(F.instr(t, d).alias("p"), F.lit(i).alias("i"), F.lit(d).alias("v"))
-                    for i, d in enumerate(dictionary)])
-    hits = F.filter(pos, lambda s: s["p"] > 0)
-    return F.when(F.size(hits) > 0, F.array_min(hits)["v"])
+    hits = F.array(*[F.when(t.contains(d), F.struct(F.instr(t, d).alias("p"), F.lit(i).alias("i"), F.lit(d).alias("v")))
+                     for i, d in enumerate(dictionary)])
+    return F.array_min(hits)["v"]
 
 
 def first_in_order(text: Column | str, keywords: Sequence[str]) -> Column:

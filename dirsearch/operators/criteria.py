@@ -332,8 +332,9 @@ def valid_name(c: Column, blacklist: Sequence[str], shape: str, bad_chars: Seque
         bad = t if bad is None else (bad | t)
     words = F.split(strip_col(c), r"(?U)\s+", -1)
     words_ok = F.forall(words, lambda w: (F.length(w) <= 1) | F.regexp_replace(w, r"\.", "").rlike(r"^\p{L}+$"))
-    return (c.isNotNull() & ~black & c.rlike("(?U)" + shape) & F.length(c).between(3, 50) & ~bad
-            & (F.size(words) >= 2) & words_ok)
+    # length and shape first: most lines of a text go no further
+    shaped = c.isNotNull() & F.length(c).between(3, 50) & c.rlike("(?U)" + shape)
+    return F.when(shaped, ~black & ~bad & (F.size(words) >= 2) & words_ok).otherwise(F.lit(False))
 
 
 def strip_col(c: Column) -> Column:

@@ -28,8 +28,10 @@ def name_from_url(url: Column | str, pattern: str = L.URL_SLUG) -> Column:
 
 
 def email(text: Column | str, domain: str) -> Column:
-    """First e-mail address of the domain, lower-cased."""
-    return F.lower(_nz(F.regexp_extract(col_of(text), r"[a-zA-Z0-9._%+-]+@" + domain, 0)))
+    """First e-mail address of the domain, lower-cased.
+
+    An address starts where its run of characters starts, so each run is tried once."""
+    return F.lower(_nz(F.regexp_extract(col_of(text), r"(?<![a-zA-Z0-9._%+-])[a-zA-Z0-9._%+-]++@" + domain, 0)))
 
 
 def phone(text: Column | str, patterns: Sequence[str] = L.PHONE_PATTERNS) -> Column:
@@ -45,8 +47,8 @@ def office(text: Column | str, offices: Sequence[str] = L.OFFICES) -> Column:
 
 def dictionary_values(text: Column | str, dictionary: Sequence[str]) -> Column:
     """Every dictionary value found in the text (dictionary order), null if none."""
-    hits = dict_hits(text, dictionary)
-    return F.when(F.size(hits) > 0, hits)
+    hits = F.array(dict_hits(text, dictionary))  # in an array, so that the text is searched once
+    return F.get(F.filter(hits, lambda h: F.size(h) > 0), F.lit(0))
 
 
 def word_pattern(word: str, ignore_case: bool = True) -> str:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from dirsearch.functions import lexicons as L
-from dirsearch.functions.text import any_contains, clean_lines, collapse_spaces, first_in_order
+from dirsearch.functions.text import any_contains, clean_lines, collapse_spaces, first_in_order, holds_any
 from dirsearch.operators import extract as X
 from dirsearch.operators import lines as LN
 from dirsearch.operators.criteria import valid_name
@@ -156,9 +156,10 @@ def _line_fields(lines: DataFrame, lex: Lexicon) -> DataFrame:
     valid = valid_name(line, lex.name_blacklist, L.NAME_SHAPE, L.NAME_BAD_CHARS)
 
     def mark(header, stops):
-        return F.when(line.contains(header), F.lit(1)).when(any_contains(line, stops), F.lit(0))
+        return F.when(line.contains(header), F.lit(1)).when(holds_any(line, stops), F.lit(0))
 
     m = (lines.withColumn("valid", valid)
+         .withColumn("title_word", first_in_order(line, lex.titles))
          .withColumn("m_edu", mark(L.EDUCATION_HEADER, L.EDUCATION_STOPS))
          .withColumn("m_cap", mark(L.CAPABILITIES_HEADER, L.CAPABILITIES_STOPS))
          .withColumn("m_lang", mark(L.LANGUAGE_HEADER, L.LANGUAGE_STOPS))
@@ -187,14 +188,14 @@ def _line_fields(lines: DataFrame, lex: Lexicon) -> DataFrame:
                  F.coalesce(F.max(F.col("x_open").cast("int")).over(before), F.lit(0)).alias("x_opened"),
                  F.max(clerk_close.cast("int")).over(upto).alias("clerk_closed"))
     # pass 3: experience closing state
-    x_close = (any_contains(line, L.EXPERIENCE_STOPS) & (line != L.EXPERIENCE_KEEP_LINE) & ~F.col("x_open")
-               & (F.col("x_opened") == 1))
+    x_close = ((F.col("x_opened") == 1) & ~F.col("x_open") & (line != L.EXPERIENCE_KEEP_LINE)
+               & holds_any(line, L.EXPERIENCE_STOPS))
     m = m.withColumn("x_closed", F.max(x_close.cast("int")).over(upto))
 
     pos = F.col("pos")
     low = F.lower(line)
     mail_re = r"(?i)[a-zA-Z0-9._%+-]+@" + lex.email_domain
-    has_title = any_contains(line, lex.titles)
+    has_title = F.col("title_word").isNotNull()
     edu_in = (F.col("s_edu") == 1) & F.col("m_edu").isNull()
     edu_keep = any_contains(line, L.EDUCATION_DEGREE_MARKS) | (
         any_contains(line, L.EDUCATION_SCHOOL_WORDS) & (F.length(line) < L.EDUCATION_MAX_LEN))
@@ -209,11 +210,11 @@ def _line_fields(lines: DataFrame, lex: Lexicon) -> DataFrame:
     in_head = F.lit(True) if lex.head_lines is None else pos < lex.head_lines
     agg = m.groupBy("page_id").agg(
         F.first("local", ignorenulls=True).alias("local"),
-        F.min_by("near_cand", F.when(line.rlike(mail_re) & F.col("near_cand").isNotNull(), pos)).alias("near_name"),
-        F.min_by("line", F.when(in_head & line.rlike(L.NAME_LINE) & F.col("valid"), pos))
+        F.min_by("near_cand", F.when(F.col("near_cand").isNotNull() & line.rlike(mail_re), pos)).alias("near_name"),
+        F.min_by("line", F.when(in_head & F.col("valid") & line.rlike(L.NAME_LINE), pos))
         .alias("line_name"),
-        F.min_by("prev", F.when(has_title & F.col("prev").isNotNull() & F.col("prev_valid"), pos)).alias("title_name"),
-        F.min_by(first_in_order(line, lex.titles), F.when(has_title, pos)).alias("title"),
+        F.min_by("prev", F.when(F.col("prev_valid") & F.col("prev").isNotNull() & has_title, pos)).alias("title_name"),
+        F.min_by("title_word", F.when(has_title, pos)).alias("title"),
         _sorted_lines(edu_in & edu_keep).alias("_edu"),
         _sorted_lines(cap_in).alias("_cap"),
         F.flatten(F.collect_list(F.when(lang_in, lang_found))).alias("_lang"),
