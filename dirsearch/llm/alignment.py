@@ -1,16 +1,16 @@
 """Alignment of two tokenizers' tokens over the same bytes, and corpus-wide counts of aligned token pairs.
 
 Tokenizer A is a byte-level BPE that reads space + text, B a piece model that puts the space itself; so both cover the
-same bytes.  Per batch and keyed by document, ``pandas.merge_asof`` gives each token's start the other side's token that
-covers it; the union of both directions is every pair of tokens whose byte ranges overlap (links).  Where tokens of both
-sides end at the same byte, a group ends.
+same bytes.  Both sides of a batch's documents are laid out on one line of bytes, and a search by place gives each token's start the
+other side's token that covers it; the union of both directions is every pair of tokens whose byte ranges overlap (links).
+Where tokens of both sides end at the same byte, a group ends.
 
 Pair counts: a block of about ``BLOCK_BYTES`` of texts has one row with its distinct id pairs and in how many of its
 documents each is linked; these are summed over the corpus, compared with the highest count of their A id, and sent back
 to the blocks that hold the pair.  A pair that a third of all documents hold is one row a block.
 
 Texts are cut before a space that follows a character other than white space, and every distinct part of a batch is
-encoded once, many parts in one call.  That is exact: A's pattern has no match that goes on with a space after another character, and none of
+encoded once by both, many parts in one call.  That is exact: A's pattern has no match that goes on with a space after another character, and none of
 B's pieces holds a space after another character (checked when the model is loaded), so no merge of either reaches
 across such a place.
 
@@ -22,6 +22,7 @@ one); an empty table gives an empty result; columns other than the id and the te
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -40,7 +41,7 @@ BLOCK_BYTES = 16 << 20
 RUN = 64
 SPACE = "▁"
 
-_LOADED: dict[tuple[str, str], tuple[units.Encoded, units.Encoded, list[np.ndarray]]] = {}
+_LOADED: dict[tuple[str, str], tuple[units.Encoded, list[np.ndarray]]] = {}
 
 
 def _byte_of() -> dict[str, int]:
@@ -51,7 +52,7 @@ def _byte_of() -> dict[str, int]:
 
 
 def loaded(a_path: str, b_path: str):
-    """The worker's encoders of parts by A and by B, and the lengths in bytes of their ids."""
+    """The worker's encoder of parts by A and by B, and the lengths in bytes of their ids."""
     if (a_path, b_path) not in _LOADED:
         import os
 
@@ -72,35 +73,43 @@ def loaded(a_path: str, b_path: str):
                 raise ValueError(f"texts cannot be cut at spaces for {b_path}: a piece holds one inside")
             b_bytes.append(bytes([int(piece[3:5], 16)]) if b.is_byte(i) else piece.replace(SPACE, " ").encode())
 
-        def encode_a(parts: list[str]) -> list[bytes]:
-            return _codes(parts, lambda texts: [e.ids for e in a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)], a_bytes)
+        lengths = [np.array([len(x) for x in side], np.int64) for side in (a_bytes, b_bytes)]
 
-        def encode_b(parts: list[str]) -> list[bytes]:
-            return _codes(parts, lambda texts: b.encode(texts, num_threads=1), b_bytes)
+        def encode(parts: list[str]) -> list[tuple[bytes, bytes]]:
+            of_a = _codes(parts, lambda texts: [e.ids for e in a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)], a_bytes, lengths[0])
+            return list(zip(of_a, _codes(parts, lambda texts: b.encode(texts, num_threads=1), b_bytes, lengths[1])))
 
-        lengths = [np.array([len(x) for x in side], np.int64) for side in (a_bytes, b_bytes)]
         workers.kept(_LOADED.clear)
-        _LOADED[a_path, b_path] = units.Encoded(encode_a), units.Encoded(encode_b), lengths
+        _LOADED[a_path, b_path] = units.Encoded(encode), lengths
     return _LOADED[a_path, b_path]
 
 
-def _codes(parts: list[str], encode: Callable[[list[str]], list[list[int]]], token_bytes: list[bytes]) -> list[bytes]:
+def _codes(parts: list[str], encode: Callable[[list[str]], list[list[int]]], token_bytes: list[bytes], lengths: np.ndarray) -> list[bytes]:
     """The ids of each part, or -1 where they do not give the part back; ``RUN`` parts are encoded in one text."""
     runs = [parts[i : i + RUN] for i in range(0, len(parts), RUN)]
-    out = []
-    for run, ids in zip(runs, encode([" ".join(r) for r in runs])):
-        tokens = [token_bytes[i] for i in ids]
-        if b"".join(tokens) == "".join([" " + p for p in run]).encode():
-            upto = np.cumsum([0, *map(len, tokens)])
-            bounds = np.cumsum([0, *(len(p.encode()) + 1 for p in run)])
-            cuts = np.searchsorted(upto, bounds)
-            if (upto[cuts] == bounds).all():
-                code = np.array(ids, "<i4").tobytes()
-                out += [code[4 * x : 4 * y] for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
-                continue
-        for p, each in zip(run, encode(run)):
-            same = b"".join([token_bytes[i] for i in each]) == b" " + p.encode()
-            out.append(np.array(each if same else [-1], "<i4").tobytes())
+    texts = [" ".join(r) for r in runs]
+    got = encode(texts)
+    same = [b"".join(map(token_bytes.__getitem__, ids)) == b" " + t.encode() for ids, t in zip(got, texts)]
+    ids = np.array(list(itertools.chain.from_iterable(itertools.compress(got, same))), "<i4")
+    kept = list(itertools.chain.from_iterable(itertools.compress(runs, same)))
+    upto, bounds = np.zeros(len(ids) + 1, np.int64), np.zeros(len(kept) + 1, np.int64)
+    np.cumsum(lengths[ids], out=upto[1:])
+    np.cumsum(np.fromiter(map(len, map(str.encode, kept)), np.int64, len(kept)) + 1, out=bounds[1:])
+    cuts = np.searchsorted(upto, bounds)
+    across = set((np.flatnonzero(upto[cuts] != bounds) // RUN).tolist())  # kept runs with a token that reaches across parts
+    code, at = ids.tobytes(), (4 * cuts).tolist()
+    codes = [code[x:y] for x, y in zip(at, at[1:])]
+    if len(kept) == len(parts) and not across:
+        return codes
+    out, k = [], 0
+    for run, ok in zip(runs, same):
+        if ok and k // RUN not in across:
+            out += codes[k : k + len(run)]
+        else:
+            for p, each in zip(run, encode(run)):
+                back = b"".join([token_bytes[i] for i in each]) == b" " + p.encode()
+                out.append(np.array(each if back else [-1], "<i4").tobytes())
+        k += len(run) if ok else 0
     return out
 
 
@@ -131,13 +140,14 @@ def parts(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
 
 
 def overlaps(a: pd.DataFrame, b: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Places in a and in b of all pairs of tokens that overlap; both hold (doc, start), sorted by start."""
-    covering = [pd.merge_asof(x, y.assign(other=np.arange(len(y)), other_start=y["start"]), on="start", by="doc") for x, y in ((a, b), (b, a))]
-    of_a = covering[0]["other"].to_numpy(np.int64)
-    of_b = covering[1]["other"].to_numpy(np.int64)
+    """Places in a and in b of all pairs of tokens that overlap; both hold (doc, start), sorted by start, and cover the same
+    bytes, so that the first tokens of a document start at one place on both sides."""
+    start_a, start_b = a["start"].to_numpy(), b["start"].to_numpy()
+    of_a = np.searchsorted(start_b, start_a, side="right") - 1
+    of_b = np.searchsorted(start_a, start_b, side="right") - 1
     # tokens that start together are found from both sides
-    again = covering[1]["other_start"].to_numpy() == b["start"].to_numpy()
-    return np.concatenate([np.arange(len(a)), of_b[~again]]), np.concatenate([of_a, np.flatnonzero(~again)])
+    alone = np.flatnonzero(start_a[of_b] != start_b)
+    return np.concatenate([np.arange(len(a)), of_b[alone]]), np.concatenate([of_a, alone])
 
 
 class _Numbers:
@@ -155,17 +165,18 @@ class _Numbers:
 
 
 def aligned(texts: pa.Array, a_path: str, b_path: str, batch_bytes: int = BATCH_BYTES) -> Iterator[dict]:
-    """For runs of rows: counts per row, digest of the groups, and the links as (row, A id, B id), sorted by row."""
-    code_a, code_b, (len_a, len_b) = loaded(a_path, b_path)
+    """For runs of rows: counts per row, digest of the groups, and the links as (row, A id * 2**32 + B id, times), sorted."""
+    known, (len_a, len_b) = loaded(a_path, b_path)
     numbers = _Numbers(max(len(len_a), len(len_b)))
+    bits_a, bits_b = len(len_a).bit_length(), len(len_b).bit_length()
     for lo, hi, buf, offs in flat.chunks(texts, batch_bytes):
         n = hi - lo
         s, e, part_row = parts(buf, offs)
         which, words = units.distinct(buf, s, e)
         sides = []
         valid = np.ones(n, bool)
-        for known, lengths in ((code_a, len_a), (code_b, len_b)):
-            ids, count = units.spread(known.codes(words), which)
+        for codes, lengths in zip(zip(*known.codes(words)) if words else ((), ()), (len_a, len_b)):
+            ids, count = units.spread(codes, which)
             ids = ids[:, 0].astype(np.int64)
             row = np.repeat(part_row, count)
             valid[row[ids < 0]] = False
@@ -179,7 +190,10 @@ def aligned(texts: pa.Array, a_path: str, b_path: str, batch_bytes: int = BATCH_
             tokens.append((ids, row, end - size, end))
         (ia, ra, sa, ea), (ib, rb, sb, eb) = tokens
         at_a, at_b = overlaps(pd.DataFrame({"doc": ra, "start": sa}), pd.DataFrame({"doc": rb, "start": sb})) if len(ia) else (ra, rb)
-        last_a, last_b = np.isin(ea, eb, assume_unique=True), np.isin(eb, ea, assume_unique=True)
+        ends = np.zeros(int(ea[-1]) + 1 if len(ea) else 1, np.int8)
+        ends[ea] = 1
+        ends[eb] += 1
+        last_a, last_b = ends[ea] == 2, ends[eb] == 2
         group_a, group_b = np.cumsum(last_a) - last_a, np.cumsum(last_b) - last_b
         groups = int(last_a.sum())
         # within a group A's tokens come first, then B's
@@ -195,8 +209,12 @@ def aligned(texts: pa.Array, a_path: str, b_path: str, batch_bytes: int = BATCH_
         digests = [hashlib.sha256(data[x : y - 1]).hexdigest() if y > x else "" for x, y in zip(bounds[:-1], bounds[1:])]
         link_row = ra[at_a]
         count = [np.bincount(x, minlength=n) for x in (ra, rb, ra[last_a], link_row)]
-        order = np.argsort(link_row, kind="stable")
-        yield {"lo": lo, "hi": hi, "counts": count, "digests": digests, "links": (link_row[order], ia[at_a][order], ib[at_b][order])}
+        key = (link_row << bits_a | ia[at_a]) << bits_b | ib[at_b]  # sorted as plain numbers
+        key.sort()
+        start = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else at_a
+        key, times = key[start], np.diff(start, append=len(key))
+        pair = (key >> bits_b & (1 << bits_a) - 1) << 32 | key & (1 << bits_b) - 1
+        yield {"lo": lo, "hi": hi, "counts": count, "digests": digests, "links": (key >> bits_a + bits_b, pair, times)}
 
 
 COUNTS = ["n_a", "n_b", "n_groups", "n_links"]
@@ -240,14 +258,8 @@ def align(docs: DataFrame, a_path: str, b_path: str, key: str = "doc_id", text:
 
         for b in batches:
             for x in aligned(b.column(1), a_path, b_path, batch_bytes):
-                row, a, bb = x["links"]
-                pair = a << 32 | bb
-                order = np.lexsort((pair, row))
-                row, pair = row[order], pair[order]
-                new = np.ones(len(row), bool)
-                new[1:] = (row[1:] != row[:-1]) | (pair[1:] != pair[:-1])
-                start = np.flatnonzero(new)
-                links.append((row[start] + first, pair[start], np.diff(start, append=len(row))))
+                row, pair, times = x["links"]
+                links.append((row + first, pair, times))
                 rows.append((b.column(0).slice(x["lo"], x["hi"] - x["lo"]), x["counts"], x["digests"]))
                 first += x["hi"] - x["lo"]
                 size += int(x["counts"][0].sum()) * 3 + x["hi"] - x["lo"]

@@ -1,6 +1,6 @@
 """Parts of texts that a tokenizer treats on their own: distinct parts of a batch are encoded once.
 
-A unit's code is the little-endian int32 values that ``encode`` gives for it.  A worker keeps the codes that it used
+A unit's code is what ``encode`` gives for it: little-endian int32 values, or several such.  A worker keeps the codes that it used
 lately: at most twice ``MOST``, in two generations, of which the older one goes when the younger is full (a matter of
 speed only).  Units are told apart by their bytes.
 """
@@ -18,10 +18,10 @@ MOST = 120_000
 class Encoded:
     """Codes of units, encoded when first seen."""
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]], most: int = MOST):
+    def __init__(self, encode: Callable[[list[str]], list], most: int = MOST):
         self.encode, self.most, self.young, self.old = encode, most, {}, {}
 
-    def codes(self, units: list[bytes]) -> list[bytes]:
+    def codes(self, units: list[bytes]) -> list:
         found = list(map(self.young.get, units))
         aged = [i for i, c in enumerate(found) if c is None]
         kept = list(map(self.old.get, [units[i] for i in aged]))

@@ -179,6 +179,40 @@ def test_overlaps_are_found_from_both_sides():
     assert sorted(zip(*map(list, alignment.overlaps(a, b)))) == [(0, 0), (1, 0), (1, 1), (2, 1), (3, 2)]
 
 
+def test_parts_are_encoded_by_both_sides_at_once(whole_text_tokens, monkeypatch):
+    """One look-up a part for both tokenizers; a run that a tokenizer does not give back leaves the others as they are."""
+    alignment._LOADED.clear()
+    known, (len_a, len_b) = alignment.loaded(A_PATH, B_PATH)
+    words = [f"w{i}é" for i in range(3 * alignment.RUN + 5)]
+    words[alignment.RUN + 3] = "x▁y"
+    codes = known.codes([w.encode() for w in words])
+    for word, (of_a, of_b) in zip(words, codes):
+        a, b = whole_text_tokens(word)
+        assert np.frombuffer(of_a, "<i4").tolist() == [i for i, _ in a]
+        assert np.frombuffer(of_b, "<i4").tolist() == ([i for i, _ in b] if "▁" not in word else [-1])
+
+    def fails(parts):
+        raise AssertionError("encoded again")
+
+    monkeypatch.setattr(known, "encode", fails)
+    assert known.codes([w.encode() for w in words]) == codes
+
+
+def test_a_token_across_parts_sends_only_its_run_part_by_part():
+    token_bytes = [b" a", b" b", b" a b", b" c"]
+    ids = {"a": [0], "b": [1], "c": [3], "a b": [2]}
+    asked = []
+
+    def encode(texts):
+        asked.append(list(texts))
+        return [[i for x in (t.replace("a b", "a_b").split(" ")) for i in ids[x.replace("_", " ")]] for t in texts]
+
+    parts = ["c"] * alignment.RUN + ["c"] * (alignment.RUN - 2) + ["a", "b"] + ["c"] * 5
+    got = alignment._codes(parts, encode, token_bytes, np.array([2, 2, 4, 2]))
+    assert [np.frombuffer(x, "<i4").tolist() for x in got] == [ids[p] for p in parts]
+    assert asked[1:] == [parts[alignment.RUN : 2 * alignment.RUN]]
+
+
 # -- token files -------------------------------------------------------------------------------------------------------
 W_PATH = public_tokenizers.path("word_bpe_49k.json")
 
