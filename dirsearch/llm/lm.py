@@ -133,64 +133,75 @@ def initial(v: Vocabulary, seed: int = 3) -> dict[str, np.ndarray]:
     return {k: x.astype(np.float32) for k, x in p.items()}
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    """In place."""
-    x *= 0.5
-    np.tanh(x, out=x)
-    x *= 0.5
-    x += 0.5
-    return x
+def _gate_weights(p: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Weights of the state and of the input and the bias, with a row a gate, those of z and r negated for ``_step``."""
+    sign = np.ones((3 * HIDDEN, 1), p["wh"].dtype)
+    sign[: 2 * HIDDEN] = -1
+    return sign * p["wh"].T, sign * p["wx"].T, sign * p["b"][:, None]
 
 
-def _step(h: np.ndarray, x: np.ndarray, wh: np.ndarray) -> tuple[np.ndarray, ...]:
-    """One gated recurrent step from the state and the input's share of the gates, both with a column a lane: the gates
-    are then blocks of memory."""
-    a = wh.T @ h
+def _step(h: np.ndarray, x: np.ndarray, wh: np.ndarray, a: np.ndarray, n: np.ndarray, out: np.ndarray) -> None:
+    """One gated recurrent step from the state and the input's share of the gates, all with a column a lane: the gates are
+    then blocks of memory.  Fills a (z, r and the state's share of n), n and out, the state after the step."""
+    np.dot(wh, h, out=a)
     gates = a[: 2 * HIDDEN]
-    inner = a[2 * HIDDEN :]
     gates += x[: 2 * HIDDEN]
-    _sigmoid(gates)
-    z, r = gates[:HIDDEN], gates[HIDDEN:]
-    n = r * inner
+    np.exp(gates, out=gates)
+    gates += 1
+    np.reciprocal(gates, out=gates)
+    np.multiply(gates[HIDDEN:], a[2 * HIDDEN :], out=n)
     n += x[2 * HIDDEN :]
     np.tanh(n, out=n)
-    out = h - n
-    out *= z
+    np.subtract(h, n, out=out)
+    out *= gates[:HIDDEN]
     out += n
-    return out, z, r, inner, n
 
 
-def _gate_inputs(p: dict[str, np.ndarray], emb: np.ndarray) -> np.ndarray:
+def _gate_inputs(wx: np.ndarray, b: np.ndarray, emb: np.ndarray) -> np.ndarray:
     """(steps, 3 * HIDDEN, lanes): the inputs' share of the gates."""
-    x = np.matmul(p["wx"].T, emb.transpose(0, 2, 1))
-    x += p["b"][:, None]
+    x = np.matmul(wx, emb.transpose(0, 2, 1))
+    x += b
     return x
 
 
-def _less_most(x: np.ndarray) -> np.ndarray:
-    """Each row less its largest number, in place."""
-    x -= x[np.arange(len(x)), x.argmax(1)][:, None]
+def _with_bias(p: dict[str, np.ndarray], side: str) -> np.ndarray:
+    """The weights of classes or words with their bias as a last column, for states that end in 1."""
+    return np.concatenate([p[f"{side}_w"], p[f"{side}_b"][..., None]], axis=-1)
+
+
+def _ranged(x: np.ndarray) -> np.ndarray:
+    """x, if exp can take it as it is; else each row less its largest number, in place."""
+    if len(x) and not (x.max() < 60 and x[:, 0].min() > -60):
+        x -= x[np.arange(len(x)), x.argmax(1)][:, None]
     return x
 
 
-def _softmax(x: np.ndarray) -> np.ndarray:
-    """In place."""
-    np.exp(_less_most(x), out=x)
-    x *= 1 / (x @ np.ones((x.shape[1], 1), x.dtype))
+def _softmax(x: np.ndarray, share: float = 1.0) -> np.ndarray:
+    """Rows that sum up to share, in place."""
+    np.exp(_ranged(x), out=x)
+    x *= share / (x @ np.ones((x.shape[1], 1), x.dtype))
     return x
 
 
 def _picked(logit: np.ndarray, at: np.ndarray) -> np.ndarray:
     """The log of the softmax of each row at one place; takes logit for its work."""
-    got = _less_most(logit)[np.arange(len(at)), at]
+    got = _ranged(logit)[np.arange(len(at)), at]
     np.exp(logit, out=logit)
     return got - np.log(logit @ np.ones(logit.shape[1], logit.dtype))
 
 
-def _by_class(cls: np.ndarray) -> tuple[np.ndarray, list[int]]:
-    """The order of tokens by class, and where each class of words begins in it; the rest class comes last."""
-    order = np.argsort(cls.astype(np.uint8), kind="stable")
-    return order, np.cumsum([0, *np.bincount(cls, minlength=CLASSES + 1)[:CLASSES]]).tolist()
+def _classes(tok: np.ndarray) -> list[tuple[int, int, int]]:
+    """(class, first, end) of the classes of words in sorted tokens; the rest class comes after them."""
+    edges = np.searchsorted(tok, CLASS * np.arange(CLASSES + 1)).tolist()
+    return [(c, a, b) for c, (a, b) in enumerate(zip(edges, edges[1:])) if a < b]
+
+
+def _word_logits(hid: np.ndarray, words: np.ndarray, classes: list[tuple[int, int, int]]) -> np.ndarray:
+    """Of the words of each token's class; words of the vocabulary stand side by side by class."""
+    q = np.empty((classes[-1][2] if classes else 0, CLASS), hid.dtype)
+    for c, a, b in classes:
+        np.dot(hid[a:b], words[c].T, out=q[a:b])
+    return q
 
 
 def _lanes(lengths: np.ndarray, lanes: int) -> list[list[int]]:
@@ -228,21 +239,11 @@ def _stream(bounds: np.ndarray, lanes: int) -> tuple[np.ndarray, np.ndarray]:
     return grid, starts[grid] & (grid >= 0)
 
 
-def _log_softmax(p: dict[str, np.ndarray], hid: np.ndarray, tok: np.ndarray) -> np.ndarray:
-    """Of each token the log of its class's probability and, for words of the vocabulary, of the word's in it."""
-    cls = tok // CLASS
-    logit = hid @ p["class_w"].T
-    logit += p["class_b"]
-    got = _picked(logit, cls)
-    order, edges = _by_class(cls)
-    order = order[: edges[-1]]
-    x, y, more = hid[order], tok[order] % CLASS, np.empty(len(order), got.dtype)
-    for c, (a, b) in enumerate(zip(edges, edges[1:])):
-        if a < b:
-            logit = x[a:b] @ p["word_w"][c].T
-            logit += p["word_b"][c]
-            more[a:b] = _picked(logit, y[a:b])
-    got[order] += more
+def _log_softmax(by_class: np.ndarray, words: np.ndarray, hid: np.ndarray, tok: np.ndarray) -> np.ndarray:
+    """Of each of sorted tokens the log of its class's probability and, for words of the vocabulary, of the word's in it."""
+    got = _picked(hid @ by_class.T, tok // CLASS)
+    q = _word_logits(hid, words, _classes(tok))
+    got[: len(q)] += _picked(q, tok[: len(q)] % CLASS)
     return got
 
 
@@ -253,103 +254,116 @@ def log10_probabilities(p: dict[str, np.ndarray], ids: np.ndarray, bounds: np.nd
         return out
     lanes = min(lanes, len(bounds) - 1)
     grid, starts = _grid(bounds, lanes)
-    h = np.zeros((HIDDEN, lanes), np.float32)
+    kind = p["wh"].dtype
+    wh, wx, b = _gate_weights(p)
+    by_class, words = _with_bias(p, "class"), _with_bias(p, "word")
+    h = np.zeros((HIDDEN, lanes), kind)
     start = p["start"][:, None]
     held, size = [], 0
-    for lo in range(0, len(grid), window):
-        n = int(np.count_nonzero(grid[lo] >= 0))
-        g, s, h = grid[lo : lo + window, :n], starts[lo : lo + window, :n], h[:, :n]
-        new = s.any(axis=1)
-        x = _gate_inputs(p, p["embed"][ids[np.maximum(g, 0)]])
-        before = np.empty((len(g), HIDDEN, n), np.float32)
-        for t in range(len(g)):
-            if new[t]:
-                h = np.where(s[t], start, h)
-            before[t] = h
-            h = _step(h, x[t], p["wh"])[0]
-        live = g >= 0
-        held.append((before.transpose(0, 2, 1)[live], g[live]))
-        size += len(held[-1][1])
-        if size >= SOFTMAX_TOKENS or lo + window >= len(grid):  # windows of few lanes share one product a class
-            hid, at = (np.concatenate(part) for part in zip(*held))
-            out[at] = _log_softmax(p, hid, ids[at])
-            held, size = [], 0
-    return out / np.log(10)
+    with np.errstate(over="ignore"):  # a gate's exp may be infinite, the gate is then 0
+        for lo in range(0, len(grid), window):
+            n = int(np.count_nonzero(grid[lo] >= 0))
+            g, s = grid[lo : lo + window, :n], starts[lo : lo + window, :n]
+            new = s.any(axis=1).tolist()
+            x = _gate_inputs(wx, b, p["embed"][ids[np.maximum(g, 0)]])
+            states, a, inner = np.empty((len(g) + 1, HIDDEN, n), kind), np.empty((3 * HIDDEN, n), kind), np.empty((HIDDEN, n), kind)
+            states[0] = h[:, :n]
+            for t in range(len(g)):
+                if new[t]:
+                    states[t][:, s[t]] = start
+                _step(states[t], x[t], wh, a, inner, states[t + 1])
+            h = states[-1]
+            live = g >= 0
+            held.append((states[:-1].transpose(0, 2, 1)[live], g[live]))
+            size += len(held[-1][1])
+            if size >= SOFTMAX_TOKENS or lo + window >= len(grid):  # windows of few lanes share one product a class
+                at = np.concatenate([x[1] for x in held])
+                tok = ids[at]
+                order = np.argsort(tok.astype(np.uint16), kind="stable")
+                hid = np.ones((len(at), HIDDEN + 1), kind)
+                hid[:, :HIDDEN] = np.concatenate([x[0] for x in held])[order]
+                out[at[order]] = _log_softmax(by_class, words, hid, tok[order])
+                held, size = [], 0
+    out /= np.log(10)
+    return out
 
 
 def _window_gradients(p: dict[str, np.ndarray], tok: np.ndarray, live: np.ndarray, starts: np.ndarray, h: np.ndarray,
                       grad: dict[str, np.ndarray] | None = None) -> tuple[dict[str, np.ndarray], np.ndarray]:
     """Gradients of one window's mean loss (into grad, if given: zeros), back through the window only, and the state after it."""
     steps, lanes = tok.shape
-    emb = p["embed"][tok]
-    x = _gate_inputs(p, emb)
-    tape, before = [], np.empty((steps, HIDDEN, lanes), np.float32)
-    new, h = starts.any(axis=1), h.T
-    for t in range(steps):
-        h0 = np.where(starts[t], p["start"][:, None], h) if new[t] else h
-        before[t] = h0
-        h, z, r, inner, n = _step(h0, x[t], p["wh"])
-        tape.append((h0, z, r, inner, n))
-    hid, y = before.transpose(0, 2, 1)[live], tok[live]
-    total, cls = max(1, len(y)), y // CLASS
-    d = hid @ p["class_w"].T
-    d += p["class_b"]
-    d = _softmax(d)
-    d[np.arange(len(y)), cls] -= 1
-    d /= total
+    kind = p["wh"].dtype
     grad = grad or {k: np.zeros_like(w) for k, w in p.items()}
-    grad["class_w"][...], grad["class_b"][...] = d.T @ hid, d.sum(0)
+    wh, wx, b = _gate_weights(p)
+    emb = p["embed"][tok]
+    x = _gate_inputs(wx, b, emb)
+    states, a, n = np.empty((steps + 1, HIDDEN, lanes), kind), np.empty((steps, 3 * HIDDEN, lanes), kind), np.empty((steps, HIDDEN, lanes), kind)
+    states[0] = h.T
+    new = starts.any(axis=1).tolist()
+    with np.errstate(over="ignore"):  # a gate's exp may be infinite, the gate is then 0
+        for t in range(steps):
+            if new[t]:
+                states[t][:, starts[t]] = p["start"][:, None]
+            _step(states[t], x[t], wh, a[t], n[t], states[t + 1])
+    before = states[:steps]
+    # tokens in sorted order are in the order of their classes, too
+    every = tok.reshape(-1)
+    order = np.argsort(every.astype(np.uint16), kind="stable")
+    alive = order if live.all() else order[live.reshape(-1)[order]]
+    y, total = every[alive], max(1, len(alive))
+    hid = np.ones((len(y), HIDDEN + 1), kind)
+    hid[:, :HIDDEN] = before.transpose(0, 2, 1).reshape(-1, HIDDEN)[alive]
+    d = _softmax(hid @ _with_bias(p, "class").T, 1 / total)
+    d[np.arange(len(y)), y // CLASS] -= 1 / total
+    slopes = d.T @ hid
+    grad["class_w"][...], grad["class_b"][...] = slopes[:, :HIDDEN], slopes[:, HIDDEN]
     dhid = d @ p["class_w"]
-    order, edges = _by_class(cls)
-    order = order[: edges[-1]]
-    classes = [(c, a, b) for c, (a, b) in enumerate(zip(edges, edges[1:])) if a < b]
-    if classes:  # words of the vocabulary, side by side by class: each class is a slice of one array
-        ins, words, back = hid[order], p["word_w"], np.empty((len(order), HIDDEN), hid.dtype)
-        q = np.empty((len(order), CLASS), d.dtype)
-        for c, a, b in classes:
-            np.matmul(ins[a:b], words[c].T, out=q[a:b], casting="same_kind")
-            q[a:b] += p["word_b"][c]
-        _softmax(q)
-        q[np.arange(len(q)), y[order] % CLASS] -= 1
-        q /= total
-        for c, a, b in classes:
-            grad["word_w"][c] = q[a:b].T @ ins[a:b]
-            np.matmul(q[a:b], words[c], out=back[a:b], casting="same_kind")
-        grad["word_b"][[c for c, _, _ in classes]] = np.add.reduceat(q, [a for _, a, _ in classes], axis=0)
-        dhid[order] += back
-    dbefore = np.zeros_like(before)
-    dbefore.transpose(0, 2, 1)[live] = dhid
-    dh = np.zeros_like(h)
-    dx, da = np.empty_like(x), np.empty_like(x)
+    classes = _classes(y)
+    q = _softmax(_word_logits(hid, _with_bias(p, "word"), classes), 1 / total)
+    q[np.arange(len(q)), y[: len(q)] % CLASS] -= 1 / total
+    slopes, back = np.zeros((CLASSES, CLASS, HIDDEN + 1), kind), np.empty((len(q), HIDDEN), kind)
+    for c, lo, hi in classes:
+        np.dot(q[lo:hi].T, hid[lo:hi], out=slopes[c])
+        np.dot(q[lo:hi], p["word_w"][c], out=back[lo:hi])
+    grad["word_w"][...], grad["word_b"][...] = slopes[..., :HIDDEN], slopes[..., HIDDEN]
+    dhid[: len(q)] += back
+    rows = np.zeros((steps * lanes, HIDDEN), kind)
+    rows[alive] = dhid
+    dbefore = np.ascontiguousarray(rows.reshape(steps, lanes, HIDDEN).transpose(0, 2, 1))
+    # the factors of the slopes that do not depend on later steps, of all steps at once
+    z, r = a[:, :HIDDEN], a[:, HIDDEN : 2 * HIDDEN]
+    left = 1 - z
+    to_z = before - n
+    to_z *= z
+    to_z *= left
+    to_n = n * n
+    np.subtract(1, to_n, out=to_n)
+    to_n *= left
+    to_r = np.subtract(1, r, out=left)
+    to_r *= r
+    to_r *= a[:, 2 * HIDDEN :]
+    dh = np.zeros((HIDDEN, lanes), kind)
+    da, dn = np.empty_like(a), np.empty_like(n)
     for t in range(steps - 1, -1, -1):
-        h0, z, r, inner, n = tape[t]
-        left = 1 - z
-        dz, dr, dn = dx[t, :HIDDEN], dx[t, HIDDEN : 2 * HIDDEN], dx[t, 2 * HIDDEN :]
-        np.multiply(dh, left, out=dn)
-        dn *= 1 - n * n
-        np.subtract(h0, n, out=dz)
-        dh *= z
-        dz *= dh
-        dz *= left
-        np.multiply(dn, inner, out=dr)
-        dr *= r
-        dr *= 1 - r
-        da[t, : 2 * HIDDEN] = dx[t, : 2 * HIDDEN]
-        np.multiply(dn, r, out=da[t, 2 * HIDDEN :])
-        dh += p["wh"] @ da[t]
+        np.multiply(dh, to_n[t], out=dn[t])
+        np.multiply(dh, to_z[t], out=da[t, :HIDDEN])
+        np.multiply(dn[t], to_r[t], out=da[t, HIDDEN : 2 * HIDDEN])
+        np.multiply(dn[t], r[t], out=da[t, 2 * HIDDEN :])
+        dh *= z[t]
+        dh += np.dot(p["wh"], da[t])
         dh += dbefore[t]
         if new[t]:
             grad["start"] += dh[:, starts[t]].sum(1)
             dh[:, starts[t]] = 0
-    dx_rows = dx.transpose(0, 2, 1)
     grad["wh"][...] = np.matmul(before, da.transpose(0, 2, 1)).sum(0)
-    grad["wx"][...], grad["b"][...] = np.matmul(emb.transpose(0, 2, 1), dx_rows).sum(0), dx.sum((0, 2))
-    demb = np.matmul(dx_rows, p["wx"].T).reshape(-1, EMBED)
-    order = np.argsort(tok.reshape(-1), kind="stable")
-    of = tok.reshape(-1)[order]
+    da[:, 2 * HIDDEN :] = dn
+    dx = da.transpose(0, 2, 1).reshape(-1, 3 * HIDDEN)
+    grad["wx"][...], grad["b"][...] = emb.reshape(-1, EMBED).T @ dx, dx.sum(0)
+    demb = dx @ p["wx"].T
+    of = every[order]
     first = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
     grad["embed"][of[first]] += np.add.reduceat(demb[order], first, axis=0)
-    return grad, h.T
+    return grad, states[steps].T
 
 
 def train(p: dict[str, np.ndarray], ids: np.ndarray, bounds: np.ndarray, rate: float = RATE) -> dict[str, np.ndarray]:

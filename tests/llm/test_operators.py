@@ -500,6 +500,38 @@ def test_lm_gradients():
         assert abs((up - down) / (2 * eps) - g[k][at]) < 1e-3 + 0.05 * abs(g[k][at]), k
 
 
+def test_lm_softmax_of_any_logits():
+    """Plain exp where the type holds it, less the largest elsewhere: shares add up, and nothing overflows."""
+    rng = np.random.default_rng(4)
+    for scale, shift in ((1, 0), (40, 0), (1, 300), (1, -300)):
+        x = (rng.normal(0, scale, (50, lm.CLASS)) + shift).astype(np.float32)
+        exact = x.astype(np.float64)
+        exact = exact - np.log(np.exp(exact - exact.max(1, keepdims=True)).sum(1, keepdims=True)) - exact.max(1, keepdims=True)
+        at = rng.integers(0, lm.CLASS, 50)
+        assert np.allclose(lm._picked(x.copy(), at), exact[np.arange(50), at], rtol=1e-4, atol=1e-4)
+        assert np.allclose(lm._softmax(x, 0.25), np.exp(exact) / 4, atol=1e-5)
+    assert lm._softmax(np.zeros((0, lm.CLASS), np.float32)).shape == (0, lm.CLASS)
+
+
+def test_lm_gates_saturate():
+    v, p = _lm_parts()
+    p = {**p, "b": np.concatenate([np.full(lm.HIDDEN, 1000), np.full(2 * lm.HIDDEN, -1000)]).astype(np.float32)}  # the state is kept
+    assert np.allclose(lm.log10_probabilities(p, np.array([5, 5]), np.array([0, 2])), lm.log10_probabilities(p, np.array([5, 5]), np.array([0, 1, 2])))
+
+
+def test_lm_words_stand_by_class():
+    rng = np.random.default_rng(6)
+    v, p = _lm_parts()
+    tok = np.sort(np.append(rng.integers(0, lm.VOCABULARY, 400), [lm.VOCABULARY] * 9))
+    hid = np.ones((len(tok), lm.HIDDEN + 1), np.float32)
+    hid[:, : lm.HIDDEN] = rng.normal(size=(len(tok), lm.HIDDEN))
+    classes = lm._classes(tok)
+    assert [x for c, a, b in classes for x in [c] * (b - a)] == (tok[:-9] // lm.CLASS).tolist()
+    got = lm._word_logits(hid, lm._with_bias(p, "word"), classes)
+    want = [p["word_w"][t // lm.CLASS] @ h[:-1] + p["word_b"][t // lm.CLASS] for t, h in zip(tok[:-9], hid)]
+    assert np.allclose(got, want, rtol=1e-4, atol=1e-4) and lm._word_logits(hid[:0], lm._with_bias(p, "word"), []).shape == (0, lm.CLASS)
+
+
 def test_lm_scores(spark, docs, none, registry):
     rows = registry[0]["op2_lm_score"](spark, SMOKE).collect()
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SMOKE}/documents.parquet").collect()}
