@@ -121,6 +121,27 @@ def test_sets_of_one_lead_share_its_hits(spark, monkeypatch):
         assert sorted((r["set"], r["id"]) for r in done.found.collect()) == sorted((i % 4, i) for i in range(6))
 
 
+def test_result_rows_of_large_sets_take_few_bytes(spark, tmp_path):
+    n = 4001
+    profiles = spark.range(n).select("id", F.when(F.col("id") % 2 == 0, "Ann Lee").otherwise("Bo Lee").alias("name"))
+    crit = profiles.select((F.col("id") * 7919 % n).alias("query_id"), F.lit("name").alias("field"), F.lit("contains").alias("op"), "name")
+    QL.batch_search(crit.toDF("query_id", "field", "op", "value"), profiles).write.parquet(str(tmp_path / "rows"))
+    got = spark.read.parquet(str(tmp_path / "rows"))
+    rows = 2001 * 2001 + 2000 * 2000
+    asked = crit.select("query_id", F.col("name").alias("asked"))
+    assert got.count() == rows == got.distinct().count()
+    assert got.join(asked, "query_id").join(profiles, "id").where("name = asked").count() == rows
+    assert sum(f.stat().st_size for f in (tmp_path / "rows").glob("*.parquet")) < rows / 4
+
+
+def test_null_and_repeated_keys_stay_in_the_result(spark):
+    profiles = spark.createDataFrame([(1, "Ann", "Partner"), (1, "Ann", "Partner"), (None, "Ann", "Partner"), (2, "Bo", "Partner")], "id long, name string, title string")
+    crit = spark.createDataFrame([(5, "name", "contains", "ann"), (None, "name", "contains", "ann"), (6, "name", "contains", "ann"), (6, "title", "eq", "Partner")],
+                                 "query_id long, field string, op string, value string")
+    got = sorted((str(r["query_id"]), str(r["id"])) for r in QL.batch_search(crit, profiles).collect())
+    assert got == [("5", "1"), ("5", "None"), ("6", "1"), ("6", "1"), ("None", "1"), ("None", "None")]
+
+
 def test_unsupported_criteria_are_refused(spark, directory):
     crit = spark.createDataFrame([(1, "shoe size", "eq", "9")], "query_id long, field string, op string, value string")
     with pytest.raises(PySparkException):
