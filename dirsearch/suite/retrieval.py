@@ -20,7 +20,7 @@ from dirsearch.operators import keywords as K
 from dirsearch.operators.knn import knn_exact
 from dirsearch.operators.postings import write_postings
 from dirsearch.plans import cascade as C
-from dirsearch.session import shared_dir
+from dirsearch.session import shared_dir, written
 from dirsearch.suite.pages import WS_SQL, strip_sql
 from dirsearch.suite.registry import register, sql_list, sql_str, table
 
@@ -156,7 +156,8 @@ def smart_filter(spark, sf):
 def smart_filter_postings(spark, sf):
     """V8/V9 against the gram postings of the stored texts; the filter reads no text."""
     index = write_postings(texts(spark, sf), os.path.join(shared_dir(spark), f"postings-{uuid.uuid4().hex}"))
-    kept = K.smart_filter(_cands(spark, sf), keywords(spark, sf), index, bounded=True)
+    cand = written(_cands(spark, sf), "postings-candidates")  # read by the postings' plan and by the filter
+    kept = K.smart_filter(cand, keywords(spark, sf), index, bounded=True)
     return kept.select("query_id", "id", F.col("rank").cast("long").alias("rank"), "matches")
 
 

@@ -54,3 +54,27 @@ def test_short_keywords_join_by_their_bytes(spark, store):
     plan = hits._jdf.queryExecution().optimizedPlan().toString()
     assert "head" in plan and "gram#" in plan and not [x for x in plan.split("\n") if "Join" in x and ("<=" in x or ">=" in x)]
     assert {r["id"]: sorted(r["found"]) for r in hits.collect()} == {62: ["a", "aa", "aaa"], 61: ["cap"]}
+
+
+def test_long_texts_and_grams_of_many_places(spark, tmp_path):
+    rng = random.Random(6)
+    texts = {1: "a" * 70_000 + "bcd", 2: "".join(rng.choices("abcd ", k=66_000)) + "end of it", 3: "xyz" * 25_000 + "é", 4: "a" * 65_536, 5: "aaaaz"}
+    df = spark.createDataFrame([*texts.items()], "id long, text string").coalesce(1)
+    index = write_postings(df, str(tmp_path / "long"))
+    words = ["aaaabcd", "a" * 50, "of it", "nd of", "zxyzx", "yzé", "zé", "é", "aaz", "cd", "aaaaz", "end of it", texts[2][65_000:65_040]]
+    pairs = spark.createDataFrame([(i, words) for i in texts], "id long, keywords array<string>")
+    got = {r["id"]: set(r["found"]) for r in index.hits(pairs).collect()}
+    assert got == {i: {w for w in words if w in t} for i, t in texts.items()}
+
+
+def test_the_index_is_small_and_only_asked_grams_move(spark, tmp_path):
+    rng = random.Random(8)
+    rows = [(i, "".join(rng.choices("abcdefghijklmnopqrstuvwxyz    ", k=5000))) for i in range(300)]
+    index = write_postings(spark.createDataFrame(rows, "id long, text string").coalesce(1), str(tmp_path / "small"))
+    size = sum(f.stat().st_size for f in (tmp_path / "small").rglob("*.parquet"))
+    assert size < 6 * 300 * 5000
+    hits = index.hits(spark.createDataFrame([(1, ["abcdef", "ab"]), (7, [rows[7][1][40:60]])], "id long, keywords array<string>"))
+    assert {r["id"]: r["found"] for r in hits.collect()} == {1: [w for w in ("ab", "abcdef") if w in rows[1][1]], 7: [rows[7][1][40:60]]}
+    plan = hits._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    above = next(x for x in reversed(plan[:next(k for k, x in enumerate(plan) if "Relation" in x and "grams#" in x)]) if "MapInArrow" in x or "Join" in x)
+    assert "MapInArrow" in above  # what was not asked goes before any join
