@@ -56,15 +56,28 @@ def _unit(m: np.ndarray) -> np.ndarray:
     return np.divide(m, n, out=np.zeros_like(m), where=n > 0)
 
 
+def _reached(scores: np.ndarray, k: int) -> np.ndarray:
+    """For each row a score that k entries or more reach, and few more: of the maxima of groups of columns the k-th best.
+
+    With NaN among the scores it is the k-th best score itself.
+    """
+    n = scores.shape[1]
+    width = n // (4 * k)
+    if width < 2 or np.isnan(scores.max(initial=-np.inf)):
+        return np.partition(scores, n - k, axis=1)[:, n - k]
+    groups = n // width
+    most = scores[:, :groups * width].reshape(len(scores), width, groups).max(axis=1)
+    return np.partition(most, groups - k, axis=1)[:, groups - k]
+
+
 def best_of_rows(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Row and column numbers of the k best entries of each row (score desc, id asc).
 
-    A partition finds each row's k-th best score; only entries at or above it
-    are sorted, so ties at the cut are still broken by id.
+    Only entries that reach a bound which at least k of the row reach are
+    sorted, so ties at the cut are still broken by id.
     """
     if scores.shape[1] > k:
-        least = np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k]
-        row, col = np.nonzero(scores >= least[:, None])
+        row, col = np.nonzero(scores >= _reached(scores, k)[:, None])
     else:
         row, col = np.nonzero(np.isfinite(scores))
     keep = np.isfinite(scores[row, col])
@@ -85,16 +98,34 @@ class Best:
 
     def add(self, at: np.ndarray, ids: np.ndarray, sc: np.ndarray) -> None:
         """Scores ``sc`` of the queries at places ``at`` against ``ids``."""
-        can = ~(sc.max(axis=1) < self.s[at, -1])
+        most = sc.max(axis=1)
+        can = ~(most < self.s[at, -1])
+        full = can & np.isfinite(self.s[at, -1]) & np.isfinite(most)  # these take only what reaches their k-th best
+        if full.any():
+            self._more(at[full], ids, sc[full])
+        can &= ~full
+        if not can.any():
+            return
         at, sc = at[can], sc[can]
-        cat_s = np.concatenate([self.s[at], sc], axis=1)
-        cat_i = np.concatenate([self.i[at], np.broadcast_to(ids, sc.shape)], axis=1)
+        cat_s, cat_i = sc, np.broadcast_to(ids, sc.shape)
+        if np.isfinite(self.s[at, 0]).any():
+            cat_s, cat_i = np.concatenate([self.s[at], cat_s], axis=1), np.concatenate([self.i[at], cat_i], axis=1)
         row, col = best_of_rows(cat_s, cat_i, self.k)
         place = np.arange(len(row)) - np.searchsorted(row, row, side="left")
         s, i = np.full((len(at), self.k), -np.inf), np.full((len(at), self.k), np.iinfo(np.int64).max)
         s[row, place], i[row, place] = cat_s[row, col], cat_i[row, col]
         self.s[at], self.i[at] = s, i
 
+    def _more(self, at: np.ndarray, ids: np.ndarray, sc: np.ndarray) -> None:
+        """The same for queries that have k scores: what reaches the k-th joins them, and the k best stay."""
+        new, col = np.nonzero(sc >= self.s[at, -1][:, None])
+        row = np.concatenate([np.repeat(np.arange(len(at)), self.k), new])
+        s, i = np.concatenate([self.s[at].ravel(), sc[new, col]]), np.concatenate([self.i[at].ravel(), ids[col]])
+        order = np.lexsort((i, -s, row))
+        row, s, i = row[order], s[order], i[order]
+        best = np.arange(len(row)) - np.searchsorted(row, row, side="left") < self.k
+        self.s[at], self.i[at] = s[best].reshape(-1, self.k), i[best].reshape(-1, self.k)
+
     def frame(self) -> pd.DataFrame:
         keep = np.isfinite(self.s)
         rows = np.nonzero(keep)

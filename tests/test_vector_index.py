@@ -97,3 +97,24 @@ def test_a_long_list_is_dealt_over_several_groups(spark, monkeypatch):
     index = VI.build_index(_frame(spark, m), lists=5, block_bytes=16 * 8 * 7)
     for found in (index.search(_frame(spark, m[::7], "query_id"), 10), index.search(_frame(spark, m[::7], "query_id"), 10, probes=5)):
         assert {(r["query_id"], r["id"]) for r in found.rows.collect()} == {(q, i) for q, i, _ in _brute(m, m[::7], 10)}
+
+
+def test_running_best_equals_a_full_sort_and_sorts_few():
+    import numpy as np
+
+    from dirsearch.operators import knn
+
+    rng = np.random.default_rng(3)
+    for k, m, digits in [(1, 40, 1), (3, 700, 1), (10, 5, 1), (50, 900, 2), (10, 4096, 4)]:
+        best, seen = knn.Best(np.arange(6), k), []
+        for part in range(4):
+            at, ids = np.sort(rng.choice(6, 4, replace=False)), rng.permutation(10_000)[:m].astype(np.int64)
+            scores = np.round(rng.normal(size=(4, m)), digits)
+            best.add(at, ids, scores)
+            seen += [(q, -s, i) for q, row in zip(at.tolist(), scores.tolist()) for s, i in zip(row, ids.tolist())]
+        want = {q: sorted(x[1:] for x in seen if x[0] == q)[:k] for q in range(6)}
+        got = {q: [(-s, i) for s, i in zip(best.s[q].tolist(), best.i[q].tolist()) if np.isfinite(s)] for q in range(6)}
+        assert got == want
+    scores = rng.normal(size=(8, 4096))
+    reach = (scores >= knn._reached(scores, 50)[:, None]).sum(axis=1)
+    assert reach.min() >= 50 and reach.max() < 100
